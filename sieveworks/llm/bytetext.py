@@ -50,7 +50,7 @@ def span_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return mixed((prefix[ends] - prefix[starts]) * powers(len(prefix))[1][starts])
 
 
-def byte_slices(texts: pa.Array, most_bytes: int = 2_000_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def byte_slices(texts: pa.Array, most_bytes: int = 2_000_000, most_rows: int = 1 << 30) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets) of runs of whole lower-cased texts; a null is empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -62,7 +62,7 @@ def byte_slices(texts: pa.Array, most_bytes: int = 2_000_000) -> Iterator[tuple[
     data = np.frombuffer(buffer, np.uint8) if buffer is not None and buffer.size else np.zeros(0, np.uint8)
     row = 0
     while row < len(texts):
-        stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + most_bytes, "right")) - 1)
+        stop = min(row + most_rows, max(row + 1, int(np.searchsorted(offsets, offsets[row] + most_bytes, "right")) - 1))
         yield row, stop, data[offsets[row] : offsets[stop]], offsets[row : stop + 1] - offsets[row]
         row = stop
 

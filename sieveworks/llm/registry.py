@@ -4,16 +4,50 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+from sieveworks.llm import decontamination, language_id, pieces
 from sieveworks.llm.jaccard_join import ngram_jaccard_join
+from sieveworks.llm.license_scan import license_scan
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and templates in every document."""
+    return license_scan(_table(spark, sf_dir, "documents"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted language of every document, learned from those that aren't held out."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", language_id.held_out())
+    profiles = language_id.learn(docs.where("not held_out"))
+    return language_id.identify(docs.select("doc_id", "held_out", "text"), profiles).drop("text")
+
+
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items that stand in each document."""
+    return decontamination.find_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every document, and whether they decode to it."""
+    return pieces.round_trip(_table(spark, sf_dir, "documents"))
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class and number of links of every document."""
-    return ngram_jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return ngram_jaccard_join(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_license_scans": op1_license_scans,
+    "op5_language_id": op5_language_id,
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op8_sentencepiece": op8_sentencepiece,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "pipeline": corpus_pipeline.run,
 }
 
 #: Queries that SQL can express over whole tables.
