@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sieveworks.llm.buckets import distinct_buckets, groups, link_rows, lists, placed, shared
 from sieveworks.llm.bytetext import byte_slices, list_array, mixed, shingle_sets, word_hashes
 from sieveworks.llm.components import connected_components
 from sieveworks.llm.storage import written
@@ -108,84 +109,18 @@ def _children(branching: float):
     return make
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """The rows of each key, of batches that are sorted by it."""
-    rest: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key = np.stack([batch[k].to_numpy(zero_copy_only=False) for k in keys], 1)
-        cuts = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
-        if rest and (key[0] != np.array([rest[-1][k][-1].as_py() for k in keys])).any():
-            yield pa.Table.from_batches(rest)
-            rest = []
-        bounds = [0, *cuts.tolist(), batch.num_rows]
-        for a, b in zip(bounds[:-1], bounds[1:]):
-            rest.append(batch.slice(a, b - a))
-            if b < batch.num_rows:
-                yield pa.Table.from_batches(rest)
-                rest = []
-    if rest:
-        yield pa.Table.from_batches(rest)
-
-
-def _shared(members: int, values: list[np.ndarray], width: int = 4096) -> np.ndarray:
-    """How many values each two members have in common, by products of 0/1 matrices over ``width`` values at a time."""
-    lengths = [len(v) for v in values]
-    flat, owner = np.concatenate(values), np.repeat(np.arange(members), lengths)
-    kinds, code, count = np.unique(flat, return_inverse=True, return_counts=True)
-    keep = count[code] > 1
-    rank = np.cumsum(count > 1) - 1
-    code, owner = rank[code[keep]], owner[keep]
-    order = np.argsort(code, kind="stable")
-    code, owner = code[order], owner[order]
-    out = np.zeros((members, members), np.float32)
-    for low in range(0, int(rank[-1]) + 1 if len(rank) else 0, width):
-        a, b = np.searchsorted(code, (low, low + width))
-        if b > a:
-            has = np.zeros((members, min(width, int(rank[-1]) + 1 - low)), np.float32)
-            has[owner[a:b], code[a:b] - low] = 1
-            out += has @ has.T
-    return out
-
-
-def local_roots(linked: np.ndarray) -> np.ndarray:
-    """For each member the first member of its component in a symmetric link matrix."""
-    root = np.arange(len(linked))
-    while True:
-        near = np.where(linked, root[None, :], len(linked)).min(1)
-        after = np.minimum(root, near)
-        after = after[after]
-        if (after == root).all():
-            return root
-        root = after
-
-
 def _compare(threshold: float):
-    """Links inside each bucket: (id, n_links, root), the root being the smallest id of the member's component there. A pair that also shares a bucket of a smaller path is left to that one."""
-
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _groups(batches, ["path", "one", "two"]):
+        for table in groups(batches, ["path", "one", "two"]):
             table = table.combine_chunks()
-            path, cross = table["path"][0].as_py(), table["one"][0].as_py() != table["two"][0].as_py()
-            ids, at = np.unique(table["id"].to_numpy(), return_index=True)
-            side, copies = table["block"].to_numpy()[at], table["copies"].to_numpy()[at]
-            lists = lambda c: [table[c][i].values.to_numpy(zero_copy_only=False) for i in at.tolist()]  # noqa: E731, B023
-            sets = lists("shingles")
+            ids, rows = np.unique(table["id"].to_numpy(), return_index=True)
+            sets = lists(table, "shingles", rows)
             size = np.array([len(x) for x in sets], np.float64)
-            if len(ids) < 2:
-                continue
-            both = _shared(len(ids), sets)
+            both = shared(len(ids), sets)
             linked = both >= threshold * (size[:, None] + size[None, :] - both) - 1e-6
-            np.fill_diagonal(linked, False)
-            if cross:
-                linked &= side[:, None] != side[None, :]
-            if linked.any():
-                earlier = [x[x < path] for x in lists("leaves")]
-                linked &= _shared(len(ids), earlier) == 0
-            has = np.flatnonzero(linked.any(1))
-            if len(has):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[has]), pa.array((linked[has] @ copies.astype(np.float64)).astype(np.int64)), pa.array(ids[local_roots(linked)[has]])], ["id", "n_links", "root"])
+            out = link_rows(linked, table, rows, ids, table["path"][0].as_py(), table["one"][0].as_py() != table["two"][0].as_py())
+            if out is not None:
+                yield out
 
     return make
 
@@ -215,13 +150,8 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     same = one.groupBy("print1", "print2").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"))
     reps = written(one.dropDuplicates(["print1", "print2"]).drop("doc_id").join(same, ["print1", "print2"]))
 
-    def counted(members: DataFrame) -> DataFrame:
-        """The paths that at least two texts reached; of paths with the same texts, one."""
-        most = members.groupBy("path").agg(F.count("*").alias("texts"), F.sum("size").alias("shingles"), F.bit_xor(F.xxhash64("id")).alias("mark1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("mark2"))
-        return most.where("texts > 1").groupBy("texts", "shingles", "mark1", "mark2").agg(F.min("path").alias("path")).select("path", "texts", "shingles")
-
     members = reps.select("id", "size", F.explode("paths").alias("path"))
-    members = written(members.join(counted(members), "path"))
+    members = written(members.join(distinct_buckets(members), "path"))
     texts = reps.select(F.col("id").alias("doc_id"), "id", "copies", "print1").join(members.select("id").distinct(), "id")
     sets = written(docs.join(texts.select("doc_id", "id", "copies"), "doc_id").mapInArrow(_sets(n), "id long, copies long, shingles array<long>"))
 
@@ -240,22 +170,15 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         alike = written(parents.where("n is null or 2 * n >= texts").select("path"))
         leaves.append(large.join(alike, "path", "left_semi"))
         apart = split.join(alike.withColumnRenamed("path", "parent"), "parent", "left_anti").select("id", "size", "path")
-        children = written(apart.join(counted(apart), "path"))
+        children = written(apart.join(distinct_buckets(apart), "path"))
         leaves.append(children.where(F.col("texts") <= BUCKET_TEXTS))
         large = children.where(F.col("texts") > BUCKET_TEXTS)
 
     found = leaves[0]
     for x in leaves[1:]:
         found = found.unionByName(x)
-    found = found.withColumn("blocks", F.greatest(F.ceil(F.col("shingles") / BLOCK_SHINGLES), F.ceil(F.col("texts") / BLOCK_TEXTS)).cast("int"))
-    per_text = found.groupBy("id").agg(F.collect_list(F.struct("path", "blocks")).alias("at"))
-    placed = sets.join(per_text, "id").select("id", "copies", "shingles", F.col("at.path").alias("leaves"), F.explode("at").alias("at"))
-    block = F.pmod(F.xxhash64("id"), F.col("at.blocks")).cast("int")
-    placed = placed.select("id", "copies", "shingles", "leaves", F.col("at.path").alias("path"), F.col("at.blocks").alias("blocks"), block.alias("block"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    placed = placed.select("id", "copies", "shingles", "leaves", "path", "block", other).select("*", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
-    sorted_ = placed.repartition("path", "one", "two").sortWithinPartitions("path", "one", "two")
-    links = written(sorted_.select("path", "one", "two", "block", "id", "copies", "shingles", "leaves").mapInArrow(_compare(threshold), "id long, n_links long, root long"))
+    blocks = F.greatest(F.ceil(F.col("weight") / BLOCK_SHINGLES), F.ceil(F.col("texts") / BLOCK_TEXTS)).cast("int").alias("blocks")
+    links = written(placed(found.select("id", "path", blocks), sets).mapInArrow(_compare(threshold), "id long, n_links long, root long"))
 
     classes = connected_components(links.select(F.col("id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("component", "class_id")
     totals = links.groupBy("id").agg(F.sum("n_links").alias("far"))

@@ -8,6 +8,7 @@ import corpus_pipeline
 from sieveworks.llm import decontamination, language_id, pieces
 from sieveworks.llm.jaccard_join import ngram_jaccard_join
 from sieveworks.llm.license_scan import license_scan
+from sieveworks.llm.vector_dedup import vector_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +20,11 @@ def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(_table(spark, sf_dir, "documents"))
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of every vector."""
+    return vector_dedup(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The predicted language of every document, learned from those that aren't held out."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", language_id.held_out())
@@ -43,6 +49,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_license_scans": op1_license_scans,
+    "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op5_language_id": op5_language_id,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_sentencepiece": op8_sentencepiece,
