@@ -164,7 +164,9 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             leaves.append(large)
             break
         at = large.groupBy("id").agg(F.collect_list("path").alias("paths"))
-        split = written(at.join(sets.dropDuplicates(["id"]), "id").select("id", "paths", "shingles").mapInArrow(_children(branching), "id long, parent long, size long, path long"))
+        split = at.join(sets, "id").select("id", "paths", "shingles").mapInArrow(_children(branching), "id long, parent long, size long, path long")
+        # a repeated row of the input has its sets twice
+        split = written(split.distinct())
         sizes = split.groupBy("parent", "path").agg(F.count("*").alias("n")).groupBy("parent").agg(F.max("n").alias("n"))
         parents = large.select("path", "texts").distinct().join(sizes.withColumnRenamed("parent", "path"), "path", "left")
         alike = written(parents.where("n is null or 2 * n >= texts").select("path"))
