@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from sieveworks.llm import decontamination, language_id, pieces
+from sieveworks.llm.hmm_score import score_texts
 from sieveworks.llm.jaccard_join import ngram_jaccard_join
 from sieveworks.llm.license_scan import license_scan
 from sieveworks.llm.vector_dedup import vector_dedup
@@ -32,6 +33,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs.select("doc_id", "held_out", "text"), profiles).drop("text")
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model score of every document; a tenth of them is held out of training."""
+    return score_texts(_table(spark, sf_dir, "documents"), language_id.held_out(parts=10, part=0))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark items that stand in each document."""
     return decontamination.find_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -51,6 +57,7 @@ QUERIES = {
     "op1_license_scans": op1_license_scans,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op5_language_id": op5_language_id,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_sentencepiece": op8_sentencepiece,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
