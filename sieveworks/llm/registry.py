@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from sieveworks.llm import decontamination, language_id, pieces
+from sieveworks.llm import chat_format, decontamination, html_text, language_id, pieces
 from sieveworks.llm.hmm_score import score_texts
 from sieveworks.llm.jaccard_join import ngram_jaccard_join
 from sieveworks.llm.license_scan import license_scan
+from sieveworks.llm.storage import written
+from sieveworks.llm.url_filter import url_filter
 from sieveworks.llm.vector_dedup import vector_dedup
 
 
@@ -26,6 +28,17 @@ def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup(_table(spark, sf_dir, "embeddings"))
 
 
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's URL."""
+    return url_filter(_table(spark, sf_dir, "pages"))
+
+
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The canonical text of every conversation, from its raw transcript."""
+    raw = written(chat_format.transcripts(_table(spark, sf_dir, "conversations")))
+    return chat_format.format_chats(raw, chat_format.train(raw))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The predicted language of every document, learned from those that aren't held out."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", language_id.held_out())
@@ -48,6 +61,11 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(_table(spark, sf_dir, "documents"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class and number of links of every document."""
     return ngram_jaccard_join(_table(spark, sf_dir, "documents"))
@@ -56,10 +74,13 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_license_scans": op1_license_scans,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
+    "op3_url_filters": op3_url_filters,
+    "op4_chat_formatting": op4_chat_formatting,
     "op5_language_id": op5_language_id,
     "op6_lm_scoring": op6_lm_scoring,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_sentencepiece": op8_sentencepiece,
+    "op9_html_extraction": op9_html_extraction,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     "pipeline": corpus_pipeline.run,
 }
