@@ -117,7 +117,7 @@ class Index:
                 yield row, item, least
 
 
-def item_indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", budget: float = 0.05, least_chars: int = 24) -> list[Index]:
+def item_indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", budget: float = 0.08, least_chars: int = 24) -> list[Index]:
     """Indexes over all items, each of at most about :data:`PASS_CHARS` characters, so that what is sent to the executors stays bounded however many items there are.
 
     Items are normalised as the texts are. Null items and those of fewer than
@@ -146,7 +146,7 @@ def _scan(index: Index, texts: pa.Array, tell: Callable[[int, Item, int], None])
             tell(a + row, item, distance)
 
 
-def find_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: float = 0.05) -> DataFrame:
+def find_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: float = 0.08) -> DataFrame:
     """(doc_id, item_id, distance, budget): the items that stand in each text within ``budget`` edits a character, with the least edit distance (budget: the edits allowed).
 
     Texts and items are compared lower-cased with runs of other characters as one space.
@@ -174,7 +174,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     return out
 
 
-def without_items(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", budget: float = 0.05) -> DataFrame:
+def without_items(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", budget: float = 0.08) -> DataFrame:
     """The rows of ``docs``, all columns, in whose text no item stands within the budget; null and empty texts stay."""
 
     def clean(index: Index):
