@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sieveworks.llm.batches import bounded
+
 ROLES = ("system", "user", "assistant")
 _ALIASES = {
     "system": "system", "instruction": "system", "instructions": "system", "context": "system",
@@ -190,7 +192,7 @@ def transcripts(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32())]
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], ["conv_id", "chunk", "piece", "transcript", "states"])
 
-    return rows.mapInArrow(make, "conv_id long, chunk long, piece long, transcript string, states array<int>")
+    return bounded(rows).mapInArrow(make, "conv_id long, chunk long, piece long, transcript string, states array<int>")
 
 
 def train(labelled: DataFrame) -> ChatModel:
@@ -226,4 +228,4 @@ def format_chats(raw: DataFrame, model: ChatModel, keys: tuple[str, ...] = ("con
             yield pa.RecordBatch.from_arrays([*(batch[k] for k in keys), *columns], [*keys, "n_turns", "roles", "rendered"])
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    return rows.mapInArrow(make, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", n_turns long, roles string, rendered string")
+    return bounded(rows).mapInArrow(make, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", n_turns long, roles string, rendered string")

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sieveworks.llm.batches import bounded
 from sieveworks.llm.bytetext import WORD_BYTE, byte_slices, powers, prefix_hashes, span_hashes
 
 #: Characters of test items that are searched for in one pass over the texts.
@@ -170,7 +171,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     schema = "doc_id long, item_id long, distance long, budget long"
     out = docs.sparkSession.createDataFrame([], schema)
     for index in item_indexes(benchmark, budget=budget):
-        out = out.unionByName(docs.mapInArrow(scan(index), schema))
+        out = out.unionByName(bounded(docs).mapInArrow(scan(index), schema))
     return out
 
 
@@ -187,5 +188,5 @@ def without_items(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
         return make
 
     for index in item_indexes(benchmark, budget=budget):
-        docs = docs.mapInArrow(clean(index), docs.schema)
+        docs = bounded(docs).mapInArrow(clean(index), docs.schema)
     return docs

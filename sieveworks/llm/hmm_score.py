@@ -22,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sieveworks.llm.batches import bounded
 from sieveworks.llm.bytetext import list_array
 from sieveworks.llm.storage import written
 
@@ -92,7 +93,7 @@ class Lexicon:
 
 def count_words(docs: DataFrame) -> tuple[DataFrame, Lexicon]:
     """The counts of all training words, written, and what the tasks need of them."""
-    counts = written(docs.select("text").mapInArrow(_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    counts = written(bounded(docs).select("text").mapInArrow(_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
     tokens, kinds = counts.agg(F.sum("n"), F.count("*")).first()
     top = counts.where((F.octet_length("word") <= NEAR_BYTES) & (F.col("word") != END)).orderBy(F.desc("n"), "word").limit(NEAR_WORDS).collect()
     ends = counts.where(F.col("word") == END).agg(F.sum("n")).first()[0] or 0

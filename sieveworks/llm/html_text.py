@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sieveworks.llm.batches import bounded
+
 #: Pages whose blocks train the classifier, and the most blocks of one of them.
 SAMPLE_PAGES, SAMPLE_BLOCKS = 400, 200
 
@@ -333,4 +335,4 @@ def extract(pages: DataFrame, weights: np.ndarray | None = None, id_col: str = "
             yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    return rows.mapInArrow(make, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
+    return bounded(rows).mapInArrow(make, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sieveworks.llm.batches import bounded
 from sieveworks.llm.buckets import distinct_buckets, groups, link_rows, lists, placed, shared
 from sieveworks.llm.bytetext import byte_slices, list_array, mixed, shingle_sets, word_hashes
 from sieveworks.llm.components import connected_components
@@ -145,7 +146,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     seeds = mixed(np.arange(1, runs_needed(target_recall, threshold, branching) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketch = written(docs.mapInArrow(_sketches(n, seeds, branching), "doc_id long, print1 long, print2 long, size long, paths array<long>"))
+    sketch = written(bounded(docs).mapInArrow(_sketches(n, seeds, branching), "doc_id long, print1 long, print2 long, size long, paths array<long>"))
     one = sketch.where("print1 is not null and doc_id is not null")
     same = one.groupBy("print1", "print2").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"))
     reps = written(one.dropDuplicates(["print1", "print2"]).drop("doc_id").join(same, ["print1", "print2"]))

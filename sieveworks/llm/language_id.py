@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sieveworks.llm.batches import bounded
 from sieveworks.llm.bytetext import byte_slices
 
 UNDETERMINED = "und"
@@ -117,7 +118,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", dimen
             yield pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([vector])], ["lang", "vector"])
 
     known = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
-    parts = known.mapInArrow(partial, "lang string, vector array<double>").select("lang", F.posexplode("vector").alias("place", "value"))
+    parts = bounded(known).mapInArrow(partial, "lang string, vector array<double>").select("lang", F.posexplode("vector").alias("place", "value"))
     profiles: dict[str, np.ndarray] = {}
     for row in parts.groupBy("lang", "place").agg(F.sum("value").alias("value")).toLocalIterator():
         profiles.setdefault(row["lang"], np.zeros(dimensions))[row["place"]] = row["value"]
@@ -147,7 +148,7 @@ def identify(docs: DataFrame, profiles: Mapping[str, np.ndarray], text_col: str
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best, pa.string()), pa.array(score)], [*batch.schema.names, lang_pred_col, score_col])
 
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(predict, f"{columns}, `{lang_pred_col}` string, `{score_col}` double")
+    return bounded(docs).mapInArrow(predict, f"{columns}, `{lang_pred_col}` string, `{score_col}` double")
 
 
 def held_out(id_col: str = "doc_id", parts: int = 4, part: int = 2):

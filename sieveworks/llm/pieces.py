@@ -19,9 +19,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sieveworks.llm.batches import bounded
 from sieveworks.llm.bytetext import list_array, mixed
 
 SPACE = "▁"
@@ -30,7 +32,7 @@ DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 RANK_SHIFT = 300
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 #: Words whose pieces a Python worker keeps.
-_KEPT_WORDS = 600_000
+_KEPT_WORDS = 200_000
 
 
 @dataclass(frozen=True)
@@ -182,14 +184,8 @@ def _encoder(vocabulary: Vocabulary) -> Encoder:
     return Encoder(vocabulary)
 
 
-def encode(docs: DataFrame, model: str = DEFAULT_MODEL, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """All columns of ``docs`` and ``ids``: the pieces of the whole text with the largest sum of scores.
-
-    A space is put before a text, as the model's own encoder does; characters outside the
-    vocabulary are spelled in byte pieces. A null text has null ids, an empty one none.
-    ``ids_col`` must be a new column.
-    """
-    vocabulary = load_vocabulary(model)
+def encode_batches(vocabulary: Vocabulary, text_col: str, ids_col: str):
+    """A function from batches with a text to the same with its piece ids."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(vocabulary)
@@ -202,7 +198,39 @@ def encode(docs: DataFrame, model: str = DEFAULT_MODEL, text_col: str = "text",
                     out = pa.array([None if t is None else x for t, x in zip(texts, out)], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([*part.columns, out], [*part.schema.names, ids_col])
 
-    return docs.mapInArrow(make, f"{_columns(docs)}, `{ids_col}` array<int>")
+    return make
+
+
+def decode_batches(vocabulary: Vocabulary, ids_col: str, decoded_col: str, most_ids: int = 500_000):
+    """A function from batches with piece ids to the same with the text that they spell."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spelled = np.array(vocabulary.decoded, object)
+        for batch in batches:
+            ids = batch[ids_col]
+            flat, cuts, absent = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy(), ids.is_null().to_pylist()
+            texts: list[str | None] = []
+            while len(texts) < batch.num_rows:
+                first = len(texts)
+                last = max(first + 1, int(np.searchsorted(cuts, cuts[first] + most_ids, "right")) - 1)
+                parts = spelled[flat[cuts[first] : cuts[last]]].tolist()
+                for row in range(first, last):
+                    text = b"".join(parts[cuts[row] - cuts[first] : cuts[row + 1] - cuts[first]]).decode(errors="replace")
+                    # the space before the text goes
+                    texts.append(None if absent[row] else text.removeprefix(" "))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, decoded_col])
+
+    return make
+
+
+def encode(docs: DataFrame, model: str = DEFAULT_MODEL, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+    """All columns of ``docs`` and ``ids``: the pieces of the whole text with the largest sum of scores.
+
+    A space is put before a text, as the model's own encoder does; characters outside the
+    vocabulary are spelled in byte pieces. A null text has null ids, an empty one none.
+    ``ids_col`` must be a new column.
+    """
+    return bounded(docs).mapInArrow(encode_batches(load_vocabulary(model), text_col, ids_col), f"{_columns(docs)}, `{ids_col}` array<int>")
 
 
 def decode(tokens: DataFrame, model: str = DEFAULT_MODEL, ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
@@ -211,37 +239,37 @@ def decode(tokens: DataFrame, model: str = DEFAULT_MODEL, ids_col: str = "ids",
     Bytes that aren't UTF-8, which no encoded text gives, become replacement characters.
     ``decoded_col`` must be a new column.
     """
+    return bounded(tokens).mapInArrow(decode_batches(load_vocabulary(model), ids_col, decoded_col), f"{_columns(tokens)}, `{decoded_col}` string")
+
+
+def round_trip(docs: DataFrame, model: str = DEFAULT_MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, ids, n_tokens, same): the ids of every text and whether decoding them gives the text again.
+
+    A null text has null ids and counts as the same. Encoding and decoding run in one
+    task, so that the ids cross to the JVM once.
+    """
     vocabulary = load_vocabulary(model)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spelled = np.array(vocabulary.decoded, object)
-        for batch in batches:
-            ids = batch[ids_col]
-            flat = spelled[ids.values.to_numpy(zero_copy_only=False)].tolist()
-            cuts = ids.offsets.to_pylist()
-            texts = [b"".join(flat[a:b]).decode(errors="replace") for a, b in zip(cuts[:-1], cuts[1:])]
-            # the space before the text
-            texts = [None if no else t[1:] if t[:1] == " " else t for t, no in zip(texts, ids.is_null().to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, decoded_col])
+        both = decode_batches(vocabulary, "ids", "decoded")(encode_batches(vocabulary, "text", "ids")(batches))
+        for batch in both:
+            same = pc.fill_null(pc.equal(batch["text"].cast(pa.string()), batch["decoded"]), True)
+            counts = pc.list_value_length(batch["ids"]).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["ids"], counts, same], ["doc_id", "ids", "n_tokens", "same"])
 
-    return tokens.mapInArrow(make, f"{_columns(tokens)}, `{decoded_col}` string")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return bounded(rows).mapInArrow(make, f"doc_id {kind}, ids array<int>, n_tokens long, same boolean")
 
 
 def _columns(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
 
-def _slices(batch: pa.RecordBatch, text_col: str, most_bytes: int = 1_500_000) -> Iterator[pa.RecordBatch]:
-    """Runs of whole rows of about so much text."""
+def _slices(batch: pa.RecordBatch, text_col: str, most_bytes: int = 3_000_000) -> Iterator[pa.RecordBatch]:
+    """Runs of whole rows of about so much text, so that many words of one length come together."""
     sizes = np.cumsum([len(t) + 50 if t else 50 for t in batch[text_col].to_pylist()])
     cuts = np.flatnonzero(np.diff(sizes // most_bytes, prepend=0)) if len(sizes) else []
     bounds = sorted({0, *map(int, cuts), batch.num_rows})
     for a, b in zip(bounds[:-1], bounds[1:]):
         yield batch.slice(a, b - a)
-
-
-def round_trip(docs: DataFrame, model: str = DEFAULT_MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids, n_tokens, same): the ids of every text and whether decoding them gives the text again."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    both = decode(encode(rows, model), model)
-    return both.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.col("text").eqNullSafe(F.col("decoded")).alias("same"))
