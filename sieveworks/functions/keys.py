@@ -11,6 +11,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Qualifiers that don't make another recording, words of versions and editions.
 SAME_RECORDING = (
@@ -56,7 +57,7 @@ def plain(text: Column) -> Column:
     return F.regexp_replace(F.translate(F.lower(F.coalesce(text, F.lit(""))), _ACCENTED, _BASE), r"\p{M}", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def exact_plain(text: pd.Series) -> pd.Series:
     """As :func:`plain` with the full compatibility decomposition, for scripts other than Latin."""
     return text.fillna("").map(lambda s: "".join(c for c in unicodedata.normalize("NFKD", s.lower()) if not unicodedata.combining(c)))

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -42,7 +43,7 @@ def preview_similarity(song: Column, preview: Column) -> Column:
     return F.transform(bound, best)[0]
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sliding_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """The best share of equal bits over offsets of up to 30 % either way in steps of 2, where at least half of the shorter print overlaps; null under 20 words."""
 
@@ -62,7 +63,7 @@ def sliding_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([best(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def exact_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio of two texts; null where either is."""
     return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")

@@ -36,8 +36,8 @@ def _followed(records: DataFrame, step: DataFrame) -> DataFrame:
 def compact(log: DataFrame) -> DataFrame:
     """(old, new): where each path of an ordered log (seq, old, new) ends; new is null for a removed one.
 
-    A path's first record counts, and from there each record's target is followed to the
-    target's next later record. Once that chain ends in a removal, the path's next record
+    A path's first record after its own last removal counts, and from there each record's
+    target is followed to the target's next later record. Once that chain ends in a removal, the path's next record
     after it counts in turn. Records that move a path to itself say nothing.
     """
     records = written(log.select("seq", "old", "new").where("new is null or old <> new"))
@@ -47,9 +47,11 @@ def compact(log: DataFrame) -> DataFrame:
     chains = written(_followed(records, step).join(target, "end").join(records.select("seq", "old"), "seq"))
     again = _next_after(chains.where("target is null").select(F.col("old").alias("key"), F.col("end").alias("at"), "seq"), starts)
     last = _followed(records, again)
-    first = records.groupBy("old").agg(F.min("seq").alias("seq"))
+    # a path's own removal ends whatever was before it
+    removed = records.where("new is null").groupBy("old").agg(F.max("seq").alias("removed"))
+    counting = records.join(removed, "old", "left").groupBy("old").agg(F.min(F.when(F.col("removed").isNull() | (F.col("seq") > F.col("removed")), F.col("seq"))).alias("seq"))
     final = chains.select(F.col("seq").alias("end"), F.col("target").alias("new"))
-    return first.join(last, "seq").join(final, "end").select("old", "new")
+    return counting.join(last.join(final, "end"), "seq", "left").select("old", "new")
 
 
 def remap(df: DataFrame, path: str, changes: DataFrame, unique: Sequence[str] | None = None, position: str | None = None) -> DataFrame:

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sieveworks.functions import keys, similarity, tolerance
 
@@ -171,7 +172,7 @@ def _asked(when: Column, name: str) -> list[Column]:
     return [F.when(ask, F.col(f"{name}{s}")) for s in "ab"]
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _best_ratio(a, b):
     import difflib
 

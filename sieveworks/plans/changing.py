@@ -63,8 +63,8 @@ ORACLE_SQL = {
       chain(seq, cur) as (select seq, seq from log union all select c.seq, n.nx from chain c join nxt n on n.seq = c.cur), ends as (select seq, max(cur) fin from chain group by 1),
       again as (select e.seq, min(x.seq) nx from ends e join log r on r.seq = e.fin and r.new is null join log own on own.seq = e.seq join log x on x.old = own.old and x.seq > e.fin group by 1),
       restarted(seq, cur) as (select seq, seq from log union all select c.seq, n.nx from restarted c join again n on n.seq = c.cur), last as (select seq, max(cur) fin from restarted group by 1),
-      starts as (select old, min(seq) seq from log group by 1)
-      select s.old, f.new from starts s join last using (seq) join ends e on e.seq = last.fin join log f on f.seq = e.fin""",
+      starts as (select old, min(seq) filter (removed is null or seq > removed) seq from (select *, max(case when new is null then seq end) over (partition by old) removed from log) group by 1)
+      select s.old, f.new from starts s left join last using (seq) left join ends e on e.seq = last.fin left join log f on f.seq = e.fin""",
     "remap_with_removals": "select o_orderpriority, case when o_custkey % 2 = 1 then o_custkey + 1 else o_custkey end item, min(o_orderkey) pos from orders where o_custkey % 5 <> 0 group by 1, 2",
     "counter_upsert": "select user_id, event_type, count(*) plays, strftime(max(ts), '%Y-%m-%d') as last from events group by 1, 2",
     "snapshot_diff": "select '~' as change, 'p_size' tag, count(*) n from part where p_partkey % 7 = 0 having count(*) > 0 union all select '-', 'p_brand', count(*) from part where p_partkey % 10 = 0 having count(*) > 0 union all select '+', 'note', count(*) from part where p_partkey % 25 = 0 having count(*) > 0",

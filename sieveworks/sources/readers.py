@@ -70,7 +70,7 @@ def account_playlists(spark: SparkSession, path: str) -> DataFrame:
 
 def m3u(spark: SparkSession, path: str) -> DataFrame:
     """(playlist, title, pos, path): the entries of playlist files in order; ``#PLAYLIST:`` names one, other comments are skipped."""
-    files = spark.read.option("wholetext", True).text(path).select("value", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("playlist"))
+    files = spark.read.text(path, wholetext=True).select("value", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("playlist"))
     title = F.nullif(F.trim(F.regexp_extract("value", r"(?m)^#PLAYLIST:(.*)$", 1)), F.lit(""))
     entries = F.filter(F.transform(F.split("value", "\r?\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("#"))
     return files.select("playlist", title.alias("title"), F.posexplode(entries).alias("pos", "path"))

@@ -44,6 +44,6 @@ def promotions(listens: DataFrame, item: str, ts: str, days: int = 28, least: in
                 yield pd.DataFrame({"item": [key[0]], "ts": [pd.Timestamp(t, unit="s")], "listens": [len(times)]})
         state.update((times, done))
         if now:
-            state.setTimeoutTimestamp(int((now[-1] + idle_days * 86400) * 1000))
+            state.setTimeoutTimestamp(max(int((now[-1] + idle_days * 86400) * 1000), state.getCurrentWatermarkMs() + 1))
 
     return rows.groupBy("item").applyInPandasWithState(step, PROMOTED, "times array<double>, done boolean", "append", GroupStateTimeout.EventTimeTimeout)

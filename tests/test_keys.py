@@ -1,0 +1,81 @@
+"""Text keys on hand-made values."""
+
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from sieveworks.functions import keys, similarity, tolerance
+
+
+def one(spark, column, *values):
+    names = [f"c{i}" for i in range(len(values))]
+    return spark.createDataFrame([values], ", ".join(f"{n} string" for n in names)).select(column(*map(F.col, names)).alias("x")).first()["x"]
+
+
+@pytest.mark.parametrize(
+    "function, text, wanted",
+    [
+        (keys.key, "Pa-Kum-Pa!", "pakumpa"),
+        (keys.key, None, ""),
+        (keys.key, "Ñandú ÉTÉ ß", "nandueteß"),
+        (keys.without_brackets, "Thriller (Deluxe)", "thriller"),
+        (keys.base_title, "Bohemian Rhapsody - Remastered 2011", "bohemianrhapsody"),
+        (keys.title_key, "Bohemian Rhapsody - Remastered 2011", "bohemianrhapsody"),
+        (keys.title_key, "Shaky Shaky - Remix", "shakyshaky|remix"),
+        (keys.title_key, "Song (Live) [Acoustic] - Live", "song|acoustic|live"),
+        (keys.title_key, "Song (!!!)", "song|"),
+        (keys.title_key, "Song (feat. X)", "song"),
+        (keys.artist_key, "Wisin & Yandel, Daddy Yankee", "wisin"),
+        (keys.artist_key, "X Ambassadors", ""),
+        (keys.first_artist, "Daft Punk", "Daft Punk"),
+        (keys.first_artist, "Taylor Swift ft Bon Iver", "Taylor Swift"),
+        (keys.album_base, "Thriller (25th Anniversary)", "thriller"),
+        (keys.album_core, "Hits (Slowed) Deluxe Edition", "hitsslowed"),
+        (keys.artist_without_the, "The Beatles", "beatles"),
+        (keys.spelled_numbers, "Movement Pt. 2", "movement part 2"),
+        (keys.spelled_numbers, "Movement Part VIII", "movement part 8"),
+        (keys.clean_file, 'a/b:c*"d"', "a_b_c__d_"),
+        (keys.clean_dir, " name. . ", "name"),
+        (keys.clean_file, "  ", "_"),
+        (keys.link_id, "https://open.example/track/abc?si=1", "abc"),
+        (keys.link_id, "spotify:track:xyz", "xyz"),
+        (keys.year_of, "2011-05-01", "2011"),
+        (keys.unescaped, "Pa&amp;apos; la", "Pa' la"),
+        (keys.non_latin_letters, "حب love", 2),
+        (keys.text_problem, " x", "edge spaces"),
+        (keys.text_problem, "Pa&apos; x", "HTML entity"),
+        (keys.text_problem, "CaÃ±on", "broken characters"),
+        (keys.text_problem, "fine", None),
+    ],
+)
+def test_values(spark, function, text, wanted):
+    assert one(spark, function, text) == wanted
+
+
+def test_lists(spark):
+    assert one(spark, keys.credited_artists, "Kavinsky • Lovefoxxx") == ["Kavinsky", "Lovefoxxx"]
+    assert one(spark, keys.version_qualifiers, "Best Friends - Best Friends Club Edit") == ["clubedit"]
+    assert one(spark, keys.lyric_marks, "[00:01.50] a\n[01:02] b") == [1.5, 62.0]
+    assert one(spark, lambda c: keys.cut_to_bytes(c, 5), "aéíóú") == "aéí"
+    assert one(spark, keys.exact_plain, "ﬁｈ Ⅳ É") == "fih iv e"
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.text(alphabet=st.characters(min_codepoint=32, max_codepoint=0x24F), max_size=20), min_size=1, max_size=20))
+def test_keys_are_idempotent(spark, texts):
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(keys.key(F.col("t")).alias("k")).select("k", keys.key(F.col("k")).alias("kk")).collect()
+    assert all(r["k"] == r["kk"] for r in rows)
+
+
+def test_tolerances(spark):
+    rows = spark.createDataFrame([(100.0, 103.0), (100.0, 103.1), (400.0, 396.0), (400.0, 395.9)], "a double, b double")
+    assert [r[0] for r in rows.select(tolerance.other_version(F.col("b"), F.col("a"))).collect()] == [False, True, False, True]
+
+
+def test_similarities(spark):
+    words = list(range(1000, 1040))
+    rows = spark.createDataFrame([(words, words[5:25], words[2:]), ([], [], [])], "a array<long>, b array<long>, c array<long>")
+    got = rows.select(similarity.preview_similarity(F.col("a"), F.col("b")).alias("p"), similarity.sliding_similarity("a", "c").alias("s")).collect()
+    assert (got[0]["p"], got[0]["s"]) == (1.0, 1.0)
+    assert (got[1]["p"], got[1]["s"]) == (None, None)
