@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sieveworks.llm import decontamination, language_id, pieces
 from sieveworks.llm.jaccard_join import ngram_jaccard_join
-from sieveworks.llm.storage import written
+from sieveworks.sources.storage import written
 
 #: A text of so many characters whose best cosine is lower is in no learned language.
 LEAST_CHARS, LEAST_COSINE = 200, 0.1

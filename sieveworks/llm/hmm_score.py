@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from sieveworks.llm.batches import bounded
 from sieveworks.llm.bytetext import list_array
-from sieveworks.llm.storage import written
+from sieveworks.sources.storage import written
 
 #: Word symbols of the model, classes of other words, hidden states, rounds of Baum-Welch.
 SYMBOL_WORDS, CLASSES, STATES, ROUNDS = 4096, 64, 8, 4

@@ -24,7 +24,7 @@ from sieveworks.llm.batches import bounded
 from sieveworks.llm.buckets import distinct_buckets, groups, link_rows, lists, placed, shared
 from sieveworks.llm.bytetext import byte_slices, list_array, mixed, shingle_sets, word_hashes
 from sieveworks.llm.components import connected_components
-from sieveworks.llm.storage import written
+from sieveworks.sources.storage import written
 
 #: Texts in a bucket that is compared at once, and the shingles and texts of a block of a larger one.
 BUCKET_TEXTS, BLOCK_SHINGLES, BLOCK_TEXTS = 64, 400_000, 2048

@@ -9,7 +9,7 @@ from sieveworks.llm import chat_format, decontamination, html_text, language_id,
 from sieveworks.llm.hmm_score import score_texts
 from sieveworks.llm.jaccard_join import ngram_jaccard_join
 from sieveworks.llm.license_scan import license_scan
-from sieveworks.llm.storage import written
+from sieveworks.sources.storage import written
 from sieveworks.llm.url_filter import url_filter
 from sieveworks.llm.vector_dedup import vector_dedup
 

@@ -14,7 +14,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sieveworks.llm.storage import written
+from sieveworks.sources.storage import written
 
 # The rules of the contract, as verdict, host and path.
 RULES = (

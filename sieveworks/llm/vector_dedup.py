@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from sieveworks.llm.buckets import distinct_buckets, groups, link_rows, lists, placed
 from sieveworks.llm.bytetext import list_array, mixed
 from sieveworks.llm.components import connected_components
-from sieveworks.llm.storage import written
+from sieveworks.sources.storage import written
 
 #: Vectors of a block of a large bucket.
 BLOCK_VECTORS = 1024
