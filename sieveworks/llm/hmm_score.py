@@ -28,7 +28,7 @@ from sieveworks.sources.storage import written
 
 #: Word symbols of the model, classes of other words, hidden states, rounds of Baum-Welch.
 SYMBOL_WORDS, CLASSES, STATES, ROUNDS = 4096, 64, 8, 4
-#: Words whose counts go to the tasks; all others meet theirs in a join. None is longer than so many bytes.
+#: The most words whose counts go to the tasks; all others meet theirs in a join. None is longer than so many bytes.
 NEAR_WORDS, NEAR_BYTES = 65_536, 64
 #: Training cuts texts into runs of so many tokens, each a sequence of its own.
 RUN_TOKENS = 256
@@ -91,11 +91,29 @@ class Lexicon:
         return np.log10((count + ADDED) / (self.class_tokens[which] + ADDED * (self.class_kinds[which] + 1)))
 
 
+def _most_frequent(counts: DataFrame, most: int | None = None) -> list:
+    """Words with the largest counts, at most ``most`` (NEAR_WORDS), in the order of (count down, word).
+
+    Counts are binned by their logarithm, some hundred bins whatever the corpus; whole
+    bins are taken from above while they fit. Only what is taken reaches the driver.
+    """
+    most = NEAR_WORDS if most is None else most
+    bins = counts.groupBy(F.floor(F.log2("n") * 16).alias("bin")).agg(F.count("*").alias("words"), F.min("n").alias("least"))
+    least, taken = None, 0
+    for r in bins.orderBy(F.desc("bin")).collect():
+        taken += r["words"]
+        if taken > most:
+            break
+        least = r["least"]
+    rows = counts.where(F.col("n") >= least).collect() if least is not None else []
+    return sorted(rows, key=lambda r: (-r["n"], r["word"]))
+
+
 def count_words(docs: DataFrame) -> tuple[DataFrame, Lexicon]:
     """The counts of all training words, written, and what the tasks need of them."""
     counts = written(bounded(docs).select("text").mapInArrow(_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
     tokens, kinds = counts.agg(F.sum("n"), F.count("*")).first()
-    top = counts.where((F.octet_length("word") <= NEAR_BYTES) & (F.col("word") != END)).orderBy(F.desc("n"), "word").limit(NEAR_WORDS).collect()
+    top = _most_frequent(counts.where((F.octet_length("word") <= NEAR_BYTES) & (F.col("word") != END)))
     ends = counts.where(F.col("word") == END).agg(F.sum("n")).first()[0] or 0
     # the end comes first and is a symbol whatever its count
     near = {END.encode(): 0} | {r["word"].encode(): i for i, r in enumerate(top, 1)}
