@@ -247,41 +247,48 @@ def minimum_cut(gain: list[float], links: list[tuple[int, int, float]]) -> list[
 
     A node with a positive ``gain`` has a terminal edge of that capacity from the source,
     one with a negative an edge to the sink; ``links`` (a, b, capacity) hold both ways.
-    Flow is augmented along shortest paths; nodes that the source still reaches are on its
-    side.
+    Flow is augmented from one node after another, along the shortest path to a node with
+    room to the sink, so that a search stays near its start however long the page is. The
+    nodes that a vain search saw reach no such node any more, and no later flow leaves
+    them; together they are what the source reaches in the end, its side of the cut.
     """
     n = len(gain)
     room: list[dict[int, float]] = [{} for _ in range(n)]
     for a, b, capacity in links:
         room[a][b] = room[a].get(b, 0.0) + capacity
         room[b][a] = room[b].get(a, 0.0) + capacity
-    give = [max(g, 0.0) for g in gain]
     take = [max(-g, 0.0) for g in gain]
     tiny = 1e-12
-    while True:
-        came: dict[int, int] = {i: -1 for i in range(n) if give[i] > tiny}
-        queue = deque(came)
-        end = -1
-        while queue and end < 0:
-            a = queue.popleft()
-            for b, capacity in room[a].items():
-                if capacity > tiny and b not in came:
-                    came[b] = a
-                    if take[b] > tiny:
-                        end = b
-                        break
-                    queue.append(b)
-        if end < 0:
-            return [i in came for i in range(n)]
-        path = [end]
-        while came[path[-1]] >= 0:
-            path.append(came[path[-1]])
-        flow = min(take[end], give[path[-1]], *(room[a][b] for b, a in zip(path, path[1:])))
-        take[end] -= flow
-        give[path[-1]] -= flow
-        for b, a in zip(path, path[1:]):
-            room[a][b] -= flow
-            room[b][a] += flow
+    side = [False] * n
+    for start in range(n):
+        give = gain[start]
+        while give > tiny and not side[start]:
+            came = {start: -1}
+            queue = deque(came)
+            end = -1
+            while queue and end < 0:
+                a = queue.popleft()
+                for b, capacity in room[a].items():
+                    if capacity > tiny and b not in came and not side[b]:
+                        came[b] = a
+                        if take[b] > tiny:
+                            end = b
+                            break
+                        queue.append(b)
+            if end < 0:
+                for a in came:
+                    side[a] = True
+                break
+            path = [end]
+            while came[path[-1]] >= 0:
+                path.append(came[path[-1]])
+            flow = min(take[end], give, *(room[a][b] for b, a in zip(path, path[1:])))
+            take[end] -= flow
+            give -= flow
+            for b, a in zip(path, path[1:]):
+                room[a][b] -= flow
+                room[b][a] += flow
+    return side
 
 
 def main_text(page: str | None, weights: np.ndarray, strength: float = 1.0) -> str:
