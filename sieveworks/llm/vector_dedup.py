@@ -100,7 +100,7 @@ def vector_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     finite = F.forall("vector", lambda x: F.coalesce((x > float("-inf")) & (x < float("inf")), F.lit(False)))
     usable = F.col("label").isNotNull() & F.coalesce(finite & F.exists("vector", lambda x: x != 0), F.lit(False))
     # of vectors that aren't usable, none has a print
-    print_ = [F.when(usable, F.xxhash64("label", "vector", F.lit(i))).alias(f"print{i}") for i in (1, 2)]
+    print_ = [F.when(usable, F.xxhash64(F.lit(i), "label", "vector")).alias(f"print{i}") for i in (1, 2)]
     rows = rows.select("*", *print_)
     one = rows.where("print1 is not null and vec_id is not null")
     same = one.groupBy("print1", "print2").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"))
