@@ -134,6 +134,27 @@ def albums_alike(df: DataFrame, artist: str, album: str, exceptions: DataFrame)
     return section("albums alike", "decide", pairs.withColumn("_kind", kind).where("_kind is not null"), F.concat_ws(" | ", "a", "b"), F.col("_kind"))
 
 
+def paths(df: DataFrame, path: str = "path", number: str = "tracknumber", date: str = "date", album: str = "album", artist: str = "albumartist") -> DataFrame:
+    """Paths that don't read ``Artist/YYYY - Album/NN - Title.ext`` or disagree with the tags. Names are compared by key, and what a path or tag doesn't say disagrees with nothing."""
+    parts = F.split(F.col(path), "/")
+    rows = df.withColumns({"_artist": F.try_element_at(parts, F.lit(-3)), "_folder": F.try_element_at(parts, F.lit(-2)), "_file": F.try_element_at(parts, F.lit(-1))})
+    in_file = F.when(F.col("_file").rlike(r"^[0-9]{2,3} - .+\.[A-Za-z0-9]+$"), keys.number_of(F.col("_file")))
+    year = F.when(F.col("_folder").rlike("^[0-9]{4} - ."), keys.year_of(F.col("_folder")))
+    name = F.regexp_replace("_folder", "^[0-9]{4} - ", "")
+    unlike = lambda folder, tag: keys.key(folder) != keys.key(keys.clean_dir(tag))
+    problems = {
+        "outside pattern": ("fix", in_file.isNull(), F.col("_file")),
+        "album without year": ("fix", year.isNull(), F.col("_folder")),
+        "number unlike file": ("fix", in_file != keys.number_of(F.col(number)), F.col(number)),
+        "year unlike folder": ("fix", year != keys.year_of(F.col(date)), F.col(date)),
+        "album unlike folder": ("decide", (F.col(album) != "") & unlike(name, F.col(album)), F.col(album)),
+        "artist unlike folder": ("decide", (F.col(artist) != "") & unlike(F.col("_artist"), F.col(artist)), F.col(artist)),
+    }
+    found = [F.when(when, F.struct(F.lit(title).alias("section"), F.lit(severity).alias("severity"), detail.cast("string").alias("detail"))) for title, (severity, when, detail) in problems.items()]
+    rows = rows.select(F.col(path).alias("key"), F.explode(F.array_compact(F.array(*found))).alias("v"))
+    return rows.select("v.section", "v.severity", "key", "v.detail")
+
+
 def private_data(df: DataFrame, id_col: str, text: str, allowed: str | None = keys.ALLOWED) -> DataFrame:
     """(id, line, kind, found): private data in texts, line by line, what matches ``allowed`` left out."""
     lines = df.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line", "value"))
