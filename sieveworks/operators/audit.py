@@ -28,6 +28,16 @@ def union(sections: Iterable[DataFrame]) -> DataFrame:
     return out
 
 
+def tallies(violations: DataFrame) -> DataFrame:
+    """Violations by section and severity."""
+    return violations.groupBy("section", "severity").agg(F.count("*").alias("n"))
+
+
+def totals(df: DataFrame, wanted: dict[str, Column]) -> DataFrame:
+    """One row: all rows as ``total``, and those for which each condition holds; an empty table has zeros."""
+    return df.agg(F.count("*").alias("total"), *(F.count_if(test).alias(name) for name, test in wanted.items()))
+
+
 def texts(df: DataFrame, id_col: str, columns: Sequence[str]) -> DataFrame:
     """Broken text in tags."""
     pairs = F.array(*(F.struct(F.lit(c).alias("tag"), F.col(c).alias("value")) for c in columns))

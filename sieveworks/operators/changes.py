@@ -94,7 +94,9 @@ def restore_plan(saved: DataFrame, now: DataFrame, row: str, tag: str, values: s
 def put_back(entries: DataFrame, gone: DataFrame, playlist: str, position: str, path: str, reach: int = 10) -> DataFrame:
     """Where a returned path goes in its playlist: after its nearest surviving predecessor within ``reach``, else before its nearest survivor behind, else at the end (null)."""
     lost = gone.select(playlist, F.col(position).alias("_at"), F.col(path).alias("_path"))
-    near = lost.join(entries.select(playlist, position, path), playlist).where(F.abs(F.col(position) - F.col("_at")) <= reach)
+    # an entry meets a lost one through its band of positions, so a long playlist is no single key
+    banded = lost.withColumn("_low", F.floor(F.col("_at") / reach)).withColumn("_band", F.explode(F.sequence(F.col("_low") - 1, F.col("_low") + 1)))
+    near = banded.join(entries.select(playlist, position, F.floor(F.col(position) / reach).alias("_band")), [playlist, "_band"]).where(F.abs(F.col(position) - F.col("_at")) <= reach)
     before = F.max(F.when(F.col(position) < F.col("_at"), F.col(position))).alias("after")
     behind = F.min(F.when(F.col(position) > F.col("_at"), F.col(position))).alias("ahead_of")
     found = near.groupBy(playlist, "_path", "_at").agg(before, behind)

@@ -241,6 +241,12 @@ def ranked_candidates(sources: Sequence[tuple[str, DataFrame]], key: Sequence[st
     return merged.withColumn("place", place)
 
 
+def first_resolved(candidates: DataFrame, known: DataFrame, on: Sequence[str], by: Sequence[str], order: Sequence[Column | str], n: int) -> DataFrame:
+    """The first ``n`` candidates of each group, in ``order``, that ``known`` has; ``place`` numbers them from 1. A null key is never known."""
+    found = candidates.join(known.select(*on).distinct(), [*on], "left_semi")
+    return found.withColumn("place", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("place") <= n)
+
+
 def difference(a: DataFrame, b: DataFrame, on: Sequence[str]) -> DataFrame:
     """Keys of one table that the other lacks, with the side that has them."""
     left = a.select(*on).distinct().withColumn("_a", F.lit(True))

@@ -29,7 +29,7 @@ def print_verdict(results: DataFrame, item: str, score: str, same_id: str, same_
         F.bool_or(good & F.col(same_id)).alias("id"),
         F.bool_or(good & F.col(same_song)).alias("song"),
         F.bool_or(good & F.col(same_song) & F.col(same_version)).alias("version"),
-        F.max_by(F.col(same_title), F.when(good, F.col(score))).alias("title"),
+        F.max(F.when(good, F.struct(F.col(score), F.col(same_title).alias("title"))))["title"].alias("title"),
         F.bool_or(has_id).alias("known"),
     )
     verdict = (
