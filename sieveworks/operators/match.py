@@ -243,7 +243,7 @@ def ranked_candidates(sources: Sequence[tuple[str, DataFrame]], key: Sequence[st
 
 def first_resolved(candidates: DataFrame, known: DataFrame, on: Sequence[str], by: Sequence[str], order: Sequence[Column | str], n: int) -> DataFrame:
     """The first ``n`` candidates of each group, in ``order``, that ``known`` has; ``place`` numbers them from 1. A null key is never known."""
-    found = candidates.join(known.select(*on).distinct(), [*on], "left_semi")
+    found = candidates.join(known.select(*on).distinct(), [*on], "left_semi").select(*candidates.columns)
     return found.withColumn("place", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("place") <= n)
 
 

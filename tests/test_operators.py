@@ -145,3 +145,26 @@ def test_audit_sections(spark):
     assert audit.albums_alike(albums, "artist", "album", spark.createDataFrame([("Hits (Deluxe)", "Hits")], "folder_1 string, folder_2 string")).count() == 0
     covers = spark.createDataFrame([(1, []), (2, [(3, 600, 600)]), (3, [(3, 200, 300), (4, 1, 1)])], "id int, pictures array<struct<type: int, w: int, h: int>>")
     assert rows(audit.covers(covers, "id", "pictures"), "key", "section") == [("1", "cover missing"), ("3", "cover not square"), ("3", "cover too small"), ("3", "several covers")]
+
+
+def test_put_back_meets_neighbours_across_bands(spark):
+    entries = spark.createDataFrame([("p", i, f"s{i}") for i in (1, 9, 21, 40)], "playlist string, pos int, path string")
+    gone = spark.createDataFrame([("p", 10, "a"), ("p", 30, "b"), ("p", 55, "c"), ("q", 1, "d"), ("p", None, "e")], "playlist string, pos int, path string")
+    out = {r["path"]: (r["after"], r["ahead_of"]) for r in changes.put_back(entries, gone, "playlist", "pos", "path").collect()}
+    assert out == {"a": (9, None), "b": (21, None), "c": (None, None), "d": (None, None), "e": (None, None)}
+    ahead = changes.put_back(entries.where("pos > 9"), gone.where("path = 'b'").withColumn("pos", F.lit(15)), "playlist", "pos", "path")
+    assert rows(ahead, "after", "ahead_of") == [(None, 21)]
+
+
+def test_first_resolved_and_totals(spark):
+    candidates = spark.createDataFrame([("u", "a", 3), ("u", "b", 9), ("u", "c", 5), ("u", None, 99), ("v", "z", 1)], "user string, song string, score int")
+    known = spark.createDataFrame([("a",), ("c",), ("c",), (None,)], "song string")
+    assert rows(match.first_resolved(candidates, known, ["song"], ["user"], [F.desc("score")], 1)) == [("u", "c", 5, 1)]
+    assert rows(audit.totals(candidates, {"high": F.col("score") > 4})) == [(5, 3)]
+    assert rows(audit.totals(candidates.limit(0), {"high": F.col("score") > 4})) == [(0, 0)]
+
+
+def test_equal_scores_give_one_verdict(spark):
+    found = spark.createDataFrame([("a", 0.8, False, False, False, t, False) for t in (True, False)], "f string, s double, i boolean, g boolean, v boolean, t boolean, k boolean")
+    for order in (found, found.orderBy("t")):
+        assert rows(verdicts.print_verdict(order, "f", "s", "i", "g", "v", "t", "k")) == [("a", "REVIEW")]
