@@ -14,10 +14,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def distinct_buckets(members: DataFrame) -> DataFrame:
-    """(path, texts, weight) of the paths that at least two members (id, size, path) reached; of paths with the same members, the smallest."""
+def distinct_buckets(members: DataFrame, most_texts: int | None = None) -> DataFrame:
+    """(path, texts, weight) of the paths that at least two members (id, size, path) reached; of paths with the same members, the smallest.
+
+    Paths of more than ``most_texts`` members all stay, also those with the same members.
+    """
     most = members.groupBy("path").agg(F.count("*").alias("texts"), F.sum("size").alias("weight"), F.bit_xor(F.xxhash64("id")).alias("mark1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("mark2"))
-    return most.where("texts > 1").groupBy("texts", "weight", "mark1", "mark2").agg(F.min("path").alias("path")).select("path", "texts", "weight")
+    same = ["texts", "weight", "mark1", "mark2"]
+    if most_texts is not None:
+        most = most.withColumn("own", F.when(F.col("texts") > most_texts, F.col("path")))
+        same = [*same, "own"]
+    return most.where("texts > 1").groupBy(*same).agg(F.min("path").alias("path")).select("path", "texts", "weight")
 
 
 def placed(found: DataFrame, members: DataFrame) -> DataFrame:

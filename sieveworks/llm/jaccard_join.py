@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -152,17 +153,18 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     reps = written(one.dropDuplicates(["print1", "print2"]).drop("doc_id").join(same, ["print1", "print2"]))
 
     members = reps.select("id", "size", F.explode("paths").alias("path"))
-    members = written(members.join(distinct_buckets(members), "path"))
+    # large paths with the same members all stay: the recall rests on each splitting by its own seed
+    members = written(members.join(distinct_buckets(members, BUCKET_TEXTS), "path"))
     texts = reps.select(F.col("id").alias("doc_id"), "id", "copies", "print1").join(members.select("id").distinct(), "id")
     sets = written(docs.join(texts.select("doc_id", "id", "copies"), "doc_id").mapInArrow(_sets(n), "id long, copies long, shingles array<long>"))
 
-    leaves = [members.where(F.col("texts") <= BUCKET_TEXTS)]
+    leaves, whole = [members.where(F.col("texts") <= BUCKET_TEXTS)], []
     large = members.where(F.col("texts") > BUCKET_TEXTS)
     for depth in range(MOST_DEPTH):
         if large.isEmpty():
             break
         if depth == MOST_DEPTH - 1:
-            leaves.append(large)
+            whole.append(large)
             break
         at = large.groupBy("id").agg(F.collect_list("path").alias("paths"))
         split = at.join(sets, "id").select("id", "paths", "shingles").mapInArrow(_children(branching), "id long, parent long, size long, path long")
@@ -171,15 +173,17 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         sizes = split.groupBy("parent", "path").agg(F.count("*").alias("n")).groupBy("parent").agg(F.max("n").alias("n"))
         parents = large.select("path", "texts").distinct().join(sizes.withColumnRenamed("parent", "path"), "path", "left")
         alike = written(parents.where("n is null or 2 * n >= texts").select("path"))
-        leaves.append(large.join(alike, "path", "left_semi"))
+        whole.append(large.join(alike, "path", "left_semi"))
         apart = split.join(alike.withColumnRenamed("path", "parent"), "parent", "left_anti").select("id", "size", "path")
-        children = written(apart.join(distinct_buckets(apart), "path"))
+        children = written(apart.join(distinct_buckets(apart, BUCKET_TEXTS), "path"))
         leaves.append(children.where(F.col("texts") <= BUCKET_TEXTS))
         large = children.where(F.col("texts") > BUCKET_TEXTS)
 
-    found = leaves[0]
-    for x in leaves[1:]:
-        found = found.unionByName(x)
+    if whole:
+        # nothing splits any more, so of large paths with the same members one is enough
+        last = reduce(DataFrame.unionByName, whole).select("id", "size", "path")
+        leaves.append(last.join(distinct_buckets(last), "path"))
+    found = reduce(DataFrame.unionByName, leaves)
     blocks = F.greatest(F.ceil(F.col("weight") / BLOCK_SHINGLES), F.ceil(F.col("texts") / BLOCK_TEXTS)).cast("int").alias("blocks")
     links = written(placed(found.select("id", "path", blocks), sets).mapInArrow(_compare(threshold), "id long, n_links long, root long"))
 

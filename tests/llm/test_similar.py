@@ -72,6 +72,20 @@ def test_jaccard_join_equals_brute_force(spark):
     assert got == {i: (classes[i], sum(i in pair for pair in links)) for i in sets}
 
 
+def test_large_groups_of_one_base_and_own_tails(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    bases = [" ".join(word() for _ in range(60)) for _ in range(15)]
+    rows = [(100 * g + i, base + " " + " ".join(word() for _ in range(6))) for g, base in enumerate(bases) for i in range(100)]
+    sets = {i: shingles(t) for i, t in rows}
+    near = {i: [j for j in sets if i != j and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])] for i in sets}
+    classes = closure(sets, [(i, j) for i in near for j in near[i]])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_jaccard_join(docs).collect()}
+    assert got == {i: (classes[i], len(near[i])) for i in sets}
+    assert {len(x) for x in near.values()} == {99}
+
+
 def test_jaccard_join_of_little(spark):
     schema = "doc_id long, text string"
     assert ngram_jaccard_join(spark.createDataFrame([], schema)).count() == 0
