@@ -90,12 +90,12 @@ def url_filter(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     those that fit the longest decides, and verdict is its own. Elsewhere (rule null) the
     verdict is block when score, the trees' probability of block, is at least ``limit``.
 
-    Suffix statistics are the share of blocked URLs among the sampled ones with the same
-    host suffix and with the same first path section, smoothed. The sample holds at most
-    ``sample`` labelled URLs, and so do these two tables, which are broadcast.
+    Suffix statistics are the share of blocked URLs among all labelled rows with the same
+    host suffix and with the same first path section, smoothed. Only the trees learn from a
+    sample: the ``sample`` distinct labelled URLs with the smallest hashes.
 
     Null URLs and those without ``://`` have an empty host and path and are judged like
-    all others. Without labelled URLs of both kinds nothing can be learned: score is 0 and
+    all others. Without sampled URLs of both kinds nothing can be learned: score is 0 and
     everything without a rule is allowed. Repeated rows give repeated results; other
     columns aren't read; an empty table gives an empty one.
     """
@@ -106,18 +106,20 @@ def url_filter(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
         # the longest is looked at first
         rule, judged = F.when(_fits(r), r[1] + r[2]).otherwise(rule), F.when(_fits(r), r[0]).otherwise(judged)
     rows = rows.withColumns({"rule": rule, "judged": judged})
-    rows, names = with_features(rows)
 
-    labelled = rows.where("judged is not null").withColumn("label", (F.col("judged") == "block").cast("double"))
-    chosen = written(labelled.select("url", "label", "suffix", "section", *names).orderBy(F.xxhash64("url"), "url").limit(sample))
+    labelled = rows.where("judged is not null").select("url", "host", "path", (F.col("judged") == "block").cast("double").alias("label"))
+    chosen = written(with_features(labelled.distinct().orderBy(F.xxhash64("url"), "url").limit(sample))[0])
+    labelled, rows, names = with_features(labelled)[0], *with_features(rows)
     kinds = chosen.agg(F.countDistinct("label")).first()[0]
     if kinds < 2:
         return rows.select("page_id", "host", "path", "rule", F.coalesce("judged", F.lit("allow")).alias("verdict"), F.lit(0.0).alias("score"))
 
+    # written, so that Spark knows their size and broadcasts only small ones
+    shares = {key: written(labelled.groupBy(key).agg(((F.sum("label") + 1) / (F.count("*") + 2)).alias(f"{key}_share"))) for key in ("suffix", "section")}
+
     def with_shares(df: DataFrame) -> DataFrame:
-        for key in ("suffix", "section"):
-            share = chosen.groupBy(key).agg(((F.sum("label") + 1) / (F.count("*") + 2)).alias(f"{key}_share"))
-            df = df.join(F.broadcast(share), key, "left").fillna(0.5, [f"{key}_share"])
+        for key, share in shares.items():
+            df = df.join(share, key, "left").fillna(0.5, [f"{key}_share"])
         return df
 
     inputs = [*names, "suffix_share", "section_share"]

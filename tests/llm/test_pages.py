@@ -78,6 +78,24 @@ def test_url_filter(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_url_statistics_cover_all_labelled_rows(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(8))
+    suffixes = {word(): ("block", "allow")[i % 2] for i in range(30)}
+    urls = [f"https://site.{s}/{section}/{word()}" for s in suffixes for section in "xy" for _ in range(20)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = U.url_filter(pages, rules=[(verdict, s, "/x/") for s, verdict in suffixes.items()], sample=12).collect()
+    free = [r for r in got if r["rule"] is None]
+    assert len(free) == 600 and all(r["verdict"] == suffixes[r["host"].split(".")[1]] for r in free)
+
+
+def test_hot_url_does_not_fill_the_sample(spark):
+    urls = [f"https://{h}.{s}/{w}{i}" for h, s, w in (("a", "com", "en/"), ("b", "net", "de/")) for i in range(30)]
+    first = spark.createDataFrame([(u,) for u in urls], "url string").orderBy(F.xxhash64("url")).first()["url"]
+    pages = spark.createDataFrame(list(enumerate(urls + [first] * 200)), "page_id long, url string")
+    assert {r["score"] for r in U.url_filter(pages, sample=40).collect()} != {0.0}
+
+
 def chats(n=60, seed=1):
     rng = random.Random(seed)
     out = []
