@@ -34,9 +34,11 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The canonical text of every conversation, from its raw transcript."""
-    raw = written(chat_format.transcripts(_table(spark, sf_dir, "conversations")))
-    return chat_format.format_chats(raw, chat_format.train(raw))
+    """The canonical turns of every conversation, from a raw transcript with markers of several kinds or none; learned from conversations that aren't held out."""
+    held_out = language_id.held_out("conv_id").alias("held_out")
+    raw = written(chat_format.transcripts(_table(spark, sf_dir, "conversations"), marker=chat_format.varied_marker))
+    model = chat_format.train(raw.where(~held_out))
+    return chat_format.format_turns(raw, model).select("conv_id", held_out, "turn", "role", "rendered", "n_lines", "n_right")
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sieveworks.llm import chat_format as C
 from sieveworks.llm import html_text as T
 from sieveworks.llm import url_filter as U
+from sieveworks.sources.storage import written
 
 PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style><script>var t="</p>";</script></head><body><header><h1>Site</h1></header>
 <nav><ul><li><a href="/a">Menu</a><li><a href="/b">More</a></ul></nav><div class="cookie-notice">We use cookies. Accept them all now please.</div>
@@ -110,15 +111,65 @@ def chats(n=60, seed=1):
 SCHEMA = "conv_id long, turn long, role string, text string"
 
 
+def rendered(turns):
+    out = {}
+    for r in sorted(turns.collect(), key=lambda r: (str(r["conv_id"]), r["turn"])):
+        assert r["turn"] == len(out.setdefault(r["conv_id"], []))
+        out[r["conv_id"]].append((r["role"], r["rendered"]))
+    return {k: (",".join(role for role, _ in v), "\n".join(text for _, text in v)) for k, v in out.items()}
+
+
+def whole(rows, marker):
+    """The transcript of each conversation in one piece."""
+    out = {}
+    for conv, turn, role, text in sorted(rows, key=lambda r: (str(r[0]), r[1] if r[1] is not None else -1, r[2] or "", r[3] or "")):
+        out.setdefault(conv, []).append(marker(conv, turn, role) + (text or ""))
+    return {k: "\n".join(v) for k, v in out.items()}
+
+
 def test_transcripts_come_back(spark):
     rows = chats()
-    turns = spark.createDataFrame([(*r, 0) for r in rows], SCHEMA + ", chunk int").repartition(3)
+    turns = spark.createDataFrame([(*r, 0) for r in rows], SCHEMA + ", part int").repartition(3)
     raw = C.transcripts(turns)
-    got = {r["conv_id"]: r for r in C.format_chats(raw, C.train(raw)).collect()}
+    got = rendered(C.format_turns(raw, C.train(raw)))
     for conv in {r[0] for r in rows}:
         own = [r for r in rows if r[0] == conv]
-        assert got[conv]["roles"] == ",".join(r[2] for r in own)
-        assert got[conv]["rendered"] == C.render([(r[2], r[3]) for r in own])
+        assert got[conv] == (",".join(r[2] for r in own), C.render([(r[2], r[3]) for r in own]))
+
+
+@pytest.mark.parametrize("coalesced", ["true", "false"])
+def test_cut_conversations_have_the_path_of_whole_ones(spark, coalesced):
+    rng = random.Random(4)
+    line = lambda: " ".join(rng.choice(["alpha", "Answer:", "a:", "gamma?", "delta."]) for _ in range(rng.randrange(1, 30)))
+    rows = [(c, t, rng.choice(C.ROLES), "\n".join(line() for _ in range(rng.randrange(1, 4)))) for c, n in ((1, 1100), (2, 3), (3, 90), (None, 40), (5, 1)) for t in range(n)]
+    turns = spark.createDataFrame(rows, SCHEMA)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesced)
+    try:
+        raw = written(C.transcripts(turns, marker=C.varied_marker, part_turns=7))
+        model = C.train(raw)
+        got = C.format_turns(raw, model).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    for conv, text in whole(rows, C.varied_marker).items():
+        own = sorted((r for r in got if r["conv_id"] == conv), key=lambda r: r["turn"])
+        assert [r["turn"] for r in own] == list(range(len(own)))
+        at = [C.ROLES.index(r["role"]) + (k > 0) * len(C.ROLES) for r in own for k in range(r["n_lines"])]
+        seen = C.observe(text.split("\n"))
+        shown = sum(table[:, seen[:, i]] for i, table in enumerate(model.emit)).T
+        value = lambda p: model.start[p[0]] + shown[np.arange(len(p)), p].sum() + model.move[p[:-1], p[1:]].sum()  # noqa: B023, E731
+        # of equal paths either will do
+        assert len(at) == len(seen) and value(np.array(at)) == pytest.approx(value(model.viterbi(seen)))
+        turns_of_path = C.pieces(text.split("\n"), seen, np.array(at), True)
+        assert [r["rendered"] for r in own] == [C.render([(role, "\n".join(body))]) for _, role, body, _ in turns_of_path]
+    uncut = C.train(C.transcripts(turns, marker=C.varied_marker, part_turns=10**6))
+    assert np.allclose(model.move, uncut.move) and np.allclose(model.start, uncut.start) and all(np.allclose(a, b) for a, b in zip(model.emit, uncut.emit))
+
+
+def test_roles_of_held_out_conversations(spark):
+    parts = lambda seed: C.transcripts(spark.createDataFrame(chats(seed=seed), SCHEMA), marker=C.varied_marker)
+    got = C.format_turns(parts(9), C.train(parts(1))).agg(F.sum("n_right"), F.sum("n_lines")).first()
+    assert got[0] >= 0.85 * got[1] > 0
 
 
 def test_unmarked_turns_are_recovered(spark):
@@ -133,19 +184,29 @@ def test_unmarked_turns_are_recovered(spark):
     assert right >= 0.85 * total
 
 
+def test_content_that_looks_like_a_marker_is_kept(spark):
+    rows = chats() + [(1000 + i, t, r, x) for i in range(40) for t, (r, x) in enumerate([("user", "say it?\nAnswer: this one."), ("assistant", "well then.\na: it is said.\nAnd so on.")])]
+    model = C.train(C.transcripts(spark.createDataFrame(rows, SCHEMA)))
+    got = C.parse("user: say it?\nAnswer: that one.\nassistant: well then.\na: it is said.\nAnd so on.", model)
+    assert got == [("user", "say it?\nAnswer: that one."), ("assistant", "well then.\na: it is said.\nAnd so on.")]
+
+
 def test_viterbi_equals_brute_force(spark):
     model = C.train(C.transcripts(spark.createDataFrame(chats(10), SCHEMA)))
     seen = C.observe(["user: hi there?", "and more", "Bot: fine.", ""])
     shown = sum(table[:, seen[:, i]] for i, table in enumerate(model.emit)).T
     value = lambda p: model.start[p[0]] + shown[0, p[0]] + sum(model.move[a, b] + shown[t, b] for t, (a, b) in enumerate(zip(p, p[1:]), 1))
-    assert value(model.viterbi(seen).tolist()) == pytest.approx(max(map(value, itertools.product(range(C.STATES), repeat=4))))
+    best = max(map(value, itertools.product(range(C.STATES), repeat=4)))
+    assert value(model.viterbi(seen).tolist()) == pytest.approx(best) == pytest.approx(model.table(seen)[C.BEGIN].max())
 
 
 def test_odd_conversations(spark):
-    rows = [(1, None, "user", "a"), (1, 0, None, None), (2, 5, "tool", "x\n\ny"), (None, 1, "user", "q"), (3, 0, "user", "same"), (3, 0, "user", "same")] + [(4, i, "user", "w") for i in range(1100)]
+    rows = [(1, None, "user", "a"), (1, 0, None, None), (2, 5, "tool", "x\n\ny"), (None, 1, "user", "q"), (3, 0, "user", "same"), (3, 0, "user", "same")]
     raw = C.transcripts(spark.createDataFrame(rows, SCHEMA))
-    got = C.format_chats(raw, C.train(raw)).collect()
-    assert sum(r["n_turns"] for r in got if r["conv_id"] == 4) == 1100 and sum(r["conv_id"] == 4 for r in got) == 3
-    assert {r["conv_id"] for r in got} == {1, 2, 3, 4, None}
-    assert C.format_chats(spark.createDataFrame([(1, 0, 0, None), (2, 0, 0, "")], "conv_id long, chunk long, piece long, transcript string"), C.train(raw)).agg(F.sum("n_turns")).first()[0] == 0
-    assert C.transcripts(spark.createDataFrame([], SCHEMA)).count() == 0
+    got = rendered(C.format_turns(raw, C.train(raw)))
+    assert set(got) == {1, 2, 3, None} and got[3][0] == "user,user"
+    texts = spark.createDataFrame([(1, None), (2, ""), (3, "Human: hi\nAI: yes")], "conv_id long, transcript string")
+    assert sorted(tuple(r) for r in C.format_chats(texts, C.train(raw)).collect())[2][1:] == (2, "user,assistant", "<|user|>\nhi\n<|end|>\n<|assistant|>\nyes\n<|end|>")
+    assert C.format_chats(texts, C.train(raw)).agg(F.sum("n_turns")).first()[0] == 2
+    empty = C.transcripts(spark.createDataFrame([], SCHEMA))
+    assert empty.count() == 0 and C.format_turns(empty, C.train(empty)).count() == 0
