@@ -30,8 +30,8 @@ from sieveworks.sources.storage import written
 SYMBOL_WORDS, CLASSES, STATES, ROUNDS = 4096, 64, 8, 4
 #: The most words whose counts go to the tasks; all others meet theirs in a join. None is longer than so many bytes.
 NEAR_WORDS, NEAR_BYTES = 65_536, 64
-#: Training cuts texts into runs of so many tokens, each a sequence of its own.
-RUN_TOKENS = 256
+#: Tokens of a run: longer texts are worked on in runs side by side, with what the other runs say of their ends.
+RUN_TOKENS = 512
 #: Smoothing of counts, as in the base score.
 ADDED = 0.1
 #: The end token among the words; no word is empty.
@@ -218,13 +218,80 @@ def log_likelihoods(model: Model, sequences: Sequences) -> np.ndarray:
     return out
 
 
-def expected_counts(model: Model, sequences: Sequences) -> np.ndarray:
-    """Per state: expected starts, moves and emissions (forward-backward)."""
+def _run_tables(model: Model, sequences: Sequences) -> np.ndarray:
+    """The product of transition and emission matrices over each sequence, in the order given, scaled: only proportions count."""
+    states = len(model.start)
+    emit = np.ascontiguousarray(model.emit.T)
+    out = np.zeros((len(sequences.lengths), states, states))
+    now = np.tile(np.eye(states), (len(sequences.lengths), 1, 1))
+    for t, n in enumerate(sequences.active):
+        out[n : len(now)] = now[n:]
+        now = (now[:n].reshape(-1, states) @ model.move).reshape(n, states, states) * emit[sequences.at(t)][:, None, :]
+        now /= now.sum((1, 2), keepdims=True)
+    out[: len(now)] = now
+    ordered = np.empty_like(out)
+    ordered[sequences.order] = out
+    return ordered
+
+
+def _ends(model: Model, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each run of texts cut into runs (``first`` marks the first of each): the distribution of the state before it, and how well each of its last states explains what follows, up to a factor."""
+    states = len(model.start)
+    before, after = np.zeros((len(first), states)), np.ones((len(first), states))
+    inner = np.flatnonzero(~first)
+    if not len(inner):
+        return before, after
+    tables = np.zeros((len(first), states, states))
+    for low in range(0, len(inner), 2000):
+        some = inner[low : low + 2000]
+        tables[some] = _run_tables(model, Sequences(flat, starts[some], lengths[some]))
+    # the first run of a text is a token with the start distribution in place of a move, and the rest
+    heads = inner[first[inner - 1]] - 1
+    seen = model.start * model.emit.T[flat[starts[heads]]]
+    leaving = {}
+    for low in range(0, len(heads), 2000):
+        some = heads[low : low + 2000]
+        rest = _run_tables(model, Sequences(flat, starts[some] + 1, lengths[some] - 1))
+        leaving.update(zip(some.tolist(), np.einsum("ni,nij->nj", seen[low : low + 2000], rest)))
+    for i in inner.tolist():
+        state = leaving[i - 1] if first[i - 1] else before[i - 1] @ tables[i - 1]
+        before[i] = state / state.sum()
+    for i in inner[::-1].tolist():
+        later = tables[i] @ after[i]
+        after[i - 1] = later / later.sum()
+    return before, after
+
+
+def expected_counts(model: Model, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, run_tokens: int | None = None) -> np.ndarray:
+    """Per state: expected starts, moves and emissions of whole symbol sequences (forward-backward).
+
+    Sequences longer than ``run_tokens`` (RUN_TOKENS) are worked on in runs side by side.
+    The states at the ends of each run follow from the matrix products of all runs of its
+    sequence, so the counts are those of the whole sequence, moves across the cuts included.
+    """
+    size = RUN_TOKENS if run_tokens is None else run_tokens
+    runs = -(-lengths // size)
+    number = np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs)
+    run_starts = np.repeat(starts, runs) + number * size
+    run_lengths = np.minimum(np.repeat(lengths, runs) - number * size, size)
+    first = number == 0
+    before, after = _ends(model, flat, run_starts, run_lengths, first)
+    out = np.zeros((len(model.start), 1 + len(model.start) + model.emit.shape[1]))
+    for low in range(0, len(run_starts), 2000):
+        part = slice(low, low + 2000)
+        out += _run_counts(model, Sequences(flat, run_starts[part], run_lengths[part]), first[part], before[part], after[part])
+    return out
+
+
+def _run_counts(model: Model, sequences: Sequences, first: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """:func:`expected_counts` of runs whose ends are known."""
     states, symbols = model.emit.shape
     emit = np.ascontiguousarray(model.emit.T)
+    first, before, after = first[sequences.order], before[sequences.order], after[sequences.order]
     forward, scales = [], []
     for t, n in enumerate(sequences.active):
-        state = (model.start if t == 0 else forward[-1][:n] @ model.move) * emit[sequences.at(t)]
+        moved = np.where(first[:, None], model.start, before @ model.move) if t == 0 else forward[-1][:n] @ model.move
+        state = moved * emit[sequences.at(t)]
         scales.append(state.sum(1))
         forward.append(state / scales[-1][:, None])
     out = np.zeros((states, 1 + states + symbols))
@@ -232,10 +299,11 @@ def expected_counts(model: Model, sequences: Sequences) -> np.ndarray:
     backward = np.zeros((0, states))
     shares, seen = [], []
     for t in range(len(forward) - 1, -1, -1):
-        n = len(forward[t])
-        later = np.ones((n, states))
-        if len(backward):
-            m = len(backward)
+        n, m = len(forward[t]), len(backward)
+        later = np.empty((n, states))
+        # of the runs that end here, scaled so that the shares of the states sum to 1
+        later[m:] = after[m:n] / (forward[t][m:] * after[m:n]).sum(1, keepdims=True)
+        if m:
             ahead = emit[sequences.at(t + 1)] * backward / scales[t + 1][:, None]
             moves += forward[t][:m].T @ ahead
             later[:m] = ahead @ model.move.T
@@ -243,7 +311,9 @@ def expected_counts(model: Model, sequences: Sequences) -> np.ndarray:
         shares.append(forward[t] * backward)
         seen.append(sequences.at(t))
     if shares:
-        out[:, 0] = shares[-1].sum(0)
+        out[:, 0] = shares[-1][first].sum(0)
+        ahead = emit[sequences.at(0)] * backward / scales[0][:, None]
+        moves += before[~first].T @ ahead[~first]
         share, symbol = np.concatenate(shares), np.concatenate(seen)
         for k in range(states):
             out[k, 1 + states :] = np.bincount(symbol, share[:, k], symbols)
@@ -270,13 +340,7 @@ def train(encoded: DataFrame, symbols: int, states: int = STATES, rounds: int =
         def partial(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
             total = np.zeros((states, 1 + states + symbols))
             for batch in batches:
-                flat, starts, lengths = _symbol_batches(batch)
-                runs = -(-lengths // RUN_TOKENS)
-                number = np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs)
-                run_starts = np.repeat(starts, runs) + number * RUN_TOKENS
-                run_lengths = np.minimum(np.repeat(lengths, runs) - number * RUN_TOKENS, RUN_TOKENS)
-                for low in range(0, len(run_starts), 2000):
-                    total += expected_counts(model, Sequences(flat, run_starts[low : low + 2000], run_lengths[low : low + 2000]))
+                total += expected_counts(model, *_symbol_batches(batch))
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(states)), pa.array(list(total), pa.list_(pa.float64()))], ["state", "counts"])
 
         parts = texts.mapInArrow(partial, "state long, counts array<double>").select("state", F.posexplode("counts").alias("place", "n")).where("n > 0")

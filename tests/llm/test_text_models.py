@@ -69,19 +69,86 @@ def brute_likelihood(model, symbols):
     return math.log10(total)
 
 
+def brute_counts(model, symbols):
+    """Expected counts of one sequence, from unscaled forward and backward vectors; extended floats hold 1e-4000."""
+    exact = lambda x: np.atleast_2d(x).astype(np.longdouble)
+    (start,), move, emit, k = exact(model.start), exact(model.move), exact(model.emit), len(model.start)
+    forward = [[start[i] * emit[i][symbols[0]] for i in range(k)]]
+    for s in symbols[1:]:
+        forward.append([sum(forward[-1][i] * move[i][j] for i in range(k)) * emit[j][s] for j in range(k)])
+    backward = [[np.longdouble(1)] * k]
+    for s in symbols[:0:-1]:
+        backward.insert(0, [sum(move[i][j] * emit[j][s] * backward[0][j] for j in range(k)) for i in range(k)])
+    whole = sum(forward[-1])
+    out = np.zeros((k, 1 + k + model.emit.shape[1]))
+    for t, s in enumerate(symbols):
+        for i in range(k):
+            out[i, 1 + k + s] += float(forward[t][i] * backward[t][i] / whole)
+            out[i, 0] += float(forward[t][i] * backward[t][i] / whole) if t == 0 else 0
+            for j in range(k if t else 0):
+                out[j, 1 + i] += float(forward[t - 1][j] * move[j][i] * emit[i][s] * backward[t][i] / whole)
+    return out
+
+
 def test_forward_recursion_and_baum_welch():
     rng = np.random.default_rng(1)
     model = H.Model.random(3, 5)
     lists = [rng.integers(0, 5, n) for n in (1, 4, 6, 2)]
     flat, lengths = np.concatenate(lists), np.array([len(x) for x in lists])
-    sequences = H.Sequences(flat, np.cumsum(lengths) - lengths, lengths)
+    starts = np.cumsum(lengths) - lengths
+    sequences = H.Sequences(flat, starts, lengths)
     assert np.allclose(H.log_likelihoods(model, sequences), [brute_likelihood(model, x) for x in lists])
-    counts = H.expected_counts(model, sequences)
+    counts = H.expected_counts(model, flat, starts, lengths)
+    assert np.allclose(counts, sum(brute_counts(model, x.tolist()) for x in lists))
     assert np.isclose(counts[:, 0].sum(), 4) and np.isclose(counts[:, 1:4].sum(), lengths.sum() - 4) and np.isclose(counts[:, 4:].sum(), lengths.sum())
     better = H.Model.from_counts(counts - 0.01 + 1e-9, 3)
     assert H.log_likelihoods(better, sequences).sum() > H.log_likelihoods(model, sequences).sum()
 
 
+def test_counts_of_long_texts_are_those_of_the_whole():
+    rng = np.random.default_rng(3)
+    model = H.Model.random(3, 5)
+    lists = [rng.integers(0, 5, n) for n in (601, 1, 37, 64, 65, 128, 600)]
+    flat, lengths = np.concatenate(lists), np.array([len(x) for x in lists])
+    starts = np.cumsum(lengths) - lengths
+    wanted = sum(brute_counts(model, x.tolist()) for x in lists)
+    for size in (1, 2, 64, 599, 600, 10**6):
+        assert np.allclose(H.expected_counts(model, flat, starts, lengths, size), wanted), size
+    assert H.expected_counts(model, flat, starts[:0], lengths[:0]).sum() == 0
+
+
+def test_score_equals_brute_force(spark, monkeypatch):
+    """Forward part, class part and the join of rare words, against one model of all words."""
+    monkeypatch.setattr(H, "NEAR_WORDS", 6)
+    monkeypatch.setattr(H, "SYMBOL_WORDS", 3)
+    rng = random.Random(7)
+    vocabulary = [f"w{i}x{i % 3}" for i in range(30)]
+    rows = [(i, " ".join(rng.choice(vocabulary[: 1 + i % 30]) for _ in range(rng.randrange(0, 4)))) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("held", F.col("doc_id") % 10 == 0)
+    kept = {}
+    monkeypatch.setattr(H, "train", lambda encoded, symbols, states, rounds, train=H.train: kept.setdefault("model", train(encoded, symbols, states, rounds)))
+    monkeypatch.setattr(H, "count_words", lambda docs, count=H.count_words: kept.setdefault("words", count(docs)))
+    got = {r["doc_id"]: r["score"] for r in H.score_texts(df, F.col("held"), states=3, rounds=2).collect()}
+    model, lexicon = kept["model"], kept["words"][1]
+    count = Counter(w for i, t in rows if i % 10 for w in [*t.encode().split(), b""])
+    ranked = sorted((w for w in count if w), key=lambda w: (-count[w], w))
+    symbol = {b"": 0} | {w: i for i, w in enumerate(ranked[: lexicon.symbols - 1], 1)}
+    in_class = Counter()
+    kinds = Counter()
+    for w in ranked[lexicon.symbols - 1 :]:
+        in_class[H._class_of(w)] += count[w]
+        kinds[H._class_of(w)] += 1
+    assert lexicon.symbols > 1 and len(ranked) > lexicon.symbols
+    for i, t in rows:
+        symbols, extra = [], 0.0
+        for w in [*t.encode().split(), b""]:
+            c = H._class_of(w)
+            symbols.append(symbol.get(w, lexicon.symbols + c))
+            if w not in symbol:
+                extra += math.log10((count[w] + 0.1) / (in_class[c] + 0.1 * (kinds[c] + 1)))
+        assert math.isclose(got[i], brute_likelihood(model, symbols) + extra, rel_tol=1e-9), t
+
+
 def test_scores(spark, monkeypatch):
     monkeypatch.setattr(H, "NEAR_WORDS", 30)
     monkeypatch.setattr(H, "SYMBOL_WORDS", 10)
