@@ -14,7 +14,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +32,15 @@ SYMBOL_WORDS, CLASSES, STATES, ROUNDS = 4096, 64, 8, 4
 NEAR_WORDS, NEAR_BYTES = 65_536, 64
 #: Tokens of a run: longer texts are worked on in runs side by side, with what the other runs say of their ends.
 RUN_TOKENS = 512
+#: Tokens whose forward vectors are held at a time.
+GROUP_TOKENS = 300_000
 #: Smoothing of counts, as in the base score.
 ADDED = 0.1
 #: The end token among the words; no word is empty.
 END = ""
 _FLUSH_WORDS = 300_000
+#: Steps after which products are scaled; no probability of a step is under 1e-12 or so.
+_SCALED_STEPS = 16
 
 
 def text_words(text: str | None) -> list[bytes]:
@@ -146,7 +150,7 @@ def _encode(lexicon: Lexicon):
                 texts = [[*text_words(t), END.encode()] for t in part["text"].to_pylist()]
                 lengths = np.array([len(w) for w in texts])
                 text_of = np.repeat(np.arange(len(texts)), lengths)
-                at = np.array([x for words in texts for x in map(near.get, words, repeat(-1))], np.int64)
+                at = np.fromiter(map(near.get, chain.from_iterable(texts), repeat(-1)), np.int64, int(lengths.sum()))
                 far = np.flatnonzero(at < 0)
                 starts = np.cumsum(lengths) - lengths
                 far_words = [texts[i][j] for i, j in zip(text_of[far].tolist(), (far - starts[text_of[far]]).tolist())]
@@ -206,12 +210,12 @@ class Sequences:
 def log_likelihoods(model: Model, sequences: Sequences) -> np.ndarray:
     """log10 of the probability of each sequence, in the order given, by the scaled forward recursion."""
     total = np.zeros(len(sequences.lengths))
-    emit = np.ascontiguousarray(model.emit.T)
-    state = np.zeros((0, 0))
+    onward = np.ascontiguousarray(model.move.T)
+    state = np.zeros((len(model.start), 0))
     for t, n in enumerate(sequences.active):
-        state = (model.start if t == 0 else state[:n] @ model.move) * emit[sequences.at(t)]
-        scale = state.sum(1)
-        state /= scale[:, None]
+        state = (model.start[:, None] if t == 0 else onward @ state[:, :n]) * model.emit[:, sequences.at(t)]
+        scale = state.sum(0)
+        state /= scale
         total[:n] += np.log10(scale)
     out = np.zeros(len(total))
     out[sequences.order] = total
@@ -220,18 +224,22 @@ def log_likelihoods(model: Model, sequences: Sequences) -> np.ndarray:
 
 def _run_tables(model: Model, sequences: Sequences) -> np.ndarray:
     """The product of transition and emission matrices over each sequence, in the order given, scaled: only proportions count."""
-    states = len(model.start)
-    emit = np.ascontiguousarray(model.emit.T)
-    out = np.zeros((len(sequences.lengths), states, states))
-    now = np.tile(np.eye(states), (len(sequences.lengths), 1, 1))
+    states, count = len(model.start), len(sequences.lengths)
+    onward = np.ascontiguousarray(model.move.T)
+    out = np.zeros((states, states, count))
+    # the state reached, the state in front, the sequence
+    now = np.repeat(np.eye(states)[:, :, None], count, 2)
     for t, n in enumerate(sequences.active):
-        out[n : len(now)] = now[n:]
-        now = (now[:n].reshape(-1, states) @ model.move).reshape(n, states, states) * emit[sequences.at(t)][:, None, :]
-        now /= now.sum((1, 2), keepdims=True)
-    out[: len(now)] = now
-    ordered = np.empty_like(out)
-    ordered[sequences.order] = out
-    return ordered
+        if n < now.shape[2]:
+            out[:, :, n : now.shape[2]] = now[:, :, n:]
+            now = now[:, :, :n]
+        now = (onward @ now.reshape(states, -1)).reshape(states, states, n) * model.emit[:, None, sequences.at(t)]
+        if t % _SCALED_STEPS == 0:
+            now /= now.sum((0, 1))
+    out[:, :, : now.shape[2]] = now
+    ordered = np.empty((count, states, states))
+    ordered[sequences.order] = out.transpose(2, 1, 0)
+    return ordered / ordered.sum((1, 2), keepdims=True)
 
 
 def _ends(model: Model, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -277,46 +285,48 @@ def expected_counts(model: Model, flat: np.ndarray, starts: np.ndarray, lengths:
     first = number == 0
     before, after = _ends(model, flat, run_starts, run_lengths, first)
     out = np.zeros((len(model.start), 1 + len(model.start) + model.emit.shape[1]))
-    for low in range(0, len(run_starts), 2000):
-        part = slice(low, low + 2000)
+    # runs of like length go together
+    order = np.argsort(run_lengths, kind="stable")
+    group = np.cumsum(run_lengths[order]) // GROUP_TOKENS
+    for part in np.split(order, np.flatnonzero(np.diff(group)) + 1):
         out += _run_counts(model, Sequences(flat, run_starts[part], run_lengths[part]), first[part], before[part], after[part])
     return out
 
 
 def _run_counts(model: Model, sequences: Sequences, first: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
-    """:func:`expected_counts` of runs whose ends are known."""
+    """:func:`expected_counts` of runs whose ends are known. States are rows here, runs columns."""
     states, symbols = model.emit.shape
-    emit = np.ascontiguousarray(model.emit.T)
-    first, before, after = first[sequences.order], before[sequences.order], after[sequences.order]
-    forward, scales = [], []
+    first, before, after = first[sequences.order], before[sequences.order].T, after[sequences.order].T
+    onward = np.ascontiguousarray(model.move.T)
+    forward, ratios, seen = [], [], []
     for t, n in enumerate(sequences.active):
-        moved = np.where(first[:, None], model.start, before @ model.move) if t == 0 else forward[-1][:n] @ model.move
-        state = moved * emit[sequences.at(t)]
-        scales.append(state.sum(1))
-        forward.append(state / scales[-1][:, None])
+        seen.append(sequences.at(t))
+        shown = model.emit[:, seen[-1]]
+        state = (np.where(first, model.start[:, None], onward @ before) if t == 0 else onward @ forward[-1][:, :n]) * shown
+        scale = 1 / state.sum(0)
+        forward.append(state * scale)
+        ratios.append(shown * scale)
     out = np.zeros((states, 1 + states + symbols))
     moves = np.zeros((states, states))
-    backward = np.zeros((0, states))
-    shares, seen = [], []
+    backward = ahead = np.zeros((states, 0))
+    shares = []
     for t in range(len(forward) - 1, -1, -1):
-        n, m = len(forward[t]), len(backward)
-        later = np.empty((n, states))
+        n, m = forward[t].shape[1], backward.shape[1]
+        later = np.empty((states, n))
         # of the runs that end here, scaled so that the shares of the states sum to 1
-        later[m:] = after[m:n] / (forward[t][m:] * after[m:n]).sum(1, keepdims=True)
+        later[:, m:] = after[:, m:n] / (forward[t][:, m:] * after[:, m:n]).sum(0)
         if m:
-            ahead = emit[sequences.at(t + 1)] * backward / scales[t + 1][:, None]
-            moves += forward[t][:m].T @ ahead
-            later[:m] = ahead @ model.move.T
+            moves += forward[t][:, :m] @ ahead.T
+            later[:, :m] = model.move @ ahead
         backward = later
+        ahead = ratios[t] * backward
         shares.append(forward[t] * backward)
-        seen.append(sequences.at(t))
     if shares:
-        out[:, 0] = shares[-1][first].sum(0)
-        ahead = emit[sequences.at(0)] * backward / scales[0][:, None]
-        moves += before[~first].T @ ahead[~first]
-        share, symbol = np.concatenate(shares), np.concatenate(seen)
+        out[:, 0] = shares[-1][:, first].sum(1)
+        moves += before[:, ~first] @ ahead[:, ~first].T
+        share, symbol = np.concatenate(shares, 1), np.concatenate(seen[::-1])
         for k in range(states):
-            out[k, 1 + states :] = np.bincount(symbol, share[:, k], symbols)
+            out[k, 1 + states :] = np.bincount(symbol, share[k], symbols)
     out[:, 1 : 1 + states] = moves * model.move
     return out
 
