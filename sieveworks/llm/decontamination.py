@@ -3,6 +3,7 @@
 An item with an error budget of k edits is cut into k + 1 pieces; if the item stands in a
 text with at most k edits, one piece stands there unchanged. Rolling hashes find the
 pieces, and Myers' bit-parallel algorithm measures the edit distance around each hit.
+Short items get no budget and are found only as whole words.
 """
 
 from __future__ import annotations
@@ -15,10 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieveworks.llm.batches import bounded
-from sieveworks.llm.bytetext import WORD_BYTE, byte_slices, powers, prefix_hashes, span_hashes
+from sieveworks.llm.bytetext import WORD_BYTE, byte_slices, prefix_hashes, span_hashes
+from sieveworks.sources.storage import written
 
 #: Characters of test items that are searched for in one pass over the texts.
 PASS_CHARS = 4_000_000
+#: Items of fewer normalised characters stand in a text only unchanged and as whole words.
+SHORT_CHARS = 24
 _FILTER_BITS = 22
 
 
@@ -37,13 +41,17 @@ class Item:
 
     def __init__(self, item_id: int, text: str, budget: float) -> None:
         self.item_id, self.text = item_id, text
-        self.most = int(len(text) * budget)
+        self.short = len(text) < SHORT_CHARS
+        self.most = 0 if self.short else int(len(text) * budget)
         self.place: dict[str, int] = {}
         for i, c in enumerate(text):
             self.place[c] = self.place.get(c, 0) | 1 << i
 
     def pieces(self) -> Iterator[tuple[bytes, int]]:
-        """The pieces and the byte at which each starts."""
+        """The pieces and the byte at which each starts; a short item is one piece with the space behind it."""
+        if self.short:
+            yield f"{self.text} ".encode(), 0
+            return
         n = self.most + 1
         cuts = [len(self.text) * i // n for i in range(n + 1)]
         for a, b in zip(cuts[:-1], cuts[1:]):
@@ -69,12 +77,11 @@ class Item:
         return least
 
 
-class Index:
-    """All pieces of some items: sorted hashes of their first bytes, and what stands behind each."""
+class Pieces:
+    """Pieces of items: sorted hashes of their first bytes, as many as all have, and what stands behind each."""
 
-    def __init__(self, items: list[Item]) -> None:
-        found = [(piece, at, item) for item in items for piece, at in item.pieces()]
-        self.width = min((len(p) for p, _, _ in found), default=1)
+    def __init__(self, found: list[tuple[bytes, int, Item]]) -> None:
+        self.width = min(len(p) for p, _, _ in found)
         data = np.frombuffer(b"".join(p[: self.width] for p, _, _ in found), np.uint8)
         starts = np.arange(len(found)) * self.width
         hashes = span_hashes(prefix_hashes(data), starts, starts + self.width)
@@ -83,9 +90,8 @@ class Index:
         self.filter = np.zeros(1 << _FILTER_BITS, bool)
         self.filter[hashes >> np.uint64(64 - _FILTER_BITS)] = True
 
-    def hits(self, data: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, Item, int]]:
+    def hits(self, data: np.ndarray, starts: np.ndarray, prefix: np.ndarray) -> Iterator[tuple[int, Item, int]]:
         """(text, item, byte at which the item would start) of every piece in its place."""
-        prefix = prefix_hashes(data)
         last = np.arange(max(0, len(data) - self.width + 1))
         hashes = span_hashes(prefix, last, last + self.width)
         at = np.flatnonzero(self.filter[hashes >> np.uint64(64 - _FILTER_BITS)])
@@ -95,15 +101,37 @@ class Index:
         text = np.searchsorted(starts, at, "right") - 1
         for place, a, b, row in zip(at.tolist(), low.tolist(), high.tolist(), text.tolist()):
             for piece, offset, item in self.pieces[a:b]:
+                if item.short and place > starts[row] and data[place - 1] != 32:
+                    continue
                 if place + len(piece) <= starts[row + 1] and data[place : place + len(piece)].tobytes() == piece:
                     yield row, item, place - offset
 
+
+class Index:
+    """All pieces of some items; those of short items, down to two bytes, apart from the others, by length."""
+
+    def __init__(self, items: list[Item]) -> None:
+        parts: dict[int, list[tuple[bytes, int, Item]]] = {}
+        for item in items:
+            for piece, at in item.pieces():
+                parts.setdefault(min(len(piece).bit_length(), 4) if item.short else 0, []).append((piece, at, item))
+        self.parts = [Pieces(found) for found in parts.values()]
+
+    def hits(self, data: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, Item, int]]:
+        prefix = prefix_hashes(data)
+        for part in self.parts:
+            yield from part.hits(data, starts, prefix)
+
     def matches(self, data: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, Item, int]]:
         """(text, item, distance) where the distance is within the item's budget."""
         places: dict[tuple[int, Item], list[int]] = {}
         for row, item, start in self.hits(data, starts):
             places.setdefault((row, item), []).append(start)
         for (row, item), where in places.items():
+            if not item.most:
+                # the piece is the whole item
+                yield row, item, 0
+                continue
             margin, size = 4 * item.most, len(item.text.encode())
             spans: list[list[int]] = []
             for start in sorted(set(where)):
@@ -118,27 +146,24 @@ class Index:
                 yield row, item, least
 
 
-def item_indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", budget: float = 0.08, least_chars: int = 24) -> list[Index]:
-    """Indexes over all items, each of at most about :data:`PASS_CHARS` characters, so that what is sent to the executors stays bounded however many items there are.
+def item_indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", budget: float = 0.08) -> Iterator[tuple[Index, bool]]:
+    """Indexes over all items, one after another, each of at most about :data:`PASS_CHARS` characters, and whether it is the last, so that what the driver holds and sends to the executors stays bounded however many items there are.
 
-    Items are normalised as the texts are. Null items and those of fewer than
-    ``least_chars`` normalised characters are no evidence and aren't searched for.
+    Items are normalised as the texts are. Null items and those without any word character
+    stand nowhere. Rows with the same id and text are one item.
     """
-    rows = benchmark.select(F.col(id_col).alias("item_id"), F.col(text_col).alias("text")).where("item_id is not null and text is not null")
+    rows = benchmark.select(F.col(id_col).alias("item_id"), F.col(text_col).alias("text")).where("item_id is not null and text is not null").distinct()
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     passes = -(-total // PASS_CHARS)
-    out = []
     for i in range(passes):
         part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == i).orderBy("item_id", "text").collect()
-        items = []
+        items = {}
         for row in part:
             _, _, data, offsets = next(byte_slices(pa.array([row["text"]])))
-            text = normalised(data, offsets)[0].tobytes().decode().strip()
-            if len(text) >= least_chars:
-                items.append(Item(row["item_id"], text, budget))
+            if text := normalised(data, offsets)[0].tobytes().decode().strip():
+                items[row["item_id"], text] = Item(row["item_id"], text, budget)
         if items:
-            out.append(Index(items))
-    return out
+            yield Index([*items.values()]), i == passes - 1
 
 
 def _scan(index: Index, texts: pa.Array, tell: Callable[[int, Item, int], None]) -> None:
@@ -151,9 +176,10 @@ def find_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """(doc_id, item_id, distance, budget): the items that stand in each text within ``budget`` edits a character, with the least edit distance (budget: the edits allowed).
 
     Texts and items are compared lower-cased with runs of other characters as one space.
-    Null and empty texts hold nothing. A repeated text gives its rows as often as it
-    stands; rows with the same item id give one row each only if their texts differ.
-    Without items, or without texts, the result is empty.
+    Items of fewer than :data:`SHORT_CHARS` characters have a budget of 0 and stand only
+    between spaces. Null and empty texts hold nothing. A repeated text gives its rows as
+    often as it stands; rows with the same item id give one row each only if their
+    normalised texts differ. Without items, or without texts, the result is empty.
     """
 
     def scan(index: Index):
@@ -170,8 +196,10 @@ def find_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = "doc_id long, item_id long, distance long, budget long"
     out = docs.sparkSession.createDataFrame([], schema)
-    for index in item_indexes(benchmark, budget=budget):
-        out = out.unionByName(bounded(docs).mapInArrow(scan(index), schema))
+    for index, last in item_indexes(benchmark, budget=budget):
+        found = bounded(docs).mapInArrow(scan(index), schema)
+        # written, so that the driver can let go of the index before it makes the next
+        out = out.unionByName(found if last else written(found))
     return out
 
 
@@ -187,6 +215,7 @@ def without_items(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
         return make
 
-    for index in item_indexes(benchmark, budget=budget):
+    for index, last in item_indexes(benchmark, budget=budget):
         docs = bounded(docs).mapInArrow(clean(index), docs.schema)
+        docs = docs if last else written(docs)
     return docs

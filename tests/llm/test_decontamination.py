@@ -23,8 +23,8 @@ def distance(item, text):
 def case():
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdefé") for _ in range(rng.randrange(2, 7)))
-    items = [" ".join(word() for _ in range(n)) for n in (8, 12, 20, 30)] + [None, "", "tiny"]
-    docs = [None, "", "tiny", items[0], items[1].upper() + "!", "x" * 50]
+    items = [" ".join(word() for _ in range(n)) for n in (8, 12, 20, 30)] + [None, "", "tiny", "a", "É!", "two words", "!!", "is 4 more than 3 of it", "tiny"]
+    docs = [None, "", "tiny", items[0], items[1].upper() + "!", "x" * 50, "ant a", "a tiny-winy", "xtiny tinyx étiny", "Two\n words", "two wordss", "é", "it is 4 more than 3, of it", "is 4 more than 3 of its", "b a"]
     for item in items[:4]:
         for edits in (0, 1, 3, 6, 12):
             t = list(item)
@@ -46,8 +46,10 @@ def test_search_equals_brute_force(spark):
                 n, most = distance(norm(item), norm(text)), int(len(norm(item)) * 0.08)
                 if n <= most:
                     wanted.add((d, i, n, most))
+            elif norm(item) and f" {norm(item)} " in f" {norm(text)} ":
+                wanted.add((d, i, 0, 0))
     assert {tuple(r) for r in D.find_items(table, benchmark).collect()} == wanted
-    assert any(n for _, _, n, _ in wanted)
+    assert any(n for _, _, n, _ in wanted) and {(2, 6, 0, 0), (6, 7, 0, 0), (11, 8, 0, 0)} <= wanted
     kept = D.without_items(table, benchmark)
     assert kept.columns == table.columns
     assert {r["doc_id"] for r in kept.collect()} == {*range(len(docs))} - {d for d, *_ in wanted}
