@@ -1,11 +1,17 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
 Blocks are windows of words, overlapping by half, so that every run of words as long as a
-template lies whole in one of them. A template is found in a block that holds at least
-``threshold`` of its distinct words. Words are ordered by their frequency in the corpus,
-rare ones first; a block is looked at only where one of the rarest words of a template,
-its prefix, stands, and the block's size and the places of the common word in both orders
-must leave room for the overlap that is needed.
+template lies whole in one of them; short, middle and long templates have blocks of their
+own. A template is found in a block that holds at least ``threshold`` of its distinct
+words. Words are ordered by their frequency in the corpus, rare ones first; a block is
+looked at only where one of the rarest words of a template, its prefix, stands, and the
+block's size and the places of the common word in both orders must leave room for the
+overlap that is needed.
+
+Licenses of one family share nearly all their words. A template may therefore ask for one
+of several phrases, its proofs, in the block; and one whose words all stand in another
+template, or whose label the other's makes narrower, gives way to that one where both are
+found in the same place.
 """
 
 from __future__ import annotations
@@ -13,7 +19,8 @@ from __future__ import annotations
 import bisect
 import re
 from collections import Counter
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,26 +39,52 @@ PHRASES = {
     "mit license": "mit",
 }
 
-#: Sentences that grant public licenses, and their labels.
-TEMPLATES = {
-    "this work is licensed under the gnu general public license version 2": "gpl-2",
-    "this work is licensed under the gnu general public license version 3": "gpl-3",
-    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license": "lgpl",
-    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license": "gpl",
-    "licensed under the gnu affero general public license version 3": "agpl-3",
-    "licensed under the apache license version 2 0": "apache-2.0",
-    "released under the mit license": "mit",
-    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files": "mit",
-    "redistribution and use in source and binary forms with or without modification are permitted": "bsd",
-    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "isc",
-    "this source code form is subject to the terms of the mozilla public license v 2 0": "mpl-2.0",
-    "licensed under cc by nc 4 0": "cc-by-nc-4.0",
-    "licensed under cc by sa 4 0": "cc-by-sa-4.0",
-    "licensed under cc by 4 0": "cc-by-4.0",
-    "this work is licensed under a creative commons attribution 4 0 international license": "cc-by-4.0",
-    "this work is licensed under a creative commons attribution sharealike 4 0 international license": "cc-by-sa-4.0",
-    "this is free and unencumbered software released into the public domain": "unlicense",
-}
+_GPL_HEAD = "{0} is free software you can redistribute it and or modify it under the terms of the gnu {1} license as published by the free software foundation either version {2} of the license or at your option any later version"
+_GPL_PLAIN = "{0} is free software you can redistribute it and or modify it under the terms of the gnu {1} license"
+_BSD = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+    "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+    "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+)
+_CC_PARTS = {"nc": "noncommercial", "sa": "sharealike", "nd": "noderivatives"}
+
+
+def _templates() -> Iterator[tuple[str, str, tuple[str, ...]]]:
+    families = (("gpl", "general public", "this program", "23"), ("lgpl", "lesser general public", "this library", "23"), ("agpl", "affero general public", "this program", "3"))
+    for label, name, what, versions in families:
+        yield label, _GPL_PLAIN.format(what, name), (f"gnu {name} license",)
+        yield label, f"licensed under the gnu {name} license", (f"gnu {name} license",)
+        yield label, f"released under the {label} license", (f"the {label} license", f"the gnu {label}")
+        for version in versions:
+            proofs = tuple(f"{x} {v}" for x in (f"gnu {name} license", f"{label} license", f"gnu {label}", label) for v in (f"version {version}", f"v{version}"))
+            yield f"{label}-{version}", _GPL_HEAD.format(what, name, version), (f"gnu {name} license as published by the free software foundation either version {version}",)
+            yield f"{label}-{version}", f"this work is licensed under the gnu {name} license version {version}", proofs
+            yield f"{label}-{version}", f"licensed under the {label} version {version}", proofs
+            yield f"{label}-{version}", f"licensed under the {label} v{version}", proofs
+    yield "apache-2.0", "licensed under the apache license version 2 0", ("apache license version 2 0", "apache license 2 0", "apache license v2 0")
+    yield "apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at", ("apache license version 2 0",)
+    yield "mit", "released under the mit license", ("mit license",)
+    yield "mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ()
+    yield "mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", ()
+    yield "bsd", "released under the bsd license", ("bsd license", "bsd 2 clause", "bsd 3 clause")
+    yield "bsd", "redistribution and use in source and binary forms with or without modification are permitted", ()
+    yield "bsd-2", _BSD, ()
+    yield "bsd-3", _BSD + " neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ("may be used to endorse or promote",)
+    yield "isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ()
+    yield "mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license v 2 0", "mozilla public license version 2 0")
+    yield "unlicense", "this is free and unencumbered software released into the public domain", ()
+    for parts in ((), ("nc",), ("sa",), ("nd",), ("nc", "sa"), ("nc", "nd")):
+        code, names = " ".join(("by", *parts)), " ".join(("attribution", *(_CC_PARTS[x] for x in parts)))
+        for version in ("4", "3"):
+            proofs = tuple(f"{x} {version} 0" for x in (f"cc {code}", f"commons {names}"))
+            yield f"cc-{'-'.join(('by', *parts))}-{version}.0", f"licensed under cc {code} {version} 0", proofs
+            yield f"cc-{'-'.join(('by', *parts))}-{version}.0", f"licensed under a creative commons {names} {version} 0 license", proofs
+
+
+#: Label, words, and proofs (one of which must stand in the block; none: the words do) of public licenses.
+TEMPLATES = tuple(_templates())
+#: Words of the longest template of each size of block.
+STRIDES = (16, 64, 256)
 
 
 def block_words(text: str | None) -> list[str]:
@@ -59,67 +92,93 @@ def block_words(text: str | None) -> list[str]:
     return WORD.findall(text.translate(_LOWER)) if text else []
 
 
+@dataclass(frozen=True)
+class Entry:
+    """A template or phrase: its label, distinct words in corpus order, how many of them a block needs, its proofs, and the words of a phrase."""
+
+    label: str
+    words: list[str]
+    need: int
+    proofs: tuple[str, ...]
+    phrase: tuple[str, ...]
+    stride: int
+
+
 class Templates:
     """Templates as word sets in corpus order, with an index of their prefixes."""
 
-    def __init__(self, templates: Mapping[str, str], phrases: Mapping[str, str], threshold: float, order: Mapping[str, int]) -> None:
-        self.threshold, self.order = threshold, order
-        self.phrases = {tuple(p.split()): label for p, label in phrases.items()}
-        self.entries: list[tuple[str, list[str], int, tuple | None]] = []
-        self.prefixes: dict[str, list[tuple[int, int]]] = {}
-        for text, label, phrase in [*((t, x, None) for t, x in templates.items()), *((p, x, tuple(p.split())) for p, x in phrases.items())]:
+    def __init__(self, templates: Sequence[tuple[str, str, tuple[str, ...]]], phrases: Mapping[str, str], threshold: float, order: Mapping[str, int]) -> None:
+        self.order = order
+        self.entries: list[Entry] = []
+        self.prefixes: dict[int, dict[str, list[tuple[int, int]]]] = {}
+        for label, text, proofs, phrase in [*((*t, ()) for t in templates), *((x, p, (), tuple(p.split())) for p, x in phrases.items())]:
+            length = len(text.split())
+            stride = next(s for s in (*STRIDES, length) if s >= length)
             words = sorted(set(text.split()), key=order.__getitem__)
             # a phrase must be there whole
             need = len(words) if phrase else -int(-(threshold * len(words)) // 1)
             for place, word in enumerate(words[: len(words) - need + 1]):
-                self.prefixes.setdefault(word, []).append((len(self.entries), place))
-            self.entries.append((label, words, need, phrase))
-        self.stride = max((len(t.split()) for t in [*templates, *phrases]), default=1)
-
-    def found(self, words: list[str]) -> Iterator[tuple[int, int, float]]:
-        """(block, entry, containment) for every entry that a block holds; block b has the words from b * stride on, twice the stride of them."""
-        anchors: dict[int, set[str]] = {}
-        for i, word in enumerate(words):
-            if word in self.prefixes:
-                b = i // self.stride
-                anchors.setdefault(b, set()).add(word)
-                if b:
-                    anchors.setdefault(b - 1, set()).add(word)
-        for b in sorted(anchors):
-            own = set(words[b * self.stride : (b + 2) * self.stride])
-            # words outside all templates come after the ones inside and can't be common to both
-            ranks = sorted(self.order[w] for w in own if w in self.order)
-            tried: set[int] = set()
-            for word in sorted(anchors[b], key=self.order.__getitem__):
-                place_here = bisect.bisect_left(ranks, self.order[word])
-                for entry, place in self.prefixes[word]:
-                    label, template, need, _ = self.entries[entry]
-                    if entry in tried or len(ranks) < need:
-                        continue
-                    tried.add(entry)
-                    # earlier words of the template aren't in the block, or it would have been tried with them
-                    if 1 + min(len(template) - place - 1, len(ranks) - place_here - 1) < need:
-                        continue
-                    common = sum(w in own for w in template)
-                    if common >= need:
-                        yield b, entry, common / len(template)
+                self.prefixes.setdefault(stride, {}).setdefault(word, []).append((len(self.entries), place))
+            self.entries.append(Entry(label, words, need, proofs, phrase, stride))
+        self.anchors = frozenset(w for p in self.prefixes.values() for w in p)
+        sets = [frozenset(e.words) for e in self.entries]
+        #: The templates that say more than each, by their words or their label.
+        self.wider = [{j for j, e in enumerate(self.entries) if not e.phrase and (a < sets[j] or e.label.startswith(f"{own.label}-"))} for a, own in zip(sets, self.entries)]
+
+    def found(self, words: list[str]) -> Iterator[tuple[int, int, int, float]]:
+        """(first word of the block, word after it, entry, containment) for every entry that a block holds; blocks start at the multiples of the entry's stride and have twice as many words."""
+        at = [(i, word) for i, word in enumerate(words) if word in self.anchors]
+        for stride, prefixes in self.prefixes.items() if at else ():
+            anchors: dict[int, set[str]] = {}
+            for i, word in at:
+                if word in prefixes:
+                    b = i // stride
+                    anchors.setdefault(b, set()).add(word)
+                    if b:
+                        anchors.setdefault(b - 1, set()).add(word)
+            for b in sorted(anchors):
+                block = words[b * stride : (b + 2) * stride]
+                own, joined = set(block), ""
+                # words outside all templates come after the ones inside and can't be common to both
+                ranks = sorted(self.order[w] for w in own if w in self.order)
+                tried: set[int] = set()
+                for word in sorted(anchors[b], key=self.order.__getitem__):
+                    place_here = bisect.bisect_left(ranks, self.order[word])
+                    for number, place in prefixes[word]:
+                        entry = self.entries[number]
+                        if number in tried or len(ranks) < entry.need:
+                            continue
+                        tried.add(number)
+                        # earlier words of the template aren't in the block, or it would have been tried with them
+                        if 1 + min(len(entry.words) - place - 1, len(ranks) - place_here - 1) < entry.need:
+                            continue
+                        common = sum(w in own for w in entry.words)
+                        if common < entry.need:
+                            continue
+                        joined = joined or f" {' '.join(block)} "
+                        if not entry.proofs or any(f" {p} " in joined for p in entry.proofs):
+                            yield b * stride, (b + 2) * stride, number, common / len(entry.words)
 
     def scan(self, text: str | None) -> tuple:
         """(n_words, n_base, first_word, last_word, base_labels, labels, score) of a text."""
         words = block_words(text)
         places: list[int] = []
         base, labels, score = set(), set(), 0.0
-        for b, entry, containment in self.found(words):
-            label, _, _, phrase = self.entries[entry]
-            if not phrase:
-                labels.add(label)
-                score = max(score, containment)
+        finds: list[tuple[int, int, int, float]] = []
+        for start, end, number, containment in self.found(words):
+            entry = self.entries[number]
+            if not entry.phrase:
+                finds.append((start, end, number, containment))
                 continue
-            for i in range(b * self.stride, min((b + 1) * self.stride, len(words))):
-                if words[i] == phrase[0] and tuple(words[i : i + len(phrase)]) == phrase:
+            for i in range(start, min(start + entry.stride, len(words))):
+                if words[i] == entry.phrase[0] and tuple(words[i : i + len(entry.phrase)]) == entry.phrase:
                     places.append(i)
-                    base.add(label)
+                    base.add(entry.label)
                     score = 1.0
+        for start, end, number, containment in finds:
+            if not any(n in self.wider[number] and a < end and start < b for a, b, n, _ in finds):
+                labels.add(self.entries[number].label)
+                score = max(score, containment)
         return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | labels)), score
 
 
@@ -141,20 +200,22 @@ def word_order(docs: DataFrame, words: set[str]) -> dict[str, int]:
     return {w: i for i, w in enumerate(sorted(words, key=lambda w: (known.get(w, 0), w)))}
 
 
-def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: Mapping[str, str] = TEMPLATES, phrases: Mapping[str, str] = PHRASES, threshold: float = 0.8) -> DataFrame:
+def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: Sequence[tuple[str, str, tuple[str, ...]]] = TEMPLATES, phrases: Mapping[str, str] = PHRASES, threshold: float = 0.8) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     n_base counts the places of ``phrases`` in the words of the text, whose first and last
-    starts follow (null: none). labels adds the labels of the templates of which a block
-    of the text holds at least ``threshold`` of the distinct words; score is the largest
-    such share, 1 for a phrase and 0 without any find.
+    starts follow (null: none). labels adds the labels of the ``templates`` (label, words,
+    proofs) of which a block of the text holds at least ``threshold`` of the distinct words
+    and one of the proofs, unless a template with all those words and more, or a narrower
+    label, is found in an overlapping block. score is the largest such share, 1 for a phrase and 0 without any
+    find.
 
     Null and empty texts have no words. Rows are scanned one by one: repeated rows and ids
     give repeated results, other columns aren't read, an empty table gives an empty one.
     Templates are a fixed list, which goes to the tasks whole.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    vocabulary = {w for t in [*templates, *phrases] for w in t.split()}
+    vocabulary = {w for t in [*(text for _, text, _ in templates), *phrases] for w in t.split()}
     index = Templates(templates, phrases, threshold, word_order(docs, vocabulary))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

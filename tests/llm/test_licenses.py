@@ -21,23 +21,63 @@ def brute(text):
                 places.append(i)
                 base.add(label)
                 score = 1.0
-    stride = max(len(t.split()) for t in [*L.TEMPLATES, *L.PHRASES])
-    for template, label in L.TEMPLATES.items():
+    finds = []
+    for label, template, proofs in L.TEMPLATES:
         wanted = set(template.split())
+        stride = min(x for x in L.STRIDES if x >= len(template.split()))
         for b in range(0, max(1, len(words)), stride):
-            share = len(wanted & set(words[b : b + 2 * stride])) / len(wanted)
-            if share >= 0.8:
-                labels.add(label)
-                score = max(score, share)
+            block = words[b : b + 2 * stride]
+            share = len(wanted & set(block)) / len(wanted)
+            if share >= 0.8 and (not proofs or any(block[i : i + len(p.split())] == p.split() for p in proofs for i in range(len(block)))):
+                finds.append((label, wanted, b, b + 2 * stride, share))
+    for label, wanted, a, b, share in finds:
+        if not any((wanted < other or narrower.startswith(f"{label}-")) and a < d and c < b for narrower, other, c, d, _ in finds):
+            labels.add(label)
+            score = max(score, share)
     return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | labels)), score
 
 
+GPL = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+LABELLED = [
+    ("This work is licensed under CC BY 4.0.", "cc-by,cc-by-4.0"),
+    ("Licensed under CC BY-NC 4.0.", "cc-by,cc-by-nc-4.0"),
+    ("Licensed under CC BY-SA 4.0.", "cc-by,cc-by-sa-4.0"),
+    ("Licensed under CC BY-NC-ND 4.0.", "cc-by,cc-by-nc-nd-4.0"),
+    ("Licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "cc-by-sa-4.0"),
+    ("Licensed under a Creative Commons Attribution 3.0 License", "cc-by-3.0"),
+    ("This work is licensed under the GNU General Public License, version 3.", "gpl,gpl-3"),
+    ("This work is licensed under the GNU General Public License, version 2.", "gpl,gpl-2"),
+    ("This work is licensed under the GNU Affero General Public License, version 3.", "agpl-3"),
+    ("This work is licensed under the GNU Lesser General Public License, version 2.", "lgpl-2"),
+    (GPL.format(2), "gpl,gpl-2"), (GPL.format(3), "gpl,gpl-3"),
+    (GPL.format(3).replace("General", "Affero General"), "agpl-3"),
+    (GPL.format(3).replace("program", "library").replace("General", "Lesser General"), "lgpl-3"),
+    ("Released under the GPL license", "gpl"), ("released under the terms of the BSD license", "bsd"), ("Released under the MIT License.", "mit"),
+    ("Licensed under the Apache License, Version 2.0.", "apache,apache-2.0"),
+    (BSD, "bsd-2"), (BSD + " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", "bsd-3"),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.", "isc"),
+    ("the license of this work under version 3 is public, released in general for the gnu", ""), ("released under the new driving license", ""), ("It was licensed under the name by 4 people, cc 0 of them", ""),
+]
+
+
+def test_labels_of_siblings_and_of_none(spark):
+    pad = " ".join(f"w{i}" for i in range(37))
+    docs = spark.createDataFrame([(i, f"{pad[: 9 * (i % 5)]} {t} {pad}") for i, (t, _) in enumerate(LABELLED)], "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in L.license_scan(docs).collect()}
+    assert [(t, got[i]) for i, (t, _) in enumerate(LABELLED)] == LABELLED
+
+
 def test_scan_equals_brute_force(spark):
     docs = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(TEXTS)] + [(3, TEXTS[3], "x", 1)], "doc_id long, text string, labels string, n_words int")
     got = [tuple(r) for r in L.license_scan(docs).collect()]
     assert len(got) == len(TEXTS) + 1
     for doc_id, *rest in got:
         assert tuple(rest) == brute(TEXTS[doc_id]), TEXTS[doc_id]
+    index = L.Templates(L.TEMPLATES, L.PHRASES, 0.8, {w: i for i, w in enumerate(sorted({w for t in [*(x for _, x, _ in L.TEMPLATES), *L.PHRASES] for w in t.split()}))})
+    for text, _ in LABELLED:
+        for n in (0, 5, 15, 250):
+            assert index.scan("z " * n + text) == brute("z " * n + text)
 
 
 def test_empty_table(spark):
