@@ -1,14 +1,15 @@
 """Main text of web pages by minimum cuts.
 
-A page is cut into text blocks. A logistic classifier over the blocks' places in the
-document and their text gives the cost of either label; blocks that follow each other or
-stand under one element pull each other to the same label, the more the nearer they are
-in the tree. The minimum cut of that network, found by maximum flow, separates content
+A page is cut into text blocks. What the elements above a block say (its marks) and a
+logistic classifier over its form give the cost of either label; blocks that follow each
+other or stand under one element pull each other to the same label, the more the nearer
+they are in the tree. The minimum cut of that network, found by maximum flow, separates content
 from boilerplate.
 """
 
 from __future__ import annotations
 
+import functools
 import html
 import math
 import re
@@ -26,24 +27,34 @@ from sieveworks.llm.batches import bounded
 #: Pages whose blocks train the classifier, and the most blocks of one of them.
 SAMPLE_PAGES, SAMPLE_BLOCKS = 400, 200
 
-_RAW = frozenset("script style noscript template iframe textarea title svg math object select noembed noframes xmp".split())
+#: Elements whose content is no text of the page; the first two reach to the end where they aren't closed, the others are then ignored.
+_RAW = tuple("script style textarea title template noscript iframe noembed noframes xmp".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter output q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr".split())
-_CLOSED_BY_BLOCK = frozenset(["p"])
+_INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math meter mfrac mi mn mo mrow ms msqrt msub msup mtext object output q ruby rb rp rt s samp small span strike strong sub sup svg text time tspan tt u var wbr".split()
+)
 _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _FENCES = frozenset("ul ol dl table td th body html article section div main aside nav".split())
-_BOILER_TAGS = frozenset("nav footer aside form head button fieldset dialog menu".split())
+_CHOICES = frozenset("select option optgroup".split())
+#: Elements of forms; an article may stand in one that spans the page.
+_FORM_TAGS = frozenset("form button fieldset select head".split())
+_BOILER_TAGS = _FORM_TAGS | frozenset("nav footer aside dialog menu".split())
 _CONTENT_TAGS = frozenset("article main".split())
 _BOILER_ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert alertdialog form".split())
-_BOILER_WORDS = frozenset(
-    "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr menu modal nav navbar navigation newsletter notice notices paywall popup promo promoted promotion related reply replies respond share sharing sidebar social sponsor sponsored subscribe subscription teaser toolbar widget".split()
+_COMMENT_WORDS = frozenset("comment comments disqus replies reply respond".split())
+_BOILER_WORDS = _COMMENT_WORDS | frozenset(
+    "ad ads advert adverts advertisement banner breadcrumb breadcrumbs consent cookie cookies footer gdpr menu modal nav navbar navigation newsletter notice notices paywall popup promo promoted promotion related share sharing sidebar social sponsor sponsored subscribe subscription teaser toolbar widget".split()
 )
 _CONTENT_WORDS = frozenset("article articlebody content entry main post story".split())
 _HEAD_WORDS = frozenset("header masthead topbar".split())
+#: Parts of a class name that say where or how, and leave the meaning to the other parts.
+_NEUTRAL_WORDS = _CONTENT_WORDS | _HEAD_WORDS | frozenset(
+    "area articles aside bar blog body bottom box block center col column container div entries fixed global group holder inline inner item items js layout left level link links list media mobile module outer page panel posts primary right row secondary section side site slot small sticky stories text thread title top unit wrap wrapper".split()
+)
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|</[^a-zA-Z][^>]*(?:>|\Z)", re.DOTALL)
 _LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*)(?:>|\Z)")
-_ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?(?=[\s/]|$)", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role|itemprop|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?(?=[\s/]|$)", re.IGNORECASE)
 _SENTENCE_END = re.compile(r"[.!?…。！？][\"'»”’)]*$")
 
 
@@ -57,6 +68,8 @@ class Element:
     #: A mark of boilerplate stands above the nearest one of content.
     under: bool = False
     inside_content: bool = False
+    #: The mark of boilerplate is that of a form.
+    form: bool = False
 
 
 @dataclass(eq=False, slots=True)
@@ -70,33 +83,57 @@ class Block:
     features: list[float] = field(default_factory=list)
 
 
+@functools.lru_cache(10_000)
+def _meanings(name: str) -> tuple[bool, bool, bool, bool]:
+    """Whether a class or id, as a whole, is a word of boilerplate, of comments, of content, of a page's head.
+
+    'cookie-notice' and 'sidebar-left' are words of boilerplate, 'share-price-story' and
+    'comments-open' aren't: every part must be known.
+    """
+    parts = {p for p in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower()) if len(p) > 1}
+    boiler = bool(parts & _BOILER_WORDS) and parts <= _BOILER_WORDS | _NEUTRAL_WORDS
+    content = not boiler and bool(parts & _CONTENT_WORDS) and parts <= _NEUTRAL_WORDS
+    head = not boiler and bool(parts & _HEAD_WORDS) and parts <= _NEUTRAL_WORDS
+    return boiler, boiler and bool(parts & _COMMENT_WORDS), content and not head, head
+
+
 def _open(tag: str, attributes: str, parent: Element | None) -> Element:
     out = Element(tag, parent, parent.depth + 1 if parent else 0)
     if parent:
-        out.mark, out.under, out.inside_content = parent.mark, parent.under, parent.inside_content
+        out.mark, out.under, out.inside_content, out.form = parent.mark, parent.under, parent.inside_content, parent.form
     if tag in ("html", "body"):
         return out
-    words: set[str] = set()
+    boiler = comment = content = hidden = False
+    head = tag == "header"
     role = ""
-    hidden = False
     if attributes and attributes.strip():
         for m in _ATTRIBUTE.finditer(attributes):
-            name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+            name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if name == "role":
-                role = value.strip()
+                role = value.strip().lower()
             elif name == "hidden" or name == "aria-hidden":
-                hidden |= name == "hidden" or value == "true"
+                hidden |= name == "hidden" or value.lower() == "true"
+            elif name == "style":
+                hidden |= "display:none" in value.replace(" ", "").lower()
             else:
-                words.update(re.split(r"[^a-z]+", value))
-    head = tag == "header" or bool(words & _HEAD_WORDS)
-    if tag in _BOILER_TAGS or role in _BOILER_ROLES or words & _BOILER_WORDS or hidden or head and not out.inside_content:
-        out.mark, out.inside_content = -1, False
-    elif tag in _CONTENT_TAGS or role in ("main", "article") or words & _CONTENT_WORDS:
-        out.under |= out.mark < 0
-        out.mark, out.inside_content = 1, True
+                for x in map(_meanings, value.split()):
+                    boiler, comment, content, head = boiler or x[0], comment or x[1], content or x[2], head or x[3]
+    own = tag in _CONTENT_TAGS or role in ("main", "article")
+    # an article's class makes it boilerplate only where it is a reader's comment
+    if hidden or tag in _BOILER_TAGS or role in _BOILER_ROLES or (comment and not content if own else boiler) or head and not out.inside_content and not own:
+        out.mark, out.inside_content, out.form = -1, False, tag in _FORM_TAGS and (out.mark >= 0 or out.form)
+    elif own or content:
+        out.under |= out.mark < 0 and not out.form
+        out.mark, out.inside_content, out.form = 1, True, False
     return out
 
 
+@functools.cache
+def _raw_end(tag: str, closing: bool = False) -> re.Pattern:
+    """The next tag of that name, group 1 being its slash; only end tags where ``closing``."""
+    return re.compile(rf"<(/{'' if closing else '?'}){tag}(?![^\s/>])[^>]*>", re.IGNORECASE)
+
+
 def blocks(page: str | None) -> list[Block]:
     """The text blocks of a page in its order; the text of scripts, styles and the like is none."""
     out: list[Block] = []
@@ -123,6 +160,15 @@ def blocks(page: str | None) -> list[Block]:
         if links:
             linked += len(text)
 
+    def leave(at: Element) -> None:
+        """Close ``at`` and all in it."""
+        nonlocal top, links, headings
+        while top is not at.parent:
+            links -= top.tag == "a"
+            headings -= len(top.tag) == 2 and top.tag[0] == "h" and top.tag[1].isdigit()
+            top = top.parent
+
+    unclosed: set[str] = set()
     place = 0
     while place < len(page):
         start = page.find("<", place)
@@ -151,16 +197,23 @@ def blocks(page: str | None) -> list[Block]:
             while at.parent and at.tag != tag and not (inline and at.tag not in _INLINE):
                 at = at.parent
             if at.parent and at.tag == tag:
-                while top is not at.parent:
-                    links -= top.tag == "a"
-                    headings -= len(top.tag) == 2 and top.tag[0] == "h" and top.tag[1].isdigit()
-                    top = top.parent
+                leave(at)
             continue
         if tag in _RAW:
-            if not attributes.endswith("/"):
-                end = re.compile(rf"</{tag}(?![^\s/>])[^>]*>", re.IGNORECASE).search(page, place)
-                place = end.end() if end else len(page)
+            if not attributes.endswith("/") and tag not in unclosed:
+                end = _raw_end(tag).search(page, place)
+                if end and end[1]:
+                    place = end.end()
+                elif tag in _RAW[:2]:
+                    end = _raw_end(tag, True).search(page, place)
+                    place = end.end() if end else len(page)
+                elif not end:
+                    unclosed.add(tag)
             continue
+        if top.tag in _CHOICES and tag not in _CHOICES and tag != "hr":
+            # nothing else stands in a list of choices: it wasn't closed
+            while top.tag in _CHOICES:
+                leave(top)
         if tag in _VOID:
             continue
         if not inline:
@@ -170,10 +223,7 @@ def blocks(page: str | None) -> list[Block]:
             while at.parent and at.tag not in _FENCES - {"td", "th"} and not (at.tag == "p" or at.tag in ends):
                 at = at.parent
             if at.parent and (at.tag == "p" or at.tag in ends):
-                while top is not at.parent:
-                    links -= top.tag == "a"
-                    headings -= len(top.tag) == 2 and top.tag[0] == "h" and top.tag[1].isdigit()
-                    top = top.parent
+                leave(at)
         top = _open(tag, attributes, top)
         links += tag == "a"
         headings += len(tag) == 2 and tag[0] == "h" and tag[1].isdigit()
@@ -182,28 +232,28 @@ def blocks(page: str | None) -> list[Block]:
     return out
 
 
+#: What the nearest mark above a block is worth: one of content, of boilerplate, and one of content that stands in boilerplate.
+MARKS = np.array([4.0, -5.0, -4.0])
 #: What the classifier sees of a block, and its weights before training.
-FEATURES = ("bias", "content", "boilerplate", "boilerplate above", "link share", "log words", "sentence", "heading")
-PRIOR = np.array([-0.8, 4.0, -5.0, -4.0, -4.0, 0.5, 0.8, 0.2])
+FEATURES = ("bias", "link share", "log words", "sentence", "heading", "paragraph", "list item")
+PRIOR = np.array([-0.8, -4.0, 0.5, 0.8, 0.2, 0.3, -0.2])
 
 
 def features(block: Block) -> list[float]:
-    text, element = block.text, block.element
-    words = text.count(" ") + 1
-    return [1.0, float(element.mark > 0), float(element.mark < 0), float(element.under), min(1.0, block.linked / len(text)), math.log(words), float(bool(_SENTENCE_END.search(text))), float(block.heading)]
+    """The form of a block, whatever its marks."""
+    text, tag = block.text, block.element.tag
+    return [1.0, min(1.0, block.linked / len(text)), math.log(text.count(" ") + 1), float(bool(_SENTENCE_END.search(text))), float(block.heading), float(tag in ("p", "pre", "blockquote")), float(tag in ("li", "dt", "dd", "td", "th"))]
 
 
-def fit(rows: np.ndarray, labels: np.ndarray, pull: float = 0.02) -> np.ndarray:
-    """Logistic weights for blocks with a label, held near :data:`PRIOR` (Newton's method).
+def marks(block: Block) -> list[float]:
+    return [float(block.element.mark > 0), float(block.element.mark < 0), float(block.element.under)]
 
-    Every block stands twice, the second time without its marks, so that the weights also
-    serve blocks without any.
-    """
+
+def fit(rows: np.ndarray, labels: np.ndarray, pull: float = 0.02) -> np.ndarray:
+    """Logistic weights for blocks with a label, held near :data:`PRIOR` (Newton's method)."""
     if not len(rows):
         return PRIOR
-    bare = rows.copy()
-    bare[:, 1:4] = 0
-    x, y = np.concatenate([rows, bare]), np.concatenate([labels, labels])
+    x, y = rows, labels
     w = PRIOR.copy()
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -296,13 +346,13 @@ def main_text(page: str | None, weights: np.ndarray, strength: float = 1.0) -> s
     found = blocks(page)
     if not found:
         return ""
-    gain = (np.array([features(b) for b in found]) @ weights).tolist()
+    gain = (np.array([features(b) for b in found]) @ weights + np.array([marks(b) for b in found]) @ MARKS).tolist()
     side = minimum_cut(gain, edges(found, strength))
     return " ".join(b.text for b, keep in zip(found, side) if keep)
 
 
 def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample_pages: int = SAMPLE_PAGES) -> np.ndarray:
-    """Weights of the classifier, from the blocks of ``sample_pages`` pages that have a mark.
+    """Weights of the classifier, from the form of those blocks of ``sample_pages`` pages that have a mark.
 
     The pages are those whose ids have the smallest hashes. The label of a block is its
     nearest mark; pages without marks leave the weights as they were.

@@ -1,8 +1,11 @@
 """HTML extraction, URL filters and chat formatting."""
 
+import html
 import itertools
+import os
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -29,6 +32,57 @@ def test_main_text():
     assert "enough" in T.main_text(deep, T.PRIOR)
 
 
+WORDS = "Some words stand here, enough of them to be a sentence of text."
+MORE = "Here is another sentence that the article goes on with, as it should."
+SHORT = "So it ends."
+#: Pages that aren't like the fixture's, and their main text.
+LABELLED = [
+    (f'<body><nav><a href=/>Home</a></nav><article class="post comments-open"><p>{WORDS}<p>{SHORT}</article></body>', f"{WORDS} {SHORT}"),
+    (f'<div class="share-price-story"><p>{WORDS}</p><p>{MORE}</p></div><div class="share-bar"><a href=x>Share</a></div>', f"{WORDS} {MORE}"),
+    (f'<article><p>{WORDS}</p><div class="related-work"><p>{MORE}</p></div></article><div class="related-posts"><p>{MORE}</p></div>', f"{WORDS} {MORE}"),
+    *((f"<header><{tag}></header><article><p>{WORDS}</p><p>{MORE}</p></article>", f"{WORDS} {MORE}") for tag in ("select", "object", "svg", "math", "iframe", "textarea", "noscript", "template")),
+    (f"<form><select><option>One<option>Two</form><article><p>{WORDS}</p></article>", WORDS),
+    (f"<article><p>{WORDS} With <math><mi>x</mi><mo>=</mo><mn>1</mn></math> and <svg><text>a label</text></svg> in it.</p></article>", f"{WORDS} With x=1 and a label in it."),
+    (f'<form id="aspnetForm"><div class="site-header">Name of the site</div><main><h1>Title</h1><p>{WORDS}</p></main><div id="siteFooter">All rights reserved by someone here.</div></form>', f"Title {WORDS}"),
+    (f'<div id="content"><h2>Title</h2><p>{WORDS}</p><ul><li>One thing.</li><li>Another thing.</li></ul></div><div class="sidebar-left"><p>{MORE}</p></div>', f"Title {WORDS} One thing. Another thing."),
+    (f'<main><p>{WORDS}</p></main><section class="comment-list"><article id="div-comment-5" class="comment-body"><p>{MORE}</p></article></section><ol class="commentlist"></ol>', WORDS),
+    (f'<div class="cookie-notice"><p>{MORE}</p></div><div role="main"><p>{WORDS}</p><table><tr><td>Cell<td>Other</table></div><div class="ad-300x250">{MORE}</div>', f"{WORDS} Cell Other"),
+    (f'<article><p>{WORDS}</p><div style="display: none">{MORE}</div><aside>{MORE}</aside></article><div class="newsletter"><p>{MORE}</p><input></div>', WORDS),
+    (f"<article><iframe src=x><p>{WORDS}</p><iframe src=y>no frames</iframe><p>{MORE}</p></article>", f"{WORDS} {MORE}"),
+]
+
+
+def test_labelled_pages():
+    got = [T.main_text(page, T.PRIOR) for page, _ in LABELLED]
+    assert [(page, text) for (page, _), text in zip(LABELLED, got)] == LABELLED
+    wanted = [Counter(text.split()) for _, text in LABELLED]
+    found = [Counter(text.split()) for text in got]
+    common = sum((a & b).total() for a, b in zip(wanted, found))
+    assert common == sum(x.total() for x in wanted) == sum(x.total() for x in found)
+
+
+def test_trained_weights_serve_other_pages(spark):
+    pages = spark.createDataFrame([(i, None, page) for i, (page, _) in enumerate(LABELLED * 3)] + [(100, "u", PAGE)], "page_id long, url string, html string")
+    weights = T.train(pages)
+    assert not np.allclose(weights, T.PRIOR)
+    wrong = [page for page, text in LABELLED if T.main_text(page, weights) != text]
+    assert not wrong
+    # by form alone: menus and paragraphs of pages without any mark
+    bare = f"<div><div><a href=1>One</a></div><div><a href=2>Two</a></div></div><div><p>{WORDS} {MORE}</p><p>{MORE} {WORDS}</p></div><div><a href=3>Three</a></div>"
+    assert T.main_text(bare, weights) == f"{WORDS} {MORE} {MORE} {WORDS}"
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.001"), reason="no test tables")
+def test_fixture_pages_equal_their_articles(spark):
+    """Pages of a known form: their only article, without tags."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    got = {r["page_id"]: r["text"] for r in T.extract(pages).collect()}
+    for r in pages.collect():
+        article = re.search(r"<article>(.*?)</article>", r["html"], re.DOTALL)[1]
+        plain = html.unescape(re.sub(r"</?(?:b|i|em|a|span)\b[^>]*>", "", re.sub(r"</?(?:p|h[1-6]|br|li|ul|ol|pre|div|blockquote)\b[^>]*>", " ", article)))
+        assert got[r["page_id"]] == " ".join(plain.split()), r["page_id"]
+
+
 def test_minimum_cut_equals_brute_force():
     rng = random.Random(6)
     for _ in range(60):
