@@ -42,3 +42,10 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"no stars after {most_rounds} rounds")
     out = now.select(F.col("hi").alias("id"), F.col("lo").alias("component"))
     return out.unionByName(now.select(F.col("lo").alias("id"), F.col("lo").alias("component")).distinct())
+
+
+def smallest_labels(components: DataFrame, labels: DataFrame) -> DataFrame:
+    """(id, label): the smallest label in the component of each id; ``labels`` (id, label) is unique by id, null labels don't count. Minima are pre-aggregated before their shuffle."""
+    own = components.join(labels, "id")
+    least = own.groupBy("component").agg(F.min("label").alias("label"))
+    return components.join(least, "component").select("id", "label")

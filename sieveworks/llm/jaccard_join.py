@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from sieveworks.llm.batches import bounded
 from sieveworks.llm.buckets import distinct_buckets, groups, link_rows, lists, placed, shared
 from sieveworks.llm.bytetext import byte_slices, list_array, mixed, shingle_sets, word_hashes
-from sieveworks.llm.components import connected_components
-from sieveworks.sources.storage import written
+from sieveworks.llm.components import connected_components, smallest_labels
+from sieveworks.sources.storage import forget, written
 
 #: Texts in a bucket that is compared at once, and the shingles and texts of a block of a larger one.
 BUCKET_TEXTS, BLOCK_SHINGLES, BLOCK_TEXTS = 64, 400_000, 2048
@@ -58,6 +58,11 @@ def _chosen(shingles: np.ndarray, below: np.ndarray, path: np.ndarray) -> tuple[
     return at, mixed(h[at] + np.uint64(0x9E3779B97F4A7C15))
 
 
+def _prints(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """128 bits of the words of each text, in order."""
+    return np.array([np.frombuffer(hashlib.blake2b(hashes[x:y].tobytes(), digest_size=16).digest(), np.int64) for x, y in zip(first[:-1], first[1:])]).reshape(-1, 2)
+
+
 def _sketches(n: int, seeds: np.ndarray, branching: float):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -70,8 +75,7 @@ def _sketches(n: int, seeds: np.ndarray, branching: float):
                 rows, paths = zip(*((row[at], path) for at, path in (_chosen(shingles, below, seed) for seed in seeds)))
                 rows, paths = np.concatenate(rows), np.concatenate(paths)
                 order = np.argsort(rows, kind="stable")
-                prints = np.array([np.frombuffer(hashlib.blake2b(hashes[x:y].tobytes(), digest_size=16).digest(), np.int64) for x, y in zip(first[:-1], first[1:])]).reshape(-1, 2)
-                empty = sizes == 0
+                prints, empty = _prints(hashes, first), sizes == 0
                 yield pa.RecordBatch.from_arrays(
                     [batch["doc_id"].slice(a, b - a), pa.array(prints[:, 0], mask=empty), pa.array(prints[:, 1], mask=empty), pa.array(sizes), list_array(paths[order].view(np.int64), np.bincount(rows, minlength=b - a), pa.int64())],
                     ["doc_id", "print1", "print2", "size", "paths"],
@@ -81,17 +85,33 @@ def _sketches(n: int, seeds: np.ndarray, branching: float):
 
 
 def _sets(n: int):
+    """Rows (id, copies, print1, print2, text) to the shingles of those whose text has the prints: of rows that share an id, some may hold another text. Repeated rows of a task give one."""
+
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
+            ids = batch["id"].to_pylist()
+            wanted = np.stack([batch["print1"].to_numpy(), batch["print2"].to_numpy()], 1)
             for a, b, data, offsets in byte_slices(batch["text"]):
                 hashes, first = word_hashes(data, offsets)
-                sets = shingle_sets(hashes, first, n)
-                lengths = [len(x) for x in sets]
-                yield pa.RecordBatch.from_arrays([*(batch[c].slice(a, b - a) for c in ("id", "copies")), list_array(np.concatenate(sets).view(np.int64), lengths, pa.int64())], ["id", "copies", "shingles"])
+                right = (_prints(hashes, first) == wanted[a:b]).all(1)
+                rows = [i for i in range(b - a) if right[i] and ids[a + i] not in seen and not seen.add(ids[a + i])]
+                if rows:
+                    sets = [x for i in rows for x in shingle_sets(hashes, first[i : i + 2], n)]
+                    at = pa.array([a + i for i in rows])
+                    yield pa.RecordBatch.from_arrays([*(batch[c].take(at) for c in ("id", "copies")), list_array(np.concatenate(sets).view(np.int64), [len(x) for x in sets], pa.int64())], ["id", "copies", "shingles"])
 
     return make
 
 
+def _printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts with their prints."""
+    for batch in batches:
+        for a, b, data, offsets in byte_slices(batch["text"]):
+            prints = _prints(*word_hashes(data, offsets))
+            yield pa.RecordBatch.from_arrays([batch["text"].slice(a, b - a), pa.array(prints[:, 0]), pa.array(prints[:, 1])], ["text", "print1", "print2"])
+
+
 def _children(branching: float):
     """Rows (id, paths, shingles) to the paths that each path splits into."""
 
@@ -128,7 +148,7 @@ def _compare(threshold: float):
 
 
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, branching: float = 2.0, target_recall: float = 0.9995) -> DataFrame:
-    """One row per text: (doc_id, class_id, n_links).
+    """One row per row of ``docs``: (doc_id, class_id, n_links).
 
     Two texts are linked when their sets of ``n``-word shingles have a Jaccard similarity
     of at least ``threshold``. n_links counts the other texts linked to this one, equal
@@ -141,24 +161,33 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     bucket are counted where they are found and only their totals leave the task.
 
     Texts of fewer than ``n`` words have one shingle of all their words. Null texts and
-    texts without words link with nothing. Rows that share an id are one document. A null
-    id takes the class of its equal texts, or null. Other columns are not read. An empty
-    table gives an empty one.
+    texts without words link with nothing. Rows with one id and the same words are one
+    text: it counts once and doesn't link with itself. Rows with one id but other words are
+    texts of their own that share the id. A text without an id takes part like all others, but counts for no
+    n_links and its id is none to be reached; its class_id is null where no other has one.
+    Other columns are not read. An empty table gives an empty one.
     """
     seeds = mixed(np.arange(1, runs_needed(target_recall, threshold, branching) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    prints = ["print1", "print2"]
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketch = written(bounded(docs).mapInArrow(_sketches(n, seeds, branching), "doc_id long, print1 long, print2 long, size long, paths array<long>"))
-    one = sketch.where("print1 is not null and doc_id is not null")
-    same = one.groupBy("print1", "print2").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"))
-    reps = written(one.dropDuplicates(["print1", "print2"]).drop("doc_id").join(same, ["print1", "print2"]))
+    one = sketch.where("print1 is not null")
+    same = one.select(*prints, "doc_id").distinct().groupBy(*prints).agg(F.min("doc_id").alias("low"), F.count("doc_id").alias("copies"))
+    # a number of its own for each representative: an id may have several
+    reps = written(one.dropDuplicates(prints).drop("doc_id").join(same, prints).withColumn("id", F.monotonically_increasing_id()))
 
     members = reps.select("id", "size", F.explode("paths").alias("path"))
     # large paths with the same members all stay: the recall rests on each splitting by its own seed
     members = written(members.join(distinct_buckets(members, BUCKET_TEXTS), "path"))
-    texts = reps.select(F.col("id").alias("doc_id"), "id", "copies", "print1").join(members.select("id").distinct(), "id")
-    sets = written(docs.join(texts.select("doc_id", "id", "copies"), "doc_id").mapInArrow(_sets(n), "id long, copies long, shingles array<long>"))
-
-    leaves, whole = [members.where(F.col("texts") <= BUCKET_TEXTS)], []
+    texts = reps.select(F.col("low").alias("doc_id"), "id", "copies", *prints).join(members.select("id").distinct(), "id")
+    rows = docs.join(texts, "doc_id").select("id", "copies", *prints, "text")
+    if not sketch.where("doc_id is null and print1 is not null").isEmpty():
+        # texts of no id are found by their prints
+        bare = docs.where("doc_id is null and text is not null").select("text").mapInArrow(_printed, "text string, print1 long, print2 long")
+        rows = rows.unionByName(bare.dropDuplicates(prints).join(texts.where("doc_id is null"), prints).select("id", "copies", *prints, "text"))
+    sets = written(rows.mapInArrow(_sets(n), "id long, copies long, shingles array<long>"))
+
+    leaves, whole, done = [members.where(F.col("texts") <= BUCKET_TEXTS)], [], [members, sets]
     large = members.where(F.col("texts") > BUCKET_TEXTS)
     for depth in range(MOST_DEPTH):
         if large.isEmpty():
@@ -168,7 +197,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             break
         at = large.groupBy("id").agg(F.collect_list("path").alias("paths"))
         split = at.join(sets, "id").select("id", "paths", "shingles").mapInArrow(_children(branching), "id long, parent long, size long, path long")
-        # a repeated row of the input has its sets twice
+        # a set may stand twice, see _sets
         split = written(split.distinct())
         sizes = split.groupBy("parent", "path").agg(F.count("*").alias("n")).groupBy("parent").agg(F.max("n").alias("n"))
         parents = large.select("path", "texts").distinct().join(sizes.withColumnRenamed("parent", "path"), "path", "left")
@@ -176,6 +205,8 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         whole.append(large.join(alike, "path", "left_semi"))
         apart = split.join(alike.withColumnRenamed("path", "parent"), "parent", "left_anti").select("id", "size", "path")
         children = written(apart.join(distinct_buckets(apart, BUCKET_TEXTS), "path"))
+        forget(split)
+        done += [alike, children]
         leaves.append(children.where(F.col("texts") <= BUCKET_TEXTS))
         large = children.where(F.col("texts") > BUCKET_TEXTS)
 
@@ -186,9 +217,12 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     found = reduce(DataFrame.unionByName, leaves)
     blocks = F.greatest(F.ceil(F.col("weight") / BLOCK_SHINGLES), F.ceil(F.col("texts") / BLOCK_TEXTS)).cast("int").alias("blocks")
     links = written(placed(found.select("id", "path", blocks), sets).mapInArrow(_compare(threshold), "id long, n_links long, root long"))
+    forget(*done)
 
-    classes = connected_components(links.select(F.col("id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("component", "class_id")
+    classes = smallest_labels(connected_components(links.select(F.col("id").alias("a"), F.col("root").alias("b"))), reps.select("id", F.col("low").alias("label")))
     totals = links.groupBy("id").agg(F.sum("n_links").alias("far"))
-    known = reps.select("print1", "print2", "id", "copies").join(totals, "id", "left").join(classes, "id", "left")
-    known = known.select("print1", "print2", F.coalesce("class_id", "id").alias("class_id"), (F.coalesce("far", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return sketch.select("doc_id", "print1", "print2").join(known, ["print1", "print2"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    known = reps.select(*prints, "id", "low", "copies").join(totals, "id", "left").join(classes, "id", "left")
+    known = known.select(*prints, F.least("label", "low").alias("class_id"), (F.coalesce("far", F.lit(0)) + F.col("copies")).alias("all"))
+    # rows without a print go past the join
+    out = one.select("doc_id", *prints).join(known, prints).select("doc_id", "class_id", (F.col("all") - F.col("doc_id").isNotNull().cast("long")).alias("n_links"))
+    return out.unionByName(sketch.where("print1 is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from sieveworks.llm.buckets import distinct_buckets, groups, link_rows, lists, placed
 from sieveworks.llm.bytetext import list_array, mixed
-from sieveworks.llm.components import connected_components
-from sieveworks.sources.storage import written
+from sieveworks.llm.components import connected_components, smallest_labels
+from sieveworks.sources.storage import forget, written
 
 #: Vectors of a block of a large bucket.
 BLOCK_VECTORS = 1024
@@ -81,19 +81,21 @@ def _compare(threshold: float):
 
 
 def vector_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.98, bits: int = 16, target_recall: float = 0.99999) -> DataFrame:
-    """One row per vector: vec_id, n_links, component_id, kept.
+    """One row per row of ``vectors``: vec_id, n_links, component_id, kept.
 
     Vectors of the same label are linked when their cosine, in double precision, is at
-    least ``threshold``. n_links counts the vectors linked to this one, component_id is
-    the smallest id that links reach, kept says whether that is the own id.
+    least ``threshold``. n_links counts the other vectors linked to this one, component_id
+    is the smallest id that links reach, kept says whether that is the own id.
 
     Equal vectors of a label stand together from the start as copies of one
     representative. Vectors that are null, empty, zero or hold a null or a non-finite
     number, and those without a label, link with nothing; vectors of different length
-    don't either. Rows that share an id are one vector where their contents agree; a null
-    id keeps its row with the component of its equals, or null. Other columns aren't read;
-    an empty table gives an empty one. No link below the threshold is reported; one at the
-    threshold is found with probability ``target_recall`` or more.
+    don't either. Repeated rows are one vector: it counts once and doesn't link with
+    itself. Rows with one id but other contents are vectors of their own that share the
+    id. A vector without an id takes part like all others, but counts for no n_links and
+    its id is none to be reached; its component_id is null where no other has one. Other
+    columns aren't read; an empty table gives an empty one. No link below the threshold is
+    reported; one at the threshold is found with probability ``target_recall`` or more.
     """
     tables = tables_needed(threshold, bits, target_recall)
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"), F.col(label_col).cast("long").alias("label"))
@@ -102,20 +104,26 @@ def vector_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     # of vectors that aren't usable, none has a print
     print_ = [F.when(usable, F.xxhash64(F.lit(i), "label", "vector")).alias(f"print{i}") for i in (1, 2)]
     rows = rows.select("*", *print_)
-    one = rows.where("print1 is not null and vec_id is not null")
-    same = one.groupBy("print1", "print2").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"))
-    first = one.select(F.col("vec_id").alias("id"), "print1", "print2", "vector", "label")
-    reps = written(first.join(same, ["print1", "print2", "id"]).dropDuplicates(["print1", "print2"]))
+    one = rows.where("print1 is not null")
+    # ids are counted once before the vectors' copies are
+    ids = one.groupBy("print1", "print2", "vec_id").agg(F.first("vector").alias("vector"), F.first("label").alias("label"))
+    same = ids.groupBy("print1", "print2").agg(F.min("vec_id").alias("low"), F.count("vec_id").alias("copies"), F.first("vector").alias("vector"), F.first("label").alias("label"))
+    # a number of its own for each representative: an id may have several
+    reps = written(same.withColumn("id", F.monotonically_increasing_id()))
 
     members = reps.select("id", "vector", "label").mapInArrow(_keys(bits, tables), "id long, paths array<long>")
     members = written(members.select("id", F.lit(1).cast("long").alias("size"), F.explode("paths").alias("path")))
     found = members.select("id", "path").join(distinct_buckets(members), "path").select("id", "path", F.ceil(F.col("texts") / BLOCK_VECTORS).cast("int").alias("blocks"))
     links = written(placed(found, reps.select("id", "copies", "label", "vector")).mapInArrow(_compare(threshold), "id long, n_links long, root long"))
+    forget(members)
 
     components = connected_components(links.select(F.col("id").alias("a"), F.col("root").alias("b")))
+    reached = smallest_labels(components, reps.select("id", F.col("low").alias("label")))
     totals = links.groupBy("id").agg(F.sum("n_links").alias("far"))
-    known = reps.select("print1", "print2", "id", "copies").join(totals, "id", "left").join(components, "id", "left")
-    known = known.select("print1", "print2", F.coalesce("component", "id").alias("component"), (F.coalesce("far", F.lit(0)) + F.col("copies") - 1).alias("links"))
-    out = rows.select("vec_id", "print1", "print2").join(known, ["print1", "print2"], "left")
-    out = out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
+    known = reps.select("print1", "print2", "id", "low", "copies").join(totals, "id", "left").join(reached, "id", "left")
+    known = known.select("print1", "print2", F.least("label", "low").alias("component"), (F.coalesce("far", F.lit(0)) + F.col("copies")).alias("all"))
+    # rows without a print go past the join
+    out = rows.select("vec_id", "print1", "print2").where("print1 is not null").join(known, ["print1", "print2"])
+    out = out.select("vec_id", (F.col("all") - F.col("vec_id").isNotNull().cast("long")).alias("n_links"), F.col("component").alias("component_id"))
+    out = out.unionByName(rows.where("print1 is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
     return out.select("*", (F.col("vec_id") == F.col("component_id")).alias("kept"))

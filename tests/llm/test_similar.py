@@ -1,9 +1,12 @@
 """The two similarity joins against brute force, and connected components."""
 
+import os
 import random
 import re
+from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from sieveworks.llm.components import connected_components
@@ -11,6 +14,9 @@ from sieveworks.llm.jaccard_join import ngram_jaccard_join, runs_needed
 from sieveworks.llm.vector_dedup import tables_needed, vector_dedup
 
 
+SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
+
+
 def closure(ids, links):
     root = {i: i for i in ids}
 
@@ -90,10 +96,53 @@ def test_jaccard_join_of_little(spark):
     schema = "doc_id long, text string"
     assert ngram_jaccard_join(spark.createDataFrame([], schema)).count() == 0
     got = ngram_jaccard_join(spark.createDataFrame([(1, None), (2, ""), (None, "a b"), (4, "a b"), (4, "a b")], schema)).collect()
-    assert sorted((tuple(r) for r in got), key=repr) == sorted([(1, 1, 0), (2, 2, 0), (None, 4, 1), (4, 4, 1), (4, 4, 1)], key=repr)
+    assert sorted((tuple(r) for r in got), key=repr) == sorted([(1, 1, 0), (2, 2, 0), (None, 4, 1), (4, 4, 0), (4, 4, 0)], key=repr)
     assert runs_needed(0.9995, 0.8, 2.0) > runs_needed(0.9, 0.8, 2.0) >= 1
 
 
+def expected(rows, near):
+    """(class, links) of each row (id, content) by brute force: rows with the same id and content are one."""
+    kinds = sorted(set(rows), key=repr)
+    links = [(i, j) for i in range(len(kinds)) for j in range(i) if near(kinds[i][1], kinds[j][1])]
+    component = closure(range(len(kinds)), links)
+    out = {}
+    for i, (id_, content) in enumerate(kinds):
+        reached = [kinds[j][0] for j in component if component[j] == component[i] and kinds[j][0] is not None]
+        out[id_, content] = min(reached, default=None), sum(kinds[a + b - i][0] is not None for a, b in links if i in (a, b))
+    return out
+
+
+def test_jaccard_join_of_repeated_and_null_ids(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(5))
+    rows = []
+    for g in range(30):
+        base = [word() for _ in range(60)]
+        for _ in range(rng.randrange(1, 5)):
+            copy = list(base)
+            copy[rng.randrange(60)] = word()
+            rows.append((rng.choice([None, 1, 2, g, 100 + g]), " ".join(rng.choice([base, copy, copy]))))
+    rows += rows[:20] + [(None, None), (None, ""), (1, None)]
+
+    def near(a, b):
+        a, b = shingles(a), shingles(b)
+        return bool(a) and bool(b) and 5 * len(a & b) >= 4 * len(a | b)
+
+    wanted = expected(rows, near)
+    got = ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == sorted(((i, *wanted[i, t]) for i, t in rows), key=repr)
+
+
+def test_vector_dedup_of_repeated_and_null_ids(spark):
+    rows = [(3, (1.0, 0.0)), (3, (0.0, 1.0)), (4, (0.0, 1.001)), (2, (5.0, 1.0)), (1, (1.0, 2.0)), (1, (1.0, 2.0)), (None, (1.0, 2.0)), (None, (-1.0, 0.0)), (9, (-1.0, 0.0001)), (None, (-3.0, -3.0)), (None, (-3.0, -3.0)), (None, None)]
+    near = lambda a, b: bool(a) and bool(b) and np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b) >= 0.98
+    wanted = expected(rows, near)
+    df = spark.createDataFrame([(i, list(v) if v else None, 1) for i, v in rows], "vec_id long, embedding array<double>, label int")
+    got = [(r["vec_id"], r["component_id"], r["n_links"], r["kept"]) for r in vector_dedup(df).collect()]
+    assert sorted(got, key=repr) == sorted(((i, *wanted[i, v], None if i is None or wanted[i, v][0] is None else i == wanted[i, v][0]) for i, v in rows), key=repr)
+    assert (4, 3, 1, False) in got and (1, 1, 0, True) in got and (None, 1, 1, None) in got
+
+
 def test_vector_dedup_equals_brute_force(spark):
     rng = np.random.default_rng(2)
     rows = []
@@ -122,3 +171,36 @@ def test_vector_dedup_equals_brute_force(spark):
 def test_vectors_of_floats(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0], 0), (2, [1.0, 2.0], 0)], "vec_id long, embedding array<float>, label int")
     assert vector_dedup(df).where(F.col("kept")).count() == 1
+
+
+def near_copies(sets):
+    """For every twentieth id the ids of all sets with a Jaccard similarity of 0.8 or more, by an inverted index."""
+    at = {}
+    for i, x in sets.items():
+        for shingle in x:
+            at.setdefault(shingle, []).append(i)
+    out = {}
+    for i in sets:
+        if i % 20 == 0:
+            common = Counter(j for shingle in sets[i] for j in at[shingle])
+            out[i] = {j for j, n in common.items() if j != i and 5 * n >= 4 * (len(sets[i]) + len(sets[j]) - n)}
+    return out
+
+
+@pytest.mark.skipif(not os.path.exists(SF_DIR), reason="no test tables")
+def test_recall_on_the_test_tables(spark):
+    """Links of every twentieth row against all rows, by brute force."""
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    near = near_copies({r["doc_id"]: shingles(r["text"]) for r in docs.collect()})
+    got = {r["doc_id"]: r["n_links"] for r in ngram_jaccard_join(docs).collect()}
+    assert sum(map(len, near.values())) > 0
+    assert all(got[i] <= len(near[i]) for i in near) and sum(got[i] for i in near) >= 0.99 * sum(map(len, near.values()))
+
+    vectors = spark.read.parquet(f"{SF_DIR}/embeddings.parquet")
+    rows = [(r["vec_id"], r["label"], np.array(r["embedding"], float)) for r in vectors.collect() if r["label"] is not None]
+    unit = np.stack([v / np.linalg.norm(v) for _, _, v in rows])
+    label = np.array([x for _, x, _ in rows])
+    linked = (unit @ unit.T >= 0.98) & (label[:, None] == label[None, :])
+    got = {r["vec_id"]: r["n_links"] for r in vector_dedup(vectors).collect()}
+    wanted = {i: int(n) - 1 for (i, _, _), n in zip(rows, linked.sum(1)) if i % 20 == 0}
+    assert all(got[i] <= wanted[i] for i in wanted) and sum(got[i] for i in wanted) >= 0.99 * sum(wanted.values())
