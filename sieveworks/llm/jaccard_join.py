@@ -97,7 +97,8 @@ def _sets(n: int):
                 right = (_prints(hashes, first) == wanted[a:b]).all(1)
                 rows = [i for i in range(b - a) if right[i] and ids[a + i] not in seen and not seen.add(ids[a + i])]
                 if rows:
-                    sets = [x for i in rows for x in shingle_sets(hashes, first[i : i + 2], n)]
+                    sets = shingle_sets(hashes, first, n)
+                    sets = [sets[i] for i in rows]
                     at = pa.array([a + i for i in rows])
                     yield pa.RecordBatch.from_arrays([*(batch[c].take(at) for c in ("id", "copies")), list_array(np.concatenate(sets).view(np.int64), [len(x) for x in sets], pa.int64())], ["id", "copies", "shingles"])
 
