@@ -10,26 +10,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveworks.llm import decontamination, language_id, pieces
-from sieveworks.llm.jaccard_join import ngram_jaccard_join
+from sieveworks.llm.jaccard_join import near_classes
 from sieveworks.sources.storage import written
 
-#: A text of so many characters whose best cosine is lower is in no learned language.
-LEAST_CHARS, LEAST_COSINE = 200, 0.1
-
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID: texts stay that are in one of the languages of the table; those without letters, null ones, and long ones unlike every language go."""
-    profiles = language_id.learn(docs)
-    found = language_id.identify(docs, profiles, lang_pred_col="__lang", score_col="__cosine")
-    unlike = (F.length("text") >= LEAST_CHARS) & (F.col("__cosine") < LEAST_COSINE)
-    return found.where((F.col("__lang") != language_id.UNDETERMINED) & ~unlike).select(*_columns(docs))
+    """Language ID: texts stay that are in one of the languages of the table.
+
+    Null texts and those without letters go, and those whose best cosine lies six
+    deviations under what texts of their length have with their own language: other
+    languages, noise, a few words repeated over and over. Rows stay as they are.
+    """
+    found = language_id.identify(docs, language_id.learn(docs), lang_pred_col="__lang", score_col="__cosine")
+    least = language_id.usual_scores(found, lang_pred_col="__lang", score_col="__cosine")
+    return found.where((F.col("__lang") != language_id.UNDETERMINED) & (F.col("__cosine") >= least)).select(*_columns(docs))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join: of each class of near-duplicates the document with the smallest id stays; repeated rows of it are one."""
-    classes = ngram_jaccard_join(docs)
-    kept = classes.where("doc_id = class_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*_columns(docs))
+    """N-gram Jaccard join: of each class of near-duplicates one document stays, that with the smallest id.
+
+    A document without an id stays if its class has none with one. Of different texts of a
+    class that share the smallest id, or have none, the one with the smallest hash stays.
+    Rows with one id but unlike texts all stay; rows that repeat in id and text are one.
+    """
+    rows = near_classes(docs)
+    first = rows.where("near is not null and doc_id <=> class_id").groupBy("near", "doc_id").agg(F.min("mark").alias("mark")).select("doc_id", "mark")
+    alone = rows.where("near is null").select("doc_id", "mark").distinct()
+    key = lambda mark: {"__none": F.col("doc_id").isNull(), "__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "__mark": mark}
+    kept = first.unionByName(alone).withColumns(key(F.col("mark"))).select("__none", "__id", "__mark")
+    keyed = docs.withColumns(key(F.xxhash64("text")))
+    return keyed.join(kept, ["__none", "__id", "__mark"], "left_semi").dropDuplicates(["__none", "__id", "__mark"]).select(*_columns(docs))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

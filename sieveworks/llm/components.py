@@ -45,7 +45,6 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def smallest_labels(components: DataFrame, labels: DataFrame) -> DataFrame:
-    """(id, label): the smallest label in the component of each id; ``labels`` (id, label) is unique by id, null labels don't count. Minima are pre-aggregated before their shuffle."""
-    own = components.join(labels, "id")
-    least = own.groupBy("component").agg(F.min("label").alias("label"))
-    return components.join(least, "component").select("id", "label")
+    """(id, component, label): the smallest label in the component of each id; ``labels`` (id, label) is unique by id, null labels don't count. Minima are pre-aggregated before their shuffle."""
+    least = components.join(labels, "id").groupBy("component").agg(F.min("label").alias("label"))
+    return components.join(least, "component").select("id", "component", "label")

@@ -77,8 +77,8 @@ def _sketches(n: int, seeds: np.ndarray, branching: float):
                 order = np.argsort(rows, kind="stable")
                 prints, empty = _prints(hashes, first), sizes == 0
                 yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"].slice(a, b - a), pa.array(prints[:, 0], mask=empty), pa.array(prints[:, 1], mask=empty), pa.array(sizes), list_array(paths[order].view(np.int64), np.bincount(rows, minlength=b - a), pa.int64())],
-                    ["doc_id", "print1", "print2", "size", "paths"],
+                    [*(batch[c].slice(a, b - a) for c in ("doc_id", "mark")), pa.array(prints[:, 0], mask=empty), pa.array(prints[:, 1], mask=empty), pa.array(sizes), list_array(paths[order].view(np.int64), np.bincount(rows, minlength=b - a), pa.int64())],
+                    ["doc_id", "mark", "print1", "print2", "size", "paths"],
                 )
 
     return make
@@ -168,14 +168,20 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     n_links and its id is none to be reached; its class_id is null where no other has one.
     Other columns are not read. An empty table gives an empty one.
     """
+    return near_classes(docs, id_col, text_col, n, threshold, branching, target_recall).select("doc_id", "class_id", "n_links")
+
+
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, branching: float = 2.0, target_recall: float = 0.9995) -> DataFrame:
+    """:func:`ngram_jaccard_join` with two more columns: ``mark``, xxhash64 of the text as it is, and ``near``, the same number for all rows of a class (null: no words)."""
     seeds = mixed(np.arange(1, runs_needed(target_recall, threshold, branching) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     prints = ["print1", "print2"]
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketch = written(bounded(docs).mapInArrow(_sketches(n, seeds, branching), "doc_id long, print1 long, print2 long, size long, paths array<long>"))
+    marked = bounded(docs).withColumn("mark", F.xxhash64("text"))
+    sketch = written(marked.mapInArrow(_sketches(n, seeds, branching), "doc_id long, mark long, print1 long, print2 long, size long, paths array<long>"))
     one = sketch.where("print1 is not null")
     same = one.select(*prints, "doc_id").distinct().groupBy(*prints).agg(F.min("doc_id").alias("low"), F.count("doc_id").alias("copies"))
     # a number of its own for each representative: an id may have several
-    reps = written(one.dropDuplicates(prints).drop("doc_id").join(same, prints).withColumn("id", F.monotonically_increasing_id()))
+    reps = written(one.dropDuplicates(prints).drop("doc_id", "mark").join(same, prints).withColumn("id", F.monotonically_increasing_id()))
 
     members = reps.select("id", "size", F.explode("paths").alias("path"))
     # large paths with the same members all stay: the recall rests on each splitting by its own seed
@@ -223,7 +229,8 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = smallest_labels(connected_components(links.select(F.col("id").alias("a"), F.col("root").alias("b"))), reps.select("id", F.col("low").alias("label")))
     totals = links.groupBy("id").agg(F.sum("n_links").alias("far"))
     known = reps.select(*prints, "id", "low", "copies").join(totals, "id", "left").join(classes, "id", "left")
-    known = known.select(*prints, F.least("label", "low").alias("class_id"), (F.coalesce("far", F.lit(0)) + F.col("copies")).alias("all"))
+    known = known.select(*prints, F.coalesce("component", "id").alias("near"), F.least("label", "low").alias("class_id"), (F.coalesce("far", F.lit(0)) + F.col("copies")).alias("all"))
     # rows without a print go past the join
-    out = one.select("doc_id", *prints).join(known, prints).select("doc_id", "class_id", (F.col("all") - F.col("doc_id").isNotNull().cast("long")).alias("n_links"))
-    return out.unionByName(sketch.where("print1 is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
+    out = one.select("doc_id", "mark", *prints).join(known, prints).select("doc_id", "mark", "near", "class_id", (F.col("all") - F.col("doc_id").isNotNull().cast("long")).alias("n_links"))
+    empty = sketch.where("print1 is null").select("doc_id", "mark", F.lit(None).cast("long").alias("near"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    return out.unionByName(empty)

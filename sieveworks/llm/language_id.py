@@ -151,6 +151,32 @@ def identify(docs: DataFrame, profiles: Mapping[str, np.ndarray], text_col: str
     return bounded(docs).mapInArrow(predict, f"{columns}, `{lang_pred_col}` string, `{score_col}` double")
 
 
+def _size_bin(text_col: str):
+    """The binary logarithm of a text's length."""
+    return F.floor(F.log2(F.greatest(F.length(text_col), F.lit(1)))).cast("int")
+
+
+def usual_scores(identified: DataFrame, lang_col: str = "lang", lang_pred_col: str = "lang_pred", score_col: str = "score", text_col: str = "text", deviations: float = 6.0):
+    """A column: the score that no text of a learned language is expected to fall under, given its length; 0 where nothing is known.
+
+    Mean and deviation are those of all texts that got their own language, by the binary
+    logarithm of the length, some forty numbers whatever the corpus; the deviation of a
+    length is at least that of all lengths together. Short texts have low and scattered
+    scores, so the limit of the shortest lies below 0.
+    """
+    right = identified.where(F.col(lang_col) == F.col(lang_pred_col)).groupBy(_size_bin(text_col).alias("bin"))
+    rows = right.agg(F.count("*").alias("n"), F.avg(score_col).alias("mean"), F.var_pop(score_col).alias("variance")).collect()
+    if not rows:
+        return F.lit(0.0)
+    pooled = sum(r["n"] * r["variance"] for r in rows) / sum(r["n"] for r in rows)
+    limits = {r["bin"]: float(r["mean"] - deviations * max(r["variance"], pooled) ** 0.5) for r in rows}
+    column = F.lit(0.0)
+    for least in sorted(limits):
+        # a length without texts has the limit of the next shorter one
+        column = F.when(_size_bin(text_col) >= least, F.lit(limits[least])).otherwise(column)
+    return column
+
+
 def held_out(id_col: str = "doc_id", parts: int = 4, part: int = 2):
     """Whether crc32 of the id as text leaves ``part`` modulo ``parts``; a null id isn't held out."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % parts == part, F.lit(False))

@@ -118,7 +118,7 @@ def vector_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     forget(members)
 
     components = connected_components(links.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    reached = smallest_labels(components, reps.select("id", F.col("low").alias("label")))
+    reached = smallest_labels(components, reps.select("id", F.col("low").alias("label"))).drop("component")
     totals = links.groupBy("id").agg(F.sum("n_links").alias("far"))
     known = reps.select("print1", "print2", "id", "low", "copies").join(totals, "id", "left").join(reached, "id", "left")
     known = known.select("print1", "print2", F.least("label", "low").alias("component"), (F.coalesce("far", F.lit(0)) + F.col("copies")).alias("all"))
