@@ -83,7 +83,7 @@ def with_features(urls: DataFrame) -> tuple[DataFrame, list[str]]:
     return out, [*features]
 
 
-def url_filter(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: Sequence[tuple[str, str, str]] = RULES, sample: int = SAMPLE_URLS, limit: float = 0.5) -> DataFrame:
+def url_filter(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: Sequence[tuple[str, str, str]] = RULES, sample: int = SAMPLE_URLS, limit: float = 0.5, learn_from: Column | None = None) -> DataFrame:
     """One row per row of ``pages``: page_id, host, path, rule, verdict, score.
 
     A rule fits its host and all subdomains where the path starts with the rule's path; of
@@ -92,7 +92,9 @@ def url_filter(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
     Suffix statistics are the share of blocked URLs among all labelled rows with the same
     host suffix and with the same first path section, smoothed. Only the trees learn from a
-    sample: the ``sample`` distinct labelled URLs with the smallest hashes.
+    sample: the ``sample`` distinct labelled URLs with the smallest hashes. ``learn_from``,
+    a condition on url, keeps some of the labelled rows out of both, to measure what was
+    learned.
 
     Null URLs and those without ``://`` have an empty host and path and are judged like
     all others. Without sampled URLs of both kinds nothing can be learned: score is 0 and
@@ -108,6 +110,8 @@ def url_filter(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     rows = rows.withColumns({"rule": rule, "judged": judged})
 
     labelled = rows.where("judged is not null").select("url", "host", "path", (F.col("judged") == "block").cast("double").alias("label"))
+    if learn_from is not None:
+        labelled = labelled.where(learn_from)
     chosen = written(with_features(labelled.distinct().orderBy(F.xxhash64("url"), "url").limit(sample))[0])
     labelled, rows, names = with_features(labelled)[0], *with_features(rows)
     kinds = chosen.agg(F.countDistinct("label")).first()[0]

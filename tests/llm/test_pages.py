@@ -133,6 +133,34 @@ def test_url_filter(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def labelled_urls(n, seed=3):
+    """URLs whose host, length or query says whether a rule blocks them, and ones of neither kind."""
+    rng = random.Random(seed)
+    word = lambda k: "".join(rng.choice("abcdefghij") for _ in range(k))
+    out = []
+    for i in range(n):
+        if rng.random() < 0.5:
+            out.append(f"http://{word(9)}{rng.randrange(10**6)}.shop.com/en/{word(6)}/{rng.randrange(10**9)}?id={i}&s={word(4)}&t=1")
+        else:
+            out.append(f"https://{word(6)}.news.net/de/{word(8)}-{word(5)}")
+    return out
+
+
+def test_trees_on_held_out_urls(spark):
+    """Four fifths of the labelled URLs teach, the others are predicted."""
+    pages = spark.createDataFrame(list(enumerate(labelled_urls(600))), "page_id long, url string")
+    teach = F.pmod(F.xxhash64("url"), F.lit(5)) != 0
+    rules = [("block", "com", "/en/"), ("allow", "net", "/de/")]
+    got = U.url_filter(pages, rules=rules, learn_from=teach).join(pages, "page_id").withColumn("held", ~teach)
+    right = [(r["score"] >= 0.5) == (r["verdict"] == "block") for r in got.where("held").collect()]
+    assert len(right) > 80 and sum(right) >= 0.95 * len(right)
+    # by form alone: hosts and paths that no statistics know
+    free = [u.replace("shop.com/en/", "shop.info/x/").replace("news.net/de/", "news.info/x/") for u in labelled_urls(200, seed=8)]
+    both = pages.unionByName(spark.createDataFrame(list(enumerate(free, 10_000)), "page_id long, url string"))
+    got = {r["page_id"]: r["verdict"] for r in U.url_filter(both, rules=rules).where("rule is null").collect()}
+    assert sum(got[10_000 + i] == ("block" if "shop" in u else "allow") for i, u in enumerate(free)) >= 0.95 * len(free)
+
+
 def test_url_statistics_cover_all_labelled_rows(spark):
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(8))

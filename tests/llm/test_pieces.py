@@ -2,8 +2,10 @@
 
 import functools
 import os
+from collections import Counter
 
 import pytest
+import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -65,3 +67,15 @@ def test_tables(spark):
     both = P.decode(P.encode(df.drop("ids")))
     assert all(r["text"] == r["decoded"] for r in both.collect())
     assert P.round_trip(df.limit(0)).count() == 0
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.001"), reason="no test tables")
+def test_agreement_with_replayed_merges(spark, encoder):
+    """Ids that both ways of segmenting give; the README states the share at sf0.01."""
+    reader = sentencepiece.SentencePieceProcessor(model_file=P.DEFAULT_MODEL)
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").where("text is not null").collect()]
+    ids, lengths = encoder.encode(texts)
+    ends = lengths.cumsum()
+    replayed = reader.encode(texts)
+    common = sum((Counter(ids[e - n : e].tolist()) & Counter(other)).total() for e, n, other in zip(ends.tolist(), lengths.tolist(), replayed))
+    assert common >= 0.85 * sum(map(len, replayed)) and len(ids) <= 1.01 * sum(map(len, replayed))

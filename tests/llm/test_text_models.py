@@ -56,6 +56,32 @@ def test_grams_equal_plain_counting():
     assert grams.lettered.tolist() == [True, False, False, True, True]
 
 
+def test_bundles_and_cosines_equal_plain_sums(spark):
+    """Vectors bound letter by letter, added gram by gram, against the operator."""
+    size = 256
+    letter = lambda c: np.random.default_rng(ord(c)).integers(0, 2, size).astype(int) * 2 - 1
+
+    def bundle(text):
+        spaced = " " + " ".join("".join(c if c.isalpha() else " " for c in (text or "").lower()).split()) + " "
+        out = np.zeros(size)
+        for a, b, c in zip(spaced, spaced[1:], spaced[2:]) if spaced.strip() else ():
+            out += np.roll(letter(a), 2) * np.roll(letter(b), 1) * letter(c)
+        return out
+
+    df, rows = docs(spark, 40)
+    profiles = L.learn(df, dimensions=size)
+    for lang in SYLLABLES:
+        assert np.allclose(profiles[lang], sum(bundle(t) for _, x, t, _ in rows if x == lang))
+    for r in L.identify(df.select("doc_id", "text"), profiles).collect():
+        mine = bundle(r["text"])
+        cosines = {k: float(mine @ v / np.linalg.norm(mine) / np.linalg.norm(v)) if mine.any() else 0.0 for k, v in profiles.items()}
+        if mine.any():
+            assert math.isclose(r["score"], max(0.0, max(cosines.values())), abs_tol=1e-6)
+            assert cosines[r["lang_pred"]] >= max(cosines.values()) - 1e-6
+        else:
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+
+
 def brute_likelihood(model, symbols):
     """The sum over all state paths."""
     import itertools
