@@ -16,12 +16,23 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+def hamming_words(a: Column, b: Column) -> Column:
+    """Differing bits of two arrays of words, of as many each."""
+    return F.aggregate(F.zip_with(a, b, hamming), F.lit(0), lambda s, x: s + x)
+
+
 def packed_bits(flags: Column) -> Column:
     """An array of up to 63 booleans as one number, the first as bit 0."""
     numbered = F.transform(flags, lambda flag, i: F.when(flag, F.pow(F.lit(2.0), i).cast("long")).otherwise(F.lit(0).cast("long")))
     return F.aggregate(numbered, F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x))
 
 
+def packed_words(flags: Column, width: int = 32) -> Column:
+    """An array of booleans, however many, as an array of numbers of ``width`` bits."""
+    starts = F.sequence(F.lit(0), F.size(flags) - 1, F.lit(width))
+    return F.when(F.size(flags) > 0, F.transform(starts, lambda i: packed_bits(F.slice(flags, i + 1, F.lit(width))))).otherwise(F.array().cast("array<bigint>"))
+
+
 def preview_similarity(song: Column, preview: Column) -> Column:
     """The best share of equal bits of 32-bit words when the shorter print slides over the longer; windows that cover at least 90 % of it count. Rounded to 3 digits; null for an empty print."""
     longer = F.size(song) >= F.size(preview)

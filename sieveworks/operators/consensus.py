@@ -6,7 +6,7 @@ ranking works on one row for each group and value. Ties go to the smaller value.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -20,22 +20,54 @@ def majority(df: DataFrame, by: Sequence[str], value: str, out: str = "winner")
     return votes.groupBy(*by).agg(best, F.max("n").alias("votes"), F.sum("n").alias("all_votes"))
 
 
-def two_votes(df: DataFrame, by: Sequence[str], value: str, least_votes: int = 3, least_share: float = 0.2, ignored: Sequence[str] = (), doubtful_share: float = 0.7) -> DataFrame:
+def _has(lists: Mapping[str, Sequence[str]], name: Column, value: Column) -> Column:
+    """Whether the list of ``name`` holds ``value``."""
+    out = F.lit(False)
+    for key, values in lists.items():
+        out = out | ((name == key) & value.isin(*values))
+    return out
+
+
+def two_votes(
+    df: DataFrame, by: Sequence[str], value: str, least_votes: int = 3, least_share: float = 0.2, prevails: Mapping[str, Sequence[str]] | None = None, ignored: Mapping[str, Sequence[str]] | None = None, doubtful_share: float = 0.7
+) -> DataFrame:
     """First and second choice of each group.
 
-    second is null unless it has ``least_votes`` and ``least_share`` of all votes and isn't
-    ignored. doubtful: the first has less than ``doubtful_share`` of at least three votes
-    for more than one value.
+    first is the most frequent value, unless one of ``prevails`` (value: the values that it
+    beats) has a vote and beats it. second is the most frequent of the others that
+    ``ignored`` (first choice: values) doesn't name for this first choice; it needs
+    ``least_votes`` and ``least_share`` of all votes. doubtful: the first has less than
+    ``doubtful_share`` of at least three votes for more than one value.
     """
     votes = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
     group = W.partitionBy(*by)
-    ranked = votes.withColumns({"place": F.row_number().over(group.orderBy(F.desc("n"), value)), "all": F.sum("n").over(group), "kinds": F.count("*").over(group)})
-    counts = (F.col("n") >= least_votes) & (F.col("n") >= least_share * F.col("all")) & ~F.col(value).isin(*ignored)
-    first = F.max(F.when(F.col("place") == 1, F.col(value))).alias("first")
-    second = F.max(F.when((F.col("place") == 2) & counts, F.col(value))).alias("second")
-    share = F.max(F.when(F.col("place") == 1, F.col("n") / F.col("all")))
+    ranked = votes.withColumns({"_most": F.first(value).over(group.orderBy(F.desc("n"), value)), "all": F.sum("n").over(group), "kinds": F.count("*").over(group)})
+    for strong, beaten in reversed((prevails or {}).items()):
+        there = F.max(F.when(F.col(value) == strong, True)).over(group).isNotNull()
+        ranked = ranked.withColumn("_strong", F.when(there & F.col("_most").isin(*beaten), strong).otherwise(F.col("_strong") if "_strong" in ranked.columns else F.lit(None)))
+    top = F.coalesce("_strong", "_most") if prevails else F.col("_most")
+    ranked = ranked.withColumn("_top", top)
+    counts = (F.col(value) != F.col("_top")) & (F.col("n") >= least_votes) & (F.col("n") >= least_share * F.col("all")) & ~_has(ignored or {}, F.col("_top"), F.col(value))
+    second = F.min_by(F.when(counts, F.col(value)), F.when(counts, F.struct(-F.col("n"), F.col(value)))).alias("second")
+    share = F.max(F.when(F.col(value) == F.col("_top"), F.col("n") / F.col("all")))
     doubtful = ((share < doubtful_share) & (F.max("all") >= 3) & (F.max("kinds") > 1)).alias("doubtful")
-    return ranked.groupBy(*by).agg(first, second, F.max("all").alias("votes"), doubtful)
+    return ranked.groupBy(*by).agg(F.max("_top").alias("first"), second, F.max("all").alias("votes"), doubtful)
+
+
+def agreed_date(df: DataFrame, by: Sequence[str], date: str, folder_year: str) -> DataFrame:
+    """The date of each album: the most frequent of those of the folder's year, else that year; without one, the most frequent of all. Albums with neither are left out."""
+    year = F.coalesce(F.col(folder_year), F.lit(""))
+    rows = df.select(*by, year.alias("_year"), F.coalesce(F.col(date), F.lit("")).alias("_date"))
+    fits = rows.where("_date <> '' and (_year = '' or substr(_date, 1, 4) = _year)")
+    best = majority(fits, [*by, "_year"], "_date", "_best").select(*by, "_year", "_best")
+    out = rows.select(*by, "_year").distinct().join(best, [*by, "_year"], "left")
+    return out.select(*by, F.coalesce("_best", F.nullif(F.col("_year"), F.lit(""))).alias("date")).where("date is not null")
+
+
+def usual_combination(df: DataFrame, by: Sequence[str], values: str, without: Sequence[str] = ()) -> DataFrame:
+    """The most frequent list of values of each group, members of ``without`` left out of all; empty lists don't vote."""
+    rows = df.select(*by, F.filter(values, lambda x: ~x.isin(*without)).alias("_list")).where(F.size("_list") > 0)
+    return majority(rows, by, "_list", values).select(*by, values, "votes")
 
 
 def with_overrides(df: DataFrame, overrides: DataFrame, on: Sequence[str], value: str, fixed: str) -> DataFrame:
@@ -45,18 +77,19 @@ def with_overrides(df: DataFrame, overrides: DataFrame, on: Sequence[str], value
 
 
 def survivors(df: DataFrame, by: Sequence[str], order: Sequence[Column], id_col: str, spread: Column | None = None, most_spread: float | None = None) -> DataFrame:
-    """For each group of two or more: keeper (the first id by ``order``) and dropped, all other ids sorted.
+    """(by, keeper, n, dropped): a row for every row of a group of two or more that isn't its keeper, the first id by ``order``; n is the size of the group.
 
     With ``spread``, a group whose largest value lies more than ``most_spread`` above its
-    smallest is left out whole.
+    smallest is left out whole. Groups stay rows: however many members one has, no task
+    holds them.
     """
-    aggregates = [F.min_by(F.col(id_col), F.struct(*order, F.col(id_col))).alias("keeper"), F.count("*").alias("n"), F.array_sort(F.collect_list(id_col)).alias("ids")]
+    aggregates = [F.min_by(F.col(id_col), F.struct(*order, F.col(id_col))).alias("keeper"), F.count("*").alias("n")]
     if spread is not None:
         aggregates.append((F.max(spread) - F.min(spread)).alias("spread"))
-    out = df.groupBy(*by).agg(*aggregates).where("n > 1")
+    best = df.groupBy(*by).agg(*aggregates).where("n > 1")
     if spread is not None:
-        out = out.where(F.col("spread") <= most_spread)
-    return out.select(*by, "keeper", "n", F.array_remove("ids", F.col("keeper")).alias("dropped"))
+        best = best.where(F.col("spread") <= most_spread).drop("spread")
+    return df.select(*by, F.col(id_col).alias("dropped")).join(best, [*by]).where("dropped <> keeper").select(*by, "keeper", "n", "dropped")
 
 
 def conflicts(df: DataFrame, by: Sequence[str], differs: str, spread: Column, most_spread: float) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +26,8 @@ def classify(files: DataFrame, now: Column, warn: int = T.WARN_DAYS, delete: int
 
     Columns of ``files``: replaced, starred (boolean), promoted, warned, last_listen,
     downloaded (timestamps or null), recent (listens in the trailing window). Deleting
-    needs the memory of a warning that is ``notice`` days old.
+    needs the memory of a warning that is ``notice`` days old. Starred and promoted files
+    are neither warned, deleted nor let off a warning.
     """
     idle = (F.unix_timestamp(now) - F.unix_timestamp(F.coalesce("last_listen", "downloaded"))) / 86400
     since = lambda c: (F.unix_timestamp(now) - F.unix_timestamp(c)) / 86400
@@ -35,12 +38,37 @@ def classify(files: DataFrame, now: Column, warn: int = T.WARN_DAYS, delete: int
         .when(F.col("promoted").isNull() & (F.coalesce("recent", F.lit(0)) >= least), "promote")
         .when(free & (idle >= delete) & F.col("warned").isNotNull() & (since("warned") >= notice), "delete")
         .when(free & (idle >= warn) & F.col("warned").isNull(), "warn")
-        .when(F.col("warned").isNotNull() & (idle < warn), "cancel")
+        .when(free & F.col("warned").isNotNull() & (idle < warn), "cancel")
         .otherwise("keep")
     )
     return files.withColumns({"idle_days": idle, "action": action})
 
 
+def settled(files: DataFrame, changed: str, now: Column, seconds: int = 60) -> DataFrame:
+    """Files that weren't changed in the last ``seconds``: younger ones may still be written."""
+    return files.where(F.unix_timestamp(now) - F.unix_timestamp(changed) >= seconds)
+
+
+def downloaded(files: DataFrame, sources: Sequence[str], out: str = "downloaded") -> DataFrame:
+    """``out``: the first time that is known of ``sources``, such as the download's record, the player's, the file's own."""
+    return files.withColumn(out, F.coalesce(*sources))
+
+
+def replacements(files: DataFrame, library: DataFrame, file: str, path: str, isrc: str, seconds: str, key: Sequence[str]) -> DataFrame:
+    """(file, path): the library's song of each trial file that has one.
+
+    First by ISRC where the durations agree, then by ``key`` within 3 seconds, where only
+    one song is a candidate. Of several songs with the ISRC the first path counts, and only
+    its duration is compared.
+    """
+    known = library.where(F.coalesce(F.col(isrc), F.lit("")) != "").groupBy(isrc).agg(F.min_by(F.struct(path, seconds), path).alias("_s"))
+    by_isrc = files.join(known, isrc).where(~T.other_version(F.col(seconds), F.col(f"_s.{seconds}"))).select(file, F.col(f"_s.{path}").alias(path))
+    songs = library.select(*key, path, F.col(seconds).alias("_seconds"))
+    near = files.join(by_isrc.select(file), file, "left_anti").join(songs, [*key]).where(F.abs(F.col(seconds) - F.col("_seconds")) <= 3)
+    only = near.groupBy(file).agg(F.count("*").alias("_n"), F.min(path).alias(path)).where("_n = 1").select(file, path)
+    return by_isrc.unionByName(only)
+
+
 def live_state(state: DataFrame, files: DataFrame, item: str) -> DataFrame:
     """State of files that still exist."""
     return state.join(files.select(item).distinct(), item, "left_semi")

@@ -120,13 +120,14 @@ def trailing_promote(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def funnel_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every song as a trial file: warned after 5 idle days, deleted after 10; songs with an odd artist were warned 3 days ago, every seventh artist's are starred."""
+    """Every song as a trial file: warned after 5 idle days, deleted after 10; songs with an odd artist were warned 3 days ago, every seventh artist's are starred, every fifth's were promoted 3 or 20 days ago."""
     rows = events(spark, sf_dir).where("listen")
     end = rows.agg(F.max("ts")).scalar()
     heard = rows.groupBy(*SONG).agg(F.max("ts").alias("last_listen"), F.min("ts").alias("downloaded"))
     files = heard.withColumns(
         {
-            "recent": F.lit(0), "replaced": F.col("artist_key") % 11 == 0, "starred": F.col("artist_key") % 7 == 0, "promoted": F.lit(None).cast("timestamp_ntz"),
+            "recent": F.col("title_key") % 5, "replaced": F.col("artist_key") % 11 == 0, "starred": F.col("artist_key") % 7 == 0,
+            "promoted": F.when(F.col("artist_key") % 10 == 0, end - F.expr("interval 20 days")).when(F.col("artist_key") % 5 == 0, end - F.expr("interval 3 days")),
             "warned": F.when(F.col("artist_key") % 2 == 1, end - F.expr("interval 3 days")),
         }
     )
@@ -160,6 +161,7 @@ ORACLE_SQL = {
     "followed_playlists": f"{S}, l as (select distinct event_type, artist_key, title_key from e), j as (select * from l join s using (artist_key, title_key)), t as (select event_type from j group by 1 having sum(listens) >= 20) select event_type, artist_key, title_key, listens from j where event_type in (select event_type from t) and listens >= 2 and done >= 1",
     "trailing_promote": f"{E}, i as (select artist_key || '/' || title_key item, ts from e where listen), m as (select max(ts) m from i) select item, count(*) recent, 28 window_days from i, m where ts >= m - interval 28 days group by 1 having count(*) >= 3 union all select item, count(*), 7 from i, m where ts >= m - interval 7 days group by 1 having count(*) >= 3",
     "funnel_states": f"""{E}, i as (select artist_key, title_key, max(ts) last_listen from e where listen group by all), m as (select max(last_listen) m from i),
-      f as (select *, (epoch(date_trunc('second', m)) - epoch(date_trunc('second', last_listen))) / 86400.0 idle, artist_key % 2 = 1 warned, artist_key % 7 = 0 starred from i, m)
-      select artist_key, title_key, round(idle, 6) idle_days, case when artist_key % 11 = 0 then 'replace' when not starred and idle >= 10 and warned then 'delete' when not starred and idle >= 5 and not warned then 'warn' when warned and idle < 5 then 'cancel' else 'keep' end as action from f""",
+      f as (select *, (epoch(date_trunc('second', m)) - epoch(date_trunc('second', last_listen))) / 86400.0 idle, artist_key % 2 = 1 warned, artist_key % 7 = 0 starred, artist_key % 5 = 0 promoted from i, m)
+      select artist_key, title_key, round(idle, 6) idle_days, case when artist_key % 11 = 0 then 'replace' when promoted then case when artist_key % 10 = 0 then 'adopt' else 'keep' end when title_key % 5 >= 3 then 'promote' when starred then 'keep'
+        when warned then case when idle < 5 then 'cancel' when idle >= 10 then 'delete' else 'keep' end when idle >= 5 then 'warn' else 'keep' end as action from f""",
 }

@@ -27,9 +27,9 @@ def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hamming_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Differing signs in the first 60 components of neighbours."""
-    sign = lambda c: similarity.packed_bits(F.transform(F.slice(c, 1, 60), lambda x: x > 0))
-    return _neighbours(spark, sf_dir).select("vec_id", similarity.hamming(sign("embedding"), sign("next")).cast("long").alias("bits"))
+    """Differing signs of the components of neighbours."""
+    sign = lambda c: similarity.packed_words(F.transform(c, lambda x: x > 0))
+    return _neighbours(spark, sf_dir).select("vec_id", similarity.hamming_words(sign("embedding"), sign("next")).cast("long").alias("bits"))
 
 
 def _words(column: str):
@@ -58,7 +58,7 @@ QUERIES = {f.__name__: f for f in (loudness_album_gain, hamming_similarity, prev
 _N = "with n as (select a.vec_id, a.embedding e, b.embedding f from embeddings a join embeddings b on b.vec_id = a.vec_id + 1)"
 ORACLE_SQL = {
     "loudness_album_gain": "with a as (select l_orderkey, 10 * log10(sum(l_quantity * pow(10, (-100 * l_discount - 5) / 10)) / sum(l_quantity)) lufs, max(pow(10, -100 * l_tax / 20)) peak from lineitem group by 1) select l_orderkey, round(lufs, 6) lufs, round(-18 - lufs, 6) gain, round(peak, 6) peak from a",
-    "hamming_similarity": f"{_N} select vec_id, cast(list_sum(list_transform(range(1, 61), lambda i: case when (e[i] > 0) <> (f[i] > 0) then 1 else 0 end)) as bigint) bits from n",
+    "hamming_similarity": f"{_N} select vec_id, cast(list_sum(list_transform(range(1, len(e) + 1), lambda i: case when (e[i] > 0) <> (f[i] > 0) then 1 else 0 end)) as bigint) bits from n",
     "preview_similarity": f"""{_N}, w as (select vec_id, list_transform(e, lambda x: ((cast(floor(cast(x as float) * 1000) as bigint) % 2147483648) + 2147483648) % 2147483648) a, list_transform(f[1:20], lambda x: ((cast(floor(cast(x as float) * 1000) as bigint) % 2147483648) + 2147483648) % 2147483648) b from n)
       select vec_id, round(list_max(list_transform(range(0, len(a) - 18 + 1), lambda o: list_sum(list_transform(range(1, least(20, len(a) - o) + 1), lambda i: 32 - bit_count(xor(a[o + i], b[i])))) / (32.0 * least(20, len(a) - o)))), 3) similarity from w""",
     "edit_similarity": "with p as (select distinct p_brand, p_type from part), f as (select p_brand, min(p_type) m from p group by 1) select p_brand, p_type, round(1 - levenshtein(p_type, m) / greatest(len(p_type), len(m), 1), 6) similarity from p join f using (p_brand)",

@@ -16,8 +16,8 @@ def dedupe_survivor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equal texts: the document of the most frequent language, then the longest, then the smallest id survives."""
     docs = _t(spark, sf_dir, "documents").where("text is not null").select("doc_id", "lang", "n_chars", F.md5("text").alias("key"))
     langs = docs.groupBy("lang").agg(F.count("*").alias("of_lang"))
-    out = consensus.survivors(docs.join(langs, "lang"), ["key"], [-F.col("of_lang"), -F.col("n_chars")], "doc_id")
-    return out.select("keeper", "n", F.array_join(F.transform("dropped", lambda x: x.cast("string")), ",").alias("dropped"))
+    docs = docs.join(langs, "lang", "left").withColumn("of_lang", F.coalesce("of_lang", F.lit(0)))
+    return consensus.survivors(docs, ["key"], [-F.col("of_lang"), -F.col("n_chars")], "doc_id").select("keeper", "n", "dropped")
 
 
 def dedupe_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,8 +27,9 @@ def dedupe_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def genre_two_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Segments of each nation's customers as its genres."""
-    return consensus.two_votes(_t(spark, sf_dir, "customer"), ["c_nationkey"], "c_mktsegment", ignored=["FURNITURE"])
+    """Segments of each nation's customers as its genres; machinery beats automobiles, and household makes furniture and building count for nothing."""
+    rules = {"prevails": {"MACHINERY": ["AUTOMOBILE"]}, "ignored": {"HOUSEHOLD": ["FURNITURE", "BUILDING"], "FURNITURE": ["MACHINERY"]}}
+    return consensus.two_votes(_t(spark, sf_dir, "customer"), ["c_nationkey"], "c_mktsegment", **rules)
 
 
 def fixed_override_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,12 +78,13 @@ QUERIES = {f.__name__: f for f in (dedupe_survivor, dedupe_conflicts, genre_two_
 
 _V = "v as (select c_nationkey, c_mktsegment, count(*) n from customer where c_mktsegment is not null group by all)"
 ORACLE_SQL = {
-    "dedupe_survivor": """with l as (select lang, count(*) of_lang from documents where text is not null group by 1), d as (select md5(text) key, doc_id, of_lang, n_chars from documents join l using (lang) where text is not null),
-      g as (select key, first(doc_id order by of_lang desc, n_chars desc, doc_id) keeper, count(*) n, list(doc_id order by doc_id) ids from d group by 1 having count(*) > 1) select keeper, n, array_to_string(list_filter(ids, lambda x: x <> keeper), ',') dropped from g""",
+    "dedupe_survivor": """with l as (select lang, count(*) of_lang from documents where text is not null group by 1), d as (select md5(text) key, doc_id, coalesce(of_lang, 0) of_lang, n_chars from documents left join l using (lang) where text is not null),
+      g as (select key, first(doc_id order by of_lang desc, n_chars desc, doc_id) keeper, count(*) n from d group by 1 having count(*) > 1) select keeper, n, doc_id dropped from d join g using (key) where doc_id <> keeper""",
     "dedupe_conflicts": "select p_name, p_brand, count(*) n, count(distinct p_type) kinds, round(max(p_retailprice) - min(p_retailprice), 4) spread from part group by 1, 2 having count(*) > 1 and count(distinct p_type) > 1 and max(p_retailprice) - min(p_retailprice) <= 3",
-    "genre_two_votes": f"""with {_V}, r as (select *, row_number() over (partition by c_nationkey order by n desc, c_mktsegment) place, sum(n) over (partition by c_nationkey) a, count(*) over (partition by c_nationkey) kinds from v)
-      select c_nationkey, max(c_mktsegment) filter (place = 1) as first, max(c_mktsegment) filter (place = 2 and n >= 3 and n >= 0.2 * a and c_mktsegment not in ('FURNITURE')) as second, cast(max(a) as bigint) votes,
-      max(n / a) filter (place = 1) < 0.7 and max(a) >= 3 and max(kinds) > 1 doubtful from r group by 1""",
+    "genre_two_votes": f"""with {_V}, m as (select c_nationkey, first(c_mktsegment order by n desc, c_mktsegment) most, max(n) filter (c_mktsegment = 'MACHINERY') machines, sum(n) a, count(*) kinds from v group by 1),
+      t as (select *, case when most = 'AUTOMOBILE' and machines > 0 then 'MACHINERY' else most end top from m),
+      o as (select c_nationkey, first(c_mktsegment order by n desc, c_mktsegment) o, max(n) o_n from v join t using (c_nationkey) where c_mktsegment <> top and not (top = 'HOUSEHOLD' and c_mktsegment in ('FURNITURE', 'BUILDING')) and not (top = 'FURNITURE' and c_mktsegment = 'MACHINERY') group by 1)
+      select c_nationkey, top as first, case when o_n >= 3 and o_n >= 0.2 * a then o end as second, cast(a as bigint) votes, (select n from v where v.c_nationkey = t.c_nationkey and c_mktsegment = top) / a < 0.7 and a >= 3 and kinds > 1 doubtful from t left join o using (c_nationkey)""",
     "fixed_override_vote": f"with {_V} select c_nationkey, case c_nationkey when 3 then 'FIXED' when 7 then 'OTHER' else first(c_mktsegment order by n desc, c_mktsegment) end genre, max(n) votes, c_nationkey in (3, 7) overridden from v group by 1",
     "consensus_date": "with v as (select o_custkey, year(o_orderdate) as year, strftime(o_orderdate, '%Y-%m') m, count(*) n from orders group by all) select o_custkey, cast(year as int) as year, first(m order by n desc, m) winner, max(n) votes from v group by o_custkey, year",
     "majority_home": "with v as (select l_suppkey, l_returnflag, count(*) n from lineitem where l_returnflag is not null group by all) select l_suppkey, first(l_returnflag order by n desc, l_returnflag) winner, max(n) votes, cast(sum(n) as bigint) all_votes from v group by 1",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,8 +24,10 @@ HISTORY = T.StructType(
         T.StructField("master_metadata_album_album_name", T.StringType()),
     ]
 )
+#: Ways of starting a song that are a choice of it.
+DELIBERATE = ("clickrow", "playbtn", "backbtn")
 PLAYLISTS = "playlists array<struct<name: string, items: array<struct<track: struct<trackName: string, artistName: string, albumName: string, trackUri: string>>>>>"
-LOGS = "cambios array<struct<old: string, new: string>>, quitadas array<string>"
+LOGS = "cambios array<struct<old_path: string, new_path: string>>, quitadas array<string>"
 
 
 def is_audio(name: Column) -> Column:
@@ -39,17 +42,17 @@ def audio_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def lossy(extension: Column, codec: Column) -> Column:
-    """Whether the format loses quality."""
-    return F.when(extension == "flac", False).when(extension.isin("m4a", "mp4"), F.coalesce(codec != "alac", F.lit(True))).otherwise(True)
+    """Whether the format loses quality; an unknown one counts as lossless."""
+    return F.when(extension.isin("mp3", "ogg", "oga", "opus"), True).when(extension.isin("m4a", "mp4"), F.coalesce(codec != "alac", F.lit(True))).otherwise(False)
 
 
-def history(spark: SparkSession, path: str) -> DataFrame:
-    """Streaming history from JSON arrays, events without a link or a track name left out."""
-    rows = spark.read.schema(HISTORY).option("multiLine", True).option("recursiveFileLookup", True).json(path)
+def history(spark: SparkSession, path: str, names: str = "Streaming_History_Audio_*.json") -> DataFrame:
+    """Streaming history from JSON arrays in files of the given names, at any depth; events without a link or a track name left out."""
+    rows = spark.read.schema(HISTORY).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", names).json(path)
     return rows.where("coalesce(spotify_track_uri, '') <> '' and coalesce(master_metadata_track_name, '') <> ''")
 
 
-def history_events(rows: DataFrame, deliberate: tuple[str, ...] = ("clickrow", "playbtn", "remote")) -> DataFrame:
+def history_events(rows: DataFrame, deliberate: tuple[str, ...] = DELIBERATE) -> DataFrame:
     """History rows as events of song keys, see :mod:`sieveworks.operators.history`."""
     return rows.select(
         keys.artist_key(F.col("master_metadata_album_artist_name")).alias("artist_key"),
@@ -90,24 +93,55 @@ def json_state(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame,
     return parsed.where("r._broken is null").select("r.*").drop("_broken"), parsed.where("r._broken is not null").select(F.col("value").alias("broken"))
 
 
-def change_logs(spark: SparkSession, path: str) -> DataFrame:
-    """(seq, old, new) of change-log files in the order of their names; within a file changes come before removals."""
-    files = spark.read.schema(LOGS).option("multiLine", True).json(path).select("*", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"))
-    moved = files.select("file", F.posexplode("cambios").alias("pos", "c")).select("file", F.lit(0).alias("kind"), "pos", "c.old", "c.new")
-    gone = files.select("file", F.posexplode("quitadas").alias("pos", "old")).select("file", F.lit(1).alias("kind"), "pos", "old", F.lit(None).cast("string").alias("new"))
-    # one number in file order without a global sort: files are counted first
-    rows = moved.unionByName(gone)
-    sizes = rows.groupBy("file").agg(F.max("pos").alias("most"))
-    starts = sizes.withColumn("start", F.sum(2 * (F.col("most") + 1)).over(_by_file()) - 2 * (F.col("most") + 1))
-    joined = rows.join(starts.select("file", "most", "start"), "file")
+def change_logs(spark: SparkSession, pending: str, explicit: str | None = None) -> DataFrame:
+    """(seq, old, new): the records of change-log files in order; new is null for a removal.
+
+    ``explicit`` files come first, by the time of their last change, then the ``pending``
+    ones by name. Within a file changes come before removals. Changes with an empty end and
+    removals of nothing are skipped.
+    """
+    files = _logs(spark, pending, F.lit(1), F.lit(None).cast("timestamp"))
+    if explicit is not None:
+        files = _logs(spark, explicit, F.lit(0), F.col("_metadata.file_modification_time")).unionByName(files)
+    file = ["source", "changed", "file"]
+    moved = files.select(*file, F.posexplode("cambios").alias("pos", "c")).select(*file, F.lit(0).alias("kind"), "pos", F.col("c.old_path").alias("old"), F.col("c.new_path").alias("new"))
+    gone = files.select(*file, F.posexplode("quitadas").alias("pos", "old")).select(*file, F.lit(1).alias("kind"), "pos", "old", F.lit(None).cast("string").alias("new"))
+    rows = moved.where("coalesce(old, '') <> '' and coalesce(new, '') <> ''").unionByName(gone.where("coalesce(old, '') <> ''"))
+    # one number in file order without a global sort of the records: the window has one row a file
+    sizes = rows.groupBy(*file).agg(F.max("pos").alias("most"))
+    number = F.sum(2 * (F.col("most") + 1)).over(W.orderBy(*file).rowsBetween(W.unboundedPreceding, 0)) - 2 * (F.col("most") + 1)
+    starts = sizes.select(F.col("source").alias("_source"), F.col("file").alias("_file"), "most", number.alias("start"))
+    joined = rows.join(starts, (F.col("source") == F.col("_source")) & (F.col("file") == F.col("_file")))
     return joined.select((F.col("start") + F.col("kind") * (F.col("most") + 1) + F.col("pos")).cast("long").alias("seq"), "old", "new")
 
 
-def _by_file():
-    """All files in the order of their names: one row a file, not one a record."""
-    from pyspark.sql import Window
+def _logs(spark: SparkSession, path: str, source: Column, changed: Column) -> DataFrame:
+    return spark.read.schema(LOGS).option("multiLine", True).json(path).select("cambios", "quitadas", source.alias("source"), changed.alias("changed"), F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"))
 
-    return Window.orderBy("file").rowsBetween(Window.unboundedPreceding, 0)
+
+#: Tables of a player's database and the columns that are used of each.
+PLAYER = {
+    "media_file": "id string, path string, missing boolean, created_at timestamp, artist string, title string, tags string, album_id string, mbz_recording_id string",
+    "scrobbles": "media_file_id string, submission_time double",
+    "annotation": "item_type string, item_id string, user_id string, play_count long, play_date timestamp, starred boolean, starred_at timestamp, rating int",
+    "playlist": "id string, name string, owner_id string, path string, public boolean, song_count int",
+    "playlist_tracks": "playlist_id string, id long, media_file_id string",
+    "album": "id string, name string",
+    "user": "id string, user_name string",
+}
+
+
+def player_table(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    """A table of a player's database, exported as Parquet ``folder/table.parquet``, with the columns of :data:`PLAYER`; absent ones are null."""
+    rows = spark.read.parquet(f"{folder}/{table}.parquet")
+    return rows.select(*((F.col(name) if name in rows.columns else F.lit(None)).cast(kind).alias(name) for name, kind in (c.split() for c in PLAYER[table].split(", "))))
+
+
+def library_scan(spark: SparkSession, path: str, facts: str) -> DataFrame:
+    """Facts about audio files from JSON lines with the schema ``facts``; a line that can't be read stays as a row with its text in ``error``."""
+    text = spark.read.text(path)
+    parsed = F.from_json("value", f"{facts}, error string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "error"})
+    return text.where("trim(value) <> ''").select(parsed.alias("r")).select("r.*")
 
 
 def page_facts(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -123,6 +157,19 @@ def page_facts(pages: DataFrame, html: str = "html") -> DataFrame:
     )
 
 
+def page_metadata(pages: DataFrame, html: str = "html") -> DataFrame:
+    """``pages`` with what a song's page says of itself: ``meta`` (property or name to content), ``data`` (the JSON of a __NEXT_DATA__ script, else null), and its ``duration_ms`` and ``preview`` link."""
+    page = F.coalesce(F.col(html), F.lit(""))
+    tag = r"""(?is)<meta\s+(?:property|name)=["']([^"']+)["']\s+content=["']([^"']*)["']"""
+    pairs = F.arrays_zip(F.transform(F.regexp_extract_all(page, F.lit(tag), F.lit(1)), F.lower).alias("k"), F.transform(F.regexp_extract_all(page, F.lit(tag), F.lit(2)), keys.unescaped).alias("v"))
+    # of a repeated name the first counts
+    first = F.aggregate(pairs, F.create_map().cast("map<string,string>"), lambda m, p: F.when(F.map_contains_key(m, p["k"]), m).otherwise(F.map_concat(m, F.create_map(p["k"], p["v"]))))
+    data = F.nullif(F.regexp_extract(page, r"(?is)<script[^>]*id=[\"']__NEXT_DATA__[\"'][^>]*>(.*?)</script>", 1), F.lit(""))
+    number = F.nullif(F.regexp_extract(page, r'"duration(?:_ms|Ms)?":\s*(?:\{"totalMilliseconds":\s*)?([0-9]+)', 1), F.lit("")).cast("long")
+    preview = F.nullif(F.regexp_extract(page, r'"audioPreview":\s*\{\s*"url":\s*"([^"]+)"', 1), F.lit(""))
+    return pages.withColumns({"meta": first, "data": data, "duration_ms": number, "preview": preview})
+
+
 def lookup_status(lookups: DataFrame, body: str = "body") -> DataFrame:
     """``status`` of cached lookups: found, absent ({} or not found) or unknown (no answer); unknown is never absent."""
     value = F.col(body)

@@ -13,9 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; set to a temporary one only where it is unset."""
+    """The folder that ``spark.checkpoint.dir`` names. Where it is unset, a temporary one is set for a local master; on a cluster, whose machines don't share one, that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="sieveworks-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

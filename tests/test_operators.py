@@ -100,9 +100,32 @@ def test_votes(spark):
     assert rows(consensus.two_votes(df, ["k"], "v", least_votes=2)) == [("g", "b", "a", 7, True), ("t", "x", None, 2, False)]
 
 
+def test_second_votes_pass_over_ignored_values(spark):
+    def vote(text, **rules):
+        df = spark.createDataFrame([("g", v) for v in text.split()], "k string, v string")
+        return tuple(consensus.two_votes(df, ["k"], "v", **rules).first())[1:3]
+
+    ignored = {"R": ("H", "L"), "T": ("L",)}
+    assert vote("R R R R R H H H H L L L P P P", ignored=ignored) == ("R", "P")
+    assert vote("R R R R R H H H H L L L P P", ignored=ignored) == ("R", None)
+    assert vote("P P P P H H H", ignored=ignored) == ("P", "H")
+    prevails = {"R": ("H", "L"), "T": ("L", "P")}
+    assert vote("H H H H R P P P", ignored=ignored, prevails=prevails) == ("R", "P")
+    assert vote("L L L L T R", prevails=prevails) == ("R", "L")
+    assert vote("P P P P R T", prevails=prevails) == ("T", "P")
+    assert vote("K K K K R T L", prevails=prevails) == ("K", None)
+
+
+def test_dates_and_combinations(spark):
+    df = spark.createDataFrame([("a", d, "2001") for d in ("2001", "2001-05-01", "2001-05-01", "1999", "1999", "1999")] + [("b", "1999", "2002"), ("c", None, ""), ("d", "1990", ""), ("d", None, "")], "album string, date string, year string")
+    assert rows(consensus.agreed_date(df, ["album"], "date", "year")) == [("a", "2001-05-01"), ("b", "2002"), ("d", "1990")]
+    songs = spark.createDataFrame([("x", ["R", "P"]), ("x", ["R", "Soundtrack", "P"]), ("x", ["R"]), ("y", ["Soundtrack"]), ("y", None)], "artist string, genres array<string>")
+    assert rows(consensus.usual_combination(songs, ["artist"], "genres", ["Soundtrack"])) == [("x", ["R", "P"], 2)]
+
+
 def test_survivor_spread_blocks_the_group(spark):
     df = spark.createDataFrame([("i", 1, 10.0), ("i", 2, 12.0), ("j", 3, 10.0), ("j", 4, 14.0), ("j", 5, 11.0)], "isrc string, id int, d double")
-    assert rows(consensus.survivors(df, ["isrc"], [-F.col("d")], "id", F.col("d"), 3.0), "isrc", "keeper", "dropped") == [("i", 2, [1])]
+    assert rows(consensus.survivors(df, ["isrc"], [-F.col("d")], "id", F.col("d"), 3.0), "isrc", "keeper", "dropped") == [("i", 2, 1)]
 
 
 def test_selection_is_independent_of_order(spark):
@@ -123,11 +146,22 @@ def test_funnel(spark):
         ("replace", True, False, None, None, ago(1), ago(9), 5), ("adopt", False, False, ago(14), None, ago(1), ago(50), 0), ("promote", False, False, None, None, ago(1), ago(9), 3),
         ("delete", False, False, None, ago(7), ago(42), ago(90), 0), ("keep", False, False, None, ago(6), ago(42), ago(90), 0), ("warn", False, False, None, None, ago(35), ago(90), 0),
         ("cancel", False, False, None, ago(3), ago(5), ago(90), 1), ("keep", False, True, None, None, ago(80), ago(90), 0), ("warn", False, False, None, None, None, ago(36), 0),
+        ("keep", False, True, None, ago(3), ago(5), ago(90), 1), ("keep", False, False, ago(2), ago(3), ago(5), ago(90), 1),
     ]
     df = spark.createDataFrame(files, "want string, replaced boolean, starred boolean, promoted timestamp, warned timestamp, last_listen timestamp, downloaded timestamp, recent int")
     assert all(r["want"] == r["action"] for r in funnel.classify(df, F.lit(now)).collect())
 
 
+def test_replacements_settling_and_dates(spark):
+    files = spark.createDataFrame([("same", "I1", 200.0, "a", "t"), ("shorter", "I1", 190.0, "x", "x"), ("by key", None, 100.0, "b", "u"), ("two", "", 100.0, "c", "v"), ("none", "I9", 1.0, "d", "w")], "file string, isrc string, s double, artist string, title string")
+    library = spark.createDataFrame([("p1", "I1", 201.0, "a", "t"), ("p2", "I1", 150.0, "a", "t"), ("p3", None, 102.9, "b", "u"), ("p4", None, 110.0, "b", "u"), ("p5", "", 100.0, "c", "v"), ("p6", "", 101.0, "c", "v")], "path string, isrc string, s double, artist string, title string")
+    assert rows(funnel.replacements(files, library, "file", "path", "isrc", "s", ["artist", "title"])) == [("by key", "p3"), ("same", "p1")]
+    now = dt.datetime(2024, 6, 1)
+    times = spark.createDataFrame([("new", now - dt.timedelta(seconds=59), None), ("old", now - dt.timedelta(seconds=60), now)], "file string, changed timestamp, recorded timestamp")
+    assert rows(funnel.settled(times, "changed", F.lit(now)), "file") == [("old",)]
+    assert [r["downloaded"] == (r["recorded"] or r["changed"]) for r in funnel.downloaded(times, ["recorded", "changed"]).collect()] == [True, True]
+
+
 def test_verdicts(spark):
     df = spark.createDataFrame([(0.7, 100.0, 100.0, "WRONG"), (0.9, 100.0, 101.0, "WRONG"), (0.9, 100.0, 120.0, "WRONG"), (None, 100.0, None, "WRONG"), (None, 100.0, 100.0, "REVIEW"), (0.1, 1.0, 1.0, "OK")], "s double, d double, r double, v string")
     out = verdicts.audio_verdict(df.withColumn("off", F.lit(11)), "s", "d", "r", "v", "off")

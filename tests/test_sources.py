@@ -39,13 +39,41 @@ def test_decisions_and_state(spark, tmp_path):
 
 
 def test_change_logs(spark, tmp_path):
-    (tmp_path / "1.json").write_text(json.dumps({"cambios": [{"old": "a", "new": "b"}], "quitadas": ["z"]}))
-    (tmp_path / "2.json").write_text(json.dumps({"cambios": [{"old": "b", "new": "c"}], "quitadas": []}))
+    (tmp_path / "1.json").write_text(json.dumps({"cambios": [{"old_path": "a", "new_path": "b"}, {"old_path": "", "new_path": "q"}, {"old_path": "r", "new_path": None}], "quitadas": ["z", ""]}))
+    (tmp_path / "2.json").write_text(json.dumps({"cambios": [{"old_path": "b", "new_path": "c"}], "quitadas": []}))
     log = readers.change_logs(spark, str(tmp_path))
     assert [tuple(r)[1:] for r in log.orderBy("seq").collect()] == [("a", "b"), ("z", None), ("b", "c")]
     assert sorted(map(tuple, changes.compact(log).collect()), key=repr) == [("a", "c"), ("b", "c"), ("z", None)]
 
 
+def test_explicit_change_logs_come_first(spark, tmp_path):
+    import os
+
+    for folder, name, old, new, when in (("pending", "1.json", "b", "c", 50), ("given", "z.json", "a", "b", 10), ("given", "a.json", "x", "a", 20)):
+        (tmp_path / folder).mkdir(exist_ok=True)
+        (tmp_path / folder / name).write_text(json.dumps({"cambios": [{"old_path": old, "new_path": new}], "quitadas": []}))
+        os.utime(tmp_path / folder / name, (1_700_000_000 + when,) * 2)
+    log = readers.change_logs(spark, str(tmp_path / "pending"), str(tmp_path / "given"))
+    assert [tuple(r)[1:] for r in log.orderBy("seq").collect()] == [("a", "b"), ("x", "a"), ("b", "c")]
+
+
+def test_player_tables_scans_and_page_metadata(spark, tmp_path):
+    spark.createDataFrame([("1", "P", "x")], "id string, name string, other string").write.parquet(str(tmp_path / "album.parquet"))
+    assert rows(readers.player_table(spark, str(tmp_path), "album")) == [("1", "P")]
+    (tmp_path / "scan.json").write_text('{"path": "a", "length_s": 3.5}\n{broken\n\n')
+    got = readers.library_scan(spark, str(tmp_path / "scan.json"), "path string, length_s double")
+    assert sorted(map(tuple, got.collect()), key=repr) == [("a", 3.5, None), (None, None, "{broken")]
+    page = """<meta property="og:title" content="A &amp; B"><meta name="music:duration" content="200"><meta property="og:title" content="again"><script id="__NEXT_DATA__" type="application/json">{"a": {"duration":{"totalMilliseconds":201000},"audioPreview":{"url":"http://p"}}}</script>"""
+    one, two = readers.page_metadata(spark.createDataFrame([(1, page), (2, None)], "i int, html string")).orderBy("i").collect()
+    assert one["meta"] == {"og:title": "A & B", "music:duration": "200"} and one["duration_ms"] == 201000 and one["preview"] == "http://p" and json.loads(one["data"])["a"]
+    assert two["meta"] == {} and two["data"] is None and two["preview"] is None
+
+
+def test_lossy(spark):
+    df = spark.createDataFrame([("flac", None), ("mp3", None), ("m4a", "alac"), ("m4a", None), ("wav", None)], "e string, c string")
+    assert [r[0] for r in df.select(readers.lossy(F.col("e"), F.col("c"))).collect()] == [False, True, False, True, False]
+
+
 def test_files_and_reports(spark, tmp_path):
     for name in ("a.FLAC", ".b.mp3", "c.txt", "d.opus"):
         (tmp_path / name).write_text("x")
