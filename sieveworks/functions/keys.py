@@ -39,27 +39,60 @@ _BRACKETED = r"[\(\[][^\)\]]*[\)\]]"
 _SIGNS = r"[^\p{L}\p{N}_]"
 
 
-def _accents() -> tuple[str, str]:
-    """Latin letters whose decomposition is one base letter and marks, and those base letters."""
-    pairs = []
-    for code in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
-        base = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
-        if len(base) == 1 and base != chr(code):
-            pairs.append((chr(code), base))
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
-
-
-_ACCENTED, _BASE = _accents()
+def _decompositions() -> tuple[dict[str, str], dict[str, str]]:
+    """Lower-case characters whose compatibility decomposition without marks is one other character, and those with none or several; Hangul, which follows a formula, left out."""
+    one, several = {}, {}
+    for code in [*range(0xD800), *range(0xE000, 0x30000)]:
+        char = chr(code)
+        if 0xAC00 <= code < 0xD7A4 or unicodedata.combining(char):
+            continue
+        base = "".join(c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c))
+        if base != char:
+            (one if len(base) == 1 else several)[char] = base
+    return one, several
+
+
+_ONE, _SEVERAL = _decompositions()
+#: Characters to translate, and their translations; the marks behind them have none and go.
+_ACCENTED, _BASE = "".join(_ONE) + "".join(chr(c) for c in range(0x30000) if unicodedata.combining(chr(c))), "".join(_ONE.values())
+#: Characters that grow when they are decomposed, in either case, and the code points between which they lie.
+_GROWING = "".join(sorted({c for x in _SEVERAL for c in (x, x.upper()) if len(c) == 1})) + "".join(map(chr, range(0xAC00, 0xD7A4)))
+_MAY_GROW = r"[\u00BC-\u00BE\u0132\u0133\u013F\u0140\u0149\u01C4-\u01CC\u01F1-\u01F3\u0344-\x{2FFFF}]"
+_PAIR, _ENTRY = "\x02", "\x01"
+#: The parts of a Hangul syllable: first consonants, vowels, last consonants.
+_HANGUL = tuple("".join(map(chr, x)) for x in (range(0x1100, 0x1113), range(0x1161, 0x1176), range(0x11A8, 0x11C3)))
+
+
+def _grown(text: Column) -> Column:
+    """Characters that decompose into several, or none, spelled out one by one."""
+    table = F.str_to_map(F.lit(_ENTRY.join(f"{a}{_PAIR}{b}" for a, b in _SEVERAL.items())), F.lit(_ENTRY), F.lit(_PAIR))
+
+    def spelled(c: Column) -> Column:
+        place = F.ascii(c) - 0xAC00
+        syllable = F.concat(
+            F.substr(F.lit(_HANGUL[0]), F.floor(place / 588).cast("int") + 1, F.lit(1)),
+            F.substr(F.lit(_HANGUL[1]), F.floor(place % 588 / 28).cast("int") + 1, F.lit(1)),
+            F.when(place % 28 > 0, F.substr(F.lit(_HANGUL[2]), place % 28, F.lit(1))).otherwise(""),
+        )
+        return F.when((c >= "\uac00") & (c <= "\ud7a3"), syllable).when(c > "\u00bb", F.coalesce(F.try_element_at(table, c), c)).otherwise(c)
+
+    return F.array_join(F.transform(F.split(text, ""), spelled), "")
 
 
 def plain(text: Column) -> Column:
-    """Lower-cased, without accents on Latin letters and without combining marks."""
-    return F.regexp_replace(F.translate(F.lower(F.coalesce(text, F.lit(""))), _ACCENTED, _BASE), r"\p{M}", "")
+    """Lower-cased, in compatibility decomposition, without combining marks, in all scripts.
+
+    Characters that stand for one other are translated; only texts with others go through
+    their characters one by one.
+    """
+    lower = F.lower(F.coalesce(text, F.lit("")))
+    grows = text.rlike(_MAY_GROW) & (F.translate(text, _GROWING, "") != text)
+    return F.translate(F.when(grows, _grown(lower)).otherwise(lower), _ACCENTED, _BASE)
 
 
 @F.pandas_udf(T.StringType())
 def exact_plain(text: pd.Series) -> pd.Series:
-    """As :func:`plain` with the full compatibility decomposition, for scripts other than Latin."""
+    """:func:`plain` outside the JVM, to hold it against."""
     return text.fillna("").map(lambda s: "".join(c for c in unicodedata.normalize("NFKD", s.lower()) if not unicodedata.combining(c)))
 
 
@@ -84,7 +117,11 @@ def base_title(text: Column) -> Column:
 
 
 def first_artist(text: Column, spanish_and: bool = False) -> Column:
-    """The first name of a credit list, as written; feat and ft only as whole words."""
+    """The first name of a credit list, as written.
+
+    feat and ft count only as whole words, on purpose: inside words they would cut names
+    such as 'Taylor Swift'.
+    """
     tail = "| y " if spanish_and else ""
     return F.element_at(F.split(F.coalesce(text, F.lit("")), rf"(?i)\s*(,|&|\bfeat\b\.?|\bft\b\.?| x | con {tail})\s*", -1), 1)
 
@@ -165,6 +202,17 @@ def credited_artists(text: Column) -> Column:
     return F.filter(F.transform(F.split(out, ","), lambda x: F.trim(x)), lambda a: a != "")
 
 
+def store_artists(text: Column) -> Column:
+    """The keys of the artists of a shop's credit."""
+    names = F.filter(F.split(F.coalesce(text, F.lit("")), r",\s*|\s+&\s+|\s+feat\.?\s+|\s+x\s+", -1), lambda a: F.trim(a) != "")
+    return F.array_distinct(F.transform(names, artist_key))
+
+
+def store_base_title(text: Column) -> Column:
+    """A shop's title up to the first credit, bracket or dash, lower-cased, without signs."""
+    return letters(F.lower(F.element_at(F.split(F.coalesce(text, F.lit("")), r"(?i)\s+(?:feat\.?|ft\.?|with)\s+|\s*[(\[]|\s+-\s+", -1), 1)))
+
+
 def credit_keys(artist: Column, title: Column) -> Column:
     """(artist_key, title_key) of every credited artist and of the credit as a whole."""
     names = F.concat(credited_artists(artist), F.array(F.coalesce(artist, F.lit(""))))
@@ -208,11 +256,17 @@ def cut_to_bytes(text: Column, most: int = 250) -> Column:
     return F.when(size(text) <= most, text).otherwise(cut)
 
 
+# Fixed value: characters that text in a wrong encoding shows.
+BROKEN = "Ã[\u0080-¿]|Â[\u0080-¿ ]|â€|�|[\\x00-\\x08\\x0b-\\x1f]"
+#: White space of Unicode.
+BLANK = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
 def text_problem(text: Column) -> Column:
-    """What is wrong with a tag's text: broken characters, edge or double spaces, HTML entities; null if nothing."""
+    """What is wrong with a tag's text: broken characters, white space at an edge, double spaces, HTML entities; null if nothing."""
     return (
-        F.when(text.rlike("Ã[\u0080-¿]|Â[\u0080-¿ ]|â€|�|[\\x00-\\x08\\x0b-\\x1f]"), "broken characters")
-        .when(text != F.trim(text), "edge spaces")
+        F.when(text.rlike(BROKEN), "broken characters")
+        .when(text.rlike(f"^{BLANK}|{BLANK}$"), "edge spaces")
         .when(F.contains(text, F.lit("  ")), "double space")
         .when(text.rlike("&(apos|amp|quot|lt|gt|#[0-9]+);"), "HTML entity")
     )

@@ -1,5 +1,8 @@
 """Text keys on hand-made values."""
 
+import os
+import unicodedata
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -61,6 +64,34 @@ def test_lists(spark):
     assert one(spark, keys.exact_plain, "ﬁｈ Ⅳ É") == "fih iv e"
 
 
+SCRIPTS = ["がんばれ プーさん", "ｶﾞｷﾞ ＡＢＣ１２３", "Ёлка Йод й", "한국어 노래 각 힣", "각", "ﬁn ﬀ ½ Ⅳ ⅳ ™ … ㎏ ㍿ ﷺ", "İstanbul ΑΣ Ǆ ǅ ŉ", "क़ख़ की", "ด้วย", "שָׁלוֹם", "ñÑ a\u0301\u0327 ￩", "𝔘𝔫𝔦 𝕏 🎉", "ᾳ ΐ ΰ Ὦ", "ł đ ø ß œ"]
+
+
+def test_plain_equals_decomposition_in_all_scripts(spark):
+    df = spark.createDataFrame([(t,) for t in [*SCRIPTS, "", None]], "t string").repartition(1)
+    for r in df.select("t", keys.plain(F.col("t")).alias("a"), keys.exact_plain("t").alias("b")).collect():
+        assert r["a"] == r["b"], r["t"]
+    for c in ([*range(0x20, 0xD800, 7)], [*range(0x10000, 0x1F200, 11)], [*range(0xF900, 0xFFFE)], [*range(0x2000, 0x3400)]):
+        text = [chr(x) + " " + chr(x).upper() for x in c if unicodedata.category(chr(x)) != "Cn"]
+        rows = spark.createDataFrame([(t,) for t in text], "t string").select("t", keys.plain(F.col("t")).alias("a"), keys.exact_plain("t").alias("b")).where("a <> b").collect()
+        assert not rows, [(r["t"], r["a"], r["b"]) for r in rows[:5]]
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.001"), reason="no test tables")
+def test_plain_equals_decomposition_on_the_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").unionByName(spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select(F.col("html").alias("text")))
+    assert docs.where(keys.plain(F.col("text")) != keys.exact_plain("text")).count() == 0
+
+
+def test_credits_of_shops_and_titles(spark):
+    assert one(spark, keys.store_artists, "Wisin & Yandel feat. Daddy x Nicky, ") == ["wisin", "yandel", "daddy", "nicky"]
+    assert one(spark, keys.store_base_title, "Song's Name (Live) - Remix") == "songsname" == one(spark, keys.store_base_title, "Song's name feat. Someone")
+    assert sorted(map(tuple, one(spark, keys.credit_keys, "A & B", "T (Live)"))) == [("a", "t|live"), ("b", "t|live")]
+    assert one(spark, keys.version_words, "Song - Live Remix Version") == ["live", "remix", "version"]
+    assert one(spark, keys.iso_epoch, "1970-01-02T00:00:01.2500000Z") == 86401.25
+    assert one(spark, keys.text_problem, "\tx") == one(spark, keys.text_problem, "x\u00a0") == "edge spaces"
+
+
 @settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.text(alphabet=st.characters(min_codepoint=32, max_codepoint=0x24F), max_size=20), min_size=1, max_size=20))
 def test_keys_are_idempotent(spark, texts):
