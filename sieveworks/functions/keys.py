@@ -55,8 +55,8 @@ def _decompositions() -> tuple[dict[str, str], dict[str, str]]:
 _ONE, _SEVERAL = _decompositions()
 #: Characters to translate, and their translations; the marks behind them have none and go.
 _ACCENTED, _BASE = "".join(_ONE) + "".join(chr(c) for c in range(0x30000) if unicodedata.combining(chr(c))), "".join(_ONE.values())
-#: Characters that grow when they are decomposed, in either case, and the code points between which they lie.
-_GROWING = "".join(sorted({c for x in _SEVERAL for c in (x, x.upper()) if len(c) == 1})) + "".join(map(chr, range(0xAC00, 0xD7A4)))
+#: Characters that grow when they are decomposed, in either case, Hangul left out, and a few ranges that hold them all.
+_GROWING = "".join(sorted({c for x in _SEVERAL for c in (x, x.upper()) if len(c) == 1}))
 _MAY_GROW = r"[\u00BC-\u00BE\u0132\u0133\u013F\u0140\u0149\u01C4-\u01CC\u01F1-\u01F3\u0344-\x{2FFFF}]"
 _PAIR, _ENTRY = "\x02", "\x01"
 #: The parts of a Hangul syllable: first consonants, vowels, last consonants.
@@ -86,7 +86,7 @@ def plain(text: Column) -> Column:
     their characters one by one.
     """
     lower = F.lower(F.coalesce(text, F.lit("")))
-    grows = text.rlike(_MAY_GROW) & (F.translate(text, _GROWING, "") != text)
+    grows = text.rlike(_MAY_GROW) & (text.rlike("[\uac00-\ud7a3]") | (F.translate(text, _GROWING, "") != text))
     return F.translate(F.when(grows, _grown(lower)).otherwise(lower), _ACCENTED, _BASE)
 
 
@@ -137,13 +137,26 @@ def title_key(text: Column) -> Column:
     'Bohemian Rhapsody - Remastered 2011' has the key of 'Bohemian Rhapsody'; a remix, a live
     take or an acoustic one has its own.
     """
-    flat = plain(text)
-    inside = F.regexp_extract_all(flat, F.lit(r"[\(\[]([^\)\]]*)[\)\]]"), F.lit(1))
-    parts = F.transform(F.split(F.regexp_replace(flat, _BRACKETED, " "), " - ", -1), lambda x: F.trim(x))
-    qualifiers = F.transform(F.concat(inside, F.slice(parts, F.lit(2), F.size(parts))), lambda x: F.trim(x))
-    other = F.filter(qualifiers, lambda q: (q != "") & ~q.rlike(SAME_RECORDING))
-    kept = F.array_sort(F.array_distinct(F.transform(other, letters)))
-    return F.concat(letters(parts[0]), F.when(F.size(kept) > 0, F.concat(F.lit("|"), F.array_join(kept, "|"))).otherwise(""))
+    return _title_key(plain(text))
+
+
+def _title_key(flat: Column) -> Column:
+    """:func:`title_key` of plain text."""
+
+    def key_of(flat: Column) -> Column:
+        inside = F.regexp_extract_all(flat, F.lit(r"[\(\[]([^\)\]]*)[\)\]]"), F.lit(1))
+        parts = F.transform(F.split(F.regexp_replace(flat, _BRACKETED, " "), " - ", -1), lambda x: F.trim(x))
+        qualifiers = _bound(parts, lambda p: F.transform(F.concat(inside, F.slice(p, F.lit(2), F.size(p))), lambda x: F.trim(x)))
+        other = F.filter(qualifiers, lambda q: (q != "") & ~q.rlike(SAME_RECORDING))
+        kept = F.array_sort(F.array_distinct(F.transform(other, letters)))
+        return F.concat(letters(parts[0]), _bound(kept, lambda k: F.when(F.size(k) > 0, F.concat(F.lit("|"), F.array_join(k, "|"))).otherwise("")))
+
+    return _bound(flat, key_of)
+
+
+def _bound(value: Column, function) -> Column:
+    """``function`` of a value that is computed once, however often the function uses it."""
+    return F.transform(F.array(value), function)[0]
 
 
 def album_base(text: Column) -> Column:
@@ -171,12 +184,20 @@ def spelled_numbers(text: Column) -> Column:
     return out
 
 
+def spelled_key(text: Column) -> Column:
+    """:func:`title_key` of :func:`spelled_numbers`."""
+    return _title_key(spelled_numbers(text))
+
+
 def version_qualifiers(text: Column) -> Column:
     """The qualifiers of a title that name a version, without a repeated base title."""
-    whole = F.split(title_key(spelled_numbers(text)), r"\|", -1)
-    base = whole[0]
-    cut = F.transform(F.slice(whole, F.lit(2), F.size(whole)), lambda q: F.when((base != "") & q.startswith(base), F.substr(q, F.length(base) + 1)).otherwise(q))
-    return F.filter(cut, lambda q: (q != "") & q.rlike(VERSION_WORDS))
+
+    def named(whole: Column) -> Column:
+        base = whole[0]
+        cut = F.transform(F.slice(whole, F.lit(2), F.size(whole)), lambda q: F.when((base != "") & q.startswith(base), F.substr(q, F.length(base) + 1)).otherwise(q))
+        return F.filter(cut, lambda q: (q != "") & q.rlike(VERSION_WORDS))
+
+    return _bound(F.split(spelled_key(text), r"\|", -1), named)
 
 
 def version_words(text: Column) -> Column:
@@ -187,7 +208,7 @@ def version_words(text: Column) -> Column:
 def title_parts(text: Column) -> Column:
     """The keys of what ' - ', ': ' and ' / ' separate."""
     parts = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+-\s+|:\s+|\s+/\s+|／", -1), lambda p: F.trim(p) != "")
-    return F.transform(parts, lambda p: title_key(spelled_numbers(p)))
+    return F.transform(parts, spelled_key)
 
 
 def non_latin_letters(text: Column) -> Column:

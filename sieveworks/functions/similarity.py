@@ -80,6 +80,10 @@ def exact_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
 
 
+# a filter on the ratio stays above it, and isn't worked into what the ratio is asked for
+exact_ratio = exact_ratio.asNondeterministic()
+
+
 def edit_similarity(a: Column, b: Column) -> Column:
     """1 - edit distance / longer length: native, and another function than :func:`exact_ratio`."""
     return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieveworks.functions import keys, similarity, tolerance
+from sieveworks.operators import match
 
 SCHEMA = "section string, severity string, key string, detail string"
 MINIMUM_SECONDS, MAXIMUM_SECONDS = 20, 1200
@@ -132,16 +133,117 @@ def covers(df: DataFrame, id_col: str, pictures: str) -> DataFrame:
     return rows.select("section", F.when(F.col("section").isin("cover missing", "cover too small"), "fix").otherwise("info").alias("severity"), "key", F.lit(None).cast("string").alias("detail"))
 
 
-def albums_alike(df: DataFrame, artist: str, album: str, exceptions: DataFrame) -> DataFrame:
-    """Album folders of one artist with the same core or base name or nearly so; pairs of the exception table (folder_1, folder_2) in either order are left out."""
-    rows = df.select(F.col(artist).alias("artist"), F.col(album).alias("a")).distinct()
-    rows = rows.withColumns({"core_a": keys.album_core(F.col("a")), "base_a": keys.album_base(F.col("a"))})
-    other = rows.withColumnsRenamed({"a": "b", "core_a": "core_b", "base_a": "base_b"})
+def albums_alike(df: DataFrame, artist: str, folder: str, exceptions: DataFrame, release_groups: str | None = None) -> DataFrame:
+    """Pairs of one artist's album folders (YYYY - Name) that may be one album; pairs of the exception table (folder_1, folder_2) in either order are left out.
+
+    misspelled: the same name but for signs, or names of one year that are 0.9 alike and
+    differ in more than digits; editions: the same name but for edition words; same
+    release group: they share a member of ``release_groups`` (an array). An artist's
+    folders, hundreds at most, are compared with each other.
+    """
+    rows = df.select(F.col(artist).alias("artist"), F.col(folder).alias("a"), (F.col(release_groups) if release_groups else F.array().cast("array<string>")).alias("groups_a"))
+    rows = rows.groupBy("artist", "a").agg(F.array_distinct(F.flatten(F.collect_list("groups_a"))).alias("groups_a")) if release_groups else rows.dropDuplicates(["artist", "a"])
+    rows = rows.withColumns({"core_a": keys.album_core(F.regexp_replace("a", "^[0-9]{4} - ", "")), "flat_a": F.regexp_replace(keys.plain(F.col("a")), r"[\s_()\[\].,:;'’!?¿¡-]", ""), "year_a": F.substr("a", F.lit(1), F.lit(4))}).where("core_a <> ''")
+    other = rows.withColumnsRenamed({f"{c}_a" if c != "a" else c: f"{c}_b" if c != "a" else "b" for c in ("a", "groups", "core", "flat", "year")})
     pairs = rows.join(other, "artist").where("a < b")
     known = exceptions.select(F.least("folder_1", "folder_2").alias("a"), F.greatest("folder_1", "folder_2").alias("b"))
     pairs = pairs.join(known, ["a", "b"], "left_anti")
-    kind = F.when(F.col("core_a") == F.col("core_b"), "same album").when(F.col("base_a") == F.col("base_b"), "editions").when(similarity.edit_similarity(F.col("core_a"), F.col("core_b")) >= 0.85, "misspelled")
-    return section("albums alike", "decide", pairs.withColumn("_kind", kind).where("_kind is not null"), F.concat_ws(" | ", "a", "b"), F.col("_kind"))
+    digits = lambda c: F.regexp_replace(c, "[0-9]", "")
+    close = (F.col("core_a") != F.col("core_b")) & (digits("core_a") != digits("core_b")) & (F.least(F.length("core_a"), F.length("core_b")) >= 6) & (F.col("year_a") == F.col("year_b"))
+    pairs = pairs.withColumn("_ratio", similarity.exact_ratio(F.when(close, F.col("core_a")), F.when(close, F.col("core_b"))))
+    kind = (
+        F.when((F.col("core_a") == F.col("core_b")) & (F.col("flat_a") == F.col("flat_b")), "misspelled")
+        .when(F.col("core_a") == F.col("core_b"), "editions")
+        .when(F.col("_ratio") >= 0.9, "misspelled")
+        .when(F.arrays_overlap("groups_a", "groups_b"), "same release group")
+    )
+    pairs = pairs.withColumn("_kind", kind).where("_kind is not null")
+    severity = F.when(F.col("_kind") == "misspelled", "fix").when(F.col("_kind") == "editions", "decide").otherwise("info")
+    return pairs.select(F.lit("albums alike").alias("section"), severity.alias("severity"), F.concat_ws(" | ", "a", "b").alias("key"), F.col("_kind").alias("detail"))
+
+
+def artists_alike(df: DataFrame, artist: str, distinct: DataFrame) -> DataFrame:
+    """Pairs of artist folders with the same name but for signs and a leading 'the', or names of 5 characters or more that are 0.9 alike; pairs of ``distinct`` (artist_1, artist_2) in either order are left out."""
+    names = df.select(F.col(artist).alias("id"), keys.artist_without_the(F.col(artist)).alias("name")).where("name <> ''").distinct()
+    equal = names.join(names.select(F.col("id").alias("b"), "name"), "name").where("id < b").select(F.col("id").alias("a"), "b")
+    pairs = match.similar_names(names, "id", "name").select("a", "b").unionByName(equal)
+    known = distinct.select(F.least("artist_1", "artist_2").alias("a"), F.greatest("artist_1", "artist_2").alias("b"))
+    return section("artists alike", "decide", pairs.join(known, ["a", "b"], "left_anti"), F.concat_ws(" | ", "a", "b"), F.lit("nearly the same name"))
+
+
+def damaged(df: DataFrame, id_col: str, code: str, message: str) -> DataFrame:
+    """Files that failed the test of their audio (a code other than 0)."""
+    return section("damaged", "fix", df.where(F.col(code) != 0), F.col(id_col), F.col(message))
+
+
+def unreadable(df: DataFrame, id_col: str, error: str) -> DataFrame:
+    return section("unreadable", "fix", df.where(F.coalesce(F.col(error), F.lit("")) != ""), F.col(id_col), F.col(error))
+
+
+def unsigned(df: DataFrame, id_col: str, md5: str) -> DataFrame:
+    """Files without a checksum of their audio."""
+    return section("no checksum", "info", df.where(~F.coalesce(md5, F.lit(False))), F.col(id_col), F.lit(None))
+
+
+def lossy_files(df: DataFrame, id_col: str, label: str) -> DataFrame:
+    """Songs in a format that loses quality; ``label`` names it, null or empty where none is lost."""
+    return section("lossy", "info", df.where(F.coalesce(F.col(label), F.lit("")) != ""), F.col(id_col), F.col(label))
+
+
+def empty_folders(folders: DataFrame, files: DataFrame, folder: str = "folder", path: str = "path") -> DataFrame:
+    """Folders in which, at any depth, no file stands."""
+    parts = F.split(path, "/")
+    above = files.select(F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))).alias(folder)).distinct()
+    return section("empty folder", "fix", folders.select(folder).distinct().join(above, folder, "left_anti"), F.col(folder), F.lit(None))
+
+
+def other_files(files: DataFrame, path: str, is_audio: Column) -> DataFrame:
+    """Files in the library that aren't audio."""
+    return section("not audio", "fix", files.where(~is_audio), F.col(path), F.lit(None))
+
+
+def artists_of_many_genres(df: DataFrame, artist: str, track_artist: str, genres: str, soundtracks: str = "Soundtracks", various: Sequence[str] = ("variousartists", "variosartistas"), most: int = 2) -> DataFrame:
+    """Artists whose songs have more than ``most`` genres together; a soundtrack counts for its song's artist and without the genre 'Soundtrack', collections of various artists don't count."""
+    of_film = F.col(artist) == soundtracks
+    rows = df.where(~keys.key(F.col(artist)).isin(*various)).select(F.when(of_film, F.concat(F.lit(f"{soundtracks}: "), F.coalesce(track_artist, F.lit("")))).otherwise(F.col(artist)).alias("artist"), of_film.alias("film"), F.explode(genres).alias("genre"))
+    rows = rows.where(~(F.col("film") & (F.col("genre") == "Soundtrack"))).select("artist", "genre").distinct()
+    many = rows.groupBy("artist").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("genre")), " ; ").alias("seen")).where(F.col("n") > most)
+    return section("many genres", "fix", many, F.col("artist"), F.col("seen"))
+
+
+def lyrics_of_instrumentals(df: DataFrame, id_col: str, text: str, instrumental: str) -> DataFrame:
+    """Songs marked as instrumental that have lyrics."""
+    return section("instrumental with lyrics", "fix", df.where((F.coalesce(F.col(text), F.lit("")) != "") & F.coalesce(F.col(instrumental), F.lit(False))), F.col(id_col), F.lit(None))
+
+
+def mixed_covers(df: DataFrame, album: str, cover: str) -> DataFrame:
+    """Albums whose songs have different covers, and how many songs each has."""
+    votes = df.where(F.col(cover).isNotNull()).groupBy(F.col(album).alias("album"), F.col(cover).cast("string").alias("cover")).agg(F.count("*").alias("n"))
+    seen = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "cover"))), lambda x: F.concat(x["cover"], F.lit("×"), (-x["n"]).cast("string"))), " / ")
+    return section("mixed covers", "fix", votes.groupBy("album").agg(F.count("*").alias("kinds"), seen.alias("seen")).where("kinds > 1"), F.col("album"), F.col("seen"))
+
+
+def foreign_releases(df: DataFrame, id_col: str, album: str, release: str) -> DataFrame:
+    """Songs whose release has another name than their album: neither base name holds the other, and as titles they have nothing in common."""
+    a, b = keys.album_base(F.col(album)), keys.album_base(F.col(release))
+    rows = df.where((a != "") & (b != "") & ~F.contains(a, b) & ~F.contains(b, a))
+    return section("foreign release", "decide", match.title_level(rows, album, release, "_level").where("_level = 0"), F.col(id_col), F.concat_ws(" | ", album, release))
+
+
+def foreign_recordings(df: DataFrame, id_col: str, title: str, rec_title: str, seconds: str, rec_seconds: str, isrcs: str, rec_isrcs: str) -> DataFrame:
+    """Songs whose recording is another one by title, duration and ISRC."""
+    rows = match.same_recording(match.title_level(df, title, rec_title, "_level"), "_level", seconds, rec_seconds, isrcs, rec_isrcs, out="_same")
+    return section("foreign recording", "fix", rows.where("not _same"), F.col(id_col), F.col("reason"))
+
+
+def player_albums(media: DataFrame, albums: DataFrame, path: str = "path", album_id: str = "album_id") -> DataFrame:
+    """Folders that a player shows as several albums (fix), and albums that it puts together from several folders: of one artist (fix), or of several (info). ``media`` has only rows whose file is there."""
+    folder = F.regexp_extract(path, "^(.*)/[^/]*$", 1)
+    rows = media.select(folder.alias("folder"), F.col(album_id).alias("id")).distinct().join(albums.select("id", F.col("name").alias("_name")), "id", "left").withColumn("name", F.coalesce("_name", "id"))
+    split = rows.groupBy("folder").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("name")), " / ").alias("seen")).where("n > 1")
+    joined = rows.groupBy("id", "name").agg(F.count("*").alias("n"), F.countDistinct(F.split("folder", "/")[0]).alias("artists"), F.array_join(F.array_sort(F.collect_list("folder")), " | ").alias("seen")).where("n > 1")
+    ours = joined.where("artists < n")
+    return union([section("split folder", "fix", split, F.col("folder"), F.col("seen")), section("joined folders", "fix", ours, F.col("name"), F.col("seen")), section("album of several artists", "info", joined.where("artists = n"), F.col("name"), F.col("seen"))])
 
 
 def paths(df: DataFrame, path: str = "path", number: str = "tracknumber", date: str = "date", album: str = "album", artist: str = "albumartist") -> DataFrame:
@@ -167,20 +269,34 @@ def paths(df: DataFrame, path: str = "path", number: str = "tracknumber", date:
 
 def private_data(df: DataFrame, id_col: str, text: str, allowed: str | None = keys.ALLOWED) -> DataFrame:
     """(id, line, kind, found): private data in texts, line by line, what matches ``allowed`` left out."""
-    lines = df.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line", "value"))
+    some = F.col(text).rlike("|".join(keys.PRIVATE.values()))
+    lines = df.where(some).select(F.col(id_col).alias("id"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line", "value"))
     named = lambda kind: lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("found"))
     found = F.array(*(F.transform(F.regexp_extract_all("value", F.lit(f"({pattern})"), F.lit(1)), named(kind)) for kind, pattern in keys.PRIVATE.items()))
     rows = lines.select("id", (F.col("line") + 1).cast("long").alias("line"), F.explode(F.flatten(found)).alias("f")).select("id", "line", "f.kind", "f.found")
     return rows.where(~F.col("found").rlike(allowed)) if allowed else rows
 
 
-def audio_pairs(pairs: DataFrame, score: str, same_id: str, seconds_a: str, seconds_b: str) -> DataFrame:
-    """The verdict on scored pairs: copies, wrong audio, same audio under two ids, versions or different."""
-    verdict = (
-        F.when((F.col(score) >= tolerance.SAME_AUDIO) & F.col(same_id), "copies")
-        .when((F.col(score) < tolerance.OTHER_AUDIO) & F.col(same_id), "wrong audio")
-        .when((F.col(score) >= tolerance.SAME_AUDIO) & tolerance.same_audit_length(F.col(seconds_a), F.col(seconds_b)), "same audio")
-        .when(F.col(score) >= tolerance.OTHER_AUDIO, "versions")
-        .otherwise("different")
+def audio_pairs(pairs: DataFrame, score: str, same_song: str, shared_id: str, seconds_a: str, seconds_b: str, preview_a: str, preview_b: str, same_title: str) -> DataFrame:
+    """``verdict`` on scored pairs of songs, null where there is nothing to say.
+
+    The same audio (a score of 0.9 or more) is copies where title, artist and duration
+    agree. Else previews decide: under 0.8 on one side it has the wrong audio; without two
+    good ones (0.85) it can't be told; with them and at 0.98 and the same duration it is
+    copies or the same audio under two names; else parts or edits that share audio. Other
+    audio (under 0.75) with a shared id and other titles is a wrong id. The rest that
+    shares an id or name is versions.
+    """
+    s, a, b = F.col(score), F.col(preview_a), F.col(preview_b)
+    alike = tolerance.same_audit_length(F.col(seconds_a), F.col(seconds_b))
+    bad = (a < tolerance.BAD_PREVIEW) | (b < tolerance.BAD_PREVIEW)
+    good = (a >= tolerance.GOOD_PREVIEW) & (b >= tolerance.GOOD_PREVIEW)
+    same = (
+        F.when(F.col(same_song), "copies")
+        .when(F.coalesce(bad, F.lit(False)), "wrong audio")
+        .when(~F.coalesce(good, F.lit(False)), "same audio, unconfirmed")
+        .when((s >= 0.98) & alike, F.when(F.col(same_title), "copies").otherwise("same audio, two names"))
+        .otherwise("shared audio")
     )
+    verdict = F.when(s >= tolerance.SAME_AUDIO, same).when((s < tolerance.OTHER_AUDIO) & F.col(shared_id) & ~F.col(same_song), "wrong id").when(s.isNotNull(), "versions")
     return pairs.withColumn("verdict", verdict)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sieveworks.functions import keys, similarity, tolerance
+from sieveworks.sources.storage import forget, written
 
 
 def coalesced_lookup(left: DataFrame, tables: Sequence[tuple[DataFrame, Sequence[str], str]], out: str = "found") -> DataFrame:
@@ -63,9 +64,32 @@ def novel(candidates: DataFrame, id_col: str, checks: Sequence[tuple[DataFrame,
     return out
 
 
-def band_join(a: DataFrame, b: DataFrame, on: Sequence[str], near: Column) -> DataFrame:
-    """Rows of equal keys for which ``near`` holds; the two sides' other columns must differ in name."""
-    return a.join(b, [*on]).where(near)
+def band_join(a: DataFrame, b: DataFrame, on: Sequence[str], near: Column, bands: tuple[Column, Column] | None = None) -> DataFrame:
+    """Rows of equal keys for which ``near`` holds; the two sides' other columns must differ in name.
+
+    With ``bands``, numbers of the two sides that differ by at most 1 where ``near`` holds,
+    the band joins too, so a key with very many rows isn't compared all with all.
+    """
+    if bands is None:
+        return a.join(b, [*on]).where(near)
+    a = a.withColumn("_band", bands[0])
+    b = b.withColumn("_band", F.explode(F.array(*(bands[1] + i for i in (-1, 0, 1)))))
+    return a.join(b, [*on, "_band"]).where(near).drop("_band")
+
+
+def nearest_other(df: DataFrame, by: Sequence[str], id_col: str, value: str) -> DataFrame:
+    """(id, other): for each row of a group of several the other row nearest in ``value``, of equally near ones the smallest id.
+
+    Neighbours in the order of values are enough: rows meet no others.
+    """
+    rows = df.select(*by, F.col(id_col).alias("id"), F.col(value).alias("v"))
+    same = W.partitionBy(*by, "v").orderBy("id")
+    two = rows.withColumn("_n", F.row_number().over(same)).where("_n <= 2").groupBy(*by, "v").agg(F.min("id").alias("lo"), F.max(F.when(F.col("_n") == 2, F.col("id"))).alias("second"))
+    order = W.partitionBy(*by).orderBy("v")
+    side = lambda move: F.struct(F.abs(move("v").over(order) - F.col("v")).alias("far"), move("lo").over(order).alias("id"))
+    two = two.withColumns({"below": side(F.lag), "above": side(F.lead)})
+    near = F.when(F.col("second").isNotNull(), F.when(F.col("id") == F.col("lo"), F.col("second")).otherwise(F.col("lo"))).otherwise(F.least(*(F.when(F.col(c)["id"].isNotNull(), F.col(c)) for c in ("below", "above")))["id"])
+    return rows.join(two, [*by, "v"]).select("id", near.alias("other")).where("other is not null")
 
 
 def only_candidate(pairs: DataFrame, left_id: str) -> DataFrame:
@@ -111,12 +135,42 @@ def near_names(df: DataFrame, name: str, most_edits: int, block: Column) -> Data
     return pairs.withColumn("edits", F.levenshtein("a", "b", most_edits)).where("edits >= 0").select("a", "b", F.col("edits").cast("long").alias("edits")).distinct()
 
 
-def similar_titles(df: DataFrame, id_col: str, artist_key: str, title: str, least_ratio: float = 0.9) -> DataFrame:
-    """(a, b, ratio): songs of one artist whose base titles, of 4 characters at least, differ but have a Ratcliff-Obershelp ratio of ``least_ratio`` or more."""
-    rows = df.select(F.col(id_col).alias("id"), F.col(artist_key).alias("artist"), keys.base_title(F.col(title)).alias("base")).where("artist <> '' and length(base) >= 4")
-    other = rows.select("artist", F.col("id").alias("b"), F.col("base").alias("base_b"))
-    pairs = rows.join(other, "artist").where("id < b and base <> base_b and abs(length(base) - length(base_b)) <= 5")
-    return pairs.withColumn("ratio", similarity.exact_ratio("base", "base_b")).where(F.col("ratio") >= least_ratio).select(F.col("id").alias("a"), "b", "ratio")
+def similar_names(df: DataFrame, id_col: str, name: str, block: str | None = None, least_chars: int = 5, least_ratio: float = 0.9) -> DataFrame:
+    """(a, b, ratio): rows whose names, of ``least_chars`` at least, differ and have a Ratcliff-Obershelp ratio of ``least_ratio`` (0.9 or more); only rows of one ``block`` where it is given.
+
+    At a ratio of 0.9 the matching runs hold 0.45 of both lengths and are at most one more
+    than the other characters, a tenth of both lengths: the names share at least that
+    number of three-character grams less two a run. Grams are ordered by how many names
+    have them, rare ones first, and names meet in their first grams, as many as leave too
+    few for that number. Only pairs that also fit in length get their ratio.
+    """
+    rows = df.select(F.col(id_col).alias("id"), (F.col(block) if block else F.lit(0)).alias("block"), F.col(name).alias("name")).where(F.length("name") >= least_chars)
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("name") - 2), lambda i: F.substr("name", i, F.lit(3))))
+    size = F.length("name")
+    # against a name at most 11/9 as long: runs and characters that match
+    other = F.floor(size * 0.1 * (1 + 11 / 9))
+    need = F.greatest(F.ceil(0.45 * size * (1 + 9 / 11)) - 2 * (other + 1), F.lit(1))
+    kinds = rows.select("block", "name").distinct().select("block", "name", need.alias("need"), F.explode(grams).alias("gram"))
+    ranked = kinds.join(kinds.groupBy("block", "gram").agg(F.count("*").alias("n")), ["block", "gram"])
+    whole = W.partitionBy("block", "name")
+    # a repeated gram counts once in the list but may match often: it lowers what is needed
+    repeats = F.greatest(F.length("name") - 2 - F.count("*").over(whole), F.lit(0))
+    ranked = ranked.withColumns({"place": F.row_number().over(whole.orderBy("n", "gram")), "all": F.count("*").over(whole), "need": F.greatest(F.col("need") - repeats, F.lit(1))})
+    first = ranked.where("place <= all - need + 1").select("block", "gram", "name")
+    pairs = first.join(first.withColumnRenamed("name", "name_b"), ["block", "gram"]).where("name < name_b")
+    pairs = pairs.where(F.least(F.length("name"), F.length("name_b")) * 2 >= least_ratio * (F.length("name") + F.length("name_b"))).select("block", "name", "name_b").distinct()
+    pairs = pairs.withColumn("ratio", similarity.exact_ratio("name", "name_b")).where(F.col("ratio") >= least_ratio)
+    found = pairs.join(rows, ["block", "name"]).withColumnRenamed("id", "_a").join(rows.select("block", F.col("name").alias("name_b"), F.col("id").alias("_b")), ["block", "name_b"])
+    return found.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"), "ratio")
+
+
+def similar_titles(df: DataFrame, id_col: str, artist_key: str, title: str, seconds: str, least_ratio: float = 0.9, most_seconds: float = 5.0) -> DataFrame:
+    """(a, b, ratio): songs of one artist, at most ``most_seconds`` apart in duration, whose base titles, of 4 characters at least, differ but are alike. At a ratio of 0.9, base titles of 4 characters are alike only when they are equal."""
+    rows = df.select(F.col(id_col).alias("id"), F.col(artist_key).alias("artist"), keys.base_title(F.col(title)).alias("base"), F.col(seconds).alias("seconds")).where("artist <> ''")
+    pairs = similar_names(rows, "id", "base", "artist", 5, least_ratio)
+    lengths = rows.select("id", "seconds")
+    pairs = pairs.join(lengths.withColumnsRenamed({"id": "a", "seconds": "_a"}), "a").join(lengths.withColumnsRenamed({"id": "b", "seconds": "_b"}), "b")
+    return pairs.where(F.abs(F.col("_a") - F.col("_b")) <= most_seconds).select("a", "b", "ratio")
 
 
 def title_level(df: DataFrame, a: str, b: str, out: str = "level") -> DataFrame:
@@ -130,8 +184,8 @@ def title_level(df: DataFrame, a: str, b: str, out: str = "level") -> DataFrame:
     def side(c: Column, s: str) -> dict[str, Column]:
         normal = keys.spelled_numbers(c)
         return {
-            f"_key{s}": keys.title_key(normal),
-            f"_halves{s}": F.transform(F.split(c, r"\s+=\s+", -1), lambda x: keys.title_key(keys.spelled_numbers(x))),
+            f"_key{s}": keys.spelled_key(c),
+            f"_halves{s}": F.transform(F.split(c, r"\s+=\s+", -1), lambda x: keys.spelled_key(x)),
             f"_foreign{s}": keys.non_latin_letters(c) >= 2,
             f"_numbers{s}": F.array_distinct(F.regexp_extract_all(normal, F.lit("([0-9]+)"), F.lit(1))),
             f"_versions{s}": keys.version_qualifiers(c),
@@ -184,6 +238,9 @@ def _best_ratio(a, b):
     return pd.Series([best(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
+_best_ratio = _best_ratio.asNondeterministic()
+
+
 def same_recording(df: DataFrame, level: str, duration: str, rec_duration: str, isrcs: str, rec_isrcs: str, known_print: str | None = None, out: str = "same") -> DataFrame:
     """``out``: whether a recording is the file's, and ``reason``; by identifiers and duration, title level and duration, or both where one is unknown."""
     n = F.col(level)
@@ -205,24 +262,26 @@ def same_recording(df: DataFrame, level: str, duration: str, rec_duration: str,
 def greedy_pairs(pairs: DataFrame, group: Sequence[str], left: str, right: str, order: Sequence[str]) -> DataFrame:
     """A one-to-one choice from candidate pairs: in the given order, each pair whose two sides are both still free.
 
-    Groups are folders, a few songs each; one group goes to one task, in which only its
-    candidate pairs are held.
+    A pair that comes first for both its sides is chosen whatever the others are; so all
+    such pairs are taken in rounds, and those of used sides left out, until none is left.
+    A round takes the first pair of every group at least. No task holds a group.
     """
     columns = [*group, left, right, *(c for c in order if c not in (*group, left, right))]
-
-    def choose(table):
-        table = table.sort_values([*order, left, right], kind="stable")
-        used_left, used_right, keep = set(), set(), []
-        for x, y in zip(table[left], table[right]):
-            free = x not in used_left and y not in used_right
-            keep.append(free)
-            if free:
-                used_left.add(x)
-                used_right.add(y)
-        return table[keep]
-
-    rows = pairs.select(*columns)
-    return rows.groupBy(*group).applyInPandas(choose, rows.schema)
+    place = F.struct(*order, *(c for c in (left, right) if c not in order))
+    now, chosen = written(pairs.select(*columns)), []
+    while not now.isEmpty():
+        first = {side: now.groupBy(*group, side).agg(F.min(place).alias(f"_{side}")) for side in (left, right)}
+        best = now.join(first[left], [*group, left]).join(first[right], [*group, right]).where((place == F.col(f"_{left}")) & (place == F.col(f"_{right}")))
+        chosen.append(written(best.select(*columns).distinct()))
+        after = now
+        for side in (left, right):
+            after = after.join(chosen[-1].select(*group, side), [*group, side], "left_anti")
+        last, now = now, written(after.select(*columns))
+        forget(last)
+    out = now
+    for part in chosen:
+        out = out.unionByName(part)
+    return out
 
 
 def nearest_store(pairs: DataFrame, song: str, store_rank: str, difference: str, candidate: str) -> DataFrame:
@@ -230,15 +289,44 @@ def nearest_store(pairs: DataFrame, song: str, store_rank: str, difference: str,
     return pairs.groupBy(song).agg(F.min_by(candidate, F.struct(F.col(store_rank), F.col(difference), F.col(candidate))).alias(candidate))
 
 
-def ranked_candidates(sources: Sequence[tuple[str, DataFrame]], key: Sequence[str], candidate: str) -> DataFrame:
-    """Candidates of several sources in one table: sources sorted, more of them first, then by candidate."""
+def store_candidates(songs: DataFrame, offers: DataFrame, song: str, offer: str, least_start: int = 8) -> DataFrame:
+    """(song, offer, store, seconds_off): the offers of shops that may be a song.
+
+    ``songs`` and ``offers`` have artist, title and seconds, ``offers`` store too (its
+    rank). An artist must be in common, the base titles be equal or one of
+    ``least_start`` characters or more begin the other, and the durations not be those of
+    another version. Artists join by key, so the title is a condition on few rows.
+    """
+    side = lambda df, id_col, s: df.select(F.col(id_col), F.explode(keys.store_artists(F.col("artist"))).alias("_artist"), keys.store_base_title(F.col("title")).alias(f"_title{s}"), F.col("seconds").alias(f"_seconds{s}"), *([F.col("store")] if s == "b" else []))
+    pairs = side(songs, song, "a").where("_artist <> ''").join(side(offers, offer, "b"), "_artist")
+    a, b = F.col("_titlea"), F.col("_titleb")
+    alike = (a == b) | (F.least(F.length(a), F.length(b)) >= least_start) & (a.startswith(b) | b.startswith(a))
+    near = ~tolerance.other_version(F.col("_secondsa"), F.col("_secondsb"))
+    return pairs.where((a != "") & alike & near).select(song, offer, "store", F.abs(F.col("_secondsa") - F.col("_secondsb")).alias("seconds_off")).distinct()
+
+
+#: What speaks for a candidate, from the first: its record is at hand, its ISRC fits, its print is known, how far titles agree, how far durations differ.
+EVIDENCE = ("record", "isrc", "print", "level", "seconds_off")
+
+
+def ranked_candidates(sources: Sequence[tuple[str, DataFrame]], key: Sequence[str], candidate: str, evidence: DataFrame | None = None) -> DataFrame:
+    """Candidates of several sources in one table, with ``sources`` sorted and ``place`` from 1.
+
+    ``evidence`` (key, candidate and the columns of :data:`EVIDENCE`, unique) ranks them:
+    record, ISRC and print first, then the higher level (null: 0) and the smaller
+    difference in duration (null: 0). Then more sources come first, then the candidate.
+    """
     rows = None
     for name, df in sources:
         part = df.select(*key, candidate).distinct().withColumn("source", F.lit(name))
         rows = part if rows is None else rows.unionByName(part)
     merged = rows.groupBy(*key, candidate).agg(F.array_sort(F.collect_set("source")).alias("sources"))
-    place = F.row_number().over(W.partitionBy(*key).orderBy(F.desc(F.size("sources")), candidate))
-    return merged.withColumn("place", place)
+    order: list[Column] = []
+    if evidence is not None:
+        merged = merged.join(evidence.select(*key, candidate, *EVIDENCE), [*key, candidate], "left")
+        order = [F.coalesce(c, F.lit(False)).desc() for c in EVIDENCE[:3]] + [F.coalesce("level", F.lit(0)).desc(), F.coalesce("seconds_off", F.lit(0)).asc()]
+    place = F.row_number().over(W.partitionBy(*key).orderBy(*order, F.desc(F.size("sources")), candidate))
+    return merged.withColumn("place", place).select(*key, candidate, "sources", "place")
 
 
 def first_resolved(candidates: DataFrame, known: DataFrame, on: Sequence[str], by: Sequence[str], order: Sequence[Column | str], n: int) -> DataFrame:

@@ -46,7 +46,9 @@ def album_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 def paren_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys of every line of all documents, by line: how many lines share one."""
     lines = _t(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n")).alias("line"))
-    return lines.groupBy(keys.without_brackets(F.col("line")).alias("key")).agg(F.count("*").alias("n"))
+    # equal lines first: one key for each
+    counts = lines.groupBy("line").agg(F.count("*").alias("n")).select(keys.without_brackets(F.col("line")).alias("key"), "n")
+    return counts.groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def path_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:

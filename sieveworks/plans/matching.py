@@ -49,7 +49,7 @@ def _order_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = orders.select("o_custkey", F.col("o_orderkey").alias("a"), F.col("o_totalprice").alias("price_a"))
     b = orders.select("o_custkey", F.col("o_orderkey").alias("b"), F.col("o_totalprice").alias("price_b"))
     near = ~tolerance.other_version(F.col("price_a"), F.col("price_b"))
-    return match.band_join(a, b, ["o_custkey"], near & (F.col("a") != F.col("b")))
+    return match.band_join(a, b, ["o_custkey"], near & (F.col("a") != F.col("b")), (tolerance.band(F.col("price_a")), tolerance.band(F.col("price_b"))))
 
 
 def band_join_same_key(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,9 +79,8 @@ def near_name_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exact_ratio_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Part names of a brand and size as titles of an artist, alike by the exact ratio."""
-    parts = _t(spark, sf_dir, "part").withColumn("artist", F.concat_ws("|", "p_brand", F.col("p_size").cast("string")))
-    return match.similar_titles(parts, "p_partkey", "artist", "p_name").select("a", "b", F.round("ratio", 6).alias("ratio"))
+    """Part names of a brand as titles of an artist, sizes as durations, alike by the exact ratio."""
+    return match.similar_titles(_t(spark, sf_dir, "part"), "p_partkey", "p_brand", "p_name", "p_size").select("a", "b", F.round("ratio", 6).alias("ratio"))
 
 
 def greedy_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,17 +104,21 @@ def library_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def nearest_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each order the nearest other order of its customer, those of the same priority first."""
-    orders = _t(spark, sf_dir, "orders")
-    b = orders.select("o_custkey", F.col("o_orderkey").alias("b"), F.col("o_totalprice").alias("pb"), F.col("o_orderpriority").alias("rb"))
-    pairs = orders.join(b, "o_custkey").where("o_orderkey <> b").select("o_orderkey", F.when(F.col("rb") == F.col("o_orderpriority"), 0).otherwise(1).alias("store"), F.round(F.abs(F.col("pb") - F.col("o_totalprice")), 2).alias("far"), "b")
-    return match.nearest_store(pairs, "o_orderkey", "store", "far", "b")
+    orders = _t(spark, sf_dir, "orders").withColumn("cents", F.round(F.col("o_totalprice") * 100).cast("long"))
+    own = match.nearest_other(orders, ["o_custkey", "o_orderpriority"], "o_orderkey", "cents")
+    # where the priority has no other, all others are of another one
+    left = match.nearest_other(orders, ["o_custkey"], "o_orderkey", "cents").join(own.select("id"), "id", "left_anti")
+    return own.unionByName(left).select(F.col("id").alias("o_orderkey"), F.col("other").alias("b"))
 
 
 def ranked_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers of each part from three sources: all items, returned ones, large ones."""
+    """Suppliers of each part from three sources: all items, returned ones, large ones; their items' flags, quantities, taxes and lines stand for what speaks for them."""
     items = _t(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_returnflag", "l_quantity")
     sources = [("all", items), ("large", items.where("l_quantity >= 40")), ("returned", items.where("l_returnflag = 'R'"))]
-    out = match.ranked_candidates(sources, ["l_partkey"], "l_suppkey").where("place <= 3")
+    facts = _t(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_suppkey").agg(
+        F.bool_or(F.col("l_returnflag") == "N").alias("record"), (F.max("l_quantity") > 45).alias("isrc"), F.when(F.min("l_tax") < 0.01, True).alias("print"), F.nullif(F.max("l_linenumber") % 4, F.lit(0)).alias("level"), F.when(F.min("l_discount") > 0.01, F.min("l_quantity")).alias("seconds_off")
+    )
+    out = match.ranked_candidates(sources, ["l_partkey"], "l_suppkey", facts).where("place <= 3")
     return out.select("l_partkey", "l_suppkey", F.array_join("sources", ",").alias("sources"), "place")
 
 
@@ -141,5 +144,7 @@ ORACLE_SQL = {
     "dir_vs_player_diff": "with a as (select distinct o_custkey custkey from orders where year(o_orderdate) = 2000), b as (select distinct o_custkey custkey from orders where year(o_orderdate) = 2001) select custkey, 'left' side from a where custkey not in (select custkey from b) union all select custkey, 'right' from b where custkey not in (select custkey from a)",
     "nearest_store": """select a.o_orderkey, first(b.o_orderkey order by case when a.o_orderpriority = b.o_orderpriority then 0 else 1 end, round(abs(b.o_totalprice - a.o_totalprice), 2), b.o_orderkey) b from orders a join orders b using (o_custkey) where a.o_orderkey <> b.o_orderkey group by 1""",
     "ranked_candidates": """with s as (select distinct l_partkey, l_suppkey, 'all' source from lineitem union select l_partkey, l_suppkey, 'large' from lineitem where l_quantity >= 40 union select l_partkey, l_suppkey, 'returned' from lineitem where l_returnflag = 'R'),
-      m as (select l_partkey, l_suppkey, string_agg(source, ',' order by source) sources, count(*) n from s group by all) select l_partkey, l_suppkey, sources, cast(row_number() over (partition by l_partkey order by n desc, l_suppkey) as int) place from m qualify place <= 3""",
+      m as (select l_partkey, l_suppkey, string_agg(source, ',' order by source) sources, count(*) n from s group by all),
+      f as (select l_partkey, l_suppkey, max(case when l_returnflag = 'N' then 1 else 0 end) rec, case when max(l_quantity) > 45 then 1 else 0 end isrc, case when min(l_tax) < 0.01 then 1 else 0 end pr, max(l_linenumber) % 4 lev, case when min(l_discount) > 0.01 then min(l_quantity) else 0 end off from lineitem group by all)
+      select l_partkey, l_suppkey, sources, cast(row_number() over (partition by l_partkey order by rec desc, isrc desc, pr desc, lev desc, off, n desc, l_suppkey) as int) place from m join f using (l_partkey, l_suppkey) qualify place <= 3""",
 }

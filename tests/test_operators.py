@@ -1,12 +1,16 @@
 """Operators on small tables, and properties of plans."""
 
 import datetime as dt
+import difflib
+import random
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from sieveworks.functions import tolerance
 from sieveworks.operators import audit, changes, consensus, funnel, history, match, verdicts
+from sieveworks.sources import readers, writers
 
 
 def rows(df, *columns):
@@ -173,10 +177,15 @@ def test_verdicts(spark):
 def test_audit_sections(spark):
     songs = spark.createDataFrame([(1, "[00:10.00] a", 20.0), (2, "[00:30.00] a", 24.0), (3, "[01:00.00] a", 20.0), (4, "no marks", 20.0), (5, None, 20.0)], "id int, lyrics string, seconds double")
     assert rows(audit.lyrics(songs, "id", "lyrics", "seconds"), "key", "section") == [("2", "lyrics slightly long"), ("3", "lyrics too long"), ("4", "lyrics without marks"), ("5", "lyrics missing")]
-    albums = spark.createDataFrame([("A", "Hits"), ("A", "Hits (Deluxe)"), ("A", "Other"), ("B", "Hits")], "artist string, album string")
+    names = [("A", "2001 - Hits", ["g"]), ("A", "2001 - Hits (Deluxe)", []), ("A", "2001 - Other", ["h"]), ("B", "2001 - Hits", ["g"]), ("A", "2005 - Something", ["g", "h"]), ("C", "2002 - Donde Jugaran Las", None), ("C", "2002 - Donde Jurgaran Las", []), ("C", "2003 - Donde Jugaran Laz", []), ("C", "2002 - Donde_Jugaran Las", []), ("D", "1990 - Part 12345", []), ("D", "1990 - Part 12346", []), ("D", "1990 - (1990)", [])]
+    albums = spark.createDataFrame(names, "artist string, album string, groups array<string>")
     none = spark.createDataFrame([], "folder_1 string, folder_2 string")
-    assert rows(audit.albums_alike(albums, "artist", "album", none), "key", "detail") == [("Hits | Hits (Deluxe)", "same album")]
-    assert audit.albums_alike(albums, "artist", "album", spark.createDataFrame([("Hits (Deluxe)", "Hits")], "folder_1 string, folder_2 string")).count() == 0
+    found = [("2001 - Hits | 2001 - Hits (Deluxe)", "editions"), ("2001 - Hits | 2005 - Something", "same release group"), ("2001 - Other | 2005 - Something", "same release group"), ("2002 - Donde Jugaran Las | 2002 - Donde Jurgaran Las", "misspelled"), ("2002 - Donde Jugaran Las | 2002 - Donde_Jugaran Las", "editions"), ("2002 - Donde Jurgaran Las | 2002 - Donde_Jugaran Las", "misspelled")]
+    got = rows(audit.albums_alike(albums, "artist", "album", none, "groups"), "key", "detail")
+    assert {k for k, _ in got} == {k for k, _ in found} and dict(got)["2001 - Hits | 2001 - Hits (Deluxe)"] == "editions" and dict(got)["2001 - Hits | 2005 - Something"] == "same release group"
+    assert all(v == "misspelled" for k, v in got if k.startswith("2002"))
+    apart = spark.createDataFrame([("2001 - Hits (Deluxe)", "2001 - Hits")], "folder_1 string, folder_2 string")
+    assert len(got) - 1 == audit.albums_alike(albums, "artist", "album", apart, "groups").count()
     covers = spark.createDataFrame([(1, []), (2, [(3, 600, 600)]), (3, [(3, 200, 300), (4, 1, 1)])], "id int, pictures array<struct<type: int, w: int, h: int>>")
     assert rows(audit.covers(covers, "id", "pictures"), "key", "section") == [("1", "cover missing"), ("3", "cover not square"), ("3", "cover too small"), ("3", "several covers")]
 
@@ -202,3 +211,134 @@ def test_equal_scores_give_one_verdict(spark):
     found = spark.createDataFrame([("a", 0.8, False, False, False, t, False) for t in (True, False)], "f string, s double, i boolean, g boolean, v boolean, t boolean, k boolean")
     for order in (found, found.orderBy("t")):
         assert rows(verdicts.print_verdict(order, "f", "s", "i", "g", "v", "t", "k")) == [("a", "REVIEW")]
+
+
+def test_similar_names_equal_all_pairs(spark):
+    rng = random.Random(5)
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(5, 40))) for _ in range(60)] + ["aaaaaaaaaa", "aaaaaaaaaab", "the beatles", "the beatless", "abcabcabcabc", "abcabcabcabd"]
+    names = []
+    for x in base:
+        names.append(x)
+        for _ in range(rng.randrange(0, 4)):
+            y = list(x)
+            for _ in range(rng.randrange(1, 4)):
+                k = rng.randrange(len(y))
+                y[k : k + 1] = rng.choice([[], ["z"], [y[k], "y"]])
+            names.append("".join(y) or "q")
+    blocks = [rng.choice("xy") for _ in names]
+    df = spark.createDataFrame([(i, n, b) for i, (n, b) in enumerate(zip(names, blocks))], "id int, name string, block string")
+    for block in (None, "block"):
+        wanted = {(i, j) for i in range(len(names)) for j in range(i + 1, len(names)) if names[i] != names[j] and min(len(names[i]), len(names[j])) >= 5 and (block is None or blocks[i] == blocks[j]) and difflib.SequenceMatcher(None, *sorted((names[i], names[j]))).ratio() >= 0.9}
+        assert {(r["a"], r["b"]) for r in match.similar_names(df, "id", "name", block).collect()} == wanted and len(wanted) > 20
+
+
+def test_similar_titles_differ_little_in_duration(spark):
+    songs = spark.createDataFrame([(1, "a", "Strange Days", 100.0), (2, "a", "Strange Dayz", 105.0), (3, "a", "Strange Dayz", 106.0), (4, "b", "Strange Dayz", 100.0), (5, "", "Strange Dayz", 100.0)], "id int, artist string, title string, s double")
+    assert rows(match.similar_titles(songs, "id", "artist", "title", "s"), "a", "b") == [(1, 2)]
+
+
+def test_greedy_rounds_equal_one_pass(spark):
+    rng = random.Random(3)
+    pairs = [(g, a, b, rng.choice([0.1, 0.2, 0.3])) for g in "xy" for a in range(8) for b in range(8) if rng.random() < 0.6]
+    wanted = []
+    for g in "xy":
+        used_a, used_b = set(), set()
+        for _, a, b, far in sorted((p for p in pairs if p[0] == g), key=lambda p: (p[3], p[1], p[2])):
+            if a not in used_a and b not in used_b:
+                wanted.append((g, a, b))
+                used_a.add(a)
+                used_b.add(b)
+    df = spark.createDataFrame(pairs, "folder string, a int, b int, far double")
+    assert rows(match.greedy_pairs(df, ["folder"], "a", "b", ["far"]), "folder", "a", "b") == sorted(wanted)
+
+
+def test_nearest_other_equals_all_pairs(spark):
+    rng = random.Random(8)
+    data = [(rng.choice("pqr"), i, rng.randrange(12)) for i in range(40)] + [("single", 99, 1)]
+    wanted = sorted((i, min((abs(v - w), j) for h, j, w in data if h == g and j != i)[1]) for g, i, v in data if g != "single")
+    assert rows(match.nearest_other(spark.createDataFrame(data, "g string, i int, v int"), ["g"], "i", "v")) == wanted
+
+
+def test_banded_join_equals_plain_one(spark):
+    rng = random.Random(1)
+    a = spark.createDataFrame([(i, rng.uniform(-20, 900)) for i in range(150)], "i int, x double").withColumn("k", F.lit(1))
+    b = spark.createDataFrame([(j, rng.uniform(-20, 900)) for j in range(150)], "j int, y double").withColumn("k", F.lit(1))
+    near = ~tolerance.other_version(F.col("x"), F.col("y"))
+    plain, banded = (rows(match.band_join(a, b, ["k"], near, bands), "i", "j") for bands in (None, (tolerance.band(F.col("x")), tolerance.band(F.col("y")))))
+    assert plain == banded and len(plain) > 100
+
+
+def test_candidates_are_ranked_by_what_speaks_for_them(spark):
+    found = spark.createDataFrame([("f", c) for c in "abcdefg"], "file string, rid string")
+    facts = [("f", "a", False, True, True, 3, 0.0), ("f", "b", True, False, False, 0, 9.0), ("f", "c", True, True, False, 1, 5.0), ("f", "d", True, True, False, 1, 2.0), ("f", "e", True, True, False, 2, 9.0), ("f", "f", None, None, None, None, None)]
+    evidence = spark.createDataFrame(facts, "file string, rid string, record boolean, isrc boolean, print boolean, level int, seconds_off double")
+    out = match.ranked_candidates([("one", found), ("two", found.where("rid = 'g'"))], ["file"], "rid", evidence)
+    assert [r["rid"] for r in out.orderBy("place").collect()] == ["e", "d", "c", "b", "a", "g", "f"]
+
+
+def test_offers_of_shops(spark):
+    songs = spark.createDataFrame([(1, "Daft Punk", "One More Time", 320.0), (2, "Pharrell Williams & Daft Punk", "Get Lucky (feat. Nile)", 248.0)], "song int, artist string, title string, seconds double")
+    offers = [(10, 0, "Daft Punk", "One More Time (Radio Edit)", 235.0), (11, 1, "Daft Punk, Romanthony", "One more time", 321.0), (12, 0, "Someone", "One More Time", 320.0), (13, 2, "Daft Punk", "Get Lucky Mix Number", 249.0), (14, 0, "Daft Punk", "Get", 248.0)]
+    got = match.store_candidates(songs, spark.createDataFrame(offers, "offer int, store int, artist string, title string, seconds double"), "song", "offer")
+    assert rows(got, "song", "offer", "seconds_off") == [(1, 11, 1.0), (2, 13, 1.0)]
+    assert rows(match.nearest_store(got, "song", "store", "seconds_off", "offer")) == [(1, 11), (2, 13)]
+
+
+def test_more_audit_sections(spark):
+    songs = [("A", "t", ["R", "P"]), ("A", "t", ["J"]), ("Various Artists", "t", ["R", "P", "J"]), ("Soundtracks", "X", ["R", "Soundtrack", "P"]), ("Soundtracks", "Y", ["R", "J", "P", "Soundtrack"]), ("B", "t", None)]
+    df = spark.createDataFrame(songs, "artist string, track_artist string, genres array<string>")
+    assert rows(audit.artists_of_many_genres(df, "artist", "track_artist", "genres"), "key", "detail") == [("A", "J ; P ; R"), ("Soundtracks: Y", "J ; P ; R")]
+    covers = spark.createDataFrame([("a", "x"), ("a", "x"), ("a", "y"), ("b", "z"), ("b", None)], "album string, cover string")
+    assert rows(audit.mixed_covers(covers, "album", "cover"), "key", "detail") == [("a", "x×2 / y×1")]
+    lyrics = spark.createDataFrame([(1, "words", True), (2, "", True), (3, "words", None)], "id int, text string, silent boolean")
+    assert rows(audit.lyrics_of_instrumentals(lyrics, "id", "text", "silent"), "key") == [("1",)]
+    folders = spark.createDataFrame([("A",), ("A/one",), ("A/two",), ("B",)], "folder string")
+    files = spark.createDataFrame([("A/one/x.flac",), ("A/one/cover.jpg",), ("top.txt",)], "path string")
+    assert rows(audit.empty_folders(folders, files), "key") == [("A/two",), ("B",)]
+    assert rows(audit.other_files(files, "path", readers.is_audio(F.element_at(F.split("path", "/"), -1))), "key") == [("A/one/cover.jpg",), ("top.txt",)]
+    state = spark.createDataFrame([("a", 0, "", True, None, ""), ("b", 1, "bad frame", False, "x", "MP3")], "id string, code int, said string, md5 boolean, error string, lossy string")
+    for part in (audit.damaged(state, "id", "code", "said"), audit.unreadable(state, "id", "error"), audit.unsigned(state, "id", "md5"), audit.lossy_files(state, "id", "lossy")):
+        assert rows(part, "key") == [("b",)]
+    artists = spark.createDataFrame([(x,) for x in ("The Beatles", "Beatles", "Buckethead", "The Bucketheads", "Abba", "Abbas")], "artist string")
+    known = spark.createDataFrame([("The Bucketheads", "Buckethead")], "artist_1 string, artist_2 string")
+    assert rows(audit.artists_alike(artists, "artist", known), "key") == [("Beatles | The Beatles",)]
+    releases = spark.createDataFrame([(1, "Thriller (Deluxe)", "Thriller"), (2, "Thriller", "Summer Hits"), (3, "", "x")], "id int, album string, release string")
+    assert rows(audit.foreign_releases(releases, "id", "album", "release"), "key") == [("2",)]
+    recordings = spark.createDataFrame([(1, "Song", "Song", 200.0, 201.0, ["A"], ["B"]), (2, "Song", "Other", 200.0, 300.0, ["A"], ["B"])], "id int, t string, rt string, s double, rs double, i array<string>, ri array<string>")
+    assert rows(audit.foreign_recordings(recordings, "id", "t", "rt", "s", "rs", "i", "ri"), "key") == [("2",)]
+    media = spark.createDataFrame([("A/one/1.flac", "x"), ("A/one/2.flac", "y"), ("A/two/1.flac", "x"), ("B/f/1.flac", "z"), ("C/g/1.flac", "z")], "path string, album_id string")
+    names = spark.createDataFrame([("x", "X"), ("z", "Z")], "id string, name string")
+    assert rows(audit.player_albums(media, names), "section", "key", "detail") == [("album of several artists", "Z", "B/f | C/g"), ("joined folders", "X", "A/one | A/two"), ("split folder", "A/one", "X / y")]
+
+
+def test_verdicts_on_pairs(spark):
+    cases = [
+        (0.95, True, False, 200.0, 200.0, None, None, True, "copies"), (0.95, False, False, 200.0, 200.0, 0.7, 0.9, True, "wrong audio"), (0.95, False, False, 200.0, 200.0, None, 0.9, True, "same audio, unconfirmed"),
+        (0.95, False, False, 200.0, 200.0, 0.82, 0.9, True, "same audio, unconfirmed"), (0.99, False, False, 200.0, 200.0, 0.9, 0.9, True, "copies"), (0.99, False, False, 200.0, 200.0, 0.9, 0.9, False, "same audio, two names"),
+        (0.99, False, False, 200.0, 250.0, 0.9, 0.9, False, "shared audio"), (0.97, False, False, 200.0, 200.0, 0.9, 0.9, False, "shared audio"), (0.6, False, True, 200.0, 200.0, None, None, False, "wrong id"),
+        (0.6, True, True, 200.0, 200.0, None, None, True, "versions"), (0.8, False, True, 200.0, 200.0, None, None, True, "versions"), (None, False, True, 200.0, 200.0, None, None, True, None),
+    ]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, score double, song boolean, id boolean, a double, b double, pa double, pb double, title boolean, want string")
+    got = audit.audio_pairs(df, "score", "song", "id", "a", "b", "pa", "pb", "title").orderBy("i").collect()
+    assert [r["verdict"] for r in got] == [r["want"] for r in got]
+
+
+def test_links_files_and_first_of_each(spark, tmp_path):
+    df = spark.createDataFrame([("i", None, 3, "u1"), ("i", "k", 1, "u2"), ("", "k", 2, "u3"), (None, "k", 4, "u3"), (None, None, 5, "u5"), (None, "", 6, None)], "sid string, key string, n int, link string")
+    assert rows(match.first_of_each(df, ["sid", "key"], [F.col("n")]), "n") == [(1,), (2,), (5,), (6,)]
+    writers.write_links(df.where("link is not null"), str(tmp_path / "links"), "link", [F.desc("n")])
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "links")).collect()] == ["u5", "u3", "u1", "u2"]
+    writers.write_tsv(df.select("n", "link"), str(tmp_path / "tsv"))
+    assert spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "tsv")).count() == 6
+    writers.write_plan(df.withColumn("section", F.lit("x")), str(tmp_path / "plan"), "section")
+    assert spark.read.parquet(str(tmp_path / "plan")).where("section = 'x'").count() == 6
+    tracks = spark.createDataFrame([("A/2001 - B/01 - T.flac", "g"), ("A/T.flac", "g"), ("A/B/T.flac", "g"), ("A/B/01 - T.flac", "")], "path string, replaygain_track_gain string")
+    assert rows(readers.unprocessed(tracks), "path", "why") == [("A/B/01 - T.flac", "gain"), ("A/B/T.flac", "name"), ("A/T.flac", "depth")]
+    inodes = spark.createDataFrame([("b", 1), ("a", 1), ("c", 2)], "path string, ino int")
+    assert rows(audit.hardlinks(inodes, "path", "ino"), "key", "detail") == [("a", "2")]
+    tags = spark.createDataFrame([(1, ["x", "y"], ["z"])], "id int, title array<string>, album array<string>")
+    assert rows(audit.several_values(tags, "id", ["title", "album"]), "key", "detail") == [("1", "title: x ; y")]
+    state = spark.createDataFrame([("a",), ("gone",)], "item string")
+    assert rows(funnel.live_state(state, spark.createDataFrame([("a",), ("a",)], "item string"), "item")) == [("a",)]
+    dated = spark.createDataFrame([(1, "2001-13-x"), (2, "1850"), (3, "2001"), (4, None)], "id int, date string")
+    assert rows(audit.dates(dated, "id", "date", 2026), "key", "detail") == [("1", "odd format"), ("2", "year out of range")]
