@@ -100,12 +100,13 @@ def outside(df: DataFrame, id_col: str, value: str, allowed: Sequence[str]) -> D
     return section(f"{value} outside list", "fix", rows, F.col(id_col), F.coalesce(value, F.lit("")))
 
 
-def lyrics(df: DataFrame, id_col: str, text: str, seconds: str) -> DataFrame:
-    """Lyrics whose last mark lies more than 5 s (info) or 12 s (fix) behind the song's end, that have no marks, or that are missing."""
+def lyrics(df: DataFrame, id_col: str, text: str, seconds: str, instrumental: str | None = None) -> DataFrame:
+    """Lyrics whose last mark lies more than 5 s (info) or 12 s (fix) behind the song's end, that have no marks, or that are missing; of songs marked ``instrumental`` none are missing."""
+    silent = F.coalesce(F.col(instrumental), F.lit(False)) if instrumental else F.lit(False)
     rows = df.withColumn("_last", F.array_max(keys.lyric_marks(F.col(text))))
     over = F.col("_last") - F.col(seconds)
     name = (
-        F.when(F.coalesce(F.col(text), F.lit("")) == "", "lyrics missing")
+        F.when(F.coalesce(F.col(text), F.lit("")) == "", F.when(~silent, "lyrics missing"))
         .when(F.col("_last").isNull(), "lyrics without marks")
         .when(over > 12, "lyrics too long")
         .when(over > 5, "lyrics slightly long")
@@ -116,16 +117,19 @@ def lyrics(df: DataFrame, id_col: str, text: str, seconds: str) -> DataFrame:
 
 
 def covers(df: DataFrame, id_col: str, pictures: str) -> DataFrame:
-    """Cover problems from an array of (type, w, h): none, too small, small, not square, not a front, several."""
-    first = F.try_element_at(F.col(pictures), F.lit(1))
-    side = F.least(first["w"], first["h"])
+    """Cover problems from an array of (type, w, h): none, not readable, too small (under 290), small (under 500), not square, no front (type 3), several. The first front counts, else the first picture."""
+    fronts = F.filter(pictures, lambda p: p["type"] == 3)
+    first = F.coalesce(F.try_element_at(fronts, F.lit(1)), F.try_element_at(F.col(pictures), F.lit(1)))
+    readable = (F.coalesce(first["w"], F.lit(0)) > 0) & (F.coalesce(first["h"], F.lit(0)) > 0)
+    side = F.when(readable, F.least(first["w"], first["h"]))
     name = F.array_compact(
         F.array(
             F.when(F.coalesce(F.size(pictures), F.lit(0)) == 0, "cover missing"),
+            F.when((F.size(pictures) > 0) & ~readable, "cover not readable"),
             F.when(side < 290, "cover too small"),
-            F.when((side >= 300) & (side < 500), "cover small"),
-            F.when(F.abs(first["w"] - first["h"]) > 0.05 * F.greatest(first["w"], first["h"]), "cover not square"),
-            F.when(first["type"] != 3, "cover not a front"),
+            F.when((side >= 290) & (side < 500), "cover small"),
+            F.when(readable & (F.abs(first["w"] - first["h"]) > 0.05 * F.greatest(first["w"], first["h"])), "cover not square"),
+            F.when((F.size(pictures) > 0) & (F.size(fronts) == 0), "cover not a front"),
             F.when(F.size(pictures) > 1, "several covers"),
         )
     )

@@ -109,6 +109,57 @@ def audit_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def more_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections on tags, covers and a player's albums: customers are artists or folders, their orders songs, the order's priority, status and clerk's day genre, cover and album."""
+    orders = _t(spark, sf_dir, "orders").withColumns({"artist": F.when(F.col("o_custkey") % 9 == 0, "Various Artists").when(F.col("o_custkey") % 9 == 1, "Soundtracks").otherwise(F.concat(F.lit("c"), F.col("o_custkey").cast("string"))), "track_artist": F.concat(F.lit("t"), (F.col("o_custkey") % 20).cast("string"))})
+    songs = orders.withColumn("genres", F.array(F.when(F.col("o_orderpriority") == "5-LOW", "Soundtrack").otherwise(F.col("o_orderpriority"))))
+    media = orders.where("o_orderstatus <> 'F'").select(F.concat(F.lit("a"), (F.col("o_custkey") % 40).cast("string"), F.lit("/f"), (F.col("o_custkey") % 200).cast("string"), F.lit("/"), F.col("o_orderkey").cast("string")).alias("path"), F.concat(F.lit("x"), (F.floor(F.col("o_custkey") / 3) % 70).cast("string")).alias("album_id"))
+    albums = media.select(F.col("album_id").alias("id")).distinct().withColumn("name", F.when(F.col("id") != "x3", F.upper("id")))
+    states = orders.withColumns({"code": F.col("o_orderkey") % 97, "lossy": F.when(F.col("o_orderkey") % 50 == 0, "MP3"), "error": F.when(F.col("o_orderkey") % 89 == 0, "broken"), "signed": F.when(F.col("o_orderkey") % 41 != 0, F.lit(True)), "silent": F.col("o_orderkey") % 31 == 0})
+    return audit.union(
+        [
+            audit.artists_of_many_genres(songs, "artist", "track_artist", "genres", most=3),
+            audit.mixed_covers(orders, "o_custkey", "o_orderstatus"),
+            audit.player_albums(media, albums),
+            audit.damaged(states.where("code < 2"), "o_orderkey", "code", "o_orderstatus"),
+            audit.unreadable(states, "o_orderkey", "error"),
+            audit.unsigned(states, "o_orderkey", "signed"),
+            audit.lossy_files(states, "o_orderkey", "lossy"),
+            audit.lyrics_of_instrumentals(states, "o_orderkey", "o_orderpriority", "silent"),
+        ]
+    )
+
+
+def file_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections on files: orders by customer and year as paths, those of a status as other files; all customers have folders of three years."""
+    orders = _t(spark, sf_dir, "orders").withColumn("y", F.year("o_orderdate").cast("string"))
+    files = orders.select(F.concat_ws("/", F.col("o_custkey").cast("string"), "y", F.concat(F.col("o_orderkey").cast("string"), F.when(F.col("o_orderstatus") == "P", ".jpg").otherwise(".flac"))).alias("path"))
+    folders = _t(spark, sf_dir, "customer").select(F.explode(F.array(F.col("c_custkey").cast("string"), *(F.concat(F.col("c_custkey").cast("string"), F.lit(f"/{y}")) for y in (1999, 2000, 2001)))).alias("folder"))
+    inodes = orders.select("o_orderkey", F.concat(F.lit("p"), F.col("o_orderkey").cast("string")).alias("path"), (F.col("o_orderkey") % 9000).alias("ino"))
+    tags = orders.select("o_orderkey", F.array_distinct(F.array("o_orderstatus", F.substring("o_orderpriority", 3, 1))).alias("mark"))
+    return audit.union([audit.empty_folders(folders, files), audit.other_files(files, "path", readers.is_audio(F.element_at(F.split("path", "/"), -1))), audit.hardlinks(inodes, "path", "ino"), audit.several_values(tags, "o_orderkey", ["mark"])])
+
+
+def media_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections on lyrics, covers and dates: items as songs, their quantity as seconds, marks made of their lines, sizes of covers of their prices."""
+    items = _t(spark, sf_dir, "lineitem").withColumn("id", F.concat_ws("/", *(F.col(c).cast("string") for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"))))
+    marks = F.when(F.col("l_linenumber") == 1, "").when(F.col("l_linenumber") == 2, "no marks").otherwise(F.concat(F.lit("[00:0"), F.col("l_linenumber").cast("string"), F.lit(".50] a\n[00:40] b")))
+    side = lambda c: (F.floor(F.col(c)) % 700).cast("int")
+    pictures = F.when(F.col("l_linenumber") != 7, F.array(F.struct(F.when(F.col("l_linenumber") == 6, 2).otherwise(3).alias("type"), (side("l_extendedprice") + 1).alias("w"), (side("l_extendedprice") + F.col("l_linenumber") * 5).alias("h"))))
+    rows = items.select("id", marks.alias("lyrics"), F.col("l_quantity").alias("seconds"), pictures.alias("pictures"))
+    return audit.union([audit.lyrics(rows, "id", "lyrics", "seconds").drop("detail").withColumn("detail", F.lit(None).cast("string")), audit.covers(rows, "id", "pictures")]).groupBy("section", "severity").agg(F.count("*").alias("n"))
+
+
+def pair_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items as pairs of songs: discount and tax stand for scores and previews, flags for what they have in common."""
+    i = _t(spark, sf_dir, "lineitem")
+    rows = i.select(
+        (1 - F.round(F.col("l_discount") * 100) * F.round(F.col("l_discount") * 100) / 200).alias("score"), (F.col("l_linenumber") == 1).alias("song"), (F.col("l_returnflag") == "R").alias("ids"), F.lit(200.0).alias("a"), (F.lit(200.0) + F.col("l_linenumber")).alias("b"),
+        F.when(F.col("l_tax") > 0, 1 - F.round(F.col("l_tax") * 100) / 25).alias("pa"), F.when(F.col("l_linenumber") != 3, F.lit(0.9)).alias("pb"), (F.col("l_linestatus") == "O").alias("title"),
+    )
+    return audit.audio_pairs(rows, "score", "song", "ids", "a", "b", "pa", "pb", "title").groupBy("verdict").agg(F.count("*").alias("n"))
+
+
 def audio_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items as suspicious files: the discount stands for the similarity, the quantity for the length, its tax for the lookup."""
     items = _t(spark, sf_dir, "lineitem")
@@ -120,7 +171,7 @@ def audio_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("verdict").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (title_key, artist_key, album_base, paren_strip, path_sanitise, id_from_url, page_title_scrape, html_entity_audit, repeated_lines, pii_scan, code_format_validation, marks_to_seconds, repeated_position, audit_union, audio_verdicts)}
+QUERIES = {f.__name__: f for f in (title_key, artist_key, album_base, paren_strip, path_sanitise, id_from_url, page_title_scrape, html_entity_audit, repeated_lines, pii_scan, code_format_validation, marks_to_seconds, repeated_position, audit_union, more_sections, file_sections, media_sections, pair_verdicts, audio_verdicts)}
 
 
 def _sql(values: tuple[str, ...], column: str) -> str:
@@ -181,6 +232,34 @@ ORACLE_SQL = {
       union all select 'mixed o_orderstatus', 'fix', cast(o_custkey as varchar), string_agg(distinct o_orderstatus, ',' order by o_orderstatus) from orders group by o_custkey having count(distinct o_orderstatus) > 1
       union all select 'missing tags', 'fix', cast(page_id as varchar), case when coalesce(url, '') = '' then case when coalesce(html, '') = '' then 'url,html' else 'url' end else 'html' end from pages where coalesce(url, '') = '' or coalesce(html, '') = ''
       union all select 'odd text', 'fix', cast(p_partkey as varchar), tag || ': ' || case when v <> trim(v) then 'edge spaces' else 'double space' end from (select p_partkey, 'p_name' tag, p_name v from part union all select p_partkey, 'p_type', p_type from part) where v <> trim(v) or contains(v, '  ')""",
+    "more_sections": """with o as (select *, case o_custkey % 9 when 0 then 'Various Artists' when 1 then 'Soundtracks: t' || (o_custkey % 20) else 'c' || o_custkey end artist, case when o_orderpriority = '5-LOW' then 'Soundtrack' else o_orderpriority end g from orders),
+      gs as (select distinct artist, g from o where artist <> 'Various Artists' and not (artist like 'Soundtracks%' and g = 'Soundtrack') and g is not null),
+      cs as (select o_custkey, o_orderstatus, count(*) n from orders where o_orderstatus is not null group by all),
+      ms as (select distinct 'a' || (o_custkey % 40) || '/f' || (o_custkey % 200) folder, 'x' || (cast(floor(o_custkey / 3) as bigint) % 70) id from orders where o_orderstatus <> 'F'), nm as (select *, case when id = 'x3' then id else upper(id) end as name from ms),
+      jn as (select id, name, count(*) n, count(distinct string_split(folder, '/')[1]) artists, string_agg(folder, ' | ' order by folder) seen from nm group by id, name having count(*) > 1)
+      select 'many genres' section, 'fix' severity, artist as key, string_agg(g, ' ; ' order by g) detail from gs group by artist having count(*) > 3
+      union all select 'mixed covers', 'fix', cast(o_custkey as varchar), string_agg(o_orderstatus || '×' || n, ' / ' order by n desc, o_orderstatus) from cs group by o_custkey having count(*) > 1
+      union all select 'split folder', 'fix', folder, string_agg(name, ' / ' order by name) from nm group by folder having count(*) > 1
+      union all select case when artists < n then 'joined folders' else 'album of several artists' end, case when artists < n then 'fix' else 'info' end, name, seen from jn
+      union all select 'damaged', 'fix', cast(o_orderkey as varchar), o_orderstatus from orders where o_orderkey % 97 = 1
+      union all select 'unreadable', 'fix', cast(o_orderkey as varchar), 'broken' from orders where o_orderkey % 89 = 0
+      union all select 'no checksum', 'info', cast(o_orderkey as varchar), null from orders where o_orderkey % 41 = 0
+      union all select 'lossy', 'info', cast(o_orderkey as varchar), 'MP3' from orders where o_orderkey % 50 = 0
+      union all select 'instrumental with lyrics', 'fix', cast(o_orderkey as varchar), null from orders where o_orderkey % 31 = 0 and coalesce(o_orderpriority, '') <> ''""",
+    "file_sections": """with f as (select o_custkey || '/' || year(o_orderdate) || '/' || o_orderkey || case when o_orderstatus = 'P' then '.jpg' else '.flac' end path, cast(o_custkey as varchar) top, o_custkey || '/' || year(o_orderdate) dir from orders),
+      d as (select cast(c_custkey as varchar) folder from customer union all select c_custkey || '/' || y from customer, unnest([1999, 2000, 2001]) u(y))
+      select 'empty folder' section, 'fix' severity, folder as key, cast(null as varchar) detail from d where folder not in (select top from f) and folder not in (select dir from f)
+      union all select 'not audio', 'fix', path, null from f where path like '%.jpg'
+      union all select 'hardlinks', 'info', min('p' || o_orderkey), cast(count(*) as varchar) from orders group by o_orderkey % 9000 having count(*) > 1
+      union all select 'several values', 'fix', cast(o_orderkey as varchar), 'mark: ' || o_orderstatus || ' ; ' || o_orderpriority[3] from orders where o_orderstatus <> o_orderpriority[3]""",
+    "media_sections": """with i as (select l_linenumber n, l_quantity q, floor(l_extendedprice)::bigint % 700 + 1 w, floor(l_extendedprice)::bigint % 700 + l_linenumber * 5 h from lineitem),
+      s as (select case when n = 1 then 'lyrics missing' when n = 2 then 'lyrics without marks' when 40 - q > 12 then 'lyrics too long' when 40 - q > 5 then 'lyrics slightly long' end section from i
+        union all select 'cover missing' from i where n = 7 union all select 'cover too small' from i where n <> 7 and least(w, h) < 290 union all select 'cover small' from i where n <> 7 and least(w, h) between 290 and 499
+        union all select 'cover not square' from i where n <> 7 and abs(w - h) > 0.05 * greatest(w, h) union all select 'cover not a front' from i where n = 6)
+      select section, case when section in ('lyrics too long', 'cover missing', 'cover too small') then 'fix' else 'info' end severity, count(*) n from s where section is not null group by 1""",
+    "pair_verdicts": """with r as (select 1 - round(l_discount * 100) * round(l_discount * 100) / 200 s, l_linenumber = 1 song, l_returnflag = 'R' ids, l_linenumber <= 4 alike, case when l_tax > 0 then 1 - round(l_tax * 100) / 25 end a, case when l_linenumber <> 3 then 0.9 end b, l_linestatus = 'O' title from lineitem)
+      select case when s >= 0.9 then case when song then 'copies' when coalesce(a < 0.8, false) or coalesce(b < 0.8, false) then 'wrong audio' when a is null or b is null or a < 0.85 or b < 0.85 then 'same audio, unconfirmed'
+        when s >= 0.98 and alike then case when title then 'copies' else 'same audio, two names' end else 'shared audio' end when s < 0.75 and ids and not song then 'wrong id' when s is not null then 'versions' end verdict, count(*) n from r group by 1""",
     "audio_verdicts": """with r as (select case when l_discount > 0 then 1 - 3 * l_discount end sim, l_quantity * 10 as seconds, case when l_linenumber % 2 = 0 then l_quantity * 10 + l_linenumber - 2 end ref, case when l_tax < 0.02 then 'OK' when l_tax > 0.06 then 'WRONG' else 'REVIEW' end lookup from lineitem),
       v as (select *, coalesce(abs(seconds - ref) > greatest(3.0, 0.01 * ref), false) other from r)
       select case when lookup = 'OK' then 'ok' when sim < 0.75 then 'wrong' when sim is null and ref is null and lookup = 'WRONG' then 'wrong' when not other and coalesce(sim, 0) >= 0.85 then 'ok' else 'doubtful' end verdict, count(*) n from v group by 1""",

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sieveworks.functions import tolerance
-from sieveworks.operators import audit, changes, consensus, funnel, history, match, verdicts
+from sieveworks.operators import audit, changes, consensus, funnel, genres, history, match, verdicts
 from sieveworks.sources import readers, writers
 
 
@@ -177,6 +177,7 @@ def test_verdicts(spark):
 def test_audit_sections(spark):
     songs = spark.createDataFrame([(1, "[00:10.00] a", 20.0), (2, "[00:30.00] a", 24.0), (3, "[01:00.00] a", 20.0), (4, "no marks", 20.0), (5, None, 20.0)], "id int, lyrics string, seconds double")
     assert rows(audit.lyrics(songs, "id", "lyrics", "seconds"), "key", "section") == [("2", "lyrics slightly long"), ("3", "lyrics too long"), ("4", "lyrics without marks"), ("5", "lyrics missing")]
+    assert audit.lyrics(songs.where("id = 5").withColumn("silent", F.lit(True)), "id", "lyrics", "seconds", "silent").count() == 0
     names = [("A", "2001 - Hits", ["g"]), ("A", "2001 - Hits (Deluxe)", []), ("A", "2001 - Other", ["h"]), ("B", "2001 - Hits", ["g"]), ("A", "2005 - Something", ["g", "h"]), ("C", "2002 - Donde Jugaran Las", None), ("C", "2002 - Donde Jurgaran Las", []), ("C", "2003 - Donde Jugaran Laz", []), ("C", "2002 - Donde_Jugaran Las", []), ("D", "1990 - Part 12345", []), ("D", "1990 - Part 12346", []), ("D", "1990 - (1990)", [])]
     albums = spark.createDataFrame(names, "artist string, album string, groups array<string>")
     none = spark.createDataFrame([], "folder_1 string, folder_2 string")
@@ -186,8 +187,8 @@ def test_audit_sections(spark):
     assert all(v == "misspelled" for k, v in got if k.startswith("2002"))
     apart = spark.createDataFrame([("2001 - Hits (Deluxe)", "2001 - Hits")], "folder_1 string, folder_2 string")
     assert len(got) - 1 == audit.albums_alike(albums, "artist", "album", apart, "groups").count()
-    covers = spark.createDataFrame([(1, []), (2, [(3, 600, 600)]), (3, [(3, 200, 300), (4, 1, 1)])], "id int, pictures array<struct<type: int, w: int, h: int>>")
-    assert rows(audit.covers(covers, "id", "pictures"), "key", "section") == [("1", "cover missing"), ("3", "cover not square"), ("3", "cover too small"), ("3", "several covers")]
+    covers = spark.createDataFrame([(1, []), (2, [(3, 600, 600)]), (3, [(3, 200, 300), (4, 1, 1)]), (4, [(4, 600, 600)]), (5, [(2, 600, 600), (3, 295, 295)]), (6, [(3, 0, 5)])], "id int, pictures array<struct<type: int, w: int, h: int>>")
+    assert rows(audit.covers(covers, "id", "pictures"), "key", "section") == [("1", "cover missing"), ("3", "cover not square"), ("3", "cover too small"), ("3", "several covers"), ("4", "cover not a front"), ("5", "cover small"), ("5", "several covers"), ("6", "cover not readable")]
 
 
 def test_put_back_meets_neighbours_across_bands(spark):
@@ -342,3 +343,14 @@ def test_links_files_and_first_of_each(spark, tmp_path):
     assert rows(funnel.live_state(state, spark.createDataFrame([("a",), ("a",)], "item string"), "item")) == [("a",)]
     dated = spark.createDataFrame([(1, "2001-13-x"), (2, "1850"), (3, "2001"), (4, None)], "id int, date string")
     assert rows(audit.dates(dated, "id", "date", 2026), "key", "detail") == [("1", "odd format"), ("2", "year out of range")]
+
+
+def test_genres_of_voters(spark):
+    songs = [("Ann", "Ann", "x", "Rap/Hip Hop")] * 4 + [("Ann", "Ann", "x", "Urbano latino")] + [("Ann", "Ann", "x", "Jazz")] * 3 + [("Various Artists", "Q", "one", "House")] * 3 + [("Varios Artistas", "Q", "two", "nonsense")] + [("Soundtracks", "Ann", "f", None), ("Soundtracks", "Film", "f", "Original Score"), ("Soundtracks", "None", "f", None), ("Fix", "Fix", "x", "Metal"), (None, None, None, "Metal")]
+    df = spark.createDataFrame(songs, "albumartist string, artist string, album string, source string").withColumn("genre", genres.genre_of(F.col("source")))
+    fixed = spark.createDataFrame([("Fix", "Jazz"), ("Unheard", "Kids")], "name string, fixed string")
+    got = genres.choose(genres.voters(df, "albumartist", "artist", "album"), fixed)
+    assert {(r["kind"], r["name"]): (",".join(r["genres"]), r["doubtful"]) for r in got.collect()} == {
+        ("artist", "Ann"): ("Reggaeton,Jazz", True), ("album", "one"): ("Electronic", False), ("soundtrack", "Ann"): ("Reggaeton,Jazz,Soundtrack", False), ("soundtrack", "Film"): ("Soundtrack", False),
+        ("artist", "Fix"): ("Jazz", False), ("artist", "Unheard"): ("Kids", False), ("artist", "?"): ("Metal", False),
+    }
