@@ -94,6 +94,21 @@ def track_gain(lufs: Column) -> Column:
     return -18 - lufs
 
 
+def gain_text(gain: Column) -> Column:
+    """A gain as the tag has it: '+1.23 dB'."""
+    return F.format_string("%+.2f dB", gain.cast("double"))
+
+
+def peak(dbfs: Column) -> Column:
+    """A peak in dBFS as a share of full scale."""
+    return F.pow(F.lit(10.0), dbfs / 20)
+
+
+def bit_rate(size: Column, seconds: Column) -> Column:
+    """Kilobits a second of a file of ``size`` bytes; null for no length."""
+    return F.when(seconds > 0, size * 8 / seconds / 1000)
+
+
 def album_loudness(lufs: Column, duration: Column) -> Column:
     """Energy mean of tracks, weighted by duration (an aggregate)."""
     return 10 * F.log10(F.sum(duration * F.pow(F.lit(10.0), lufs / 10)) / F.sum(duration))

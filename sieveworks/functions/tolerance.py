@@ -23,6 +23,11 @@ def other_version(value: Column, reference: Column) -> Column:
     return far_from(value, reference, 3, 0.01)
 
 
+def cut_short(decoded: Column, declared: Column) -> Column:
+    """Whether audio ends more than 2 s, or 3 % of its declared length, early."""
+    return decoded < declared - F.greatest(F.lit(2.0), 0.03 * declared)
+
+
 def band(value: Column) -> Column:
     """A number for which values that aren't :func:`other_version` differ by at most 1: 6 s wide under 300, 2 % wide above."""
     size = F.when(value < 300, value / 3).otherwise(100 + F.log(F.greatest(value, F.lit(300.0)) / 300) / math.log(1.01))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -72,8 +72,18 @@ def upsert(old: DataFrame, new: DataFrame, on: Sequence[str], merged: dict[str,
 
 
 def fold_into(annotations: DataFrame, changes: DataFrame, item: str, on: Sequence[str], merged: dict[str, str]) -> DataFrame:
-    """Annotations of moved items added to those of where they went; of removed ones dropped."""
-    return upsert(remap(annotations, item, changes), annotations.limit(0), [*on, item], merged)
+    """Annotations of moved items added to those of where they went; of removed ones dropped.
+
+    ``merged`` says how a column folds: sum, max, min, or own: that of the item itself, and
+    only where it has none the largest of what moved to it.
+    """
+    own = [c for c, how in merged.items() if how == "own"]
+    moved = changes.select(F.col("old").alias(item), F.lit(True).alias("_moved")).distinct()
+    rows = annotations.join(moved, item, "left").withColumns({f"_own_{c}": F.when(F.col("_moved").isNull(), F.col(c)) for c in own}) if own else annotations
+    folds = {c: "max" if how == "own" else how for c, how in merged.items()} | {f"_own_{c}": "max" for c in own}
+    rows = remap(rows, item, changes)
+    out = upsert(rows, rows.limit(0), [*on, item], folds)
+    return out.withColumns({c: F.coalesce(f"_own_{c}", c) for c in own}).drop(*(f"_own_{c}" for c in own)) if own else out
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame, row: str, tag: str, value: str) -> DataFrame:
@@ -113,6 +123,18 @@ def missing_rows(rows: DataFrame, id_col: str, removed: DataFrame, awaited: Data
     return out.withColumn("reason", reason).drop("_removed", "_awaited", "_moved")
 
 
+def purge_plan(missing: DataFrame, disk: int, database: int) -> DataFrame:
+    """The rows of :func:`missing_rows` to purge: those removed on purpose. None while any is unexplained, or moved to where nothing was found, nor when :func:`sane` says no; rows that are awaited stay."""
+    if not sane(disk, database) or not missing.where("reason in ('unexplained', 'moved')").isEmpty():
+        return missing.limit(0)
+    return missing.where("reason = 'removed'")
+
+
+def remap_all(tables: Mapping[str, tuple[DataFrame, str, Sequence[str] | None, str | None]], changes: DataFrame) -> dict[str, DataFrame]:
+    """:func:`remap` of every table that holds paths: name -> (table, path column, unique columns, position column)."""
+    return {name: remap(df, path, changes, unique, position) for name, (df, path, unique, position) in tables.items()}
+
+
 def sane(disk: int, database: int, least: int = 20, share: float = 0.5) -> bool:
     """Whether a merge may run: not when the disk is empty or has under half of a database of 20 rows or more."""
     return disk > 0 and not (database >= least and disk < share * database)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveworks.functions import similarity
+from sieveworks.functions import similarity, tolerance
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,14 @@ def loudness_album_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("l_orderkey", F.round("lufs", 6).alias("lufs"), F.round(similarity.track_gain(F.col("lufs")), 6).alias("gain"), F.round("peak", 6).alias("peak"))
 
 
+def file_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items as files: the discount stands for loudness, the price for the size, the quantity for the declared length, of which the tax was cut off."""
+    items = _t(spark, sf_dir, "lineitem")
+    gain = similarity.track_gain(-F.round(F.col("l_discount") * 100) - 5)
+    rows = items.select(similarity.gain_text(gain).alias("gain"), tolerance.cut_short(F.col("l_quantity") * 10 - F.round(F.col("l_tax") * 100) * 2, F.col("l_quantity") * 10).alias("short"), F.floor(similarity.bit_rate(F.floor("l_extendedprice") * 1000, F.col("l_quantity")) / 1000).alias("megabits"))
+    return rows.groupBy("gain", "short", "megabits").agg(F.count("*").alias("n"))
+
+
 def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each vector with the one that follows it by id."""
     vectors = _t(spark, sf_dir, "embeddings").select("vec_id", "embedding")
@@ -53,11 +61,13 @@ def edit_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.join(first, "p_brand").select("p_brand", "p_type", F.round(similarity.edit_similarity(F.col("p_type"), F.col("first")), 6).alias("similarity"))
 
 
-QUERIES = {f.__name__: f for f in (loudness_album_gain, hamming_similarity, preview_similarity, sliding_similarity, edit_similarity)}
+QUERIES = {f.__name__: f for f in (loudness_album_gain, file_facts, hamming_similarity, preview_similarity, sliding_similarity, edit_similarity)}
 
 _N = "with n as (select a.vec_id, a.embedding e, b.embedding f from embeddings a join embeddings b on b.vec_id = a.vec_id + 1)"
 ORACLE_SQL = {
     "loudness_album_gain": "with a as (select l_orderkey, 10 * log10(sum(l_quantity * pow(10, (-100 * l_discount - 5) / 10)) / sum(l_quantity)) lufs, max(pow(10, -100 * l_tax / 20)) peak from lineitem group by 1) select l_orderkey, round(lufs, 6) lufs, round(-18 - lufs, 6) gain, round(peak, 6) peak from a",
+    "file_facts": """select printf('%+.2f dB', cast(-18 + round(l_discount * 100) + 5 as double)) gain, l_quantity * 10 - round(l_tax * 100) * 2 < l_quantity * 10 - greatest(2.0, 0.03 * (l_quantity * 10)) short,
+      cast(floor(floor(l_extendedprice) * 1000 * 8 / l_quantity / 1000 / 1000) as bigint) megabits, count(*) n from lineitem group by all""",
     "hamming_similarity": f"{_N} select vec_id, cast(list_sum(list_transform(range(1, len(e) + 1), lambda i: case when (e[i] > 0) <> (f[i] > 0) then 1 else 0 end)) as bigint) bits from n",
     "preview_similarity": f"""{_N}, w as (select vec_id, list_transform(e, lambda x: ((cast(floor(cast(x as float) * 1000) as bigint) % 2147483648) + 2147483648) % 2147483648) a, list_transform(f[1:20], lambda x: ((cast(floor(cast(x as float) * 1000) as bigint) % 2147483648) + 2147483648) % 2147483648) b from n)
       select vec_id, round(list_max(list_transform(range(0, len(a) - 18 + 1), lambda o: list_sum(list_transform(range(1, least(20, len(a) - o) + 1), lambda i: 32 - bit_count(xor(a[o + i], b[i])))) / (32.0 * least(20, len(a) - o)))), 3) similarity from w""",

@@ -68,6 +68,31 @@ def test_upsert_diff_and_gates(spark):
     assert changes.sane(10, 19) and not changes.sane(9, 20) and not changes.sane(0, 0)
 
 
+def test_purging_waits_for_explanations(spark):
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id int")
+    missing = changes.missing_rows(ids(1, 2, 3), "id", ids(1), ids(2), ids(3))
+    assert changes.purge_plan(missing, 50, 60).count() == 0
+    missing = missing.where("id < 3")
+    assert rows(changes.purge_plan(missing, 50, 60), "id", "reason") == [(1, "removed")]
+    assert changes.purge_plan(missing, 29, 60).count() == 0 == changes.purge_plan(missing, 0, 0).count()
+    assert changes.purge_plan(changes.missing_rows(ids(1, 9), "id", ids(1), ids(2), ids(3)), 50, 60).count() == 0
+
+
+def test_folded_annotations_keep_the_items_own_date(spark):
+    log = spark.createDataFrame([("a", "b"), ("c", "d"), ("x", None)], "old string, new string")
+    plays = spark.createDataFrame([("u", "a", 2, 9, 5), ("u", "b", 3, 1, 4), ("u", "c", 1, 7, 6), ("u", "d", 1, None, None), ("u", "x", 1, 1, 1), ("v", "a", 1, 3, None)], "user string, item string, plays int, starred_at int, rating int")
+    out = changes.fold_into(plays, log, "item", ["user"], {"plays": "sum", "starred_at": "own", "rating": "max"})
+    assert sorted((tuple(r[c] for c in ("user", "item", "plays", "starred_at", "rating")) for r in out.collect()), key=repr) == [("u", "b", 5, 1, 5), ("u", "d", 2, 7, 6), ("v", "b", 1, 3, None)]
+
+
+def test_all_tables_with_paths_follow_a_change(spark):
+    log = spark.createDataFrame([("a", "b"), ("c", None)], "old string, new string")
+    entries = spark.createDataFrame([("p", 1, "a"), ("p", 2, "b"), ("p", 3, "c")], "playlist string, pos int, path string")
+    state = spark.createDataFrame([("s1", "a"), ("s2", "c"), ("s3", "d")], "key string, file string")
+    out = changes.remap_all({"playlists": (entries, "path", ["playlist", "path"], "pos"), "state": (state, "file", None, None)}, log)
+    assert rows(out["playlists"], "pos", "path") == [(1, "b")] and rows(out["state"], "key", "file") == [("s1", "b"), ("s3", "d")]
+
+
 def test_lookup_order(spark):
     left = spark.createDataFrame([(1, "k"), (2, "k"), (3, "z")], "id int, key string")
     decided = spark.createDataFrame([(1, "human")], "id int, v string")
