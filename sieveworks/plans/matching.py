@@ -142,6 +142,8 @@ ORACLE_SQL = {
       select x.id a, y.id b, count(*) shared from r x join r y on x.word = y.word and x.id < y.id group by 1, 2 having count(*) >= 5""",
     "near_name_pairs": "with n as (select distinct p_name a from part) select x.a, y.a b, levenshtein(x.a, y.a) edits from n x join n y on split_part(x.a, ' ', 1) = split_part(y.a, ' ', 1) and x.a < y.a where levenshtein(x.a, y.a) <= 3",
     "dir_vs_player_diff": "with a as (select distinct o_custkey custkey from orders where year(o_orderdate) = 2000), b as (select distinct o_custkey custkey from orders where year(o_orderdate) = 2001) select custkey, 'left' side from a where custkey not in (select custkey from b) union all select custkey, 'right' from b where custkey not in (select custkey from a)",
+    "library_index": """with k as (select 'p/' || lpad(cast(p_partkey as varchar), 9, '0') path, regexp_replace(lower(p_name), '[^a-z0-9_]', '', 'g') title_key, unnest([regexp_replace(lower(p_brand), '[^a-z0-9_]', '', 'g'), regexp_replace(lower(p_type), '[^a-z0-9_]', '', 'g')]) artist_key from part)
+      select artist_key, title_key, min(path) path from k where artist_key <> '' group by 1, 2""",
     "nearest_store": """select a.o_orderkey, first(b.o_orderkey order by case when a.o_orderpriority = b.o_orderpriority then 0 else 1 end, round(abs(b.o_totalprice - a.o_totalprice), 2), b.o_orderkey) b from orders a join orders b using (o_custkey) where a.o_orderkey <> b.o_orderkey group by 1""",
     "ranked_candidates": """with s as (select distinct l_partkey, l_suppkey, 'all' source from lineitem union select l_partkey, l_suppkey, 'large' from lineitem where l_quantity >= 40 union select l_partkey, l_suppkey, 'returned' from lineitem where l_returnflag = 'R'),
       m as (select l_partkey, l_suppkey, string_agg(source, ',' order by source) sources, count(*) n from s group by all),
