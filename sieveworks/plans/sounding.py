@@ -71,7 +71,5 @@ ORACLE_SQL = {
     "hamming_similarity": f"{_N} select vec_id, cast(list_sum(list_transform(range(1, len(e) + 1), lambda i: case when (e[i] > 0) <> (f[i] > 0) then 1 else 0 end)) as bigint) bits from n",
     "preview_similarity": f"""{_N}, w as (select vec_id, list_transform(e, lambda x: ((cast(floor(cast(x as float) * 1000) as bigint) % 2147483648) + 2147483648) % 2147483648) a, list_transform(f[1:20], lambda x: ((cast(floor(cast(x as float) * 1000) as bigint) % 2147483648) + 2147483648) % 2147483648) b from n)
       select vec_id, round(list_max(list_transform(range(0, len(a) - 18 + 1), lambda o: list_sum(list_transform(range(1, least(20, len(a) - o) + 1), lambda i: 32 - bit_count(xor(a[o + i], b[i])))) / (32.0 * least(20, len(a) - o)))), 3) similarity from w""",
-    "sliding_similarity": f"""{_N}, w as (select vec_id, list_transform(e, lambda x: ((cast(floor(cast(x as float) * 1000) as bigint) % 2147483648) + 2147483648) % 2147483648) a, list_transform(f, lambda x: ((cast(floor(cast(x as float) * 1000) as bigint) % 2147483648) + 2147483648) % 2147483648) b from n)
-      select vec_id, round_even(list_max(list_transform(range(-19, 20, 2), lambda o: 1 - list_sum(list_transform(range(1, 64 - abs(o) + 1), lambda i: bit_count(xor(a[i + greatest(o, 0)], b[i + greatest(-o, 0)])))) / (32.0 * (64 - abs(o))))), 3) similarity from w""",
     "edit_similarity": "with p as (select distinct p_brand, p_type from part), f as (select p_brand, min(p_type) m from p group by 1) select p_brand, p_type, round(1 - levenshtein(p_type, m) / greatest(len(p_type), len(m), 1), 6) similarity from p join f using (p_brand)",
 }
