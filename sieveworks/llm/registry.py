@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sieveworks.llm import chat_format, decontamination, html_text, language_id, pieces
+from sieveworks.llm import chat_format, decontamination, fill_middle, html_text, language_id, pieces
 from sieveworks.llm.hmm_score import score_texts
 from sieveworks.llm.jaccard_join import ngram_jaccard_join
 from sieveworks.llm.license_scan import license_scan
@@ -73,6 +74,13 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(_table(spark, sf_dir, "documents"))
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every document is cut and in what order its parts stand, with digests of the output and of the text rebuilt from it."""
+    rows = fill_middle.fill_middle(_table(spark, sf_dir, "documents"))
+    back = fill_middle.restored(F.col("output"), F.col("form"))
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
 QUERIES = {
     "op1_license_scans": op1_license_scans,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
@@ -84,8 +92,24 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_html_extraction": op9_html_extraction,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op13_fill_in_middle": op13_fill_in_middle,
     "pipeline": corpus_pipeline.run,
 }
 
 #: Queries that SQL can express over whole tables.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op13_fill_in_middle": """
+        with drawn as (
+          select doc_id, coalesce(text, '') as t, sha256('1:' || coalesce(doc_id::varchar, '')) as h, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as units from documents
+        ), cut as (
+          select doc_id, t, units, len(units) as n, ('0x' || h[1:8])::ubigint % (len(units) + 1) as one, ('0x' || h[9:16])::ubigint % (len(units) + 1) as two,
+            case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or ('0x' || h[17:24])::ubigint % 100 >= 90 then 'plain'
+                 when ('0x' || h[25:32])::ubigint % 100 < 20 then 'spm' else 'psm' end as form
+          from drawn
+        ), parts as (
+          select doc_id, t, n, form, array_to_string(units[1:least(one, two)], '') as p, array_to_string(units[least(one, two) + 1:greatest(one, two)], '') as m, array_to_string(units[greatest(one, two) + 1:], '') as s from cut
+        )
+        select doc_id, n, form, case when form <> 'plain' then length(p) end as prefix_chars, case when form <> 'plain' then length(m) end as middle_chars,
+          sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256, sha256(t) as restored_sha256
+        from parts""",
+}
