@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sieveworks.llm import chat_format, decontamination, fill_middle, html_text, language_id, pieces
+from sieveworks.llm import chat_format, decontamination, fill_middle, html_text, language_id, pieces, token_align
 from sieveworks.llm.hmm_score import score_texts
 from sieveworks.llm.jaccard_join import ngram_jaccard_join
 from sieveworks.llm.license_scan import license_scan
@@ -74,6 +74,13 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(_table(spark, sf_dir, "documents"))
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aligned tokens of every document under two tokenizers, with the counts of its links in all documents."""
+    rows = token_align.align_tokens(_table(spark, sf_dir, "documents"))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    return rows.withColumn("groups_sha256", digest).drop("groups")
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where every document is cut and in what order its parts stand, with digests of the output and of the text rebuilt from it."""
     rows = fill_middle.fill_middle(_table(spark, sf_dir, "documents"))
@@ -92,6 +99,7 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_html_extraction": op9_html_extraction,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op11_cross_tokenizer_alignment": op11_cross_tokenizer_alignment,
     "op13_fill_in_middle": op13_fill_in_middle,
     "pipeline": corpus_pipeline.run,
 }
