@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sieveworks.llm import chat_format, decontamination, fill_middle, html_text, language_id, pieces, token_align
+from sieveworks.llm import chat_format, decontamination, fill_middle, html_text, language_id, pieces, secret_scan, token_align
 from sieveworks.llm.hmm_score import score_texts
 from sieveworks.llm.jaccard_join import ngram_jaccard_join
 from sieveworks.llm.license_scan import license_scan
@@ -81,6 +81,12 @@ def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFram
     return rows.withColumn("groups_sha256", digest).drop("groups")
 
 
+def op12_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets and linked parts of credentials in every document, with a digest of those that are secrets by themselves."""
+    rows = secret_scan.secret_scan(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_assign", "n_access", "n_hex", "n_linked", F.sha2(secret_scan.listed(F.col("base")), 256).alias("base_sha256"), secret_scan.listed(F.col("spans")).alias("spans"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where every document is cut and in what order its parts stand, with digests of the output and of the text rebuilt from it."""
     rows = fill_middle.fill_middle(_table(spark, sf_dir, "documents"))
@@ -100,12 +106,14 @@ QUERIES = {
     "op9_html_extraction": op9_html_extraction,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     "op11_cross_tokenizer_alignment": op11_cross_tokenizer_alignment,
+    "op12_secret_scans": op12_secret_scans,
     "op13_fill_in_middle": op13_fill_in_middle,
     "pipeline": corpus_pipeline.run,
 }
 
 #: Queries that SQL can express over whole tables.
 ORACLE_SQL: dict[str, str] = {
+    "op12_secret_scans": secret_scan.ORACLE_SQL,
     "op13_fill_in_middle": """
         with drawn as (
           select doc_id, coalesce(text, '') as t, sha256('1:' || coalesce(doc_id::varchar, '')) as h, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as units from documents
