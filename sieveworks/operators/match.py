@@ -6,14 +6,18 @@ or-condition is written as one join for each of its keys.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import functools
+import itertools
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sieveworks.functions import keys, similarity, tolerance
+from sieveworks.operators.components import connected_components
 from sieveworks.sources.storage import forget, written
 
 
@@ -259,29 +263,85 @@ def same_recording(df: DataFrame, level: str, duration: str, rec_duration: str,
     return df.withColumn("_r", result).withColumns({out: F.col("_r.same"), "reason": F.col("_r.reason")}).drop("_r")
 
 
-def greedy_pairs(pairs: DataFrame, group: Sequence[str], left: str, right: str, order: Sequence[str]) -> DataFrame:
+#: Pairs of a group that one task chooses from, in order; it keeps the used sides of one group at a time.
+TASK_PAIRS = 200_000
+#: Rounds over larger groups before they are divided into their connected parts.
+FIRST_ROUNDS = 8
+
+
+def greedy_pairs(pairs: DataFrame, group: Sequence[str], left: str, right: str, order: Sequence[str], task_pairs: int = TASK_PAIRS) -> DataFrame:
     """A one-to-one choice from candidate pairs: in the given order, each pair whose two sides are both still free.
 
-    A pair that comes first for both its sides is chosen whatever the others are; so all
-    such pairs are taken in rounds, and those of used sides left out, until none is left.
-    A round takes the first pair of every group at least. No task holds a group.
+    Groups of at most ``task_pairs`` pairs are gone through in order, each within one task.
+    Larger ones go in rounds: a pair that comes first for both its sides is chosen
+    whatever the others are, so all such pairs are taken and those of used sides left out;
+    what has become small enough goes to a task. After :data:`FIRST_ROUNDS` of them the
+    rest is divided into connected parts, which don't touch each other, and these count as
+    groups. Only a connected part that stays larger needs more rounds. Pairs with a null in
+    group or sides are left out.
     """
     columns = [*group, left, right, *(c for c in order if c not in (*group, left, right))]
     place = F.struct(*order, *(c for c in (left, right) if c not in order))
-    now, chosen = written(pairs.select(*columns)), []
-    while not now.isEmpty():
-        first = {side: now.groupBy(*group, side).agg(F.min(place).alias(f"_{side}")) for side in (left, right)}
-        best = now.join(first[left], [*group, left]).join(first[right], [*group, right]).where((place == F.col(f"_{left}")) & (place == F.col(f"_{right}")))
-        chosen.append(written(best.select(*columns).distinct()))
-        after = now
+    now, chosen, parts = written(pairs.select(*columns).dropna(subset=[*group, left, right])), [], list(group)
+    for n in itertools.count(1):
+        sizes = now.groupBy(*parts).agg(F.count("*").alias("_n"))
+        small = now.join(sizes.where(F.col("_n") <= task_pairs).drop("_n"), parts, "left_semi") if parts else now.where(F.lit(now.count() <= task_pairs))
+        chosen.append(written(_in_order(small, parts, left, right, order).select(*columns)))
+        rest = written(now.join(sizes.where(F.col("_n") > task_pairs).drop("_n"), parts, "left_semi") if parts else now.where(F.lit(now.count() > task_pairs)))
+        forget(now)
+        if rest.isEmpty():
+            forget(rest)
+            break
+        first = {side: rest.groupBy(*parts, side).agg(F.min(place).alias(f"_{side}")) for side in (left, right)}
+        best = rest.join(first[left], [*parts, left]).join(first[right], [*parts, right]).where((place == F.col(f"_{left}")) & (place == F.col(f"_{right}")))
+        taken = written(best.select(*rest.columns).distinct())
+        after = rest
         for side in (left, right):
-            after = after.join(chosen[-1].select(*group, side), [*group, side], "left_anti")
-        last, now = now, written(after.select(*columns))
-        forget(last)
-    out = now
-    for part in chosen:
-        out = out.unionByName(part)
-    return out
+            after = after.join(taken.select(*parts, side), [*parts, side], "left_anti")
+        if n == FIRST_ROUNDS:
+            after = _connected(written(after.select(*rest.columns)), group, left, right)
+            parts = [*group, "_part"]
+            now = written(after)
+        else:
+            now = written(after.select(*rest.columns))
+        chosen.append(written(taken.select(*columns)))
+        forget(rest, taken)
+        if len(chosen) > FIRST_ROUNDS:
+            together = written(functools.reduce(DataFrame.unionByName, chosen))
+            forget(*chosen)
+            chosen = [together]
+    return functools.reduce(DataFrame.unionByName, chosen)
+
+
+def _in_order(pairs: DataFrame, group: Sequence[str], left: str, right: str, order: Sequence[str]) -> DataFrame:
+    """The choice within each group, whose pairs pass through one task in order."""
+    at = [*group, *order, *(c for c in (left, right) if c not in order)]
+    rows = (pairs.repartition(*group) if group else pairs.coalesce(1)).sortWithinPartitions(*at)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, used = None, (set(), set())
+        for batch in batches:
+            keep = []
+            keys_ = zip(*(batch[c].to_pylist() for c in group)) if group else itertools.repeat(())
+            for key, a, b in zip(keys_, batch[left].to_pylist(), batch[right].to_pylist()):
+                if key != here:
+                    here, used = key, (set(), set())
+                free = a not in used[0] and b not in used[1]
+                if free:
+                    used[0].add(a)
+                    used[1].add(b)
+                keep.append(free)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return rows.mapInArrow(choose, rows.schema)
+
+
+def _connected(pairs: DataFrame, group: Sequence[str], left: str, right: str) -> DataFrame:
+    """The pairs with ``_part``, the smallest name of a side that they reach within their group."""
+    name = lambda side: F.md5(F.to_json(F.struct(*group, F.lit(side).alias("_side"), F.col(left if side == "a" else right).alias("_id"))))
+    named = pairs.withColumns({"_a": name("a"), "_b": name("b")})
+    parts = connected_components(named.select(F.col("_a").alias("a"), F.col("_b").alias("b")))
+    return named.join(parts.withColumnsRenamed({"id": "_a", "component": "_part"}), "_a").drop("_a", "_b")
 
 
 def nearest_store(pairs: DataFrame, song: str, store_rank: str, difference: str, candidate: str) -> DataFrame:

@@ -12,7 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sieveworks.functions import tolerance
-from sieveworks.operators import consensus
+from sieveworks.operators import consensus, match
+from sieveworks.sources.storage import written
 
 
 def choose_edition(songs: DataFrame, editions: DataFrame, folder: str, song: str, edition: str, place: str, order: Sequence[str] = ()) -> DataFrame:
@@ -31,6 +32,66 @@ def choose_edition(songs: DataFrame, editions: DataFrame, folder: str, song: str
     return fits.groupBy(folder).agg(best, F.count("*").alias("fits"), (F.count_distinct("_places") > 1).alias("ambiguous"))
 
 
+def edition_candidates(songs: DataFrame, editions: DataFrame, tracks: DataFrame, folder: str, edition: str) -> DataFrame:
+    """(folder, edition): the editions of the folder's album name that hold one of its ISRCs, or are by its artist.
+
+    ``songs`` and ``editions`` have album_key and artist_key, ``songs`` isrcs too and
+    ``tracks`` isrc. A folder's album and artist are those of most of its songs. Both ways
+    are joins by the album and one more key.
+    """
+    usual = consensus.majority(songs, [folder], "album_key").select(folder, F.col("winner").alias("album_key")).join(consensus.majority(songs, [folder], "artist_key").select(folder, F.col("winner").alias("artist_key")), folder)
+    held = tracks.where("isrc <> ''").select(edition, "isrc").distinct().join(editions.select(edition, "album_key"), edition)
+    by_isrc = songs.select(folder, F.explode("isrcs").alias("isrc")).distinct().join(usual.select(folder, "album_key"), folder).join(held, ["album_key", "isrc"]).select(folder, edition)
+    by_name = usual.join(editions.select(edition, "album_key", "artist_key"), ["album_key", "artist_key"]).select(folder, edition)
+    return by_isrc.unionByName(by_name).distinct()
+
+
+def matched_tracks(songs: DataFrame, tracks: DataFrame, candidates: DataFrame, folder: str, edition: str) -> DataFrame:
+    """(folder, edition, song, track, by): which track of a candidate edition each song of a folder is, one to one.
+
+    ``songs`` has song (its order), isrcs, title_key and seconds, ``tracks`` track (its
+    order), isrc, title_key and seconds. First by ISRC, where durations are at most 7 s or
+    3 % of the track's apart, then the songs and tracks that are left by title, at most 3 s
+    or 1 %. In each pass songs in their order take the first free track. Tracks without a
+    duration are no song's.
+    """
+    near = lambda least, share: ~tolerance.far_from(F.col("_seconds"), F.col("seconds"), least, share)
+    rows = candidates.join(songs.select(folder, "song", "isrcs", F.col("title_key").alias("_title"), F.col("seconds").alias("_seconds")), folder)
+    whole = tracks.where("seconds > 0").select(edition, "track", "isrc", "title_key", "seconds")
+    first = rows.select(folder, edition, "song", "_seconds", F.explode("isrcs").alias("isrc")).where("isrc <> ''").join(whole, [edition, "isrc"]).where(near(7, 0.03))
+    one = written(match.greedy_pairs(first.select(folder, edition, "song", "track").distinct(), [folder, edition], "song", "track", ["song", "track"]))
+    left = rows.withColumnRenamed("_title", "title_key").join(one, [folder, edition, "song"], "left_anti")
+    second = left.join(whole, [edition, "title_key"]).where(near(3, 0.01)).join(one.select(folder, edition, "track"), [folder, edition, "track"], "left_anti")
+    two = match.greedy_pairs(second.select(folder, edition, "song", "track").distinct(), [folder, edition], "song", "track", ["song", "track"])
+    return one.withColumn("by", F.lit("isrc")).unionByName(two.withColumn("by", F.lit("title")))
+
+
+def number_by_edition(songs: DataFrame, editions: DataFrame, tracks: DataFrame, candidates: DataFrame, folder: str = "folder", edition: str = "edition") -> tuple[DataFrame, DataFrame]:
+    """(folder, edition, fits, state) of every folder, and (folder, song, disc, pos) of those whose state is numbered.
+
+    An edition fits if it is whole (``nb_tracks``, null: unknown) and every song of the
+    folder is one of its tracks (:func:`matched_tracks`). Where the editions that fit put
+    songs in different places, or differ in being on several discs, the state is ambiguous;
+    without one it is none. Else the edition with the most songs by ISRC is taken, then
+    one of the folder's date, of its year, the shortest, the smallest name. ``tracks`` has
+    disc and pos, ``editions`` date, ``songs`` date, of which the most frequent counts.
+    """
+    sizes = songs.groupBy(folder).agg(F.count_distinct("song").alias("_size"))
+    dates = consensus.majority(songs.withColumn("date", F.coalesce("date", F.lit(""))), [folder], "date").select(folder, F.col("winner").alias("_date"))
+    listed = tracks.groupBy(edition).agg(F.count("*").alias("_tracks"), F.max("disc").alias("_discs"))
+    whole = editions.join(listed, edition).where("nb_tracks is null or _tracks >= nb_tracks").select(edition, F.coalesce("date", F.lit("")).alias("date"), "_tracks", "_discs")
+    found = written(matched_tracks(songs, tracks, candidates.join(whole.select(edition), edition, "left_semi"), folder, edition))
+    placed = found.join(tracks.select(edition, "track", "disc", "pos"), [edition, "track"])
+    fits = placed.groupBy(folder, edition).agg(F.count("*").alias("_n"), F.count_if(F.col("by") == "isrc").alias("_by_isrc"), F.md5(F.to_json(F.array_sort(F.collect_list(F.struct("song", "disc", "pos"))))).alias("_places"))
+    fits = fits.join(sizes, folder).where("_n = _size").join(whole, edition).join(dates, folder)
+    order = F.struct(-F.col("_by_isrc"), F.col("date") != F.col("_date"), F.left("date", F.lit(4)) != F.left("_date", F.lit(4)), F.col("_tracks"), F.col(edition))
+    signs = F.struct("_places", F.col("_discs") > 1)
+    best = fits.groupBy(folder).agg(F.min_by(edition, order).alias(edition), F.count("*").alias("fits"), F.count_distinct(signs).alias("_signs"))
+    state = F.when(F.col("_signs") == 1, "numbered").when(F.col("_signs") > 1, "ambiguous").otherwise("none")
+    choice = sizes.select(folder).join(best, folder, "left").select(folder, F.when(state == "numbered", F.col(edition)).alias(edition), F.coalesce("fits", F.lit(0)).alias("fits"), state.alias("state"))
+    return choice, placed.join(choice.where("state = 'numbered'").select(folder, edition), [folder, edition]).select(folder, "song", "disc", "pos")
+
+
 def merge_editions(base: DataFrame, other: DataFrame, on: Sequence[str], album: str, id_col: str, length: str, near: float = 3.0, first_number: int = 900) -> DataFrame:
     """What becomes of every row of ``other`` when its album joins that of ``base``: (album, id, copy_of, number).
 

@@ -19,6 +19,28 @@ def edition_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("l_orderkey", "l_suppkey", "fits", "ambiguous")
 
 
+def _edition_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
+    """Orders as folders of parts, suppliers as editions; durations of the two sides differ by up to ten seconds, a third of the parts has no ISRC, and parts share titles."""
+    items = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.date_format("l_shipdate", "yyyy-MM").alias("month"))
+    items = items.join(_t(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_size"), "l_partkey")
+    title, isrc = (F.col("l_partkey") % 50).cast("string"), F.when(F.col("l_partkey") % 3 != 0, F.col("l_partkey").cast("string"))
+    songs = items.groupBy(F.col("l_orderkey").alias("folder"), F.col("l_partkey").alias("song")).agg(F.array(F.coalesce(F.first(isrc), F.lit(""))).alias("isrcs"), F.first(title).alias("title_key"), F.first(100.0 + F.col("p_size") + F.col("l_orderkey") % 11).alias("seconds"), F.min("month").alias("date"))
+    tracks = items.groupBy(F.col("l_suppkey").alias("edition"), F.col("l_partkey").alias("track")).agg(F.coalesce(F.first(isrc), F.lit("")).alias("isrc"), F.first(title).alias("title_key"), F.first(100.0 + F.col("p_size") + F.col("l_suppkey") % 5).alias("seconds"), (1 + F.col("l_suppkey") % 2).alias("disc"), (F.min("l_linenumber").cast("long") + F.col("l_partkey") % 2).alias("pos"))
+    editions = items.groupBy(F.col("l_suppkey").alias("edition")).agg(F.min("month").alias("date"), F.lit(None).cast("long").alias("nb_tracks"))
+    candidates = items.select(F.col("l_orderkey").alias("folder"), F.col("l_suppkey").alias("edition")).distinct()
+    return songs, editions, tracks, candidates
+
+
+def edition_by_tolerance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edition of every order's parts by ISRC, title and duration, with its state."""
+    return releases.number_by_edition(*_edition_tables(spark, sf_dir))[0]
+
+
+def edition_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Disc and place of the parts of every order with one sure edition."""
+    return releases.number_by_edition(*_edition_tables(spark, sf_dir))[1]
+
+
 def edition_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Large parts join the small ones of their brand; price stands for length."""
     part = _t(spark, sf_dir, "part")
@@ -109,11 +131,32 @@ def two_stage_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prints.pair_similarity(_prints(spark, sf_dir), "vec_id", "a", "b")
 
 
-QUERIES = {f.__name__: f for f in (edition_choice, edition_merge, collected_album, repeated_names, shared_ids, list_choice, agreed_names, best_release, better_cover, text_find, path_audit, likely_offsets, two_stage_similarity)}
+QUERIES = {f.__name__: f for f in (edition_choice, edition_by_tolerance, edition_numbers, edition_merge, collected_album, repeated_names, shared_ids, list_choice, agreed_names, best_release, better_cover, text_find, path_audit, likely_offsets, two_stage_similarity)}
 
 _PRINTS = """with v as (select vec_id, list_transform(embedding, lambda x: ((cast(floor(cast(x as float) * 4) as bigint) % 1048576) + 1048576) % 1048576) w from embeddings),
   p as (select x.vec_id, x.w a, list_concat([1, 2], y.w) b from v x join v y on y.vec_id = x.vec_id + 1)"""
+_EDITIONS = """with recursive i as (select l_orderkey as folder, l_partkey as p, l_suppkey as edition, l_linenumber as n, strftime(l_shipdate, '%Y-%m') as d, p_size as z from lineitem join part on p_partkey = l_partkey),
+      songs as (select folder, p as song, case when p % 3 <> 0 then p end as isrc, p % 50 as title, 100.0 + z + folder % 11 as sec, min(d) as d from i group by all),
+      tracks as (select edition, p as track, case when p % 3 <> 0 then p end as isrc, p % 50 as title, 100.0 + z + edition % 5 as sec, 1 + edition % 2 as disc, n + p % 2 as pos from (select edition, p, z, min(n) as n from i group by all)),
+      eds as (select edition, date, tracks, discs from (select edition, count(*) as tracks, max(disc) as discs from tracks group by 1) join (select edition, min(d) as date from i group by 1) using (edition)),
+      cand as (select distinct folder, edition from i),
+      num as (select folder, song, row_number() over (partition by folder order by song) as k, count(*) over (partition by folder) as size from songs),
+      hits as (select folder, edition, song, 1 as pass, list(track order by track) as ts from cand join songs using (folder) join tracks using (edition, isrc) where abs(songs.sec - tracks.sec) <= greatest(7, 0.03 * tracks.sec) group by all
+        union all select folder, edition, song, 2, list(track order by track) from cand join songs using (folder) join tracks using (edition, title) where abs(songs.sec - tracks.sec) <= greatest(3, 0.01 * tracks.sec) group by all),
+      steps as (select folder, edition, song, k + (pass - 1) * size as step, pass, size, coalesce(ts, []) as ts from cand join num using (folder) cross join (values (1), (2)) v(pass) left join hits using (folder, edition, song, pass)),
+      st as (select folder, edition, 0::bigint as step, []::bigint[] as used, []::bigint[] as done, null::bigint as song, null::bigint as track, 0 as pass from cand
+        union all
+        select folder, edition, step, case when pick is null then used else list_append(used, pick) end, case when pick is null then done else list_append(done, song) end, song, pick, pass
+        from (select st.folder, st.edition, s.step, st.used, st.done, s.song, s.pass, case when not list_contains(st.done, s.song) then list_filter(s.ts, lambda x: not list_contains(st.used, x))[1] end as pick
+          from st join steps s on s.folder = st.folder and s.edition = st.edition and s.step = st.step + 1)),
+      placed as (select folder, edition, song, pass, disc, pos from st join tracks using (edition, track)),
+      votes as (select folder, d, count(*) as v from songs group by all), sized as (select folder, size, d from (select folder, count(*) as size from songs group by 1) join (select folder, first(d order by v desc, d) as d from votes group by 1) using (folder)),
+      fits as (select folder, edition, count(*) filter (pass = 1) as by_isrc, string_agg(song || ':' || disc || ':' || pos, ',' order by song) as places from placed group by all),
+      whole as (select f.*, e.date, e.tracks, e.discs > 1 as more, sized.d, size from fits f join eds e using (edition) join sized using (folder) where len(string_split(places, ',')) = size),
+      best as (select folder, first(edition order by by_isrc desc, date <> d, left(date, 4) <> left(d, 4), tracks, edition) as edition, count(*) as fits, count(distinct (places, more)) as signs from whole group by 1)"""
 ORACLE_SQL = {
+    "edition_by_tolerance": f"{_EDITIONS} select folder, case when signs = 1 then edition end as edition, coalesce(fits, 0) as fits, case when signs = 1 then 'numbered' when signs > 1 then 'ambiguous' else 'none' end as state from sized left join best using (folder)",
+    "edition_numbers": f"{_EDITIONS} select folder, song, disc, pos from placed join best using (folder, edition) where signs = 1",
     "edition_choice": """with s as (select distinct l_orderkey, l_partkey from lineitem), n as (select l_orderkey, count(*) size from s group by 1),
       t as (select l_suppkey, l_partkey, min(l_linenumber) place, min(strftime(l_shipdate, '%Y-%m-%d')) shipped from lineitem group by all),
       f as (select l_orderkey, l_suppkey, count(*) n, string_agg(l_partkey || ':' || place, ',' order by l_partkey) places, min(shipped) shipped from s join t using (l_partkey) group by all)
