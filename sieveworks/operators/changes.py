@@ -33,15 +33,22 @@ def _followed(records: DataFrame, step: DataFrame) -> DataFrame:
         ends._written_path = after._written_path
 
 
-def compact(log: DataFrame) -> DataFrame:
+def compact(log: DataFrame, begun: DataFrame | None = None) -> DataFrame:
     """(old, new): where each path of an ordered log (seq, old, new) ends; new is null for a removed one.
 
     A path's first record after its own last removal counts, and from there each record's
     target is followed to the target's next later record. Once that chain ends in a removal, the path's next record
     after it counts in turn. Records that move a path to itself say nothing.
+
+    ``begun`` (old, new) tells where paths already were before the log, whose seq then is
+    0 at least: they go on from there, but nothing that the log moves meets them.
     """
-    records = written(log.select("seq", "old", "new").where("new is null or old <> new"))
-    starts = records.select(F.col("old").alias("key"), F.col("seq").alias("mark"))
+    records = log.select("seq", "old", "new").where("new is null or old <> new")
+    if begun is not None:
+        # numbers below the log's own; written at once, so they stay what they are
+        records = records.unionByName(begun.where("new is not null").select((-1 - F.monotonically_increasing_id()).alias("seq"), "old", "new"))
+    records = written(records)
+    starts = records.where("seq >= 0").select(F.col("old").alias("key"), F.col("seq").alias("mark")) if begun is not None else records.select(F.col("old").alias("key"), F.col("seq").alias("mark"))
     step = _next_after(records.where("new is not null").select(F.col("new").alias("key"), F.col("seq").alias("at"), "seq"), starts)
     target = records.select(F.col("seq").alias("end"), F.col("new").alias("target"))
     chains = written(_followed(records, step).join(target, "end").join(records.select("seq", "old"), "seq"))
@@ -54,6 +61,20 @@ def compact(log: DataFrame) -> DataFrame:
     return counting.join(last.join(final, "end"), "seq", "left").select("old", "new")
 
 
+def compact_further(known: DataFrame, log: DataFrame) -> DataFrame:
+    """A compacted log (old, new) with later records (seq from 0 on, old, new) compacted into it, as if the whole log had been.
+
+    Only paths that the new records move, or at which a path stands that they move, are
+    followed; all others stay as they are.
+    """
+    log = written(log.select("seq", "old", "new").where("new is null or old <> new"))
+    moved = log.select(F.col("old").alias("_moved")).distinct()
+    standing = known.join(moved, F.col("new") == F.col("_moved"), "left_semi").unionByName(known.join(moved, F.col("old") == F.col("_moved"), "left_semi")).distinct()
+    now = written(compact(log, standing))
+    forget(log)
+    return known.join(now.select("old"), "old", "left_anti").unionByName(now)
+
+
 def remap(df: DataFrame, path: str, changes: DataFrame, unique: Sequence[str] | None = None, position: str | None = None) -> DataFrame:
     """``df`` with the paths of a compacted log replaced and removed ones dropped; with ``unique``, of rows that now are equal in these columns the one with the smallest ``position`` stays."""
     table = changes.select(F.col("old").alias(path), F.col("new").alias("_new"), F.lit(True).alias("_changed"))

@@ -103,6 +103,10 @@ def change_logs(spark: SparkSession, pending: str, explicit: str | None = None)
     files = _logs(spark, pending, F.lit(1), F.lit(None).cast("timestamp"))
     if explicit is not None:
         files = _logs(spark, explicit, F.lit(0), F.col("_metadata.file_modification_time")).unionByName(files)
+    return _numbered(files)
+
+
+def _numbered(files: DataFrame) -> DataFrame:
     file = ["source", "changed", "file"]
     moved = files.select(*file, F.posexplode("cambios").alias("pos", "c")).select(*file, F.lit(0).alias("kind"), "pos", F.col("c.old_path").alias("old"), F.col("c.new_path").alias("new"))
     gone = files.select(*file, F.posexplode("quitadas").alias("pos", "old")).select(*file, F.lit(1).alias("kind"), "pos", "old", F.lit(None).cast("string").alias("new"))
@@ -115,6 +119,17 @@ def change_logs(spark: SparkSession, pending: str, explicit: str | None = None)
     return joined.select((F.col("start") + F.col("kind") * (F.col("most") + 1) + F.col("pos")).cast("long").alias("seq"), "old", "new")
 
 
+def change_log_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Change-log files as a stream, one row a file as :func:`batch_records` takes them; new files are read as they appear."""
+    rows = spark.readStream.schema(LOGS).option("multiLine", True).json(folder)
+    return rows.select("cambios", "quitadas", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"))
+
+
+def batch_records(files: DataFrame) -> DataFrame:
+    """(seq, old, new): the records of one batch of change-log files, by name, as :func:`change_logs` orders them."""
+    return _numbered(files.withColumns({"source": F.lit(1), "changed": F.lit(None).cast("timestamp")}))
+
+
 def _logs(spark: SparkSession, path: str, source: Column, changed: Column) -> DataFrame:
     return spark.read.schema(LOGS).option("multiLine", True).json(path).select("cambios", "quitadas", source.alias("source"), changed.alias("changed"), F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"))
 
