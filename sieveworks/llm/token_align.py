@@ -17,6 +17,8 @@ as long as a task keeps them.
 from __future__ import annotations
 
 import functools
+import itertools
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -45,7 +47,9 @@ PAIRS_AT_ONCE = 2_000_000
 #: Pairs that a task counts before it gives its counts away.
 PAIRS_COUNTED = 1_000_000
 #: Units and characters that a task keeps.
-KEPT_UNITS, KEPT_CHARS = 150_000, 4_000_000
+KEPT_UNITS, KEPT_CHARS = 400_000, 8_000_000
+#: Units that are encoded as one string.
+_TOGETHER = 32
 
 #: Runs up to a space that follows another character than white space.
 _UNIT = re.compile(r" *(?:[^ ]*[^\S ] +)*(?:[^ ]+|\Z)")
@@ -94,25 +98,53 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(others)}
 
 
+#: How the first tokenizer divides texts before merging, where its file says that it is byte-level (a fixed value).
+_BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 @functools.lru_cache(2)
 def _encoders(tokenizers: Tokenizers) -> tuple:
+    """Functions from strings to their ids under both tokenizers.
+
+    Where the first one's merges come in the order of its ids, its tokens are ranks, and
+    the quicker library for ranks gives the same ids.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     import sentencepiece
     from tokenizers import Tokenizer
 
+    two = sentencepiece.SentencePieceProcessor(model_proto=tokenizers.second)
+    second = functools.partial(two.encode, num_threads=1)
+    if ranks := _ranks(tokenizers):
+        import tiktoken
+
+        one = tiktoken.Encoding("first", pat_str=_BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
+        return lambda texts: list(map(one.encode_ordinary, texts)), second
     one = Tokenizer.from_str(tokenizers.first)
     one.encode_special_tokens = True
-    return one, sentencepiece.SentencePieceProcessor(model_proto=tokenizers.second)
+    return lambda texts: [e.ids for e in one.encode_batch_fast(texts, add_special_tokens=False)], second
+
+
+def _ranks(tokenizers: Tokenizers) -> dict[bytes, int] | None:
+    """The first tokenizer's tokens by rank, if it is byte-level BPE without normalising and its ids follow its merges."""
+    told = json.loads(tokenizers.first)
+    model, before = told["model"], told["pre_tokenizer"] or {}
+    plain = told["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before["add_prefix_space"]
+    plain = plain and model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+    merges = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["merges"]]
+    if not plain or any(model["vocab"].get(m) != 256 + i for i, m in enumerate(merges)):
+        return None
+    return {tokenizers.first_bytes[i]: i for i in range(256 + len(merges))}
 
 
 class Aligner:
     """Units with their aligned tokens, and what a table of counts says of their links."""
 
-    def __init__(self, tokenizers: Tokenizers, counts: Counts | None = None) -> None:
-        self.one, self.two = _encoders(tokenizers)
+    def __init__(self, tokenizers: Tokenizers, counts: Counts | None = None, shown: bool = True) -> None:
+        self.encoders = _encoders(tokenizers)
         self.spelled = [list(tokenizers.first_bytes), list(tokenizers.second_bytes)]
         self.sizes = [np.array([len(x) for x in s], np.int64) for s in self.spelled]
-        self.counts = counts
+        self.counts, self.shown = counts, shown
         self.reset()
 
     def reset(self) -> None:
@@ -124,55 +156,62 @@ class Aligner:
         self.facts = np.zeros((0, 5), np.int64)
         self.starts = np.zeros(1, np.int64)
 
-    def encoded(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        return [e.ids for e in self.one.encode_batch_fast(texts, add_special_tokens=False)], self.two.encode(texts, num_threads=1)
-
     def learn(self, new: list[str]) -> None:
-        """Align units and add them."""
-        facts, groups, keys = [self.facts], [], [self.keys]
-        step, at = 0, 0
-        while at < len(new):
-            size, step = 0, at
-            while step < len(new) and (size < 300_000 or step == at):
-                size += len(new[step])
-                step += 1
-            rows, texts, found = self._aligned(new[at:step])
-            facts.append(rows)
-            groups += texts
-            keys.append(found)
-            at = step
-        self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
-        self.chars += sum(map(len, new))
-        self.groups += groups
-        self.facts, self.keys = np.concatenate(facts), np.concatenate(keys)
+        """Align units and add them. Those that begin with a space and end otherwise are encoded many in a string, in which they stay apart."""
+        runs = [u for u in new if u[0] == " " and not u[-1].isspace() and _SPACE not in u]
+        others = list(set(new).difference(runs)) if len(runs) < len(new) else []
+        found = []
+        for units, size in ((runs, _TOGETHER), (others, 1)):
+            at = 0
+            while at < len(units):
+                step, chars = at, 0
+                while step < len(units) and (chars < 300_000 or step == at):
+                    chars += len(units[step])
+                    step += 1
+                part = units[at:step]
+                found.append(self._aligned(part, size) or self._one_by_one(part))
+                self.chars += chars
+                at = step
+        self.index.update(zip([*runs, *others], range(len(self.index), len(self.index) + len(new))))
+        facts, groups, keys = zip(*found) if found else ((), (), ())
+        self.groups += itertools.chain.from_iterable(groups)
+        self.facts, self.keys = np.concatenate([self.facts, *facts]), np.concatenate([self.keys, *keys])
         self.starts = np.concatenate([[0], np.cumsum(np.maximum(self.facts[:, 2], 0))])
 
-    def _aligned(self, units: list[str]) -> tuple[np.ndarray, list[str], np.ndarray]:
-        whole = [u.encode() for u in units]
-        ids = self.encoded(units)
-        right = np.array([all(b"".join(map(self.spelled[k].__getitem__, ids[k][i])) == w for k in (0, 1)) for i, w in enumerate(whole)], bool)
-        facts = np.full((len(units), 5), -1, np.int64)
-        facts[:, 3:] = 0
-        texts = [""] * len(units)
-        good = np.flatnonzero(right)
-        if not len(good):
-            return facts, texts, np.zeros(0, np.int64)
-        flat = [np.array([t for i in good.tolist() for t in ids[k][i]], np.int64) for k in (0, 1)]
+    def _one_by_one(self, units: list[str]) -> tuple[np.ndarray, list[str], np.ndarray]:
+        bad = np.array([[-1, -1, -1, 0, 0]], np.int64)
+        facts, groups, keys = zip(*(self._aligned([u], 1) or (bad, [""], np.zeros(0, np.int64)) for u in units))
+        return np.concatenate(facts), list(itertools.chain.from_iterable(groups)), np.concatenate(keys)
+
+    def _aligned(self, units: list[str], together: int) -> tuple[np.ndarray, list[str], np.ndarray] | None:
+        """Facts, groups and links of units; none unless their tokens spell every one of them."""
+        strings = ["".join(units[i : i + together]) for i in range(0, len(units), together)]
+        whole = "".join(strings).encode()
+        ids = [list(itertools.chain.from_iterable(encode(strings))) for encode in self.encoders]
+        if any(b"".join(map(self.spelled[k].__getitem__, ids[k])) != whole for k in (0, 1)):
+            return None
+        flat = [np.array(x, np.int64) for x in ids]
         ends = [np.cumsum(self.sizes[k][flat[k]]) for k in (0, 1)]
+        sizes = list(map(len, units)) if whole.isascii() else [len(u.encode()) for u in units]
+        unit_ends = np.cumsum(sizes)
         both, last_one, last_two = np.intersect1d(*ends, assume_unique=True, return_indices=True)
-        unit_ends = np.cumsum([len(whole[i]) for i in good.tolist()])
         per_unit = np.searchsorted(both, unit_ends) + 1
-        facts[good, 0], facts[good, 1] = [len(ids[0][i]) for i in good.tolist()], [len(ids[1][i]) for i in good.tolist()]
-        facts[good, 2] = np.diff(per_unit, prepend=0)
+        if (both[np.minimum(per_unit, len(both)) - 1] != unit_ends).any():
+            return None
+        facts = np.zeros((len(units), 5), np.int64)
+        facts[:, 0], facts[:, 1], facts[:, 2] = (np.diff(x, prepend=0) for x in (last_one[per_unit - 1] + 1, last_two[per_unit - 1] + 1, per_unit))
         keys = flat[1][last_two] << 32 | flat[0][last_one]
-        names = [list(map(str, x.tolist())) for x in flat]
-        shown = [f"{','.join(names[0][a:b])}|{','.join(names[1][c:d])}" for a, b, c, d in zip([0, *(last_one[:-1] + 1).tolist()], (last_one + 1).tolist(), [0, *(last_two[:-1] + 1).tolist()], (last_two + 1).tolist())]
-        for i, a, b in zip(good.tolist(), [0, *per_unit[:-1].tolist()], per_unit.tolist()):
-            texts[i] = ";".join(shown[a:b])
+        texts = [""] * len(units)
+        if self.shown:
+            names = [list(map(str, x)) for x in ids]
+            cuts = [[0, *(x + 1).tolist()] for x in (last_one, last_two)]
+            groups = [f"{','.join(names[0][a:b])}|{','.join(names[1][c:d])}" for a, b, c, d in zip(cuts[0], cuts[0][1:], cuts[1], cuts[1][1:])]
+            bounds = [0, *per_unit.tolist()]
+            texts = [";".join(groups[a:b]) for a, b in zip(bounds, bounds[1:])]
         if self.counts is not None and len(keys):
             count, best = self.counts.of(keys)
             starts = np.concatenate([[0], per_unit[:-1]])
-            facts[good, 3], facts[good, 4] = np.add.reduceat(best, starts, dtype=np.int64), np.add.reduceat(count, starts)
+            facts[:, 3], facts[:, 4] = np.add.reduceat(best, starts, dtype=np.int64), np.add.reduceat(count, starts)
         return facts, texts, keys
 
     def units(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -247,7 +286,7 @@ def linked_pairs(texts: DataFrame, tokenizers: Tokenizers) -> DataFrame:
     """(shard, part, keys, counts): the linked pairs of each task's texts, keys ascending."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner, part = Aligner(tokenizers), TaskContext.get().partitionId()
+        aligner, part = Aligner(tokenizers, shown=False), TaskContext.get().partitionId()
         keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
             for texts in _slices(batch["text"]):
