@@ -3,7 +3,8 @@
 An item with an error budget of k edits is cut into k + 1 pieces; if the item stands in a
 text with at most k edits, one piece stands there unchanged. Rolling hashes find the
 pieces, and Myers' bit-parallel algorithm measures the edit distance around each hit.
-Short items get no budget and are found only as whole words.
+Items and texts have a space at either end, which counts as a character: an item of any
+length is looked for as whole words, and standing inside a word costs edits.
 """
 
 from __future__ import annotations
@@ -21,37 +22,32 @@ from sieveworks.sources.storage import written
 
 #: Characters of test items that are searched for in one pass over the texts.
 PASS_CHARS = 4_000_000
-#: Items of fewer normalised characters stand in a text only unchanged and as whole words.
-SHORT_CHARS = 24
 _FILTER_BITS = 22
 
 
 def normalised(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lower-cased bytes with every run of other than word characters as one space, and where each text starts; a space ends every text."""
-    data = np.insert(np.where(WORD_BYTE[data], data, 32).astype(np.uint8), offsets[1:], 32)
+    """Lower-cased bytes with every run of other than word characters as one space, and where each text starts; a space stands before and behind every text, that between two serves both."""
+    data = np.insert(np.where(WORD_BYTE[data], data, 32).astype(np.uint8), offsets, 32)
     keep = data != 32
     keep[1:] |= data[:-1] != 32
+    keep[0] = True
     places = np.zeros(len(data) + 1, np.int64)
     np.cumsum(keep, out=places[1:])
-    return data[keep], places[offsets + np.arange(len(offsets))]
+    return data[keep], places[offsets + np.arange(1, len(offsets) + 1)]
 
 
 class Item:
     """A test item, ready to be searched for."""
 
-    def __init__(self, item_id: int, text: str, budget: float) -> None:
-        self.item_id, self.text = item_id, text
-        self.short = len(text) < SHORT_CHARS
-        self.most = 0 if self.short else int(len(text) * budget)
+    def __init__(self, item_id: int | None, text: str, budget: float) -> None:
+        self.item_id, self.text = item_id, f" {text} "
+        self.most = int(len(text) * budget)
         self.place: dict[str, int] = {}
-        for i, c in enumerate(text):
+        for i, c in enumerate(self.text):
             self.place[c] = self.place.get(c, 0) | 1 << i
 
     def pieces(self) -> Iterator[tuple[bytes, int]]:
-        """The pieces and the byte at which each starts; a short item is one piece with the space behind it."""
-        if self.short:
-            yield f"{self.text} ".encode(), 0
-            return
+        """The pieces, one more than edits are allowed, and the byte at which each starts."""
         n = self.most + 1
         cuts = [len(self.text) * i // n for i in range(n + 1)]
         for a, b in zip(cuts[:-1], cuts[1:]):
@@ -98,23 +94,22 @@ class Pieces:
         low, high = np.searchsorted(self.hashes, hashes[at]), np.searchsorted(self.hashes, hashes[at], "right")
         some = np.flatnonzero(high > low)
         at, low, high = at[some], low[some], high[some]
-        text = np.searchsorted(starts, at, "right") - 1
+        # the second byte's text: the first may be the space before it
+        text = np.searchsorted(starts, at + 1, "right") - 1
         for place, a, b, row in zip(at.tolist(), low.tolist(), high.tolist(), text.tolist()):
             for piece, offset, item in self.pieces[a:b]:
-                if item.short and place > starts[row] and data[place - 1] != 32:
-                    continue
                 if place + len(piece) <= starts[row + 1] and data[place : place + len(piece)].tobytes() == piece:
                     yield row, item, place - offset
 
 
 class Index:
-    """All pieces of some items; those of short items, down to two bytes, apart from the others, by length."""
+    """All pieces of some items, of three bytes at least, in tables by length: under four, under eight, others."""
 
     def __init__(self, items: list[Item]) -> None:
         parts: dict[int, list[tuple[bytes, int, Item]]] = {}
         for item in items:
             for piece, at in item.pieces():
-                parts.setdefault(min(len(piece).bit_length(), 4) if item.short else 0, []).append((piece, at, item))
+                parts.setdefault(min(len(piece).bit_length(), 4), []).append((piece, at, item))
         self.parts = [Pieces(found) for found in parts.values()]
 
     def hits(self, data: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, Item, int]]:
@@ -135,7 +130,7 @@ class Index:
             margin, size = 4 * item.most, len(item.text.encode())
             spans: list[list[int]] = []
             for start in sorted(set(where)):
-                a, b = max(start - margin, int(starts[row])), min(start + size + margin, int(starts[row + 1]))
+                a, b = max(start - margin, int(starts[row]) - 1), min(start + size + margin, int(starts[row + 1]))
                 if spans and a <= spans[-1][1]:
                     spans[-1][1] = max(b, spans[-1][1])
                 else:
@@ -149,10 +144,10 @@ class Index:
 def item_indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", budget: float = 0.08) -> Iterator[tuple[Index, bool]]:
     """Indexes over all items, one after another, each of at most about :data:`PASS_CHARS` characters, and whether it is the last, so that what the driver holds and sends to the executors stays bounded however many items there are.
 
-    Items are normalised as the texts are. Null items and those without any word character
-    stand nowhere. Rows with the same id and text are one item.
+    Items are normalised as the texts are. Items with a null text and those without any
+    word character stand nowhere. Rows with the same id and text are one item; ids may be null.
     """
-    rows = benchmark.select(F.col(id_col).alias("item_id"), F.col(text_col).alias("text")).where("item_id is not null and text is not null").distinct()
+    rows = benchmark.select(F.col(id_col).alias("item_id"), F.col(text_col).alias("text")).where("text is not null").distinct()
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     passes = -(-total // PASS_CHARS)
     for i in range(passes):
@@ -175,9 +170,9 @@ def _scan(index: Index, texts: pa.Array, tell: Callable[[int, Item, int], None])
 def find_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: float = 0.08) -> DataFrame:
     """(doc_id, item_id, distance, budget): the items that stand in each text within ``budget`` edits a character, with the least edit distance (budget: the edits allowed).
 
-    Texts and items are compared lower-cased with runs of other characters as one space.
-    Items of fewer than :data:`SHORT_CHARS` characters have a budget of 0 and stand only
-    between spaces. Null and empty texts hold nothing. A repeated text gives its rows as
+    Texts and items are compared lower-cased, with runs of other characters as one space
+    and a space at either end. The budget of an item of n characters, these two aside, is
+    n times ``budget``, rounded down: none for very short ones. Null and empty texts hold nothing. A repeated text gives its rows as
     often as it stands; rows with the same item id give one row each only if their
     normalised texts differ. Without items, or without texts, the result is empty.
     """
@@ -188,7 +183,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                 rows: list[tuple[int, int, int, int]] = []
                 _scan(index, batch["text"], lambda row, item, distance: rows.append((row, item.item_id, distance, item.most)))
                 if rows:
-                    at, item, distance, most = map(pa.array, zip(*rows))
+                    at, item, distance, most = (pa.array(x, pa.int64()) for x in zip(*rows))
                     yield pa.RecordBatch.from_arrays([batch["doc_id"].take(at), item, distance, most], ["doc_id", "item_id", "distance", "budget"])
 
         return make
