@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import unicodedata
 
+import pandas as pd
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import types as T
 
 # Qualifiers that don't make another recording, words of versions and editions.
 SAME_RECORDING = (
@@ -304,12 +306,30 @@ def date_problem(text: Column, last_year: int) -> Column:
     return F.when(F.coalesce(text, F.lit("")) == "", None).when(odd, "odd format").when((year < 1900) | (year > last_year), "year out of range")
 
 
+@F.pandas_udf(T.StringType())
+def _unescape(text: pd.Series) -> pd.Series:
+    import html
+
+    return text.map(lambda x: html.unescape(html.unescape(x)), na_action="ignore")
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _unescape_each(texts: pd.Series) -> pd.Series:
+    import html
+
+    return texts.map(lambda x: [html.unescape(html.unescape(t)) for t in x], na_action="ignore")
+
+
 def unescaped(text: Column) -> Column:
-    """The common HTML entities resolved, twice."""
-    for _ in range(2):
-        for entity, char in (("&apos;", "'"), ("&#39;", "'"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&amp;", "&")):
-            text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+    """All HTML character references resolved, twice, as HTML 5 has them; only texts with an ampersand leave the JVM."""
+    asked = text.contains("&")
+    return F.when(asked, _unescape(F.when(asked, text))).otherwise(text)
+
+
+def unescaped_each(texts: Column) -> Column:
+    """:func:`unescaped` for an array."""
+    asked = F.exists(texts, lambda t: t.contains("&"))
+    return F.when(asked, _unescape_each(F.when(asked, texts))).otherwise(texts)
 
 
 def link_id(text: Column) -> Column:

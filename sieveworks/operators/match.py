@@ -349,20 +349,57 @@ def nearest_store(pairs: DataFrame, song: str, store_rank: str, difference: str,
     return pairs.groupBy(song).agg(F.min_by(candidate, F.struct(F.col(store_rank), F.col(difference), F.col(candidate))).alias(candidate))
 
 
-def store_candidates(songs: DataFrame, offers: DataFrame, song: str, offer: str, least_start: int = 8) -> DataFrame:
-    """(song, offer, store, seconds_off): the offers of shops that may be a song.
+def names_containing(needles: DataFrame, names: DataFrame) -> DataFrame:
+    """(needle, name): the names that hold each needle as a substring.
 
-    ``songs`` and ``offers`` have artist, title and seconds, ``offers`` store too (its
-    rank). An artist must be in common, the base titles be equal or one of
-    ``least_start`` characters or more begin the other, and the durations not be those of
-    another version. Artists join by key, so the title is a condition on few rows.
+    Names are indexed by their runs of three characters, needles meet them in the one of
+    theirs that fewest names have; shorter needles by runs of their own length, for which
+    names are cut only where some needle asks. Empty needles are in none.
     """
-    side = lambda df, id_col, s: df.select(F.col(id_col), F.explode(keys.store_artists(F.col("artist"))).alias("_artist"), keys.store_base_title(F.col("title")).alias(f"_title{s}"), F.col("seconds").alias(f"_seconds{s}"), *([F.col("store")] if s == "b" else []))
-    pairs = side(songs, song, "a").where("_artist <> ''").join(side(offers, offer, "b"), "_artist")
-    a, b = F.col("_titlea"), F.col("_titleb")
-    alike = (a == b) | (F.least(F.length(a), F.length(b)) >= least_start) & (a.startswith(b) | b.startswith(a))
-    near = ~tolerance.other_version(F.col("_secondsa"), F.col("_secondsb"))
-    return pairs.where((a != "") & alike & near).select(song, offer, "store", F.abs(F.col("_secondsa") - F.col("_secondsb")).alias("seconds_off")).distinct()
+    needles = needles.select(F.col(needles.columns[0]).alias("needle")).where("needle <> ''").distinct()
+    names = names.select(F.col(names.columns[0]).alias("name")).where("name <> ''").distinct()
+    runs = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substr(c, i, F.lit(n))))
+    whole = names.where(F.length("name") >= 3).select("name", F.explode(runs(F.col("name"), 3)).alias("gram"))
+    rare = needles.where(F.length("needle") >= 3).select("needle", F.explode(runs(F.col("needle"), 3)).alias("gram")).join(whole.groupBy("gram").agg(F.count("*").alias("n")), "gram", "left")
+    asked = rare.groupBy("needle").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), F.col("gram"))).alias("gram"))
+    found = asked.join(whole, "gram").where(F.contains("name", F.col("needle"))).select("needle", "name")
+    for n in (1, 2):
+        short = needles.where(F.length("needle") == n).select("needle", F.col("needle").alias("gram"))
+        found = found.unionByName(short.join(names.where(F.length("name") >= n).select("name", F.explode(runs(F.col("name"), n)).alias("gram")), "gram").select("needle", "name"))
+    return found
+
+
+def shop_matches(songs: DataFrame, offers: DataFrame, looser: Sequence[int] = ()) -> DataFrame:
+    """(song, offer, store, state, seconds_off) of every song: which shop's offer it is.
+
+    ``songs`` has song, artist, title and seconds (null or 0: unknown), ``offers`` offer, store
+    (its rank), artists (an array), title and seconds (null counts as 0). An artist is
+    shared when the keys are equal or the key of the song's first artist stands in one of
+    the offer's. The first shop counts in which an offer has the song's title key and a
+    duration at most 3 s or 1 % away, the nearest of its offers, ties by offer: state ok.
+    Without a duration the first shop with the title counts: state review. Else, in the
+    ``looser`` shops before any such one, an offer whose title begins with the song's base
+    title, at most 1 s away: state review title. Else none.
+    """
+    first = keys.artist_key(F.split(F.coalesce("artist", F.lit("")), r",\s*")[0])
+    base = keys.store_base_title(F.col("title"))
+    asked = songs.select("song", keys.store_artists(F.col("artist")).alias("_all"), first.alias("_first"), keys.title_key(F.col("title")).alias("_title"), base.alias("_base"), F.nullif(F.col("seconds").cast("double"), F.lit(0.0)).alias("_seconds"))
+    shops = offers.select("offer", "store", F.array_distinct(F.transform("artists", lambda a: keys.artist_key(a))).alias("_names"), keys.title_key(F.col("title")).alias("_title"), keys.letters(F.lower("title")).alias("_whole"), F.coalesce("seconds", F.lit(0.0)).alias("seconds"))
+    shops = shops.select("*", F.explode("_names").alias("_name")).drop("_names")
+    by_key = asked.select("song", F.explode("_all").alias("_name"))
+    inside = names_containing(asked.select("_first"), shops.select("_name")).select(F.col("needle").alias("_first"), F.col("name").alias("_name"))
+    artists = by_key.unionByName(asked.select("song", "_first").join(inside, "_first").select("song", "_name")).distinct()
+    known = asked.join(artists, "song").drop("_all", "_first")
+    off = F.abs(F.col("seconds") - F.col("_seconds"))
+    fits = known.join(shops, ["_name", "_title"]).where(F.col("_seconds").isNull() | ~tolerance.other_version(F.col("seconds"), F.col("_seconds")))
+    ok = fits.groupBy("song").agg(F.min(F.struct(F.lit(0).alias("late"), "store", F.coalesce(off, F.lit(0.0)).alias("off"), "offer")).alias("best"), F.first(F.when(F.col("_seconds").isNull(), "review").otherwise("ok")).alias("state"))
+    # seconds at most 1 apart fall into the same whole second or the next
+    whole = shops.where(F.col("store").isin(*looser)).select("offer", "store", "_name", "_whole", "seconds", F.floor("seconds").alias("_second"))
+    near = known.where("_seconds is not null and _base <> ''").withColumn("_second", F.explode(F.sequence(F.floor(F.col("_seconds")) - 1, F.floor(F.col("_seconds")) + 1)))
+    loose = near.join(whole, ["_name", "_second"]).where(F.col("_whole").startswith(F.col("_base")) & (off <= 1))
+    review = loose.groupBy("song").agg(F.min(F.struct(F.lit(1).alias("late"), "store", off.alias("off"), "offer")).alias("best")).withColumn("state", F.lit("review title"))
+    best = ok.unionByName(review).groupBy("song").agg(F.min_by(F.struct("best", "state"), "best").alias("b"))
+    return songs.select("song").join(best, "song", "left").select("song", F.col("b.best.offer").alias("offer"), F.col("b.best.store").alias("store"), F.coalesce("b.state", F.lit("none")).alias("state"), F.col("b.best.off").alias("seconds_off"))
 
 
 #: What speaks for a candidate, from the first: its record is at hand, its ISRC fits, its print is known, how far titles agree, how far durations differ.

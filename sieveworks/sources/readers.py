@@ -173,16 +173,78 @@ def page_facts(pages: DataFrame, html: str = "html") -> DataFrame:
 
 
 def page_metadata(pages: DataFrame, html: str = "html") -> DataFrame:
-    """``pages`` with what a song's page says of itself: ``meta`` (property or name to content), ``data`` (the JSON of a __NEXT_DATA__ script, else null), and its ``duration_ms`` and ``preview`` link."""
+    """``pages`` with what a song's page says of itself: ``meta`` (property or name to content, the last of a repeated name), ``data`` (the JSON of a __NEXT_DATA__ script, else null), and its ``duration_ms`` and ``preview`` link."""
     page = F.coalesce(F.col(html), F.lit(""))
     tag = r"""(?is)<meta\s+(?:property|name)=["']([^"']+)["']\s+content=["']([^"']*)["']"""
-    pairs = F.arrays_zip(F.transform(F.regexp_extract_all(page, F.lit(tag), F.lit(1)), F.lower).alias("k"), F.transform(F.regexp_extract_all(page, F.lit(tag), F.lit(2)), keys.unescaped).alias("v"))
-    # of a repeated name the first counts
-    first = F.aggregate(pairs, F.create_map().cast("map<string,string>"), lambda m, p: F.when(F.map_contains_key(m, p["k"]), m).otherwise(F.map_concat(m, F.create_map(p["k"], p["v"]))))
+    names = F.transform(F.regexp_extract_all(page, F.lit(tag), F.lit(1)), F.lower)
+    # what leaves the JVM is a column of its own: lambdas can't hold it
+    pages = pages.withColumn("_values", keys.unescaped_each(F.regexp_extract_all(page, F.lit(tag), F.lit(2))))
+    values = F.col("_values")
+    last = F.transform(F.array_distinct(names), lambda n: F.struct(n.alias("key"), F.get(values, F.size(names) - F.array_position(F.reverse(names), n).cast("int")).alias("value")))
     data = F.nullif(F.regexp_extract(page, r"(?is)<script[^>]*id=[\"']__NEXT_DATA__[\"'][^>]*>(.*?)</script>", 1), F.lit(""))
     number = F.nullif(F.regexp_extract(page, r'"duration(?:_ms|Ms)?":\s*(?:\{"totalMilliseconds":\s*)?([0-9]+)', 1), F.lit("")).cast("long")
     preview = F.nullif(F.regexp_extract(page, r'"audioPreview":\s*\{\s*"url":\s*"([^"]+)"', 1), F.lit(""))
-    return pages.withColumns({"meta": first, "data": data, "duration_ms": number, "preview": preview})
+    return pages.withColumns({"meta": F.map_from_entries(last), "data": data, "duration_ms": number, "preview": preview}).drop("_values")
+
+
+def song_records(pages: DataFrame, id_col: str, html: str = "html") -> DataFrame:
+    """(id, title, artists, album, album_id, year, seconds, error) of songs' pages.
+
+    The description lists artists, album, kind and year between middle dots. A page
+    without a title or without a link to its album has no record: ``error`` says so and the
+    rest is null.
+    """
+    m = lambda name: F.coalesce(F.try_element_at("meta", F.lit(name)), F.lit(""))
+    rows = page_metadata(pages, html).select(id_col, m("og:title").alias("title"), F.split(m("og:description"), " · ", -1).alias("parts"), F.regexp_extract(m("music:album"), r"/album/([A-Za-z0-9]+)", 1).alias("album_id"), F.coalesce(m("music:duration").try_cast("long"), F.lit(0)).alias("seconds"))
+    good = (F.col("title") != "") & (F.col("album_id") != "")
+    part = lambda i: F.coalesce(F.get("parts", F.lit(i)), F.lit(""))
+    record = {"title": F.col("title"), "artists": F.transform(F.split(part(0), ",", -1), lambda a: F.trim(a)), "album": part(1), "album_id": F.col("album_id"), "year": part(3), "seconds": F.col("seconds")}
+    return rows.select(id_col, *(F.when(good, c).alias(name) for name, c in record.items()), F.when(~good, "no record").alias("error"))
+
+
+def album_records(pages: DataFrame, id_col: str, html: str = "html") -> DataFrame:
+    """(id, album, album_artist, place, song, title, artist, seconds, error): the track lists that albums' pages hold as data.
+
+    ``place`` counts all entries from 1, songs of other kinds aren't returned; the first of
+    a song's artists counts. A page without data, or whose data isn't JSON or lacks an
+    album, gives one row with an ``error``; an album without songs gives none.
+    """
+    data = page_metadata(pages, html).select(id_col, "data", F.try_parse_json("data").alias("_all"))
+    rows = data.withColumn("_album", F.try_variant_get("_all", "$.props.pageProps.state.data.entity", "variant"))
+    why = F.when(F.col("data").isNull(), "no data").when(F.col("_all").isNull(), "not JSON").when(F.col("_album").isNull() | F.is_variant_null("_album"), "no album")
+    rows = rows.select(id_col, "_album", why.alias("error"))
+    text = lambda v, path: keys.unescaped(F.coalesce(F.try_variant_get(v, path, "string"), F.lit("")))
+    found = rows.where("error is null").select(id_col, "_album", F.try_variant_get("_album", "$.trackList", "variant").alias("_list"))
+    spark = pages.sparkSession
+    tracks = found.lateralJoin(spark.tvf.variant_explode(F.col("_list").outer())).where("key is null and pos is not null")
+    uri = F.try_variant_get("value", "$.uri", "string")
+    songs = tracks.where(uri.startswith("spotify:track:")).select(
+        id_col, text("_album", "$.name").alias("album"), text("_album", "$.subtitle").alias("album_artist"), (F.col("pos") + 1).alias("place"), F.element_at(F.split(uri, ":"), -1).alias("song"), text("value", "$.title").alias("title"),
+        F.trim(F.split(F.replace(text("value", "$.subtitle"), F.lit("\u00a0"), F.lit(" ")), ",")[0]).alias("artist"), F.bround(F.coalesce(F.try_variant_get("value", "$.duration", "double"), F.lit(0.0)) / 1000).cast("long").alias("seconds"), F.lit(None).cast("string").alias("error"),
+    )
+    return songs.unionByName(rows.where("error is not null").select(id_col, "error"), allowMissingColumns=True)
+
+
+def player_tags(media: DataFrame, id_col: str = "id", tags: str = "tags") -> DataFrame:
+    """(id, tag, pos, value, error): the tags that a player keeps as JSON, ``{tag: [{"value": ...}, ...]}``, one row a value.
+
+    Text that isn't a JSON object gives one row with it in ``error``; null, and tags that
+    are no list or whose entries have no value, give none.
+    """
+    rows = media.select(F.col(id_col).alias("id"), F.col(tags).alias("_text"), F.try_parse_json(tags).alias("_all"))
+    rows = rows.withColumn("error", F.when(F.col("_text").isNotNull() & ~F.coalesce(F.schema_of_variant("_all").startswith("OBJECT"), F.lit(False)), F.col("_text")))
+    tvf = media.sparkSession.tvf
+    each = rows.where("error is null").lateralJoin(tvf.variant_explode(F.col("_all").outer())).select("id", F.col("key").alias("tag"), F.col("value").alias("_list"))
+    values = each.lateralJoin(tvf.variant_explode(F.col("_list").outer())).where("key is null and pos is not null")
+    values = values.select("id", "tag", "pos", F.try_variant_get("value", "$.value", "string").alias("value"), F.lit(None).cast("string").alias("error")).where("value is not null")
+    return values.unionByName(rows.where("error is not null").select("id", "error"), allowMissingColumns=True)
+
+
+def library_ids(media: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(isrc) and (recording) of the songs that aren't missing: what is owned under whatever name."""
+    here = media.where("coalesce(missing, false) = false")
+    isrcs = player_tags(here).where("tag = 'isrc'").select(F.upper("value").alias("isrc")).where("isrc <> ''").distinct()
+    return isrcs, here.select(F.col("mbz_recording_id").alias("recording")).where("coalesce(recording, '') <> ''").distinct()
 
 
 def lookup_status(lookups: DataFrame, body: str = "body") -> DataFrame:

@@ -303,11 +303,27 @@ def test_candidates_are_ranked_by_what_speaks_for_them(spark):
 
 
 def test_offers_of_shops(spark):
-    songs = spark.createDataFrame([(1, "Daft Punk", "One More Time", 320.0), (2, "Pharrell Williams & Daft Punk", "Get Lucky (feat. Nile)", 248.0)], "song int, artist string, title string, seconds double")
-    offers = [(10, 0, "Daft Punk", "One More Time (Radio Edit)", 235.0), (11, 1, "Daft Punk, Romanthony", "One more time", 321.0), (12, 0, "Someone", "One More Time", 320.0), (13, 2, "Daft Punk", "Get Lucky Mix Number", 249.0), (14, 0, "Daft Punk", "Get", 248.0)]
-    got = match.store_candidates(songs, spark.createDataFrame(offers, "offer int, store int, artist string, title string, seconds double"), "song", "offer")
-    assert rows(got, "song", "offer", "seconds_off") == [(1, 11, 1.0), (2, 13, 1.0)]
-    assert rows(match.nearest_store(got, "song", "store", "seconds_off", "offer")) == [(1, 11), (2, 13)]
+    songs = [
+        (1, "Daft Punk", "One More Time", 320.0), (2, "Pharrell Williams & Daft Punk", "Get Lucky (feat. Nile)", 248.0), (3, "Shakira", "Ojos Asi", 200.0), (4, "Juan Luis Guerra", "La Bilirrubina", 240.0),
+        (5, "Nobody", "No Time", None), (6, "Ab", "Y", 100.0), (7, "Daft Punk", "Harder", 224.0), (8, None, None, 1.0), (9, "Q", "Short", 0.0),
+    ]
+    offers = [
+        (10, 0, ["Daft Punk"], "One More Time (Radio Edit)", 235.0), (11, 1, ["Daft Punk", "Romanthony"], "One more time", 321.0), (12, 0, ["Someone"], "One More Time", 320.0), (16, 1, ["Daft Punk"], "One More Time", 320.5), (13, 2, ["Daft Punk"], "Get Lucky Mix", 248.5),
+        (30, 0, ["Shakira"], "Ojos Asi - Remix", 200.0), (40, 1, ["Juan Luis Guerra 4.40"], "La Bilirrubina", 242.0), (50, 1, ["Nobody"], "No Time", 99.0), (51, 2, ["Nobody"], "No Time", None), (60, 0, ["Cabo"], "Y", 100.0), (61, 0, ["Z"], "Y", 100.0),
+        (70, 2, ["Daft Punk"], "Harder, Better", 225.0), (71, 3, ["Daft Punk"], "Harder Live", 225.5), (72, 3, ["Daft Punk"], "Harder (Remastered)", 226.0), (80, 0, [None], None, 1.0), (90, 3, ["q"], "Short", 77.0),
+    ]
+    got = match.shop_matches(spark.createDataFrame(songs, "song int, artist string, title string, seconds double"), spark.createDataFrame(offers, "offer int, store int, artists array<string>, title string, seconds double"), looser=[2])
+    assert rows(got, "song", "offer", "store", "state", "seconds_off") == [
+        (1, 16, 1, "ok", 0.5), (2, 13, 2, "review title", 0.5), (3, None, None, "none", None), (4, 40, 1, "ok", 2.0), (5, 50, 1, "review", 0.0), (6, 60, 0, "ok", 0.0), (7, 72, 3, "ok", 2.0), (8, None, None, "none", None), (9, 90, 3, "review", 0.0),
+    ]
+
+
+def test_names_that_hold_others(spark):
+    names = ["guerra440", "guerra", "art1", "art10", "x", "xy", "zzz", "", None, "aaaa"]
+    frame = lambda values: spark.createDataFrame([(v,) for v in values], "n string")
+    needles = ["guerra", "art1", "x", "xy", "zz", "none", "", None, "aaa", "guerra440long"]
+    got = match.names_containing(frame(needles), frame([*names, *names]))
+    assert rows(got) == sorted((a, b) for a in needles for b in names if a and b and a in b)
 
 
 def test_more_audit_sections(spark):

@@ -65,10 +65,32 @@ def test_player_tables_scans_and_page_metadata(spark, tmp_path):
     assert sorted(map(tuple, got.collect()), key=repr) == [("a", 3.5, None), (None, None, "{broken")]
     page = """<meta property="og:title" content="A &amp; B"><meta name="music:duration" content="200"><meta property="og:title" content="again"><script id="__NEXT_DATA__" type="application/json">{"a": {"duration":{"totalMilliseconds":201000},"audioPreview":{"url":"http://p"}}}</script>"""
     one, two = readers.page_metadata(spark.createDataFrame([(1, page), (2, None)], "i int, html string")).orderBy("i").collect()
-    assert one["meta"] == {"og:title": "A & B", "music:duration": "200"} and one["duration_ms"] == 201000 and one["preview"] == "http://p" and json.loads(one["data"])["a"]
+    assert one["meta"] == {"og:title": "again", "music:duration": "200"} and one["duration_ms"] == 201000 and one["preview"] == "http://p" and json.loads(one["data"])["a"]
     assert two["meta"] == {} and two["data"] is None and two["preview"] is None
 
 
+def test_records_of_pages(spark):
+    song = """<meta property="og:title" content="old"><meta property="og:title" content="Pa&amp;apos; l&eacute;"><meta property="og:description" content="A, B · Disc · Song · 2001"><meta property="music:album" content="https://open.spotify.com/album/x9"><meta name="music:duration" content="77">"""
+    pages = spark.createDataFrame([(1, song), (2, "<p>"), (3, None), (4, song.replace("album/x9", ""))], "i int, html string")
+    got = {r["i"]: tuple(r)[1:] for r in readers.song_records(pages, "i").collect()}
+    none = (None,) * 6 + ("no record",)
+    assert got == {1: ("Pa' lé", ["A", "B"], "Disc", "x9", "2001", 77, None), 2: none, 3: none, 4: none}
+    album = lambda entity: f'<script id="__NEXT_DATA__" type="application/json">{{"props":{{"pageProps":{{"state":{{"data":{{"entity":{entity}}}}}}}}}}}</script>'
+    tracks = '{"name":"D &amp; E","subtitle":"A","trackList":[{"uri":"spotify:track:t1","title":"One","subtitle":"X,\u00a0Y","duration":1500},{"uri":"spotify:episode:e","title":"no"},{"uri":"spotify:track:t2","duration":2500},{"title":"no uri"}]}'
+    pages = spark.createDataFrame([(1, album(tracks)), (2, album("null")), (3, album("{bad")), (4, "<p>"), (5, album('{"name":"N"}')), (6, None)], "i int, html string")
+    got = sorted((tuple(r) for r in readers.album_records(pages, "i").collect()), key=repr)
+    assert got == [(1, "D & E", "A", 1, "t1", "One", "X", 2, None), (1, "D & E", "A", 3, "t2", "", "", 2, None), *((i, *[None] * 7, e) for i, e in ((2, "no album"), (3, "not JSON"), (4, "no data"), (6, "no data")))]
+
+
+def test_player_tags(spark):
+    texts = ['{"isrc":[{"value":"a1"},{"value":"B2"},{"x":1}],"genre":[{"value":"Rock"}],"n":3,"m":{"value":"q"}}', "{bad", None, "[1]", "{}", '{"isrc":[{"value":"A1"},{"value":""}]}']
+    media = spark.createDataFrame([(str(i), t, i == 5 and None, "m" if i else "") for i, t in enumerate(texts)], "id string, tags string, missing boolean, mbz_recording_id string")
+    got = sorted((tuple(r) for r in readers.player_tags(media).collect()), key=repr)
+    assert got == sorted([("0", "isrc", 0, "a1", None), ("0", "isrc", 1, "B2", None), ("0", "genre", 0, "Rock", None), ("1", None, None, None, "{bad"), ("3", None, None, None, "[1]"), ("5", "isrc", 0, "A1", None), ("5", "isrc", 1, "", None)], key=repr)
+    isrcs, recordings = readers.library_ids(media)
+    assert rows(isrcs) == [("A1",), ("B2",)] and rows(recordings) == [("m",)]
+
+
 def test_lossy(spark):
     df = spark.createDataFrame([("flac", None), ("mp3", None), ("m4a", "alac"), ("m4a", None), ("wav", None)], "e string, c string")
     assert [r[0] for r in df.select(readers.lossy(F.col("e"), F.col("c"))).collect()] == [False, True, False, True, False]
