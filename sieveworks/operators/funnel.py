@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sieveworks.functions import tolerance as T
@@ -21,6 +22,27 @@ def promotions(listens: DataFrame, item: str, ts: str, now: Column, days: int =
     return trailing_listens(listens, item, ts, now, days).where(F.col("recent") >= least).select(item, "recent")
 
 
+def trailing_counts(events: DataFrame, item: str, ts: str, days: int = T.PROMOTE_DAYS, out: str = "recent") -> DataFrame:
+    """``events`` with ``out``: how many events the item has in the ``days`` days up to each of them, itself and those of the same time included.
+
+    An item's events are divided into slices of ``days`` days; each slice also sees the one
+    before it, and nothing else can count. So no task holds an item's whole history. Events
+    without an item or a time are left out.
+    """
+    span = days * 86_400_000_000
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    rows = events.where(F.col(item).isNotNull() & F.col(ts).isNotNull()).withColumn("_at", micros)
+    rows = rows.withColumn("_slice", F.explode(F.array(F.floor(F.col("_at") / span), F.floor(F.col("_at") / span) + 1)))
+    frame = W.partitionBy(item, "_slice").orderBy("_at").rangeBetween(-span, 0)
+    counted = rows.withColumn(out, F.count("*").over(frame))
+    return counted.where(F.col("_slice") == F.floor(F.col("_at") / span)).drop("_at", "_slice")
+
+
+def first_promotions(events: DataFrame, item: str, ts: str, days: int = T.PROMOTE_DAYS, least: int = T.PROMOTE_LISTENS) -> DataFrame:
+    """(item, ts): when each item first has ``least`` events within ``days`` days; what the stream's promotions give."""
+    return trailing_counts(events.select(item, ts), item, ts, days).where(F.col("recent") >= least).groupBy(item).agg(F.min(ts).alias(ts))
+
+
 def classify(files: DataFrame, now: Column, warn: int = T.WARN_DAYS, delete: int = T.DELETE_DAYS, notice: int = T.NOTICE_DAYS, adopt: int = T.ADOPT_DAYS, least: int = T.PROMOTE_LISTENS) -> DataFrame:
     """``action`` of each trial file: replace, adopt, promote, delete, warn, cancel or keep, the first that holds.
 

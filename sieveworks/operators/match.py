@@ -402,6 +402,37 @@ def shop_matches(songs: DataFrame, offers: DataFrame, looser: Sequence[int] = ()
     return songs.select("song").join(best, "song", "left").select("song", F.col("b.best.offer").alias("offer"), F.col("b.best.store").alias("store"), F.coalesce("b.state", F.lit("none")).alias("state"), F.col("b.best.off").alias("seconds_off"))
 
 
+def look_alikes(df: DataFrame, id_col: str, words: str, most_bits: int = 20, bits: int = 256, width: int = 32) -> tuple[DataFrame, DataFrame]:
+    """((id, look), (a, b, bits)): the look of every row, and the pairs of looks at most ``most_bits`` bits apart.
+
+    ``words`` is an array of ``width``-bit words, ``bits`` in all. Rows with equal words
+    have one look, numbered by their smallest id, so copies aren't paired. The bits are cut
+    into ``most_bits`` + 1 parts, of which looks so near have one in common: they meet by
+    number and value of a part, are compared in the first part that they share, and all
+    bits are counted. Rows without words have no look.
+    """
+    rows = df.select(F.col(id_col).alias("id"), F.col(words).alias("w")).where("size(w) > 0")
+    looks = written(rows.groupBy("w").agg(F.min("id").alias("look")))
+    n = most_bits + 1
+    cuts = [bits * i // n for i in range(n + 1)]
+
+    def part(a: int, b: int) -> Column:
+        value = F.lit(0).cast("long")
+        for word in range(a // width, (b - 1) // width + 1):
+            low, high = max(a, word * width), min(b, (word + 1) * width)
+            taken = F.shiftrightunsigned(F.get("w", F.lit(word)), low - word * width).bitwiseAND(F.lit((1 << (high - low)) - 1).cast("long"))
+            value = value.bitwiseOR(F.shiftleft(taken, low - a))
+        return value
+
+    cut = looks.select("look", "w", F.array(*(part(a, b) for a, b in zip(cuts, cuts[1:]))).alias("parts"))
+    each = cut.select("look", "w", "parts", F.posexplode("parts").alias("at", "value"))
+    other = each.select(F.col("look").alias("b"), F.col("w").alias("w_b"), F.col("parts").alias("parts_b"), "at", "value")
+    pairs = each.withColumnRenamed("look", "a").join(other, ["at", "value"]).where("a < b")
+    first = F.array_position(F.zip_with("parts", "parts_b", lambda x, y: x == y), True) == F.col("at") + 1
+    found = pairs.where(first).select("a", "b", similarity.hamming_words(F.col("w"), F.col("w_b")).cast("long").alias("bits")).where(F.col("bits") <= most_bits)
+    return rows.join(looks, "w").select("id", "look"), found
+
+
 #: What speaks for a candidate, from the first: its record is at hand, its ISRC fits, its print is known, how far titles agree, how far durations differ.
 EVIDENCE = ("record", "isrc", "print", "level", "seconds_off")
 

@@ -1,6 +1,6 @@
 """Releases: which edition a folder is, how editions merge, what a collected album holds, whose an id is.
 
-Groups are compared through aggregates; a window only ever numbers the rows of one release.
+Groups are compared through aggregates, and numbered by ranges, so that none has to fit into a task.
 """
 
 from __future__ import annotations
@@ -8,11 +8,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sieveworks.functions import tolerance
 from sieveworks.operators import consensus, match
+from sieveworks.operators.numbering import numbered
 from sieveworks.sources.storage import written
 
 
@@ -103,21 +103,21 @@ def merge_editions(base: DataFrame, other: DataFrame, on: Sequence[str], album:
     away = F.abs(F.col(length) - F.col("_length"))
     copies = other.join(known, [album, *on]).where(away <= near).groupBy(album, id_col).agg(F.min_by("_id", F.struct(away, F.col("_id"))).alias("copy_of"))
     rows = other.select(album, *on, id_col).join(copies, [album, id_col], "left")
-    place = F.row_number().over(W.partitionBy(album, F.col("copy_of").isNull()).orderBy(*on, id_col))
-    return rows.select(album, id_col, "copy_of", F.when(F.col("copy_of").isNull(), first_number + place).alias("number"))
+    new = numbered(rows.where("copy_of is null").select(album, *on, id_col, "copy_of"), [album], [*on, id_col], "_place")
+    old = rows.where("copy_of is not null").select(album, id_col, "copy_of", F.lit(None).cast("long").alias("number"))
+    return new.select(album, id_col, "copy_of", (first_number + F.col("_place")).alias("number")).unionByName(old)
 
 
 def collected_album(tracks: DataFrame, works: DataFrame, folder: str, work: str, order: Sequence[str | Column], date: str, least: int = 3) -> DataFrame:
     """The tracks of all folders of a work as one album: the columns of ``tracks``, work, number from 1 on by ``order``, and album_date, the earliest; works of fewer than ``least`` tracks are left out."""
     rows = tracks.join(works.select(folder, work).distinct(), folder)
     facts = rows.groupBy(work).agg(F.count("*").alias("_n"), F.min(date).alias("album_date")).where(F.col("_n") >= least).drop("_n")
-    return rows.join(facts, work).withColumn("number", F.row_number().over(W.partitionBy(work).orderBy(*order)))
+    return numbered(rows.join(facts, work), [work], order, "number")
 
 
 def with_suffixes(df: DataFrame, name: str, order: Sequence[str], out: str = "unique_name") -> DataFrame:
     """``out``: the name, with (2), (3) and so on behind its repeats, in ``order``."""
-    place = F.row_number().over(W.partitionBy(name).orderBy(*order))
-    return df.withColumn("_place", place).withColumn(out, F.when(F.col("_place") == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit(" ("), F.col("_place").cast("string"), F.lit(")")))).drop("_place")
+    return numbered(df, [name], order, "_place").withColumn(out, F.when(F.col("_place") == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit(" ("), F.col("_place").cast("string"), F.lit(")")))).drop("_place")
 
 
 def shared_ids(df: DataFrame, shared: str, id_col: str, score: str, evidence: str, least: float = tolerance.OTHER_AUDIO) -> DataFrame:
@@ -147,6 +147,33 @@ def agreed_names(df: DataFrame, group: Sequence[str], id_col: str, name: str, of
     return rows.where(~F.col(name).eqNullSafe(F.col("winner"))).select(*group, id_col, F.col(name).alias("old"), F.col("winner").alias("new"))
 
 
+def sibling_artists(tracks: DataFrame, official: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """(release_group, album_key, path, old, new): the album artists to unify.
+
+    ``tracks`` has path, folder, release_group, release, album_key and album_artist. The
+    tracks of a release group with one album key belong together, and with them the
+    tracks without a release group that have the album key in one of their folders. Where
+    the former name several artists, the new one is that of ``official`` (release, artist)
+    for their most frequent release, by ``names`` (source_name, library_name) as the
+    library spells it, or without any release the most frequent one. A release that
+    ``official`` has no answer for leaves its group as it is. Ties go to the smaller value.
+    """
+    key = ["release_group", "album_key"]
+    known = tracks.where("coalesce(release_group, '') <> ''").withColumns({"album_artist": F.coalesce("album_artist", F.lit("")), "release": F.coalesce("release", F.lit(""))})
+    facts = known.groupBy(*key).agg(F.min("album_artist").alias("_a"), F.max("album_artist").alias("_b")).where("_a <> _b").select(*key)
+    artist = consensus.majority(known, key, "album_artist").select(*key, F.col("winner").alias("_usual"))
+    release = consensus.majority(known, key, "release").select(*key, F.col("winner").alias("release"))
+    facts = facts.join(artist, key).join(release, key).join(official.select("release", F.col("artist").alias("_official")), "release", "left")
+    if names is not None:
+        facts = facts.join(names.select(F.col("source_name").alias("_official"), "library_name"), "_official", "left").withColumn("_official", F.coalesce("library_name", "_official"))
+    facts = facts.where("release = '' or _official is not null").select(*key, F.when(F.col("release") == "", F.col("_usual")).otherwise(F.coalesce(F.nullif("_official", F.lit("")), "_usual")).alias("new"))
+    folders = known.select(*key, "folder").distinct()
+    without = tracks.where("coalesce(release_group, '') = ''").select("path", "folder", "album_key", F.coalesce("album_artist", F.lit("")).alias("old"))
+    siblings = without.join(folders, ["folder", "album_key"]).select(*key, "path", "old")
+    rows = known.select(*key, "path", F.col("album_artist").alias("old")).unionByName(siblings).join(facts, key)
+    return rows.where("old <> new").select(*key, "path", "old", "new")
+
+
 def best_release(releases: DataFrame, recording: str, release: str, official: str, date: str) -> DataFrame:
     """(recording, release): an official release before others, then the oldest; one without a date comes last, ties by id."""
     order = F.struct(~F.coalesce(F.col(official), F.lit(False)), F.coalesce(F.nullif(F.col(date), F.lit("")), F.lit("9999")), F.col(release))

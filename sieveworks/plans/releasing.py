@@ -79,6 +79,18 @@ def agreed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return releases.agreed_names(_t(spark, sf_dir, "orders"), ["o_custkey"], "o_orderkey", "o_orderstatus", official)
 
 
+def sibling_artists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as tracks: a part's size class is the release group, a third has none; folders are orders, suppliers' ranges the album artists."""
+    k = F.col("l_partkey")
+    rows = _t(spark, sf_dir, "lineitem").select(
+        F.concat_ws("/", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.col("l_extendedprice").cast("string")).alias("path"), F.col("l_orderkey").alias("folder"), F.when(k % 3 != 0, F.concat(F.lit("g"), (k % 40).cast("string"))).alias("release_group"),
+        F.when(k % 4 == 0, "").otherwise(F.concat(F.lit("r"), (F.col("l_suppkey") % 3).cast("string"))).alias("release"), (k % 5).cast("string").alias("album_key"), F.concat(F.lit("Artist "), (F.col("l_suppkey") % 4).cast("string")).alias("album_artist"),
+    )
+    official = spark.createDataFrame([("r0", "Artist 0"), ("r1", "Other")], "release string, artist string")
+    names = spark.createDataFrame([("Other", "Artist 2")], "source_name string, library_name string")
+    return releases.sibling_artists(rows, official, names)
+
+
 def best_release(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The order that stands for each customer: a finished one first, then the oldest."""
     orders = _t(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", (F.col("o_orderstatus") == "F").alias("official"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
@@ -131,7 +143,7 @@ def two_stage_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prints.pair_similarity(_prints(spark, sf_dir), "vec_id", "a", "b")
 
 
-QUERIES = {f.__name__: f for f in (edition_choice, edition_by_tolerance, edition_numbers, edition_merge, collected_album, repeated_names, shared_ids, list_choice, agreed_names, best_release, better_cover, text_find, path_audit, likely_offsets, two_stage_similarity)}
+QUERIES = {f.__name__: f for f in (edition_choice, edition_by_tolerance, edition_numbers, edition_merge, collected_album, repeated_names, shared_ids, list_choice, agreed_names, sibling_artists, best_release, better_cover, text_find, path_audit, likely_offsets, two_stage_similarity)}
 
 _PRINTS = """with v as (select vec_id, list_transform(embedding, lambda x: ((cast(floor(cast(x as float) * 4) as bigint) % 1048576) + 1048576) % 1048576) w from embeddings),
   p as (select x.vec_id, x.w a, list_concat([1, 2], y.w) b from v x join v y on y.vec_id = x.vec_id + 1)"""
@@ -174,6 +186,12 @@ ORACLE_SQL = {
       select l_suppkey, shared from f where size = (select count(*) from w) and shared >= 0.5 * size order by shared desc, l_suppkey limit 1""",
     "agreed_names": """with v as (select o_custkey, o_orderstatus s, count(*) n from orders group by all), w as (select o_custkey, case o_custkey when 1 then 'X' when 7 then 'Y' else first(s order by n desc, s) end winner from v group by 1 having count(*) > 1)
       select o_custkey, o_orderkey, o_orderstatus old, winner as new from orders join w using (o_custkey) where o_orderstatus <> winner""",
+    "sibling_artists": """with t as (select concat_ws('/', l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice) as path, l_orderkey as folder, case when l_partkey % 3 <> 0 then 'g' || l_partkey % 40 end as rg, case when l_partkey % 4 = 0 then '' else 'r' || l_suppkey % 3 end as rel, cast(l_partkey % 5 as varchar) as ak, 'Artist ' || l_suppkey % 4 as aa from lineitem),
+      v as (select rg, ak, aa, count(*) as n from t where rg is not null group by all), r as (select rg, ak, rel, count(*) as n from t where rg is not null group by all),
+      f as (select rg, ak, first(aa order by n desc, aa) as usual from v group by 1, 2 having count(*) > 1), w as (select rg, ak, first(rel order by n desc, rel) as rel from r group by 1, 2),
+      d as (select rg, ak, case rel when '' then usual when 'r0' then 'Artist 0' when 'r1' then 'Artist 2' end as new from f join w using (rg, ak) where rel <> 'r2'),
+      x as (select rg, ak, path, aa as old from t where rg is not null union all select g.rg, t.ak, t.path, t.aa from t join (select distinct rg, ak, folder from t where rg is not null) g on g.folder = t.folder and g.ak = t.ak where t.rg is null)
+      select rg as release_group, ak as album_key, path, old, new from x join d using (rg, ak) where old <> new""",
     "best_release": "select o_custkey, first(o_orderkey order by o_orderstatus <> 'F', strftime(o_orderdate, '%Y-%m-%d'), o_orderkey) o_orderkey from orders group by 1",
     "better_cover": """with c as (select l_partkey, l_orderkey, floor(l_extendedprice) w, floor(l_extendedprice * (1 - l_tax)) h, cast(round(l_discount * 300) as bigint) bits from lineitem)
       select l_partkey, first(l_orderkey order by least(w, h) < 1000, bits, least(w, h) desc, l_orderkey) cover from c where bits <= 20 and abs(w - h) <= 0.05 * greatest(w, h) and least(w, h) > 300 group by 1""",

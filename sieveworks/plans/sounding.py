@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveworks.functions import similarity, tolerance
+from sieveworks.operators import match
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +41,15 @@ def hamming_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _neighbours(spark, sf_dir).select("vec_id", similarity.hamming_words(sign("embedding"), sign("next")).cast("long").alias("bits"))
 
 
+def look_alikes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signs of vectors, each also with four or eight of its 64 turned: the looks that differ in at most 5 places."""
+    rows = _t(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.explode(F.array(*map(F.lit, (0, 1, 2)))).alias("turned"))
+    flip = lambda i: ((F.col("turned") == 1) & (i % 16 == F.col("vec_id") % 16)) | ((F.col("turned") == 2) & (i % 8 == F.col("vec_id") % 8))
+    signs = similarity.packed_words(F.transform("embedding", lambda x, i: (x > 0) != flip(i)))
+    looks = rows.select((F.col("vec_id") * 3 + F.col("turned")).alias("id"), signs.alias("words"))
+    return match.look_alikes(looks, "id", "words", most_bits=5, bits=64)[1]
+
+
 def _words(column: str):
     """Components as 32-bit words of a print."""
     return F.transform(column, lambda x: F.pmod(F.floor(x * 1000), F.lit(1 << 31)).cast("long"))
@@ -61,7 +71,7 @@ def edit_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.join(first, "p_brand").select("p_brand", "p_type", F.round(similarity.edit_similarity(F.col("p_type"), F.col("first")), 6).alias("similarity"))
 
 
-QUERIES = {f.__name__: f for f in (loudness_album_gain, file_facts, hamming_similarity, preview_similarity, sliding_similarity, edit_similarity)}
+QUERIES = {f.__name__: f for f in (loudness_album_gain, file_facts, hamming_similarity, look_alikes, preview_similarity, sliding_similarity, edit_similarity)}
 
 _N = "with n as (select a.vec_id, a.embedding e, b.embedding f from embeddings a join embeddings b on b.vec_id = a.vec_id + 1)"
 ORACLE_SQL = {
@@ -69,6 +79,9 @@ ORACLE_SQL = {
     "file_facts": """select printf('%+.2f dB', cast(-18 + round(l_discount * 100) + 5 as double)) gain, l_quantity * 10 - round(l_tax * 100) * 2 < l_quantity * 10 - greatest(2.0, 0.03 * (l_quantity * 10)) short,
       cast(floor(floor(l_extendedprice) * 1000 * 8 / l_quantity / 1000 / 1000) as bigint) megabits, count(*) n from lineitem group by all""",
     "hamming_similarity": f"{_N} select vec_id, cast(list_sum(list_transform(range(1, len(e) + 1), lambda i: case when (e[i] > 0) <> (f[i] > 0) then 1 else 0 end)) as bigint) bits from n",
+    "look_alikes": """with t as (select vec_id, embedding, unnest([0, 1, 2]) as t from embeddings), f as (select vec_id * 3 + t as id, list_transform(range(len(embedding)), lambda i: (embedding[i + 1] > 0) <> (t = 1 and i % 16 = vec_id % 16 or t = 2 and i % 8 = vec_id % 8)) as w from t),
+      s as (select w, min(id) as look, list_sum(list_transform(range(64), lambda i: case when w[i + 1] then cast(1 as hugeint) << i else 0 end))::hugeint as n from f group by 1)
+      select * from (select a.look as a, b.look as b, cast(bit_count(xor(a.n, b.n)) as bigint) as bits from s a join s b on a.look < b.look) where bits <= 5""",
     "preview_similarity": f"""{_N}, w as (select vec_id, list_transform(e, lambda x: ((cast(floor(cast(x as float) * 1000) as bigint) % 2147483648) + 2147483648) % 2147483648) a, list_transform(f[1:20], lambda x: ((cast(floor(cast(x as float) * 1000) as bigint) % 2147483648) + 2147483648) % 2147483648) b from n)
       select vec_id, round(list_max(list_transform(range(0, len(a) - 18 + 1), lambda o: list_sum(list_transform(range(1, least(20, len(a) - o) + 1), lambda i: 32 - bit_count(xor(a[o + i], b[i])))) / (32.0 * least(20, len(a) - o)))), 3) similarity from w""",
     "edit_similarity": "with p as (select distinct p_brand, p_type from part), f as (select p_brand, min(p_type) m from p group by 1) select p_brand, p_type, round(1 - levenshtein(p_type, m) / greatest(len(p_type), len(m), 1), 6) similarity from p join f using (p_brand)",

@@ -50,13 +50,31 @@ def trial_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(stream.ACTIONS).parquet(f"{folder}/actions").select("item", F.date_format("day", "yyyy-MM-dd").alias("day"), "action", F.round("idle_days", 5).alias("idle_days"))
 
 
-QUERIES = {f.__name__: f for f in (trial_review, trial_actions)}
+def _listens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").where("value >= 30")
+    return rows.select("event_id", F.concat_ws("/", F.col("event_type"), (F.col("user_id") % 20).cast("string")).alias("item"), "ts")
+
+
+def trailing_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every listen those of its item in the two days before."""
+    return funnel.trailing_counts(_listens(spark, sf_dir), "item", "ts", days=2).select("event_id", "item", "recent")
+
+
+def first_promotions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When each item first had three listens in two days."""
+    return funnel.first_promotions(_listens(spark, sf_dir), "item", "ts", days=2).select("item", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"))
+
+
+QUERIES = {f.__name__: f for f in (trial_review, trial_actions, trailing_counts, first_promotions)}
+_TRAILING = "with l as (select event_id, event_type || '/' || user_id % 20 as item, ts from events where value >= 30 and event_type is not null and user_id is not null), c as (select *, count(*) over (partition by item order by ts range between interval 2 days preceding and current row) as recent from l)"
 
 _R = RULES
 _OTHER = "abs(f.seconds - l.seconds) > greatest(3, 0.01 * l.seconds)"
 _SEC = "epoch(date_trunc('second', {0}))"
 
 ORACLE_SQL = {
+    "trailing_counts": f"{_TRAILING} select event_id, item, recent from c",
+    "first_promotions": f"{_TRAILING} select item, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') as ts from c where recent >= 3 group by 1",
     "trial_review": f"""{E}, h as (select artist_key * 10 + title_key as file, ts from e where listen), m as (select max(ts) as m from h),
       songs as (select p_partkey as file, 'I' || p_partkey % 700 as isrc, 100.0 + p_size as seconds, p_brand as artist, p_type as title, p_size as size from part),
       f as (select s.*, coalesce(case when file % 3 = 0 then m - size * interval 1 day end, m - size * 20 * interval 1 second) as downloaded,
