@@ -84,11 +84,16 @@ def shared(members: int, values: list[np.ndarray], width: int = 4096) -> np.ndar
     return out
 
 
+def strips(members: int, height: int = 256) -> list[slice]:
+    """Rows of a matrix of all members, some at a time, so that what is made of them stays small."""
+    return [slice(a, a + height) for a in range(0, members, height)]
+
+
 def local_roots(linked: np.ndarray) -> np.ndarray:
     """For each member the first member of its component in a symmetric link matrix."""
     root = np.arange(len(linked))
     while True:
-        near = np.where(linked, root[None, :], len(linked)).min(1)
+        near = np.concatenate([np.where(linked[s], root[None, :], len(linked)).min(1) for s in strips(len(linked))])
         after = np.minimum(root, near)
         after = after[after]
         if (after == root).all():
@@ -114,9 +119,12 @@ def link_rows(linked: np.ndarray, table: pa.Table, rows: np.ndarray, ids: np.nda
         side = table["block"].to_numpy()[rows]
         linked &= side[:, None] != side[None, :]
     if linked.any():
-        linked &= shared(len(ids), [x[x < path] for x in lists(table, "leaves", rows)]) == 0
+        met = shared(len(ids), [x[x < path] for x in lists(table, "leaves", rows)])
+        linked &= met == 0
+        del met
     has = np.flatnonzero(linked.any(1))
     if not len(has):
         return None
     copies = table["copies"].to_numpy()[rows].astype(np.float64)
-    return pa.RecordBatch.from_arrays([pa.array(ids[has]), pa.array((linked[has] @ copies).astype(np.int64)), pa.array(ids[local_roots(linked)[has]])], ["id", "n_links", "root"])
+    n_links = np.concatenate([linked[has[s]] @ copies for s in strips(len(has))])
+    return pa.RecordBatch.from_arrays([pa.array(ids[has]), pa.array(n_links.astype(np.int64)), pa.array(ids[local_roots(linked)[has]])], ["id", "n_links", "root"])

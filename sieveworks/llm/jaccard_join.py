@@ -4,25 +4,28 @@ Every run starts from one path. A path splits the texts that reached it: each te
 follows the shingles whose hash, seeded by the path, falls below ``branching / size``,
 so that two texts with most shingles in common follow a common one with high
 probability. A path that few texts reach is a bucket and is compared by brute force; a
-path that many reach splits again. Texts that stay together when they split are alike,
-and splitting them on would only repeat them: their path becomes a bucket at once, and is
-compared in blocks. As many runs are made as the target recall needs.
+path that many reach splits again. Where most texts of a path have the same smallest
+shingle under most of several other seeds they are alike, and splitting them on would only
+repeat them: their path becomes a bucket at once, and is compared in blocks. Texts that
+only share a passage aren't, and split on. As many runs are made as the target recall needs.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieveworks.llm.batches import bounded
-from sieveworks.llm.buckets import distinct_buckets, groups, link_rows, lists, placed, shared
+from sieveworks.llm.buckets import distinct_buckets, groups, link_rows, lists, placed, shared, strips
 from sieveworks.llm.bytetext import byte_slices, list_array, mixed, shingle_sets, word_hashes
 from sieveworks.llm.components import connected_components, smallest_labels
 from sieveworks.sources.storage import forget, written
@@ -30,7 +33,11 @@ from sieveworks.sources.storage import forget, written
 #: Texts in a bucket that is compared at once, and the shingles and texts of a block of a larger one.
 BUCKET_TEXTS, BLOCK_SHINGLES, BLOCK_TEXTS = 64, 400_000, 2048
 #: Paths stop splitting at this depth; what is still large then is compared in blocks.
-MOST_DEPTH = 5
+MOST_DEPTH = 12
+#: Other seeds by which a large path is judged, and the mean share of texts with the same smallest shingle from which they are alike: about the shingles that each shares with most others, 0.89 at a similarity of 0.8.
+PROBES, ALIKE = 16, 0.7
+#: Counts of smallest shingles that a task holds before it gives them away.
+_PROBED = 200_000
 
 
 def runs_needed(target_recall: float, threshold: float, branching: float) -> int:
@@ -114,20 +121,37 @@ def _printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _children(branching: float):
-    """Rows (id, paths, shingles) to the paths that each path splits into."""
+    """Rows (id, paths, shingles) to the paths that each path splits into: (task 0, id, parent, size, path); and for the task's members of each path how many have a shingle as their smallest under a probe: (task from 1, count, parent, probe, shingle)."""
+    probes = mixed(np.arange(1, PROBES + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+    def rows(task: int, columns: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), task), pa.int32()), *(pa.array(x, pa.int64()) for x in columns)], ["task", "id", "parent", "size", "path"])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, least = TaskContext.get().partitionId() + 1, Counter()
+
+        def told() -> pa.RecordBatch:
+            keys, counts = [*least], [*least.values()]
+            least.clear()
+            return rows(task, [np.array(counts, np.int64), *(np.array([k[i] for k in keys], np.int64) for i in range(3))])
+
         for batch in batches:
             out = [[], [], [], []]
             for id_, paths, shingles in zip(batch["id"].to_pylist(), batch["paths"], batch["shingles"]):
                 shingles = shingles.values.to_numpy(zero_copy_only=False).view(np.uint64)
                 below = _below(np.array([len(shingles)]), branching)[0]
+                # a text has the same smallest shingles on all its paths
+                smallest = [int(mixed(shingles ^ p).min().view(np.int64)) for p in probes]
                 for path in paths.values.to_numpy(zero_copy_only=False):
                     _, to = _chosen(shingles, below, path.view(np.uint64))
                     for x, value in zip(out, (id_, path, len(shingles))):
                         x.append(np.full(len(to), value, np.int64))
                     out[3].append(to.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in out], ["id", "parent", "size", "path"])
+                    least.update((int(path), i, x) for i, x in enumerate(smallest))
+            yield rows(0, [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out])
+            if len(least) > _PROBED:
+                yield told()
+        yield told()
 
     return make
 
@@ -140,7 +164,8 @@ def _compare(threshold: float):
             sets = lists(table, "shingles", rows)
             size = np.array([len(x) for x in sets], np.float64)
             both = shared(len(ids), sets)
-            linked = both >= threshold * (size[:, None] + size[None, :] - both) - 1e-6
+            linked = np.concatenate([both[s] >= threshold * (size[s, None] + size[None, :] - both[s]) - 1e-6 for s in strips(len(ids))])
+            del both
             out = link_rows(linked, table, rows, ids, table["path"][0].as_py(), table["one"][0].as_py() != table["two"][0].as_py())
             if out is not None:
                 yield out
@@ -203,14 +228,14 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             whole.append(large)
             break
         at = large.groupBy("id").agg(F.collect_list("path").alias("paths"))
-        split = at.join(sets, "id").select("id", "paths", "shingles").mapInArrow(_children(branching), "id long, parent long, size long, path long")
+        split = at.join(sets, "id").select("id", "paths", "shingles").mapInArrow(_children(branching), "task int, id long, parent long, size long, path long")
         # a set may stand twice, see _sets
         split = written(split.distinct())
-        sizes = split.groupBy("parent", "path").agg(F.count("*").alias("n")).groupBy("parent").agg(F.max("n").alias("n"))
-        parents = large.select("path", "texts").distinct().join(sizes.withColumnRenamed("parent", "path"), "path", "left")
-        alike = written(parents.where("n is null or 2 * n >= texts").select("path"))
+        same = split.where("task > 0").groupBy("parent", F.col("size").alias("probe"), "path").agg(F.sum("id").alias("n")).groupBy("parent", "probe").agg(F.max("n").alias("n"))
+        means = same.groupBy(F.col("parent").alias("path")).agg((F.sum("n") / PROBES).alias("mean"))
+        alike = written(large.select("path", "texts").distinct().join(means, "path").where(F.col("mean") >= ALIKE * F.col("texts")).select("path"))
         whole.append(large.join(alike, "path", "left_semi"))
-        apart = split.join(alike.withColumnRenamed("path", "parent"), "parent", "left_anti").select("id", "size", "path")
+        apart = split.where("task = 0").join(alike.withColumnRenamed("path", "parent"), "parent", "left_anti").select("id", "size", "path")
         children = written(apart.join(distinct_buckets(apart, BUCKET_TEXTS), "path"))
         forget(split)
         done += [alike, children]

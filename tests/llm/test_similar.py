@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sieveworks.llm import jaccard_join as J
 from sieveworks.llm.components import connected_components
 from sieveworks.llm.jaccard_join import ngram_jaccard_join, runs_needed
 from sieveworks.llm.vector_dedup import tables_needed, vector_dedup
@@ -204,3 +205,26 @@ def test_recall_on_the_test_tables(spark):
     got = {r["vec_id"]: r["n_links"] for r in vector_dedup(vectors).collect()}
     wanted = {i: int(n) - 1 for (i, _, _), n in zip(rows, linked.sum(1))}
     assert all(got[i] <= wanted[i] for i in wanted) and sum(got[i] for i in wanted) >= 0.99 * sum(wanted.values())
+
+
+def test_texts_that_share_a_header_are_split_on(spark, monkeypatch):
+    """5,000 texts of 60 words with the same 16 at the beginning, and 200 near copies of one: under a hundredth of all pairs meet, and the copies are linked."""
+    rng = random.Random(8)
+    header = [f"licence{i}" for i in range(16)]
+    word = lambda: f"w{rng.randrange(10**6)}"
+    texts = [" ".join(header + [word() for _ in range(44)]) for _ in range(5000)]
+    base = texts[0].split()
+    texts += [" ".join([*base[:-1], word()]) for _ in range(200)]
+    met = []
+
+    def counted(found, members, placed=J.placed):
+        met.append(found.groupBy("path").count().agg(F.sum(F.col("count") * F.col("count") / 2)).first()[0])
+        return placed(found, members)
+
+    monkeypatch.setattr(J, "placed", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in J.ngram_jaccard_join(docs).collect()}
+    copies = {0, *range(5000, 5200)}
+    assert all(got[i] == (0, 200) for i in copies) and all(got[i] == (i, 0) for i in range(1, 5000))
+    # near copies among themselves aside, which have to meet
+    assert met[0] - 30 * 201**2 / 2 < 0.01 * 5200**2 / 2
