@@ -9,9 +9,10 @@ block's size and the places of the common word in both orders must leave room fo
 overlap that is needed.
 
 Licenses of one family share nearly all their words. A template may therefore ask for one
-of several phrases, its proofs, in the block; and one whose words all stand in another
-template, or whose label the other's makes narrower, gives way to that one where both are
-found in the same place.
+of several phrases, its proofs, in the block. One whose label another's makes narrower
+gives way to that one in overlapping blocks. One whose words all stand in another template
+gives way where the other's proofs cover all of its own, or follow all its openings if it
+has no proofs: not where both licenses stand side by side.
 """
 
 from __future__ import annotations
@@ -81,8 +82,32 @@ def _templates() -> Iterator[tuple[str, str, tuple[str, ...]]]:
             yield f"cc-{'-'.join(('by', *parts))}-{version}.0", f"licensed under a creative commons {names} {version} 0 license", proofs
 
 
+#: Identifiers of the software package data exchange: the words after ``SPDX-License-Identifier:`` and the label.
+_IDENTIFIERS = {
+    "gpl 2 0": "gpl-2", "gpl 3 0": "gpl-3", "lgpl 2 0": "lgpl-2", "lgpl 2 1": "lgpl-2", "lgpl 3 0": "lgpl-3", "agpl 3 0": "agpl-3", "apache 2 0": "apache-2.0", "mit": "mit", "bsd 2 clause": "bsd-2", "bsd 3 clause": "bsd-3", "0bsd": "0bsd",
+    "isc": "isc", "mpl 2 0": "mpl-2.0", "epl 1 0": "epl-1.0", "epl 2 0": "epl-2.0", "cc0 1 0": "cc0-1.0", "unlicense": "unlicense", "zlib": "zlib",
+}
+
+
+def _named() -> Iterator[tuple[str, str, tuple[str, ...]]]:
+    """Templates that are a name or an identifier alone, whole."""
+    for words, label in _IDENTIFIERS.items():
+        yield label, f"spdx license identifier {words}", (f"spdx license identifier {words}",)
+    for parts in ((), ("nc",), ("sa",), ("nd",), ("nc", "sa"), ("nc", "nd")):
+        for version in ("4", "3"):
+            words = f"spdx license identifier cc {' '.join(('by', *parts))} {version} 0"
+            yield f"cc-{'-'.join(('by', *parts))}-{version}.0", words, (words,)
+    for label, versions in (("gpl", "23"), ("lgpl", "23"), ("agpl", "3")):
+        for version in versions:
+            for glued in (f"{label}v{version}", f"{label}{version}"):
+                yield f"{label}-{version}", glued, (glued,)
+    for label, names in {"cc0-1.0": ("cc0 1 0", "cc0", "creative commons zero"), "0bsd": ("zero clause bsd",), "epl-1.0": ("eclipse public license v 1 0", "eclipse public license version 1 0", "eclipse public license 1 0"), "epl-2.0": ("eclipse public license v 2 0", "eclipse public license version 2 0", "eclipse public license 2 0")}.items():
+        for name in names:
+            yield label, name, (name,)
+
+
 #: Label, words, and proofs (one of which must stand in the block; none: the words do) of public licenses.
-TEMPLATES = tuple(_templates())
+TEMPLATES = (*_templates(), *_named())
 #: Words of the longest template of each size of block.
 STRIDES = (16, 64, 256)
 
@@ -94,7 +119,7 @@ def block_words(text: str | None) -> list[str]:
 
 @dataclass(frozen=True)
 class Entry:
-    """A template or phrase: its label, distinct words in corpus order, how many of them a block needs, its proofs, and the words of a phrase."""
+    """A template or phrase: its label, distinct words in corpus order, how many of them a block needs, its proofs, the words of a phrase, and how it opens."""
 
     label: str
     words: list[str]
@@ -102,6 +127,15 @@ class Entry:
     proofs: tuple[str, ...]
     phrase: tuple[str, ...]
     stride: int
+    opening: tuple[str, ...]
+
+
+def _places(words: list[str], phrases: tuple[str, ...], start: int) -> list[tuple[int, int]]:
+    """First word and word after the last of every place of the phrases, numbered from ``start``."""
+    out = []
+    for phrase in map(str.split, phrases):
+        out += [(start + i, start + i + len(phrase)) for i, w in enumerate(words) if w == phrase[0] and words[i : i + len(phrase)] == phrase]
+    return out
 
 
 class Templates:
@@ -119,11 +153,12 @@ class Templates:
             need = len(words) if phrase else -int(-(threshold * len(words)) // 1)
             for place, word in enumerate(words[: len(words) - need + 1]):
                 self.prefixes.setdefault(stride, {}).setdefault(word, []).append((len(self.entries), place))
-            self.entries.append(Entry(label, words, need, proofs, phrase, stride))
+            self.entries.append(Entry(label, words, need, proofs, phrase, stride, (" ".join(text.split()[:6]),)))
         self.anchors = frozenset(w for p in self.prefixes.values() for w in p)
         sets = [frozenset(e.words) for e in self.entries]
-        #: The templates that say more than each, by their words or their label.
-        self.wider = [{j for j, e in enumerate(self.entries) if not e.phrase and (a < sets[j] or e.label.startswith(f"{own.label}-"))} for a, own in zip(sets, self.entries)]
+        #: The templates that make each one's label narrower, or say more under the same label; and those of other labels that hold all its words.
+        self.narrower = [{j for j, e in enumerate(self.entries) if not e.phrase and (e.label.startswith(f"{own.label}-") or a < sets[j] and e.label == own.label)} for a, own in zip(sets, self.entries)]
+        self.wider = [{j for j, e in enumerate(self.entries) if not e.phrase and a < sets[j]} - n for a, n in zip(sets, self.narrower)]
 
     def found(self, words: list[str]) -> Iterator[tuple[int, int, int, float]]:
         """(first word of the block, word after it, entry, containment) for every entry that a block holds; blocks start at the multiples of the entry's stride and have twice as many words."""
@@ -159,6 +194,23 @@ class Templates:
                         if not entry.proofs or any(f" {p} " in joined for p in entry.proofs):
                             yield b * stride, (b + 2) * stride, number, common / len(entry.words)
 
+    def gives_way(self, words: list[str], find: tuple[int, int, int, float], finds: list[tuple[int, int, int, float]]) -> bool:
+        """Whether another find tells more of what a find stands for."""
+        start, end, number, _ = find
+        near = [(a, b, n) for a, b, n, _ in finds if a < end and start < b]
+        if any(n in self.narrower[number] for *_, n in near):
+            return True
+        wider = [(a, b, n) for a, b, n in near if n in self.wider[number]]
+        if not wider:
+            return False
+        entry = self.entries[number]
+        covers = sorted({place for a, b, n in wider for place in _places(words[a:b], self.entries[n].proofs or self.entries[n].opening, a)})
+        if entry.proofs:
+            return all(any(a <= p and q <= b for a, b in covers) for p, q in _places(words[start:end], entry.proofs, start))
+        own = sorted(p for p, _ in _places(words[start:end], entry.opening, start))
+        # each opening is followed by the other's proof before the next opening
+        return all(any(p <= a < after for a, _ in covers) for p, after in zip(own, [*own[1:], len(words)]))
+
     def scan(self, text: str | None) -> tuple:
         """(n_words, n_base, first_word, last_word, base_labels, labels, score) of a text."""
         words = block_words(text)
@@ -175,10 +227,10 @@ class Templates:
                     places.append(i)
                     base.add(entry.label)
                     score = 1.0
-        for start, end, number, containment in finds:
-            if not any(n in self.wider[number] and a < end and start < b for a, b, n, _ in finds):
-                labels.add(self.entries[number].label)
-                score = max(score, containment)
+        for find in finds:
+            if not self.gives_way(words, find, finds):
+                labels.add(self.entries[find[2]].label)
+                score = max(score, find[3])
         return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | labels)), score
 
 
@@ -206,8 +258,8 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     n_base counts the places of ``phrases`` in the words of the text, whose first and last
     starts follow (null: none). labels adds the labels of the ``templates`` (label, words,
     proofs) of which a block of the text holds at least ``threshold`` of the distinct words
-    and one of the proofs, unless a template with all those words and more, or a narrower
-    label, is found in an overlapping block. score is the largest such share, 1 for a phrase and 0 without any
+    and one of the proofs, unless one with a narrower label is found in an overlapping
+    block, or one with all those words and more whose proofs cover this one's. score is the largest such share, 1 for a phrase and 0 without any
     find.
 
     Null and empty texts have no words. Rows are scanned one by one: repeated rows and ids

@@ -29,11 +29,29 @@ def brute(text):
             block = words[b : b + 2 * stride]
             share = len(wanted & set(block)) / len(wanted)
             if share >= 0.8 and (not proofs or any(block[i : i + len(p.split())] == p.split() for p in proofs for i in range(len(block)))):
-                finds.append((label, wanted, b, b + 2 * stride, share))
-    for label, wanted, a, b, share in finds:
-        if not any((wanted < other or narrower.startswith(f"{label}-")) and a < d and c < b for narrower, other, c, d, _ in finds):
-            labels.add(label)
-            score = max(score, share)
+                finds.append((label, template, proofs, b, b + 2 * stride, share))
+    for label, template, proofs, a, b, share in finds:
+        wanted, near = set(template.split()), [f for f in finds if a < f[4] and f[3] < b]
+        if any(n.startswith(f"{label}-") or n == label and wanted < set(t.split()) for n, t, *_ in near):
+            continue
+        wider = [f for f in near if wanted < set(f[1].split()) and f[0] != label]
+        if wider:
+            # characters of a numbered text tell what lies in what
+            def at(c, d, phrases):
+                here = [f"{i}:{w}" for i, w in enumerate(words[c:d], c)]
+                return [set(here[i : i + len(p.split())]) for p in phrases for i in range(len(here)) if words[c + i : min(d, c + i + len(p.split()))] == p.split()]
+
+            covers = [x for _, t, pr, c, d, _ in wider for x in at(c, d, pr or (" ".join(t.split()[:6]),))]
+            first = lambda x: min(int(w.split(":")[0]) for w in x)
+            if proofs:
+                gone = all(any(x <= y for y in covers) for x in at(a, b, proofs))
+            else:
+                opens = sorted(map(first, at(a, b, (" ".join(template.split()[:6]),))))
+                gone = all(any(o <= first(y) < n for y in covers) for o, n in zip(opens, [*opens[1:], 10**9]))
+            if gone:
+                continue
+        labels.add(label)
+        score = max(score, share)
     return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | labels)), score
 
 
@@ -57,6 +75,11 @@ LABELLED = [
     ("Licensed under the Apache License, Version 2.0.", "apache,apache-2.0"),
     (BSD, "bsd-2"), (BSD + " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", "bsd-3"),
     ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.", "isc"),
+    ("The text is licensed under CC BY 4.0, the images are licensed under CC BY-SA 4.0.", "cc-by,cc-by-4.0,cc-by-sa-4.0"),
+    (BSD + " " + BSD + " Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", "bsd-2,bsd-3"),
+    (BSD + " Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. " + BSD, "bsd-2,bsd-3"),
+    ("Licensed under the GNU General Public License, version 3, and parts are licensed under the GNU Affero General Public License, version 3.", "agpl-3,gpl,gpl-3"),
+    ("SPDX-License-Identifier: GPL-3.0-or-later", "gpl-3"), ("SPDX-License-Identifier: CC-BY-NC-SA-4.0", "cc-by,cc-by-nc-sa-4.0"), ("// SPDX-License-Identifier: BSD-2-Clause", "bsd-2"), ("licensed under GPLv3", "gpl-3"), ("CC0 1.0", "cc0-1.0"), ("Eclipse Public License - v 2.0", "epl-2.0"), ("identifier of a license, spdx, gpl 2", ""),
     ("the license of this work under version 3 is public, released in general for the gnu", ""), ("released under the new driving license", ""), ("It was licensed under the name by 4 people, cc 0 of them", ""),
 ]
 
