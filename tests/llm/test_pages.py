@@ -292,3 +292,12 @@ def test_odd_conversations(spark):
     assert C.format_chats(texts, C.train(raw)).agg(F.sum("n_turns")).first()[0] == 2
     empty = C.transcripts(spark.createDataFrame([], SCHEMA))
     assert empty.count() == 0 and C.format_turns(empty, C.train(empty)).count() == 0
+
+
+def test_an_article_is_taken_whole():
+    """Lists of links, short paragraphs and verbatim text of an article stay, whatever the weights; what it marks as boilerplate goes."""
+    page = """<body><nav><a href=1>Home</a></nav><article><h1>Title</h1><p>One sentence of some length stands here.</p><ul><li><a href=2>First report</a></li><li><a href=3>Second report</a></li></ul>
+      <div class="ad">Buy now</div><xmp>if (a < b) &amp; <b>c</b></xmp><aside>More like this</aside><p><a href=4>ok</a></p></article><footer>Imprint</footer><aside><article><a href=5>Teaser</a></article></aside></body>"""
+    want = "Title One sentence of some length stands here. First report Second report if (a < b) &amp; <b>c</b> ok"
+    for weights in (T.PRIOR, T.PRIOR + np.array([-3, -8, 0.0, 2, 0, 1, -3])):
+        assert T.main_text(page, weights) == want
