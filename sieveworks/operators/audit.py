@@ -142,28 +142,48 @@ def albums_alike(df: DataFrame, artist: str, folder: str, exceptions: DataFrame,
 
     misspelled: the same name but for signs, or names of one year that are 0.9 alike and
     differ in more than digits; editions: the same name but for edition words; same
-    release group: they share a member of ``release_groups`` (an array). An artist's
-    folders, hundreds at most, are compared with each other.
+    release group: they share a member of ``release_groups`` (an array). The first that
+    holds counts. Folders meet by name, by year and grams of their names, or by release
+    group, so the many folders of an artist aren't all compared with each other.
     """
-    rows = df.select(F.col(artist).alias("artist"), F.col(folder).alias("a"), (F.col(release_groups) if release_groups else F.array().cast("array<string>")).alias("groups_a"))
-    rows = rows.groupBy("artist", "a").agg(F.array_distinct(F.flatten(F.collect_list("groups_a"))).alias("groups_a")) if release_groups else rows.dropDuplicates(["artist", "a"])
-    rows = rows.withColumns({"core_a": keys.album_core(F.regexp_replace("a", "^[0-9]{4} - ", "")), "flat_a": F.regexp_replace(keys.plain(F.col("a")), r"[\s_()\[\].,:;'’!?¿¡-]", ""), "year_a": F.substr("a", F.lit(1), F.lit(4))}).where("core_a <> ''")
-    other = rows.withColumnsRenamed({f"{c}_a" if c != "a" else c: f"{c}_b" if c != "a" else "b" for c in ("a", "groups", "core", "flat", "year")})
-    pairs = rows.join(other, "artist").where("a < b")
+    rows = df.select(F.col(artist).alias("artist"), F.col(folder).alias("folder"), (F.col(release_groups) if release_groups else F.array().cast("array<string>")).alias("groups"))
+    rows = rows.groupBy("artist", "folder").agg(F.array_distinct(F.flatten(F.collect_set("groups"))).alias("groups"))
+    rows = rows.withColumns({"core": keys.album_core(F.regexp_replace("folder", "^[0-9]{4} - ", "")), "flat": F.regexp_replace(keys.plain(F.col("folder")), r"[\s_()\[\].,:;'’!?¿¡-]", ""), "year": F.substr("folder", F.lit(1), F.lit(4))}).where("core <> '' and artist is not null")
+
+    def pairs(table: DataFrame, by: list[str]) -> DataFrame:
+        other = table.select(*by, F.col("folder").alias("b"), F.col("flat").alias("flat_b"))
+        return table.withColumnRenamed("folder", "a").join(other, by).where("a < b")
+
+    kind = lambda rank, name: F.struct(F.lit(rank).alias("rank"), F.lit(name).alias("kind"))
+    named = pairs(rows, ["artist", "core"]).select("artist", "a", "b", F.when(F.col("flat") == F.col("flat_b"), kind(0, "misspelled")).otherwise(kind(1, "editions")).alias("k"))
+    grouped = pairs(rows.select("artist", "folder", "flat", F.explode("groups").alias("group")), ["artist", "group"]).select("artist", "a", "b", kind(3, "same release group").alias("k"))
+    split = "\u0001"
+    years = rows.select(F.concat_ws(split, "artist", "folder").alias("id"), "core", F.concat_ws(split, "artist", "year").alias("block"))
+    close = match.similar_names(years, "id", "core", "block", least_chars=6).select(F.split("a", split).alias("x"), F.split("b", split).alias("y"))
+    close = close.select(F.col("x")[0].alias("artist"), F.least(F.col("x")[1], F.col("y")[1]).alias("a"), F.greatest(F.col("x")[1], F.col("y")[1]).alias("b"))
+    letters = rows.select("artist", "folder", F.regexp_replace("core", "[0-9]", "").alias("letters"))
+    close = close.join(letters.withColumnsRenamed({"folder": "a", "letters": "_a"}), ["artist", "a"]).join(letters.withColumnsRenamed({"folder": "b", "letters": "_b"}), ["artist", "b"]).where("_a <> _b").select("artist", "a", "b", kind(2, "misspelled").alias("k"))
     known = exceptions.select(F.least("folder_1", "folder_2").alias("a"), F.greatest("folder_1", "folder_2").alias("b"))
-    pairs = pairs.join(known, ["a", "b"], "left_anti")
-    digits = lambda c: F.regexp_replace(c, "[0-9]", "")
-    close = (F.col("core_a") != F.col("core_b")) & (digits("core_a") != digits("core_b")) & (F.least(F.length("core_a"), F.length("core_b")) >= 6) & (F.col("year_a") == F.col("year_b"))
-    pairs = pairs.withColumn("_ratio", similarity.exact_ratio(F.when(close, F.col("core_a")), F.when(close, F.col("core_b"))))
-    kind = (
-        F.when((F.col("core_a") == F.col("core_b")) & (F.col("flat_a") == F.col("flat_b")), "misspelled")
-        .when(F.col("core_a") == F.col("core_b"), "editions")
-        .when(F.col("_ratio") >= 0.9, "misspelled")
-        .when(F.arrays_overlap("groups_a", "groups_b"), "same release group")
-    )
-    pairs = pairs.withColumn("_kind", kind).where("_kind is not null")
-    severity = F.when(F.col("_kind") == "misspelled", "fix").when(F.col("_kind") == "editions", "decide").otherwise("info")
-    return pairs.select(F.lit("albums alike").alias("section"), severity.alias("severity"), F.concat_ws(" | ", "a", "b").alias("key"), F.col("_kind").alias("detail"))
+    found = named.unionByName(grouped).unionByName(close).groupBy("artist", "a", "b").agg(F.min("k").alias("k")).join(known, ["a", "b"], "left_anti")
+    severity = F.when(F.col("k.kind") == "misspelled", "fix").when(F.col("k.kind") == "editions", "decide").otherwise("info")
+    return found.select(F.lit("albums alike").alias("section"), severity.alias("severity"), F.concat_ws(" | ", "a", "b").alias("key"), F.col("k.kind").alias("detail"))
+
+
+def folder_artists(df: DataFrame, folder: str, album_artist: str, artists: str) -> DataFrame:
+    """Album folders (artist/album) some of whose songs have another album artist: to decide, or info where the folder's artist sings in the album, as one of the ``artists`` (an array) of a song.
+
+    ``album_artist`` (null or empty: the first of ``artists``) is compared as a folder's
+    name, regardless of case. The detail lists the other artists with their songs, most first.
+    """
+    top = F.split(F.col(folder), "/")[0]
+    who = F.coalesce(F.nullif(F.col(album_artist), F.lit("")), F.get(artists, F.lit(0)))
+    rows = df.select(F.col(folder).alias("folder"), top.alias("top"), who.alias("who"), F.transform(F.coalesce(artists, F.array().cast("array<string>")), lambda a: keys.plain(keys.clean_dir(a))).alias("sung"))
+    sings = rows.groupBy("folder").agg(F.max(F.array_contains("sung", keys.plain(F.col("top")))).alias("sings"), F.count("*").alias("songs"))
+    other = rows.where((F.coalesce("who", F.lit("")) != "") & (F.lower(keys.clean_dir(F.col("who"))) != F.lower("top"))).groupBy("folder", "who").agg(F.count("*").alias("n"))
+    seen = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "who"))), lambda x: F.concat(x["who"], F.lit("×"), (-x["n"]).cast("string"))), " / ")
+    found = other.groupBy("folder").agg(seen.alias("seen"), F.sum("n").alias("n")).join(sings, "folder")
+    name, severity = (F.when(F.col("sings"), yes).otherwise(no) for yes, no in (("folder of a singing artist", "folder of another artist"), ("info", "decide")))
+    return found.select(name.alias("section"), severity.alias("severity"), F.col("folder").alias("key"), F.concat("seen", F.lit("; "), F.col("n").cast("string"), F.lit(" of "), F.col("songs").cast("string")).alias("detail"))
 
 
 def artists_alike(df: DataFrame, artist: str, distinct: DataFrame) -> DataFrame:

@@ -115,13 +115,13 @@ def more_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     songs = orders.withColumn("genres", F.array(F.when(F.col("o_orderpriority") == "5-LOW", "Soundtrack").otherwise(F.col("o_orderpriority"))))
     media = orders.where("o_orderstatus <> 'F'").select(F.concat(F.lit("a"), (F.col("o_custkey") % 40).cast("string"), F.lit("/f"), (F.col("o_custkey") % 200).cast("string"), F.lit("/"), F.col("o_orderkey").cast("string")).alias("path"), F.concat(F.lit("x"), (F.floor(F.col("o_custkey") / 3) % 70).cast("string")).alias("album_id"))
     albums = media.select(F.col("album_id").alias("id")).distinct().withColumn("name", F.when(F.col("id") != "x3", F.upper("id")))
-    states = orders.withColumns({"code": F.col("o_orderkey") % 97, "lossy": F.when(F.col("o_orderkey") % 50 == 0, "MP3"), "error": F.when(F.col("o_orderkey") % 89 == 0, "broken"), "signed": F.when(F.col("o_orderkey") % 41 != 0, F.lit(True)), "silent": F.col("o_orderkey") % 31 == 0})
+    states = orders.withColumns({"code": F.when(F.col("o_orderkey") % 97 == 1, 1).otherwise(0), "lossy": F.when(F.col("o_orderkey") % 50 == 0, "MP3"), "error": F.when(F.col("o_orderkey") % 89 == 0, "broken"), "signed": F.when(F.col("o_orderkey") % 41 != 0, F.lit(True)), "silent": F.col("o_orderkey") % 31 == 0})
     return audit.union(
         [
-            audit.artists_of_many_genres(songs, "artist", "track_artist", "genres", most=3),
+            audit.artists_of_many_genres(songs, "artist", "track_artist", "genres", most=2),
             audit.mixed_covers(orders, "o_custkey", "o_orderstatus"),
             audit.player_albums(media, albums),
-            audit.damaged(states.where("code < 2"), "o_orderkey", "code", "o_orderstatus"),
+            audit.damaged(states, "o_orderkey", "code", "o_orderstatus"),
             audit.unreadable(states, "o_orderkey", "error"),
             audit.unsigned(states, "o_orderkey", "signed"),
             audit.lossy_files(states, "o_orderkey", "lossy"),
@@ -140,35 +140,52 @@ def file_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.union([audit.empty_folders(folders, files), audit.other_files(files, "path", readers.is_audio(F.element_at(F.split("path", "/"), -1))), audit.hardlinks(inodes, "path", "ino"), audit.several_values(tags, "o_orderkey", ["mark"])])
 
 
-def media_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sections on lyrics, covers and dates: items as songs, their quantity as seconds, marks made of their lines, sizes of covers of their prices."""
+def media_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Violations of lyrics and covers: items as songs, their quantity as seconds, marks made of their lines, sizes of covers of their prices."""
     items = _t(spark, sf_dir, "lineitem").withColumn("id", F.concat_ws("/", *(F.col(c).cast("string") for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"))))
     marks = F.when(F.col("l_linenumber") == 1, "").when(F.col("l_linenumber") == 2, "no marks").otherwise(F.concat(F.lit("[00:0"), F.col("l_linenumber").cast("string"), F.lit(".50] a\n[00:40] b")))
     side = lambda c: (F.floor(F.col(c)) % 700).cast("int")
     pictures = F.when(F.col("l_linenumber") != 7, F.array(F.struct(F.when(F.col("l_linenumber") == 6, 2).otherwise(3).alias("type"), (side("l_extendedprice") + 1).alias("w"), (side("l_extendedprice") + F.col("l_linenumber") * 5).alias("h"))))
     rows = items.select("id", marks.alias("lyrics"), F.col("l_quantity").alias("seconds"), pictures.alias("pictures"))
-    return audit.union([audit.lyrics(rows, "id", "lyrics", "seconds").drop("detail").withColumn("detail", F.lit(None).cast("string")), audit.covers(rows, "id", "pictures")]).groupBy("section", "severity").agg(F.count("*").alias("n"))
+    return audit.union([audit.lyrics(rows, "id", "lyrics", "seconds"), audit.covers(rows, "id", "pictures")])
 
 
-def pair_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def media_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many violations of lyrics and covers there are in each section."""
+    return media_violations(spark, sf_dir).groupBy("section", "severity").agg(F.count("*").alias("n"))
+
+
+_ITEM = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+
+
+def judged_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items as pairs of songs: discount and tax stand for scores and previews, flags for what they have in common."""
     i = _t(spark, sf_dir, "lineitem")
     rows = i.select(
-        (1 - F.round(F.col("l_discount") * 100) * F.round(F.col("l_discount") * 100) / 200).alias("score"), (F.col("l_linenumber") == 1).alias("song"), (F.col("l_returnflag") == "R").alias("ids"), F.lit(200.0).alias("a"), (F.lit(200.0) + F.col("l_linenumber")).alias("b"),
+        F.concat_ws("/", *(F.col(c).cast("string") for c in _ITEM)).alias("id"), (1 - F.round(F.col("l_discount") * 100) * F.round(F.col("l_discount") * 100) / 200).alias("score"), (F.col("l_linenumber") == 1).alias("song"), (F.col("l_returnflag") == "R").alias("ids"), F.lit(200.0).alias("a"), (F.lit(200.0) + F.col("l_linenumber")).alias("b"),
         F.when(F.col("l_tax") > 0, 1 - F.round(F.col("l_tax") * 100) / 25).alias("pa"), F.when(F.col("l_linenumber") != 3, F.lit(0.9)).alias("pb"), (F.col("l_linestatus") == "O").alias("title"),
     )
-    return audit.audio_pairs(rows, "score", "song", "ids", "a", "b", "pa", "pb", "title").groupBy("verdict").agg(F.count("*").alias("n"))
+    return audit.audio_pairs(rows, "score", "song", "ids", "a", "b", "pa", "pb", "title").select("id", "verdict")
 
 
-def audio_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pair_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many pairs have each verdict."""
+    return judged_pairs(spark, sf_dir).groupBy("verdict").agg(F.count("*").alias("n"))
+
+
+def judged_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items as suspicious files: the discount stands for the similarity, the quantity for the length, its tax for the lookup."""
     items = _t(spark, sf_dir, "lineitem")
     rows = items.select(
-        "l_orderkey", "l_partkey", "l_suppkey", F.when(F.col("l_discount") > 0, 1 - 3 * F.col("l_discount")).alias("sim"), (F.col("l_quantity") * 10).alias("seconds"),
+        F.concat_ws("/", *(F.col(c).cast("string") for c in _ITEM)).alias("id"), F.when(F.col("l_discount") > 0, 1 - 3 * F.col("l_discount")).alias("sim"), (F.col("l_quantity") * 10).alias("seconds"),
         F.when(F.col("l_linenumber") % 2 == 0, F.col("l_quantity") * 10 + F.col("l_linenumber") - 2).alias("reference"), F.when(F.col("l_tax") < 0.02, "OK").when(F.col("l_tax") > 0.06, "WRONG").otherwise("REVIEW").alias("lookup"), F.lit(11).alias("off"),
     )
-    out = verdicts.audio_verdict(rows, "sim", "seconds", "reference", "lookup", "off")
-    return out.groupBy("verdict").agg(F.count("*").alias("n"))
+    return verdicts.audio_verdict(rows, "sim", "seconds", "reference", "lookup", "off").select("id", "verdict")
+
+
+def audio_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many files have each verdict."""
+    return judged_files(spark, sf_dir).groupBy("verdict").agg(F.count("*").alias("n"))
 
 
 QUERIES = {f.__name__: f for f in (title_key, artist_key, album_base, paren_strip, path_sanitise, id_from_url, page_title_scrape, html_entity_audit, repeated_lines, pii_scan, code_format_validation, marks_to_seconds, repeated_position, audit_union, more_sections, file_sections, media_sections, pair_verdicts, audio_verdicts)}
@@ -237,7 +254,7 @@ ORACLE_SQL = {
       cs as (select o_custkey, o_orderstatus, count(*) n from orders where o_orderstatus is not null group by all),
       ms as (select distinct 'a' || (o_custkey % 40) || '/f' || (o_custkey % 200) folder, 'x' || (cast(floor(o_custkey / 3) as bigint) % 70) id from orders where o_orderstatus <> 'F'), nm as (select *, case when id = 'x3' then id else upper(id) end as name from ms),
       jn as (select id, name, count(*) n, count(distinct string_split(folder, '/')[1]) artists, string_agg(folder, ' | ' order by folder) seen from nm group by id, name having count(*) > 1)
-      select 'many genres' section, 'fix' severity, artist as key, string_agg(g, ' ; ' order by g) detail from gs group by artist having count(*) > 3
+      select 'many genres' section, 'fix' severity, artist as key, string_agg(g, ' ; ' order by g) detail from gs group by artist having count(*) > 2
       union all select 'mixed covers', 'fix', cast(o_custkey as varchar), string_agg(o_orderstatus || '×' || n, ' / ' order by n desc, o_orderstatus) from cs group by o_custkey having count(*) > 1
       union all select 'split folder', 'fix', folder, string_agg(name, ' / ' order by name) from nm group by folder having count(*) > 1
       union all select case when artists < n then 'joined folders' else 'album of several artists' end, case when artists < n then 'fix' else 'info' end, name, seen from jn
