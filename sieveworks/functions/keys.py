@@ -242,15 +242,39 @@ def credit_keys(artist: Column, title: Column) -> Column:
     return F.array_distinct(F.transform(names, lambda a: F.struct(artist_key(a).alias("artist_key"), title_key(title).alias("title_key"))))
 
 
+def trimmed(text: Column) -> Column:
+    """``text`` without white space of any kind at its edges."""
+    return F.regexp_replace(text, f"^{BLANK}+|{BLANK}+$", "")
+
+
+def clean_title(text: Column) -> Column:
+    """A title to look up lyrics with: without what follows a dash, and without brackets."""
+    return trimmed(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+-\s+.*$", ""), r"\s*[(\[][^)\]]*[)\]]", ""))
+
+
+def resolved_path(folder: Column, path: Column) -> Column:
+    """``path`` as seen from ``folder``, without steps up or in place; an absolute one stays so."""
+    whole = F.when(path.startswith("/"), path).otherwise(F.concat_ws("/", folder, path))
+    up = lambda kept, rooted: F.when((F.size(kept) > 0) & (F.element_at(F.concat(F.array(F.lit("")), kept), -1) != ".."), F.slice(kept, F.lit(1), F.size(kept) - 1)).when(rooted, kept).otherwise(F.concat(kept, F.array(F.lit(".."))))
+    rooted = whole.startswith("/")
+    kept = F.aggregate(F.split(whole, "/"), F.array().cast("array<string>"), lambda kept, p: F.when(p.isin("", "."), kept).when(p == "..", up(kept, rooted)).otherwise(F.concat(kept, F.array(p))))
+    return F.concat(F.when(rooted, "/").otherwise(""), F.array_join(kept, "/"))
+
+
+def player_time(text: Column) -> Column:
+    """An ISO time as a player's database writes it."""
+    return F.concat(F.replace(F.replace(text, F.lit("T"), F.lit(" ")), F.lit("Z"), F.lit("")), F.lit(".000000000+00:00"))
+
+
 def clean_file(text: Column) -> Column:
     """A name that a file can have."""
-    out = F.trim(F.translate(F.coalesce(text, F.lit("")), '/\\:*?"<>|', "_" * 9))
+    out = trimmed(F.translate(F.coalesce(text, F.lit("")), '/\\:*?"<>|', "_" * 9))
     return F.when(out == "", "_").otherwise(out)
 
 
 def clean_dir(text: Column) -> Column:
     """As :func:`clean_file`, without dots and spaces at the end."""
-    out = F.regexp_replace(F.trim(F.translate(F.coalesce(text, F.lit("")), '/\\:*?"<>|', "_" * 9)), r"[. ]+$", "")
+    out = F.regexp_replace(trimmed(F.translate(F.coalesce(text, F.lit("")), '/\\:*?"<>|', "_" * 9)), r"[. ]+$", "")
     return F.when(out == "", "_").otherwise(out)
 
 

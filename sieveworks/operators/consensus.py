@@ -92,6 +92,18 @@ def survivors(df: DataFrame, by: Sequence[str], order: Sequence[Column], id_col:
     return df.select(*by, F.col(id_col).alias("dropped")).join(best, [*by]).where("dropped <> keeper").select(*by, "keeper", "n", "dropped")
 
 
+def verified_survivors(df: DataFrame, by: str, order: Sequence[Column], id_col: str, title: str, spread: Column, verified: DataFrame, most_spread: float = 3.0) -> tuple[DataFrame, DataFrame]:
+    """(:func:`survivors`, (by, n)): copies to set aside, and groups to look at instead.
+
+    Groups within the spread whose members differ in ``title`` are only taken where
+    ``verified`` (by) says that they are the same; the others are to be looked at.
+    """
+    facts = df.groupBy(by).agg(F.count("*").alias("n"), F.count_distinct(F.coalesce(title, F.lit(""))).alias("_titles"), (F.max(spread) - F.min(spread)).alias("_spread"))
+    facts = facts.where((F.col("n") > 1) & (F.col("_spread") <= most_spread)).join(verified.select(by, F.lit(True).alias("_known")).distinct(), by, "left")
+    same = (F.col("_titles") == 1) | F.coalesce("_known", F.lit(False))
+    return survivors(df.join(facts.where(same).select(by), by, "left_semi"), [by], order, id_col), facts.where(~same).select(by, "n")
+
+
 def conflicts(df: DataFrame, by: Sequence[str], differs: str, spread: Column, most_spread: float) -> DataFrame:
     """Groups within the spread whose members differ in ``differs``."""
     found = df.groupBy(*by).agg(F.count("*").alias("n"), F.countDistinct(differs).alias("kinds"), (F.max(spread) - F.min(spread)).alias("spread"))
@@ -111,9 +123,11 @@ def division(members: DataFrame, required: DataFrame, by: str, value: str) -> Da
     return have.groupBy(by).agg(F.count("*").alias("matched")).where(F.col("matched") == size)
 
 
-def best_cover(pairs: DataFrame, covers: DataFrame, by: str, id_col: str, area: str, most_bits: int = 20) -> DataFrame:
-    """The cover of each group: its largest where all pairs (distance ``bits``) look the same, else the largest of the most frequent ``look``."""
+def best_cover(pairs: DataFrame, covers: DataFrame, by: str, id_col: str, area: str, most_bits: int = 20, store: DataFrame | None = None) -> DataFrame:
+    """The cover of each group: its largest where all pairs (distance ``bits``) look the same, else that of ``store`` (by, cover; unique) if it has one, else the largest of the most frequent ``look``."""
     same = pairs.groupBy(by).agg(F.bool_and(F.col("bits") <= most_bits).alias("same"))
     looks = covers.groupBy(by, "look").agg(F.count("*").alias("n"), F.max_by(id_col, F.struct(F.col(area), -F.col(id_col))).alias("cover"), F.max(area).alias("area"))
     whole = looks.groupBy(by).agg(F.max_by("cover", F.struct("area", "n")).alias("largest"), F.max_by("cover", F.struct("n", "area")).alias("usual"))
-    return whole.join(same, by, "left").select(by, F.when(F.coalesce("same", F.lit(True)), F.col("largest")).otherwise(F.col("usual")).alias("cover"))
+    rows = whole.join(same, by, "left")
+    rows = rows.withColumn("_store", F.lit(None)) if store is None else rows.join(store.select(by, F.col("cover").alias("_store")), by, "left")
+    return rows.select(by, F.when(F.coalesce("same", F.lit(True)), F.col("largest")).otherwise(F.coalesce("_store", "usual")).alias("cover"))

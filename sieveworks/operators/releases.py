@@ -92,7 +92,7 @@ def number_by_edition(songs: DataFrame, editions: DataFrame, tracks: DataFrame,
     return choice, placed.join(choice.where("state = 'numbered'").select(folder, edition), [folder, edition]).select(folder, "song", "disc", "pos")
 
 
-def merge_editions(base: DataFrame, other: DataFrame, on: Sequence[str], album: str, id_col: str, length: str, near: float = 3.0, first_number: int = 900) -> DataFrame:
+def merge_editions(base: DataFrame, other: DataFrame, on: Sequence[str], album: str, id_col: str, length: str, near: float = 3.0, first_number: int = 900, number: str | None = None) -> DataFrame:
     """What becomes of every row of ``other`` when its album joins that of ``base``: (album, id, copy_of, number).
 
     copy_of is the id of the base row with the same key whose length is nearest and at most
@@ -105,7 +105,16 @@ def merge_editions(base: DataFrame, other: DataFrame, on: Sequence[str], album:
     rows = other.select(album, *on, id_col).join(copies, [album, id_col], "left")
     new = numbered(rows.where("copy_of is null").select(album, *on, id_col, "copy_of"), [album], [*on, id_col], "_place")
     old = rows.where("copy_of is not null").select(album, id_col, "copy_of", F.lit(None).cast("long").alias("number"))
-    return new.select(album, id_col, "copy_of", (first_number + F.col("_place")).alias("number")).unionByName(old)
+    if number is None:
+        return new.select(album, id_col, "copy_of", (first_number + F.col("_place")).alias("number")).unionByName(old)
+    taken = base.groupBy(album).agg(F.max(F.when(F.col(number) > first_number, F.col(number))).alias("_last"))
+    return new.join(taken, album, "left").select(album, id_col, "copy_of", (F.coalesce("_last", F.lit(first_number)) + F.col("_place")).alias("number")).unionByName(old)
+
+
+def merged_dates(base: DataFrame, other: DataFrame, album: str, date: str) -> DataFrame:
+    """(album, date, year): the earliest date of an album and of what joins it, and its year; null without any."""
+    both = base.select(album, date).unionByName(other.select(album, date))
+    return both.groupBy(album).agg(F.min(F.nullif(F.col(date), F.lit(""))).alias("date")).withColumn("year", F.left("date", F.lit(4)))
 
 
 def collected_album(tracks: DataFrame, works: DataFrame, folder: str, work: str, order: Sequence[str | Column], date: str, least: int = 3) -> DataFrame:

@@ -20,6 +20,21 @@ def dedupe_survivor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consensus.survivors(docs, ["key"], [-F.col("of_lang"), -F.col("n_chars")], "doc_id").select("keeper", "n", "dropped")
 
 
+def _copies(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    part = _t(spark, sf_dir, "part").withColumn("isrc", F.concat_ws("/", "p_brand", (F.col("p_size") % 20).cast("string")))
+    verified = part.where("p_partkey % 5 = 0").select("isrc").distinct()
+    return consensus.verified_survivors(part, "isrc", [-F.col("p_size"), F.length("p_name")], "p_partkey", "p_name", F.col("p_retailprice") % 4, verified)
+
+
+def verified_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of a brand and size class as copies: the largest stays, where their names are the same or the group was verified."""
+    return _copies(spark, sf_dir)[0].select("isrc", "keeper", "n", "dropped")
+
+
+def copies_to_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _copies(spark, sf_dir)[1]
+
+
 def dedupe_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts of one name and brand within 3 of each other in price that differ in type."""
     out = consensus.conflicts(_t(spark, sf_dir, "part"), ["p_name", "p_brand"], "p_type", F.col("p_retailprice"), 3.0)
@@ -102,10 +117,14 @@ def share_in_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("l_suppkey")), 6))
 
 
-QUERIES = {f.__name__: f for f in (dedupe_survivor, dedupe_conflicts, genre_two_votes, genre_choice, agreed_date, fixed_override_vote, consensus_date, majority_home, relational_division, album_mixed_values, best_cover, share_in_group)}
+QUERIES = {f.__name__: f for f in (dedupe_survivor, verified_survivors, copies_to_verify, dedupe_conflicts, genre_two_votes, genre_choice, agreed_date, fixed_override_vote, consensus_date, majority_home, relational_division, album_mixed_values, best_cover, share_in_group)}
 
 _V = "v as (select c_nationkey, c_mktsegment, count(*) n from customer where c_mktsegment is not null group by all)"
+_COPIES = """with p as (select p_brand || '/' || p_size % 20 as isrc, p_partkey, p_name, p_size, p_retailprice % 4 as s from part), g as (select isrc, count(*) as n, count(distinct p_name) as titles, bool_or(p_partkey % 5 = 0) as known, max(s) - min(s) as spread,
+  first(p_partkey order by p_size desc, length(p_name), p_partkey) as keeper from p group by 1 having count(*) > 1 and max(s) - min(s) <= 3)"""
 ORACLE_SQL = {
+    "verified_survivors": f"{_COPIES} select isrc, keeper, n, p_partkey as dropped from p join g using (isrc) where (titles = 1 or known) and p_partkey <> keeper",
+    "copies_to_verify": f"{_COPIES} select isrc, n from g where titles > 1 and not known",
     "dedupe_survivor": """with l as (select lang, count(*) of_lang from documents where text is not null group by 1), d as (select md5(text) key, doc_id, coalesce(of_lang, 0) of_lang, n_chars from documents left join l using (lang) where text is not null),
       g as (select key, first(doc_id order by of_lang desc, n_chars desc, doc_id) keeper, count(*) n from d group by 1 having count(*) > 1) select keeper, n, doc_id dropped from d join g using (key) where doc_id <> keeper""",
     "dedupe_conflicts": "select p_name, p_brand, count(*) n, count(distinct p_type) kinds, round(max(p_retailprice) - min(p_retailprice), 4) spread from part group by 1, 2 having count(*) > 1 and count(distinct p_type) > 1 and max(p_retailprice) - min(p_retailprice) <= 3",

@@ -71,12 +71,13 @@ def account_playlists(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("p.name").alias("playlist"), F.posexplode("p.items").alias("pos", "item")).select("playlist", "pos", F.col("item.track.trackUri").alias("uri"), F.col("item.track.artistName").alias("artist"), F.col("item.track.trackName").alias("title"))
 
 
-def m3u(spark: SparkSession, path: str) -> DataFrame:
-    """(playlist, title, pos, path): the entries of playlist files in order; ``#PLAYLIST:`` names one, other comments are skipped."""
+def m3u(spark: SparkSession, path: str, folder: str | None = None) -> DataFrame:
+    """(playlist, title, pos, path): the entries of playlist files in order; ``#PLAYLIST:`` names one, other comments are skipped. With ``folder``, in which the playlists lie, relative paths are resolved from there."""
     files = spark.read.text(path, wholetext=True).select("value", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("playlist"))
     title = F.nullif(F.trim(F.regexp_extract("value", r"(?m)^#PLAYLIST:(.*)$", 1)), F.lit(""))
     entries = F.filter(F.transform(F.split("value", "\r?\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("#"))
-    return files.select("playlist", title.alias("title"), F.posexplode(entries).alias("pos", "path"))
+    rows = files.select("playlist", title.alias("title"), F.posexplode(entries).alias("pos", "path"))
+    return rows if folder is None else rows.withColumn("path", keys.resolved_path(F.lit(folder), F.col("path")))
 
 
 def decisions(spark: SparkSession, path: str, columns: tuple[str, ...]) -> DataFrame:

@@ -110,3 +110,28 @@ def test_siblings_without_a_release_group(spark):
     official = spark.createDataFrame([("r", "Official"), ("q", "No")], "release string, artist string")
     names = spark.createDataFrame([("Official", "B")], "source_name string, library_name string")
     assert rows(releases.sibling_artists(df, official, names), "path", "old", "new") == [("p1", "A", "B"), ("p4", "C", "B"), ("pa", "F", "E"), ("pb", "", "E")]
+
+
+def test_paths_titles_and_times(spark):
+    from sieveworks.functions import keys
+
+    df = spark.createDataFrame([("/m/lists", "../A/b.flac"), ("/m/lists", "./x/../y"), ("/m", "../../../z"), ("m/l", "../../../z"), ("/m", "/abs//q/."), ("m", "a/..")], "d string, p string")
+    assert [r[0] for r in df.select(keys.resolved_path(F.col("d"), F.col("p"))).collect()] == ["/m/A/b.flac", "/m/lists/y", "/z", "../z", "/abs/q", "m"]
+    df = spark.createDataFrame([("One - Live (x)",), (" Two (feat. A) [b] ",), (None,), (" a\tb　",)], "t string")
+    assert [r[0] for r in df.select(keys.clean_title(F.col("t"))).collect()] == ["One", "Two", "", "a\tb"]
+    assert [r[0] for r in df.select(keys.clean_dir(F.col("t"))).collect()][3] == "a\tb"
+    assert spark.range(1).select(keys.player_time(F.lit("2025-08-20T12:00:00Z"))).first()[0] == "2025-08-20 12:00:00.000000000+00:00"
+
+
+def test_merged_numbers_and_dates_and_store_covers(spark):
+    from sieveworks.operators import consensus
+
+    base = spark.createDataFrame([("al", "k1", 1, 100.0, 1, "2001-05"), ("al", "k9", 2, 50.0, 903, ""), ("b", "k", 3, 1.0, 2, None)], "album string, key string, id int, len double, n int, date string")
+    other = spark.createDataFrame([("al", "k1", 10, 101.0, 0, "1999"), ("al", "k2", 11, 9.0, 0, "2000"), ("b", "z", 12, 9.0, 0, None)], base.schema)
+    got = releases.merge_editions(base, other, ["key"], "album", "id", "len", number="n")
+    assert rows(got) == [("al", 10, 1, None), ("al", 11, None, 904), ("b", 12, None, 901)]
+    assert rows(releases.merged_dates(base, other, "album", "date")) == [("al", "1999", "1999"), ("b", None, None)]
+    pairs = spark.createDataFrame([("d", 3), ("e", 99), ("f", 99)], "by string, bits int")
+    covers = spark.createDataFrame([(d, i, a, look) for d in "def" for i, a, look in ((1, 10, "x"), (2, 30, "y"), (3, 20, "x"))], "by string, id int, area int, look string")
+    store = spark.createDataFrame([("d", 77), ("e", 78)], "by string, cover int")
+    assert rows(consensus.best_cover(pairs, covers, "by", "id", "area", store=store)) == [("d", 2), ("e", 78), ("f", 3)]
