@@ -4,10 +4,12 @@ Every run starts from one path. A path splits the texts that reached it: each te
 follows the shingles whose hash, seeded by the path, falls below ``branching / size``,
 so that two texts with most shingles in common follow a common one with high
 probability. A path that few texts reach is a bucket and is compared by brute force; a
-path that many reach splits again. Where most texts of a path have the same smallest
-shingle under most of several other seeds they are alike, and splitting them on would only
-repeat them: their path becomes a bucket at once, and is compared in blocks. Texts that
-only share a passage aren't, and split on. As many runs are made as the target recall needs.
+path that many reach splits again. How much the texts of a path share is estimated by how
+many have the same smallest shingle under other seeds. A share over 1 / ``branching``
+means that more than one of the paths that they split into would hold nearly all of them
+again, without end: their path becomes a bucket at once, and is compared in blocks. Texts
+that share less, such as a header, split on and come apart. As many runs are made as the
+target recall needs.
 """
 
 from __future__ import annotations
@@ -34,8 +36,8 @@ from sieveworks.sources.storage import forget, written
 BUCKET_TEXTS, BLOCK_SHINGLES, BLOCK_TEXTS = 64, 400_000, 2048
 #: Paths stop splitting at this depth; what is still large then is compared in blocks.
 MOST_DEPTH = 12
-#: Other seeds by which a large path is judged, and the mean share of texts with the same smallest shingle from which they are alike: about the shingles that each shares with most others, 0.89 at a similarity of 0.8.
-PROBES, ALIKE = 16, 0.7
+#: Other seeds by which a large path is judged.
+PROBES = 16
 #: Counts of smallest shingles that a task holds before it gives them away.
 _PROBED = 200_000
 
@@ -233,7 +235,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         split = written(split.distinct())
         same = split.where("task > 0").groupBy("parent", F.col("size").alias("probe"), "path").agg(F.sum("id").alias("n")).groupBy("parent", "probe").agg(F.max("n").alias("n"))
         means = same.groupBy(F.col("parent").alias("path")).agg((F.sum("n") / PROBES).alias("mean"))
-        alike = written(large.select("path", "texts").distinct().join(means, "path").where(F.col("mean") >= ALIKE * F.col("texts")).select("path"))
+        alike = written(large.select("path", "texts").distinct().join(means, "path").where(F.col("mean") * branching >= F.col("texts")).select("path"))
         whole.append(large.join(alike, "path", "left_semi"))
         apart = split.where("task = 0").join(alike.withColumnRenamed("path", "parent"), "parent", "left_anti").select("id", "size", "path")
         children = written(apart.join(distinct_buckets(apart, BUCKET_TEXTS), "path"))
