@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sieveworks.functions import tolerance
@@ -21,15 +22,32 @@ def choose_edition(songs: DataFrame, editions: DataFrame, folder: str, song: str
 
     Of the editions that fit, the first by ``order`` and by name is taken; ``fits`` counts
     them, and ambiguous says that they put the songs in different places. A song that an
-    edition repeats has its first place.
+    edition repeats has its first place. Folders of the same songs are looked up once. An
+    edition that fits holds the folder's rarest song: the editions of that song are
+    looked up for the next rarest one, and only those that have both for the rest.
     """
-    songs = songs.select(folder, song).where(F.col(song).isNotNull()).distinct()
-    sizes = songs.groupBy(folder).agg(F.count("*").alias("_size"))
-    tracks = editions.groupBy(edition, song).agg(F.min(place).alias("_place"), *(F.min(c).alias(c) for c in order))
-    fits = songs.join(tracks, song).groupBy(folder, edition).agg(F.count("*").alias("_n"), F.md5(F.to_json(F.array_sort(F.collect_list(F.struct(song, "_place"))))).alias("_places"), *(F.min(c).alias(c) for c in order))
-    fits = fits.join(sizes, folder).where("_n = _size")
-    best = F.min_by(edition, F.struct(*order, edition)).alias(edition)
-    return fits.groupBy(folder).agg(best, F.count("*").alias("fits"), (F.count_distinct("_places") > 1).alias("ambiguous"))
+    songs = songs.select(folder, song).where(F.col(folder).isNotNull() & F.col(song).isNotNull()).distinct()
+    tracks = written(editions.where(F.col(song).isNotNull()).groupBy(F.col(edition).alias("_edition"), song).agg(F.min(place).alias("_place"), *(F.min(c).alias(c) for c in order)))
+    sets = songs.groupBy(folder).agg(F.md5(F.to_json(F.array_sort(F.collect_list(song)))).alias("_set"))
+    named = written(sets.join(sets.groupBy("_set").agg(F.min(folder).alias("_first")), "_set").select(folder, "_first"))
+    asked = songs.join(named.where(F.col(folder) == F.col("_first")).select(folder), folder, "left_semi").withColumnRenamed(folder, "_first")
+    known = asked.join(tracks.groupBy(song).agg(F.count("*").alias("_in")), song, "left")
+    rare = W.partitionBy("_first").orderBy(F.coalesce("_in", F.lit(0)), song)
+    ranked = written(known.select("_first", song, F.row_number().over(rare).alias("_at"), F.lead(song).over(rare).alias("_next"), F.count("*").over(W.partitionBy("_first")).cast("int").alias("_size")))
+    held = tracks.select(F.col("_edition").alias("_held"), song)
+    both = F.col("_edition").eqNullSafe(F.col("_held"))
+
+    one = ranked.where("_at = 1").join(tracks.select("_edition", song), song).select("_first", "_size", "_edition", "_next")
+    two = written(one.where("_size > 1").join(held.withColumnRenamed(song, "_next_held"), both & (F.col("_next") == F.col("_next_held")), "left_semi").select("_first", "_size", "_edition"))
+    rest = two.where("_size > 2").join(ranked.where("_at > 2").select("_first", F.col(song).alias("_song")), "_first")
+    rest = rest.join(held, both & (F.col("_song") == F.col(song))).groupBy("_first", "_size", "_edition").agg(F.count("*").alias("_n")).where("_n = _size - 2")
+    fits = one.where("_size = 1").select("_first", "_edition").unionByName(two.where("_size = 2").select("_first", "_edition")).unionByName(rest.select("_first", "_edition"))
+
+    placed = fits.join(ranked.select("_first", F.col(song).alias("_song")), "_first").withColumnRenamed("_edition", "_held").join(tracks, both & (F.col("_song") == F.col(song)))
+    placed = placed.groupBy("_first", "_edition").agg(F.md5(F.to_json(F.array_sort(F.collect_list(F.struct(song, "_place"))))).alias("_places"), *(F.min(c).alias(c) for c in order))
+    best = F.min_by("_edition", F.struct(*order, "_edition")).alias(edition)
+    chosen = placed.groupBy("_first").agg(best, F.count("*").alias("fits"), (F.count_distinct("_places") > 1).alias("ambiguous"))
+    return named.join(chosen, "_first").select(folder, edition, "fits", "ambiguous")
 
 
 def edition_candidates(songs: DataFrame, editions: DataFrame, tracks: DataFrame, folder: str, edition: str) -> DataFrame:
