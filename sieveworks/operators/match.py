@@ -349,6 +349,29 @@ def nearest_store(pairs: DataFrame, song: str, store_rank: str, difference: str,
     return pairs.groupBy(song).agg(F.min_by(candidate, F.struct(F.col(store_rank), F.col(difference), F.col(candidate))).alias(candidate))
 
 
+def nearest_by(base: DataFrame, asked: DataFrame, on: Sequence[str], value: str, id_col: str, near: float) -> DataFrame:
+    """(on, value, _near, _away): for the keys and values of ``asked`` the id of the ``base`` row with the same keys whose value is nearest and at most ``near`` away, ties by id.
+
+    Equal values count once. Values are cut into bands; each band has its own values and
+    the last one of either neighbour, and one sweep up and one down give every value asked
+    for its neighbours, so no pairs are made.
+    """
+    width = 2.0 * near if near > 0 else 1.0
+    band = F.floor(F.col(value).cast("double") / width)
+    finite = F.abs(F.col(value).cast("double")) < float("inf")
+    known = base.where(finite).groupBy(*on, value).agg(F.min(id_col).alias("_id")).select(*on, band.alias("_band"), F.struct(F.col(value).alias("value"), F.col("_id").alias("id")).alias("_known"))
+    ends = known.groupBy(*on, "_band").agg(F.min("_known").alias("_low"), F.max("_known").alias("_high"))
+    edges = ends.select(*on, F.explode(F.array(F.struct((F.col("_band") - 1).alias("_band"), F.col("_low").alias("_known")), F.struct((F.col("_band") + 1).alias("_band"), F.col("_high").alias("_known")))).alias("_edge")).select(*on, "_edge.*")
+    wanted = asked.where(finite).select(*on, value).distinct().withColumn("_band", band)
+    rows = known.unionByName(edges).withColumn(value, F.col("_known.value")).unionByName(wanted, allowMissingColumns=True)
+    here, asks = W.partitionBy(*on, "_band"), F.col("_known").isNull()
+    last = lambda order: F.last("_known", ignorenulls=True).over(here.orderBy(order, asks).rowsBetween(W.unboundedPreceding, W.currentRow))
+    rows = rows.withColumn("_below", last(F.asc(value))).withColumn("_above", last(F.desc(value))).where(asks)
+    away = lambda side: F.struct(F.abs(F.col(value) - F.col(f"{side}.value")).alias("away"), F.col(f"{side}.id").alias("id"))
+    best = F.array_min(F.filter(F.array(away("_below"), away("_above")), lambda x: x["away"] <= near))
+    return rows.select(*on, value, best["id"].alias("_near"), best["away"].alias("_away")).where("_away is not null")
+
+
 def names_containing(needles: DataFrame, names: DataFrame) -> DataFrame:
     """(needle, name): the names that hold each needle as a substring.
 

@@ -117,9 +117,8 @@ def merge_editions(base: DataFrame, other: DataFrame, on: Sequence[str], album:
     ``near`` away. A row without one is new to the album and gets the next number above
     ``first_number``, in the order of its key and id.
     """
-    known = base.select(album, *on, F.col(id_col).alias("_id"), F.col(length).alias("_length"))
-    away = F.abs(F.col(length) - F.col("_length"))
-    copies = other.join(known, [album, *on]).where(away <= near).groupBy(album, id_col).agg(F.min_by("_id", F.struct(away, F.col("_id"))).alias("copy_of"))
+    nearest = match.nearest_by(base, other, [album, *on], length, id_col, near)
+    copies = other.join(nearest, [album, *on, length]).groupBy(album, id_col).agg(F.min_by("_near", F.struct("_away", "_near")).alias("copy_of"))
     rows = other.select(album, *on, id_col).join(copies, [album, id_col], "left")
     new = numbered(rows.where("copy_of is null").select(album, *on, id_col, "copy_of"), [album], [*on, id_col], "_place")
     old = rows.where("copy_of is not null").select(album, id_col, "copy_of", F.lit(None).cast("long").alias("number"))

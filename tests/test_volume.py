@@ -37,3 +37,23 @@ def test_editions_of_common_songs(spark):
             want.append((f, min(fits, key=lambda e: (str(e % 7), e)), len(fits), len({tuple((e * s) % 3 for s in sorted(songs)) for e in fits}) > 1))
     assert got == sorted(want)
     assert n < 30_000  # 300 x 400 pairs of folders and editions share song 0
+
+
+def test_nearest_of_one_large_group(spark):
+    """Bases and values asked for, all in one album, against looking through all."""
+    draw = random.Random(6)
+    base = [("a", "x", i, draw.randrange(40_000) / 8) for i in range(800)] + [("a", None, 900, 1.0), ("b", "x", 901, None)]
+    other = [("a", "x", 2000 + i, draw.choice((draw.randrange(40_000) / 8, draw.choice(base[:800])[3], 90_000.0 + i))) for i in range(600)] + [("a", None, 3000, 1.0), ("b", "x", 3001, 2.0), ("a", "x", 3002, None)]
+    kind = "album string, key string, id int, len double"
+    frames = [spark.createDataFrame(x, kind) for x in (base, other)]
+    for near in (3.0, 0.0, 40.0):
+        got, n = moved(spark, lambda: {r["id"]: r["copy_of"] for r in releases.merge_editions(*frames, ["key"], "album", "id", "len", near).collect()})
+        want = {}
+        for album, key, i, length in other:
+            fits = [(abs(length - x), j) for a, k, j, x in base if (a, k) == (album, key) and key and None not in (x, length) and abs(length - x) <= near]
+            want[i] = min(fits)[1] if fits else None
+        assert got == want
+    plan = releases.merge_editions(*frames, ["key"], "album", "id", "len", 40.0)
+    assert plan.count() == len(other)
+    reached, n = moved(spark, lambda: match.nearest_by(*frames, ["album", "key"], "len", "id", 1e9).count())
+    assert reached == len({x[3] for x in other[:600]}) and n < 10_000
