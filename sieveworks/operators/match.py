@@ -359,6 +359,7 @@ def nearest_by(base: DataFrame, asked: DataFrame, on: Sequence[str], value: str,
     width = 2.0 * near if near > 0 else 1.0
     band = F.floor(F.col(value).cast("double") / width)
     finite = F.abs(F.col(value).cast("double")) < float("inf")
+    base, asked = base.dropna(subset=[*on]), asked.dropna(subset=[*on])
     known = base.where(finite).groupBy(*on, value).agg(F.min(id_col).alias("_id")).select(*on, band.alias("_band"), F.struct(F.col(value).alias("value"), F.col("_id").alias("id")).alias("_known"))
     ends = known.groupBy(*on, "_band").agg(F.min("_known").alias("_low"), F.max("_known").alias("_high"))
     edges = ends.select(*on, F.explode(F.array(F.struct((F.col("_band") - 1).alias("_band"), F.col("_low").alias("_known")), F.struct((F.col("_band") + 1).alias("_band"), F.col("_high").alias("_known")))).alias("_edge")).select(*on, "_edge.*")
@@ -402,27 +403,36 @@ def shop_matches(songs: DataFrame, offers: DataFrame, looser: Sequence[int] = ()
     duration at most 3 s or 1 % away, the nearest of its offers, ties by offer: state ok.
     Without a duration the first shop with the title counts: state review. Else, in the
     ``looser`` shops before any such one, an offer whose title begins with the song's base
-    title, at most 1 s away: state review title. Else none.
+    title, at most 1 s away: state review title. Else none. Songs that ask for the same
+    are looked up once, among the first of offers that are alike.
     """
     first = keys.artist_key(F.split(F.coalesce("artist", F.lit("")), r",\s*")[0])
     base = keys.store_base_title(F.col("title"))
     asked = songs.select("song", keys.store_artists(F.col("artist")).alias("_all"), first.alias("_first"), keys.title_key(F.col("title")).alias("_title"), base.alias("_base"), F.nullif(F.col("seconds").cast("double"), F.lit(0.0)).alias("_seconds"))
+    what = ["_all", "_first", "_title", "_base", "_seconds"]
+    asked = written(asked.withColumn("_ask", F.md5(F.to_json(F.struct(*what)))))
+    asks = asked.groupBy("_ask").agg(*(F.first(c).alias(c) for c in what))
     shops = offers.select("offer", "store", F.array_distinct(F.transform("artists", lambda a: keys.artist_key(a))).alias("_names"), keys.title_key(F.col("title")).alias("_title"), keys.letters(F.lower("title")).alias("_whole"), F.coalesce("seconds", F.lit(0.0)).alias("seconds"))
-    shops = shops.select("*", F.explode("_names").alias("_name")).drop("_names")
-    by_key = asked.select("song", F.explode("_all").alias("_name"))
-    inside = names_containing(asked.select("_first"), shops.select("_name")).select(F.col("needle").alias("_first"), F.col("name").alias("_name"))
-    artists = by_key.unionByName(asked.select("song", "_first").join(inside, "_first").select("song", "_name")).distinct()
-    known = asked.join(artists, "song").drop("_all", "_first")
+    # of offers that are equal in all that counts only the first can be taken
+    shops = written(shops.select("*", F.explode("_names").alias("_name")).groupBy("_name", "_title", "_whole", "store", "seconds").agg(F.min("offer").alias("offer")))
+    by_key = asks.select("_ask", F.explode("_all").alias("_name"))
+    inside = names_containing(asks.select("_first"), shops.select("_name")).select(F.col("needle").alias("_first"), F.col("name").alias("_name"))
+    artists = by_key.unionByName(asks.select("_ask", "_first").join(inside, "_first").select("_ask", "_name")).distinct()
+    known = asks.join(artists, "_ask").drop("_all", "_first")
     off = F.abs(F.col("seconds") - F.col("_seconds"))
-    fits = known.join(shops, ["_name", "_title"]).where(F.col("_seconds").isNull() | ~tolerance.other_version(F.col("seconds"), F.col("_seconds")))
-    ok = fits.groupBy("song").agg(F.min(F.struct(F.lit(0).alias("late"), "store", F.coalesce(off, F.lit(0.0)).alias("off"), "offer")).alias("best"), F.first(F.when(F.col("_seconds").isNull(), "review").otherwise("ok")).alias("state"))
+    same = shops.groupBy("_name", "_title", "store", "seconds").agg(F.min("offer").alias("offer"))
+    unsure = same.groupBy("_name", "_title").agg(F.min(F.struct("store", "offer")).alias("least"))
+    review = known.where("_seconds is null").join(unsure, ["_name", "_title"]).groupBy("_ask").agg(F.min(F.struct(F.lit(0).alias("late"), "least.store", F.lit(0.0).alias("off"), "least.offer")).alias("best")).withColumn("state", F.lit("review"))
+    banded = known.where("_seconds is not null").withColumn("_band", F.explode(F.sequence(tolerance.band(F.col("_seconds")) - 1, tolerance.band(F.col("_seconds")) + 1)))
+    fits = banded.join(same.withColumn("_band", tolerance.band(F.col("seconds"))), ["_name", "_title", "_band"]).where(~tolerance.other_version(F.col("seconds"), F.col("_seconds")))
+    ok = fits.groupBy("_ask").agg(F.min(F.struct(F.lit(0).alias("late"), "store", off.alias("off"), "offer")).alias("best")).withColumn("state", F.lit("ok"))
     # seconds at most 1 apart fall into the same whole second or the next
-    whole = shops.where(F.col("store").isin(*looser)).select("offer", "store", "_name", "_whole", "seconds", F.floor("seconds").alias("_second"))
+    begun = shops.where(F.col("store").isin(*looser)).groupBy("_name", "_whole", "store", "seconds").agg(F.min("offer").alias("offer")).withColumn("_second", F.floor("seconds"))
     near = known.where("_seconds is not null and _base <> ''").withColumn("_second", F.explode(F.sequence(F.floor(F.col("_seconds")) - 1, F.floor(F.col("_seconds")) + 1)))
-    loose = near.join(whole, ["_name", "_second"]).where(F.col("_whole").startswith(F.col("_base")) & (off <= 1))
-    review = loose.groupBy("song").agg(F.min(F.struct(F.lit(1).alias("late"), "store", off.alias("off"), "offer")).alias("best")).withColumn("state", F.lit("review title"))
-    best = ok.unionByName(review).groupBy("song").agg(F.min_by(F.struct("best", "state"), "best").alias("b"))
-    return songs.select("song").join(best, "song", "left").select("song", F.col("b.best.offer").alias("offer"), F.col("b.best.store").alias("store"), F.coalesce("b.state", F.lit("none")).alias("state"), F.col("b.best.off").alias("seconds_off"))
+    loose = near.join(begun, ["_name", "_second"]).where(F.col("_whole").startswith(F.col("_base")) & (off <= 1))
+    later = loose.groupBy("_ask").agg(F.min(F.struct(F.lit(1).alias("late"), "store", off.alias("off"), "offer")).alias("best")).withColumn("state", F.lit("review title"))
+    best = ok.unionByName(review).unionByName(later).groupBy("_ask").agg(F.min_by(F.struct("best", "state"), "best").alias("b"))
+    return asked.select("song", "_ask").join(best, "_ask", "left").select("song", F.col("b.best.offer").alias("offer"), F.col("b.best.store").alias("store"), F.coalesce("b.state", F.lit("none")).alias("state"), F.col("b.best.off").alias("seconds_off"))
 
 
 def look_alikes(df: DataFrame, id_col: str, words: str, most_bits: int = 20, bits: int = 256, width: int = 32) -> tuple[DataFrame, DataFrame]:

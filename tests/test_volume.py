@@ -22,6 +22,35 @@ def moved(spark, job):
     return out, records() - before
 
 
+def joined(spark, job):
+    """What ``job`` gives, and how many rows came out of its joins."""
+    store = spark._jsparkSession.sharedState().statusStore()
+
+    def rows(seen):
+        total, runs = 0, store.executionsList()
+        for i in range(runs.size()):
+            run = runs.apply(i).executionId()
+            if run in seen:
+                continue
+            seen.add(run)
+            values, nodes = store.executionMetrics(run), store.planGraph(run).allNodes()
+            for k in range(nodes.size()):
+                node = nodes.apply(k)
+                if "Join" in node.name():
+                    metrics = node.metrics()
+                    names = [metrics.apply(j) for j in range(metrics.size())]
+                    found = [values.get(m.accumulatorId()) for m in names if m.name() == "number of output rows"]
+                    total += sum(int(f.get().replace(",", "")) for f in found if f.isDefined())
+        return total
+
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    seen = set()
+    rows(seen)
+    out = job()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    return out, rows(seen)
+
+
 def test_editions_of_common_songs(spark):
     """Song 0 is in every edition and folder, and half of the folders hold nothing else."""
     draw = random.Random(5)
@@ -47,13 +76,36 @@ def test_nearest_of_one_large_group(spark):
     kind = "album string, key string, id int, len double"
     frames = [spark.createDataFrame(x, kind) for x in (base, other)]
     for near in (3.0, 0.0, 40.0):
-        got, n = moved(spark, lambda: {r["id"]: r["copy_of"] for r in releases.merge_editions(*frames, ["key"], "album", "id", "len", near).collect()})
+        got, n = joined(spark, lambda: {r["id"]: r["copy_of"] for r in releases.merge_editions(*frames, ["key"], "album", "id", "len", near).collect()})
         want = {}
         for album, key, i, length in other:
             fits = [(abs(length - x), j) for a, k, j, x in base if (a, k) == (album, key) and key and None not in (x, length) and abs(length - x) <= near]
             want[i] = min(fits)[1] if fits else None
         assert got == want
+        assert n < 5_000  # 800 x 600 pairs of one album
     plan = releases.merge_editions(*frames, ["key"], "album", "id", "len", 40.0)
     assert plan.count() == len(other)
     reached, n = moved(spark, lambda: match.nearest_by(*frames, ["album", "key"], "len", "id", 1e9).count())
     assert reached == len({x[3] for x in other[:600]}) and n < 10_000
+
+
+def test_songs_and_offers_that_repeat(spark):
+    """Many songs and offers under one artist and title, of few durations."""
+    songs = spark.createDataFrame([(i, "Art", "Song", None if i % 6 == 0 else 100.0 + i % 9) for i in range(900)], "song int, artist string, title string, seconds double")
+    offers = spark.createDataFrame([(i, i % 3, ["Art"], "Song" if i % 4 else "Song More", 104.0 + i % 12) for i in range(900)], "offer int, store int, artists array<string>, title string, seconds double")
+    got, n = joined(spark, lambda: {r["song"]: tuple(r)[1:] for r in match.shop_matches(songs, offers, [1, 2]).collect()})
+    listed = [(i % 3, 104.0 + i % 12, i) for i in range(900) if i % 4]
+    whole = [(i % 3, 104.0 + i % 12, i) for i in range(900)]
+    want = {}
+    for i in range(900):
+        length = 100.0 + i % 9
+        if i % 6 == 0:
+            store, _, offer = min((s, 0.0, o) for s, _, o in listed)
+            want[i] = (offer, store, "review", 0.0)
+            continue
+        fits = [(0, s, abs(x - length), o) for s, x, o in listed if abs(x - length) <= 3]
+        fits += [(1, s, abs(x - length), o) for s, x, o in whole if s in (1, 2) and abs(x - length) <= 1]
+        late, store, off, offer = min(fits) if fits else (None,) * 4
+        want[i] = (offer, store, ("ok", "review title")[late] if fits else "none", off)
+    assert got == want
+    assert n < 60_000  # 900 x 900 pairs share artist and title
