@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import math
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -440,32 +441,50 @@ def look_alikes(df: DataFrame, id_col: str, words: str, most_bits: int = 20, bit
 
     ``words`` is an array of ``width``-bit words, ``bits`` in all. Rows with equal words
     have one look, numbered by their smallest id, so copies aren't paired. The bits are cut
-    into ``most_bits`` + 1 parts, of which looks so near have one in common: they meet by
-    number and value of a part, are compared in the first part that they share, and all
-    bits are counted. Rows without words have no look.
+    into ``most_bits`` + k parts, of which looks so near have k in common: they meet by
+    every choice of k parts, and a pair counts where these are the first k that it shares.
+    The more looks there are, the larger is k (:func:`_shared_parts`), so that chance
+    meetings don't grow with the square. Rows without words have no look.
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(words).alias("w")).where("size(w) > 0")
     looks = written(rows.groupBy("w").agg(F.min("id").alias("look")))
-    n = most_bits + 1
+    common = _shared_parts(looks.count(), most_bits, bits)
+    n, count = most_bits + common, -(-bits // width)
     cuts = [bits * i // n for i in range(n + 1)]
 
-    def part(a: int, b: int) -> Column:
+    def part(values: Sequence[Column], a: int, b: int) -> Column:
         value = F.lit(0).cast("long")
         for word in range(a // width, (b - 1) // width + 1):
             low, high = max(a, word * width), min(b, (word + 1) * width)
-            taken = F.shiftrightunsigned(F.get("w", F.lit(word)), low - word * width).bitwiseAND(F.lit((1 << (high - low)) - 1).cast("long"))
+            taken = F.shiftrightunsigned(values[word], low - word * width).bitwiseAND(F.lit((1 << (high - low)) - 1).cast("long"))
             value = value.bitwiseOR(F.shiftleft(taken, low - a))
         return value
 
-    cut = looks.select("look", "w", F.array(*(part(a, b) for a, b in zip(cuts, cuts[1:]))).alias("parts"))
-    each = cut.select("look", "w", "parts", F.posexplode("parts").alias("at", "value"))
-    other = each.select(F.col("look").alias("b"), F.col("w").alias("w_b"), F.col("parts").alias("parts_b"), "at", "value")
-    pairs = each.withColumnRenamed("look", "a").join(other, ["at", "value"]).where("a < b")
-    first = F.array_position(F.zip_with("parts", "parts_b", lambda x, y: x == y), True) == F.col("at") + 1
-    found = pairs.where(first).select("a", "b", similarity.hamming_words(F.col("w"), F.col("w_b")).cast("long").alias("bits")).where(F.col("bits") <= most_bits)
+    left, right = [f"a{i}" for i in range(count)], [f"b{i}" for i in range(count)]
+    flat = looks.select("look", *(F.get("w", F.lit(i)).cast("long").alias(c) for i, c in enumerate(left)))
+    cut = flat.select("*", F.array(*(part([F.col(c) for c in left], a, b) for a, b in zip(cuts, cuts[1:]))).alias("parts"))
+    choices = list(itertools.combinations(range(n), common))
+    keyed = F.array(*(F.struct(F.lit(",".join(map(str, c))).alias("at"), F.xxhash64(F.lit(i), *(F.col("parts")[j] for j in c)).alias("key")) for i, c in enumerate(choices)))
+    each = cut.select("look", *left, F.explode(keyed).alias("k")).select("look", *left, "k.at", "k.key")
+    other = each.select(F.col("look").alias("b"), *(F.col(c).alias(d) for c, d in zip(left, right)), "key")
+    off = [F.col(c).bitwiseXOR(F.col(d)) for c, d in zip(left, right)]
+    apart = functools.reduce(Column.__add__, map(F.bit_count, off))
+    pairs = each.withColumnRenamed("look", "a").join(other, "key").where((F.col("a") < F.col("b")) & (apart <= most_bits))
+    shared = F.array_compact(F.array(*(F.when(part(off, a, b) == 0, F.lit(str(j))) for j, (a, b) in enumerate(zip(cuts, cuts[1:])))))
+    found = pairs.where(F.array_join(F.slice(shared, 1, common), ",") == F.col("at")).select("a", "b", apart.cast("long").alias("bits"))
     return rows.join(looks, "w").select("id", "look"), found
 
 
+def _shared_parts(looks: int, most_bits: int, bits: int, row_cost: int = 30) -> int:
+    """How many parts looks should meet by: the number with the least work, a row of a table counting as ``row_cost`` pairs."""
+
+    def work(k: int) -> float:
+        keys = math.comb(most_bits + k, k)
+        return keys * looks * (row_cost + looks / 2 ** (1 + bits * k / (most_bits + k)))
+
+    return min((k for k in range(1, 6) if k == 1 or (most_bits + k <= bits and math.comb(most_bits + k, k) <= 2000)), key=work)
+
+
 #: What speaks for a candidate, from the first: its record is at hand, its ISRC fits, its print is known, how far titles agree, how far durations differ.
 EVIDENCE = ("record", "isrc", "print", "level", "seconds_off")
 

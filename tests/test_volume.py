@@ -109,3 +109,21 @@ def test_songs_and_offers_that_repeat(spark):
         want[i] = (offer, store, ("ok", "review title")[late] if fits else "none", off)
     assert got == want
     assert n < 60_000  # 900 x 900 pairs share artist and title
+
+
+def test_looks_that_meet_by_chance(spark):
+    """Looks without any likeness, and some near ones: meetings by chance stay rare."""
+    draw = random.Random(7)
+    looks = [draw.getrandbits(64) for _ in range(12_000)]
+    near = [x ^ sum(1 << k for k in draw.sample(range(64), draw.randrange(1, 6))) for x in looks[:300]]
+    df = spark.createDataFrame([(i, [x & 0xFFFFFFFF, x >> 32]) for i, x in enumerate(looks + near)], "id int, w array<long>")
+    got, n = joined(spark, lambda: {(r["a"], r["b"]): r["bits"] for r in match.look_alikes(df, "id", "w", 5, 64)[1].collect()})
+    want = {(i, 12_000 + i): (x ^ near[i]).bit_count() for i, x in enumerate(looks[:300])}
+    assert {k: v for k, v in got.items() if k in want} == want
+    assert all(v <= 5 and (looks + near)[a] ^ (looks + near)[b] for (a, b), v in got.items())
+    assert n < 100_000  # about 300,000 pairs share one of six parts
+
+
+def test_shared_parts():
+    assert [match._shared_parts(n, 5, 64) for n in (1, 1000, 10**6, 10**8)] == [1, 1, 2, 3]
+    assert match._shared_parts(10**5, 5, 6) == 1 and match._shared_parts(10**9, 0, 8) >= 1
