@@ -285,14 +285,15 @@ def greedy_pairs(pairs: DataFrame, group: Sequence[str], left: str, right: str,
     place = F.struct(*order, *(c for c in (left, right) if c not in order))
     now, chosen, parts = written(pairs.select(*columns).dropna(subset=[*group, left, right])), [], list(group)
     for n in itertools.count(1):
-        sizes = now.groupBy(*parts).agg(F.count("*").alias("_n"))
-        small = now.join(sizes.where(F.col("_n") <= task_pairs).drop("_n"), parts, "left_semi") if parts else now.where(F.lit(now.count() <= task_pairs))
-        chosen.append(written(_in_order(small, parts, left, right, order).select(*columns)))
-        rest = written(now.join(sizes.where(F.col("_n") > task_pairs).drop("_n"), parts, "left_semi") if parts else now.where(F.lit(now.count() > task_pairs)))
-        forget(now)
-        if rest.isEmpty():
-            forget(rest)
+        large = _large(now, parts, task_pairs)
+        if large.isEmpty():
+            chosen.append(written(_in_order(now, parts, left, right, order).select(*columns)))
+            forget(now, large)
             break
+        small = now.join(large, parts, "left_anti") if parts else now.limit(0)
+        chosen.append(written(_in_order(small, parts, left, right, order).select(*columns)))
+        rest = written(now.join(large, parts, "left_semi") if parts else now)
+        forget(now, large)
         first = {side: rest.groupBy(*parts, side).agg(F.min(place).alias(f"_{side}")) for side in (left, right)}
         best = rest.join(first[left], [*parts, left]).join(first[right], [*parts, right]).where((place == F.col(f"_{left}")) & (place == F.col(f"_{right}")))
         taken = written(best.select(*rest.columns).distinct())
@@ -314,6 +315,12 @@ def greedy_pairs(pairs: DataFrame, group: Sequence[str], left: str, right: str,
     return functools.reduce(DataFrame.unionByName, chosen)
 
 
+def _large(pairs: DataFrame, group: Sequence[str], task_pairs: int) -> DataFrame:
+    """The groups of more pairs than that: few, as a rule none."""
+    sizes = pairs.groupBy(*group).agg(F.count("*").alias("_n")).where(F.col("_n") > task_pairs)
+    return written(sizes.select(*group) if group else sizes)
+
+
 def _in_order(pairs: DataFrame, group: Sequence[str], left: str, right: str, order: Sequence[str]) -> DataFrame:
     """The choice within each group, whose pairs pass through one task in order."""
     at = [*group, *order, *(c for c in (left, right) if c not in order)]

@@ -74,14 +74,16 @@ def matched_tracks(songs: DataFrame, tracks: DataFrame, candidates: DataFrame, f
     duration are no song's.
     """
     near = lambda least, share: ~tolerance.far_from(F.col("_seconds"), F.col("seconds"), least, share)
-    rows = candidates.join(songs.select(folder, "song", "isrcs", F.col("title_key").alias("_title"), F.col("seconds").alias("_seconds")), folder)
-    whole = tracks.where("seconds > 0").select(edition, "track", "isrc", "title_key", "seconds")
-    first = rows.select(folder, edition, "song", "_seconds", F.explode("isrcs").alias("isrc")).where("isrc <> ''").join(whole, [edition, "isrc"]).where(near(7, 0.03))
-    one = written(match.greedy_pairs(first.select(folder, edition, "song", "track").distinct(), [folder, edition], "song", "track", ["song", "track"]))
-    left = rows.withColumnRenamed("_title", "title_key").join(one, [folder, edition, "song"], "left_anti")
-    second = left.join(whole, [edition, "title_key"]).where(near(3, 0.01)).join(one.select(folder, edition, "track"), [folder, edition, "track"], "left_anti")
-    two = match.greedy_pairs(second.select(folder, edition, "song", "track").distinct(), [folder, edition], "song", "track", ["song", "track"])
-    return one.withColumn("by", F.lit("isrc")).unionByName(two.withColumn("by", F.lit("title")))
+    key = lambda n, c: F.struct(F.lit(n).cast("byte").alias("_pass"), c.cast("string").alias("_key"))
+    asked = F.concat(F.transform(F.coalesce("isrcs", F.array().cast("array<string>")), lambda x: key(1, x)), F.array(key(2, F.col("title_key"))))
+    named = "_key is not null and (_pass = 2 or _key <> '')"
+    rows = candidates.join(songs.select(folder, "song", asked.alias("_keys"), F.col("seconds").alias("_seconds")), folder).select(folder, edition, "song", "_seconds", F.explode("_keys").alias("_k"))
+    rows = rows.select(folder, edition, "song", "_seconds", "_k.*").where(named)
+    whole = tracks.where("seconds > 0").select(edition, "track", "seconds", F.explode(F.array(key(1, F.col("isrc")), key(2, F.col("title_key")))).alias("_k")).select(edition, "track", "seconds", "_k.*").where(named)
+    # in this order the second pass meets only what the first left free; a pair that repeats is free once
+    pairs = rows.join(whole, [edition, "_pass", "_key"]).where(F.when(F.col("_pass") == 1, near(7, 0.03)).otherwise(near(3, 0.01))).select(folder, edition, "_pass", "song", "track")
+    chosen = match.greedy_pairs(pairs, [folder, edition], "song", "track", ["_pass", "song", "track"])
+    return chosen.select(folder, edition, "song", "track", F.when(F.col("_pass") == 1, "isrc").otherwise("title").alias("by"))
 
 
 def number_by_edition(songs: DataFrame, editions: DataFrame, tracks: DataFrame, candidates: DataFrame, folder: str = "folder", edition: str = "edition") -> tuple[DataFrame, DataFrame]:
@@ -98,10 +100,12 @@ def number_by_edition(songs: DataFrame, editions: DataFrame, tracks: DataFrame,
     dates = consensus.majority(songs.withColumn("date", F.coalesce("date", F.lit(""))), [folder], "date").select(folder, F.col("winner").alias("_date"))
     listed = tracks.groupBy(edition).agg(F.count("*").alias("_tracks"), F.max("disc").alias("_discs"))
     whole = editions.join(listed, edition).where("nb_tracks is null or _tracks >= nb_tracks").select(edition, F.coalesce("date", F.lit("")).alias("date"), "_tracks", "_discs")
-    found = written(matched_tracks(songs, tracks, candidates.join(whole.select(edition), edition, "left_semi"), folder, edition))
-    placed = found.join(tracks.select(edition, "track", "disc", "pos"), [edition, "track"])
-    fits = placed.groupBy(folder, edition).agg(F.count("*").alias("_n"), F.count_if(F.col("by") == "isrc").alias("_by_isrc"), F.md5(F.to_json(F.array_sort(F.collect_list(F.struct("song", "disc", "pos"))))).alias("_places"))
-    fits = fits.join(sizes, folder).where("_n = _size").join(whole, edition).join(dates, folder)
+    found = matched_tracks(songs, tracks, candidates.join(whole.select(edition), edition, "left_semi"), folder, edition)
+    counts = found.groupBy(folder, edition).agg(F.count("*").alias("_n"), F.count_if(F.col("by") == "isrc").alias("_by_isrc"))
+    full = written(counts.join(sizes, folder).where("_n = _size").select(folder, edition, "_by_isrc"))
+    placed = written(found.join(full.select(folder, edition), [folder, edition], "left_semi").join(tracks.select(edition, "track", "disc", "pos"), [edition, "track"]).select(folder, edition, "song", "disc", "pos"))
+    fits = placed.groupBy(folder, edition).agg(F.md5(F.to_json(F.array_sort(F.collect_list(F.struct("song", "disc", "pos"))))).alias("_places"))
+    fits = fits.join(full, [folder, edition]).join(whole, edition).join(dates, folder)
     order = F.struct(-F.col("_by_isrc"), F.col("date") != F.col("_date"), F.left("date", F.lit(4)) != F.left("_date", F.lit(4)), F.col("_tracks"), F.col(edition))
     signs = F.struct("_places", F.col("_discs") > 1)
     best = fits.groupBy(folder).agg(F.min_by(edition, order).alias(edition), F.count("*").alias("fits"), F.count_distinct(signs).alias("_signs"))
