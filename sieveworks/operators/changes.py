@@ -21,16 +21,16 @@ def _next_after(points: DataFrame, marks: DataFrame) -> DataFrame:
 
 
 def _followed(records: DataFrame, step: DataFrame) -> DataFrame:
-    """(seq, end): where the pointers ``step`` (seq, next) lead from each record. Every round doubles the steps taken and is written, so that a chain of n takes log2(n) joins."""
-    ends = written(records.select("seq").join(step, "seq", "left").select("seq", F.coalesce("next", "seq").alias("end")))
+    """(seq, end): where the pointers ``step`` (seq, next) lead from each record. Every round doubles the steps taken and is written, so that a chain of n takes log2(n) joins. Records without a pointer end where they are and take no part."""
+    ends = written(step.select("seq", F.col("next").alias("end")))
     while True:
         jump = ends.select(F.col("seq").alias("end"), F.col("end").alias("further"))
-        after = written(ends.join(jump, "end").select("seq", F.col("further").alias("end"), (F.col("further") != F.col("end")).alias("moved")))
+        after = written(ends.join(jump, "end", "left").select("seq", F.coalesce("further", "end").alias("end"), F.col("further").isNotNull().alias("moved")))
         forget(ends)
         ends = after.select("seq", "end")
-        if after.where("moved").isEmpty():
-            return ends
         ends._written_path = after._written_path
+        if after.where("moved").isEmpty():
+            return records.select("seq").join(ends, "seq", "left").select("seq", F.coalesce("end", "seq").alias("end"))
 
 
 def compact(log: DataFrame, begun: DataFrame | None = None) -> DataFrame:

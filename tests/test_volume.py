@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from sieveworks.operators import match, releases
+from sieveworks.operators import changes, match, releases
 
 
 def moved(spark, job):
@@ -142,3 +142,12 @@ def test_editions_by_tolerance_move_little(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert out == spark.read.parquet(f"{folder}/lineitem.parquet").select("l_orderkey").distinct().count()
     assert n < 36 * items  # 40.2 with a choice for each pass
+
+
+def test_records_that_lead_nowhere(spark):
+    """One chain among many records without a pointer: the rounds join the chain alone."""
+    records = spark.range(6000).select(F.col("id").alias("seq"))
+    step = spark.createDataFrame([(i, i + 1) for i in range(5000, 5100)], "seq long, next long")
+    got, n = joined(spark, lambda: {r["seq"]: r["end"] for r in changes._followed(records, step).collect()})
+    assert got == {i: 5100 if 5000 <= i < 5100 else i for i in range(6000)}
+    assert n < 10_000  # 54,000 when all records went through the rounds
