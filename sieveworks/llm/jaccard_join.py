@@ -5,7 +5,7 @@ follows the shingles whose hash, seeded by the path, falls below ``branching / s
 so that two texts with most shingles in common follow a common one with high
 probability. A path that few texts reach is a bucket and is compared by brute force; a
 path that many reach splits again. How much the texts of a path share is estimated by how
-many have the same smallest shingle under other seeds. A share over 1 / ``branching``
+many have the same smallest shingle under other seeds, counted by bins of their hashes. A share over 1 / ``branching``
 means that more than one of the paths that they split into would hold nearly all of them
 again, without end: their path becomes a bucket at once, and is compared in blocks. Texts
 that share less, such as a header, split on and come apart. As many runs are made as the
@@ -16,14 +16,13 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sieveworks.llm.batches import bounded
@@ -33,13 +32,13 @@ from sieveworks.llm.components import connected_components, smallest_labels
 from sieveworks.sources.storage import forget, written
 
 #: Texts in a bucket that is compared at once, and the shingles and texts of a block of a larger one.
-BUCKET_TEXTS, BLOCK_SHINGLES, BLOCK_TEXTS = 64, 400_000, 2048
+BUCKET_TEXTS, BLOCK_SHINGLES, BLOCK_TEXTS = 256, 400_000, 2048
 #: Paths stop splitting at this depth; what is still large then is compared in blocks.
 MOST_DEPTH = 12
 #: Other seeds by which a large path is judged.
 PROBES = 16
-#: Counts of smallest shingles that a task holds before it gives them away.
-_PROBED = 200_000
+#: Smallest shingles are counted by bins; the paths that a task counts before it gives their counts away.
+_BINS, _COUNTED = 64, 2000
 
 
 def runs_needed(target_recall: float, threshold: float, branching: float) -> int:
@@ -123,19 +122,19 @@ def _printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _children(branching: float):
-    """Rows (id, paths, shingles) to the paths that each path splits into: (task 0, id, parent, size, path); and for the task's members of each path how many have a shingle as their smallest under a probe: (task from 1, count, parent, probe, shingle)."""
+    """Rows (id, paths, shingles) to the paths that each path splits into: (id, parent, size, path); and for the task's members of each path how many have their smallest shingle under each probe in each bin: (parent, bins)."""
     probes = mixed(np.arange(1, PROBES + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-
-    def rows(task: int, columns: list[np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), task), pa.int32()), *(pa.array(x, pa.int64()) for x in columns)], ["task", "id", "parent", "size", "path"])
+    names, kind = ["id", "parent", "size", "path"], pa.list_(pa.int32())
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, least = TaskContext.get().partitionId() + 1, Counter()
+        counts: dict[int, np.ndarray] = {}
 
         def told() -> pa.RecordBatch:
-            keys, counts = [*least], [*least.values()]
-            least.clear()
-            return rows(task, [np.array(counts, np.int64), *(np.array([k[i] for k in keys], np.int64) for i in range(3))])
+            n, none = len(counts), pa.nulls(len(counts), pa.int64())
+            bins = list_array(np.concatenate([*counts.values(), np.zeros(0, np.int32)]), [PROBES * _BINS] * n, pa.int32())
+            out = pa.RecordBatch.from_arrays([none, pa.array([*counts], pa.int64()), none, none, bins], [*names, "bins"])
+            counts.clear()
+            return out
 
         for batch in batches:
             out = [[], [], [], []]
@@ -143,21 +142,30 @@ def _children(branching: float):
                 shingles = shingles.values.to_numpy(zero_copy_only=False).view(np.uint64)
                 below = _below(np.array([len(shingles)]), branching)[0]
                 # a text has the same smallest shingles on all its paths
-                smallest = [int(mixed(shingles ^ p).min().view(np.int64)) for p in probes]
+                smallest = [i * _BINS + int(mixed(shingles ^ p).min()) // 7 % _BINS for i, p in enumerate(probes)]
                 for path in paths.values.to_numpy(zero_copy_only=False):
                     _, to = _chosen(shingles, below, path.view(np.uint64))
                     for x, value in zip(out, (id_, path, len(shingles))):
                         x.append(np.full(len(to), value, np.int64))
                     out[3].append(to.view(np.int64))
-                    least.update((int(path), i, x) for i, x in enumerate(smallest))
-            yield rows(0, [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out])
-            if len(least) > _PROBED:
+                    if int(path) not in counts:
+                        counts[int(path)] = np.zeros(PROBES * _BINS, np.int32)
+                    counts[int(path)][smallest] += 1
+            columns = [pa.array(np.concatenate([*x, np.zeros(0, np.int64)])) for x in out]
+            yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(columns[0]), kind)], [*names, "bins"])
+            if len(counts) > _COUNTED:
                 yield told()
         yield told()
 
     return make
 
 
+def _shares(table: pa.Table) -> pa.Table:
+    """The counts of one path, of all tasks, to the mean of its fullest bins."""
+    bins = table["bins"].combine_chunks().flatten().to_numpy().reshape(-1, PROBES, _BINS).sum(0, dtype=np.int64)
+    return pa.table([table["parent"][:1], pa.array([float(bins.max(1).mean())])], ["path", "mean"])
+
+
 def _compare(threshold: float):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, ["path", "one", "two"]):
@@ -175,6 +183,13 @@ def _compare(threshold: float):
     return make
 
 
+def _near_sizes(members: DataFrame, threshold: float) -> DataFrame:
+    """The members (path, id, size, ...) of small buckets that can have a link there: sizes of linked sets differ by the threshold at most, so that the next smaller or next larger size tells."""
+    path = W.partitionBy("path").orderBy("size")
+    near = (F.lag("size").over(path) + 1e-6 >= F.col("size") * threshold) | (F.col("size") + 1e-6 >= F.lead("size").over(path) * threshold)
+    return members.withColumn("near", near).where("near").drop("near")
+
+
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, branching: float = 2.0, target_recall: float = 0.9995) -> DataFrame:
     """One row per row of ``docs``: (doc_id, class_id, n_links).
 
@@ -213,7 +228,9 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     members = reps.select("id", "size", F.explode("paths").alias("path"))
     # large paths with the same members all stay: the recall rests on each splitting by its own seed
     members = written(members.join(distinct_buckets(members, BUCKET_TEXTS), "path"))
-    texts = reps.select(F.col("low").alias("doc_id"), "id", "copies", *prints).join(members.select("id").distinct(), "id")
+    small, large = written(_near_sizes(members.where(F.col("texts") <= BUCKET_TEXTS), threshold)), members.where(F.col("texts") > BUCKET_TEXTS)
+    wanted = small.select("id").unionByName(large.select("id")).distinct()
+    texts = reps.select(F.col("low").alias("doc_id"), "id", "copies", *prints).join(wanted, "id")
     rows = docs.join(texts, "doc_id").select("id", "copies", *prints, "text")
     if not sketch.where("doc_id is null and print1 is not null").isEmpty():
         # texts of no id are found by their prints
@@ -221,8 +238,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         rows = rows.unionByName(bare.dropDuplicates(prints).join(texts.where("doc_id is null"), prints).select("id", "copies", *prints, "text"))
     sets = written(rows.mapInArrow(_sets(n), "id long, copies long, shingles array<long>"))
 
-    leaves, whole, done = [members.where(F.col("texts") <= BUCKET_TEXTS)], [], [members, sets]
-    large = members.where(F.col("texts") > BUCKET_TEXTS)
+    leaves, whole, done, left = [small], [], [members, small, sets], sets
     for depth in range(MOST_DEPTH):
         if large.isEmpty():
             break
@@ -230,20 +246,25 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             whole.append(large)
             break
         at = large.groupBy("id").agg(F.collect_list("path").alias("paths"))
-        split = at.join(sets, "id").select("id", "paths", "shingles").mapInArrow(_children(branching), "task int, id long, parent long, size long, path long")
-        # a set may stand twice, see _sets
-        split = written(split.distinct())
-        same = split.where("task > 0").groupBy("parent", F.col("size").alias("probe"), "path").agg(F.sum("id").alias("n")).groupBy("parent", "probe").agg(F.max("n").alias("n"))
-        means = same.groupBy(F.col("parent").alias("path")).agg((F.sum("n") / PROBES).alias("mean"))
+        # the next round only takes sets of this one
+        taken = written(at.join(left.select("id", "shingles"), "id").select("id", "paths", "shingles"))
+        if left is not sets:
+            forget(left)
+        left = taken
+        split = written(left.mapInArrow(_children(branching), "id long, parent long, size long, path long, bins array<int>"))
+        means = split.where("bins is not null").select("parent", "bins").groupBy("parent").applyInArrow(_shares, "path long, mean double")
         alike = written(large.select("path", "texts").distinct().join(means, "path").where(F.col("mean") * branching >= F.col("texts")).select("path"))
         whole.append(large.join(alike, "path", "left_semi"))
-        apart = split.where("task = 0").join(alike.withColumnRenamed("path", "parent"), "parent", "left_anti").select("id", "size", "path")
+        # a set may stand twice, see _sets
+        apart = split.where("bins is null").join(alike.withColumnRenamed("path", "parent"), "parent", "left_anti").select("id", "size", "path").distinct()
         children = written(apart.join(distinct_buckets(apart, BUCKET_TEXTS), "path"))
         forget(split)
         done += [alike, children]
-        leaves.append(children.where(F.col("texts") <= BUCKET_TEXTS))
+        leaves.append(_near_sizes(children.where(F.col("texts") <= BUCKET_TEXTS), threshold))
         large = children.where(F.col("texts") > BUCKET_TEXTS)
 
+    if left is not sets:
+        forget(left)
     if whole:
         # nothing splits any more, so of large paths with the same members one is enough
         last = reduce(DataFrame.unionByName, whole).select("id", "size", "path")

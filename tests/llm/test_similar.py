@@ -228,3 +228,13 @@ def test_texts_that_share_a_header_are_split_on(spark, monkeypatch):
     assert all(got[i] == (0, 200) for i in copies) and all(got[i] == (i, 0) for i in range(1, 5000))
     # near copies among themselves aside, which have to meet
     assert met[0] - 30 * 201**2 / 2 < 0.01 * 5200**2 / 2
+
+
+def test_a_path_is_counted_in_one_row_a_task_and_sizes_rule_out_members(spark):
+    texts = [(i, [7, 8], [*range(i, i + 50)]) for i in range(300)]
+    rows = spark.createDataFrame(texts, "id long, paths array<long>, shingles array<long>").coalesce(1)
+    split = rows.mapInArrow(J._children(2.0), "id long, parent long, size long, path long, bins array<int>")
+    told = [(r["parent"], sum(r["bins"])) for r in split.where("bins is not null").collect()]
+    assert sorted(told) == [(7, 300 * J.PROBES), (8, 300 * J.PROBES)]
+    members = spark.createDataFrame([(1, 1, 10), (1, 2, 100), (1, 3, 80), (1, 4, 40), (2, 1, 10), (2, 5, 8), (3, 6, 79), (3, 2, 100)], "path long, id long, size long")
+    assert sorted((r["path"], r["id"]) for r in J._near_sizes(members, 0.8).collect()) == [(1, 2), (1, 3), (2, 1), (2, 5)]
