@@ -347,7 +347,7 @@ def dense_counts(partials: DataFrame, hashes: DataFrame) -> DataFrame:
     """(shard, part, counts): one vector a shard, in the order of its hash: the tasks' counts as dense vectors, :data:`FAN` of them added at a time."""
     tables = written(_first_sums(partials, hashes))
     while tables.groupBy("shard").count().agg(F.max("count")).first()[0] not in (None, 1):
-        nearer = written(tables.groupBy("shard", F.floor(F.col("part") / FAN).alias("part")).applyInArrow(_add_vectors, _DENSE))
+        nearer = written(tables.withColumn("part", F.floor(F.col("part") / FAN)).groupBy("shard", "part").applyInArrow(_add_vectors, _DENSE))
         forget(tables)
         tables = nearer
     return tables
@@ -376,8 +376,7 @@ def _add_vectors(table: pa.Table) -> pa.Table:
         for row in chunk:
             values = row.values.to_numpy()
             total = values.copy() if total is None else total + values
-    part = pc.divide(table["part"][:1], FAN)
-    return pa.table([table["shard"][:1], part, list_array(total, [len(total)], pa.int64())], ["shard", "part", "counts"])
+    return pa.table([table["shard"][:1], table["part"][:1], list_array(total, [len(total)], pa.int64())], ["shard", "part", "counts"])
 
 
 def _hash_of(row: dict) -> PerfectHash:

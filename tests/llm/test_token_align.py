@@ -110,3 +110,12 @@ def test_perfect_hash(keys):
     assert sorted(found.numbers(keys).tolist()) == list(range(len(keys)))
     others = keys ^ 1
     assert found.numbers(others).max(initial=-1) < max(len(keys), 1)
+
+
+def test_vectors_of_many_tasks_are_summed_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(T, "FAN", 2)
+    docs = spark.createDataFrame([(i, f"the end {i % 3}") for i in range(40)], "doc_id long, text string").repartition(5)
+    texts = ["the end 0", "the end 1", "the end 2"]
+    want = brute([texts[i % 3] for i in range(40)])
+    got = {r["doc_id"]: tuple(r)[1:] for r in T.align_tokens(docs).collect()}
+    assert [got[i] for i in range(40)] == [tuple(w) for w in want]
