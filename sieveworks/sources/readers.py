@@ -213,17 +213,16 @@ def album_records(pages: DataFrame, id_col: str, html: str = "html") -> DataFram
     data = page_metadata(pages, html).select(id_col, "data", F.try_parse_json("data").alias("_all"))
     rows = data.withColumn("_album", F.try_variant_get("_all", "$.props.pageProps.state.data.entity", "variant"))
     why = F.when(F.col("data").isNull(), "no data").when(F.col("_all").isNull(), "not JSON").when(F.col("_album").isNull() | F.is_variant_null("_album"), "no album")
-    rows = rows.select(id_col, "_album", why.alias("error"))
     text = lambda v, path: keys.unescaped(F.coalesce(F.try_variant_get(v, path, "string"), F.lit("")))
-    found = rows.where("error is null").select(id_col, "_album", F.try_variant_get("_album", "$.trackList", "variant").alias("_list"))
-    spark = pages.sparkSession
-    tracks = found.lateralJoin(spark.tvf.variant_explode(F.col("_list").outer())).where("key is null and pos is not null")
+    # a page is read once: names are resolved before its tracks are rows, and pages with an error stay as one row
+    pages = rows.select(id_col, text("_album", "$.name").alias("_name"), text("_album", "$.subtitle").alias("_by"), F.try_variant_get("_album", "$.trackList", "variant").alias("_list"), why.alias("error"))
+    each = pages.lateralJoin(pages.sparkSession.tvf.variant_explode_outer(F.when(F.col("error").isNull(), F.col("_list")).outer()))
     uri = F.try_variant_get("value", "$.uri", "string")
-    songs = tracks.where(uri.startswith("spotify:track:")).select(
-        id_col, text("_album", "$.name").alias("album"), text("_album", "$.subtitle").alias("album_artist"), (F.col("pos") + 1).alias("place"), F.element_at(F.split(uri, ":"), -1).alias("song"), text("value", "$.title").alias("title"),
-        F.trim(F.split(F.replace(text("value", "$.subtitle"), F.lit("\u00a0"), F.lit(" ")), ",")[0]).alias("artist"), F.bround(F.coalesce(F.try_variant_get("value", "$.duration", "double"), F.lit(0.0)) / 1000).cast("long").alias("seconds"), F.lit(None).cast("string").alias("error"),
-    )
-    return songs.unionByName(rows.where("error is not null").select(id_col, "error"), allowMissingColumns=True)
+    tracks = each.where(F.col("error").isNotNull() | F.col("key").isNull() & F.col("pos").isNotNull() & uri.startswith("spotify:track:"))
+    artist = F.trim(F.split(F.replace(text("value", "$.subtitle"), F.lit("\u00a0"), F.lit(" ")), ",")[0])
+    seconds = F.bround(F.coalesce(F.try_variant_get("value", "$.duration", "double"), F.lit(0.0)) / 1000).cast("long")
+    song = {"album": F.col("_name"), "album_artist": F.col("_by"), "place": F.col("pos") + 1, "song": F.element_at(F.split(uri, ":"), -1), "title": text("value", "$.title"), "artist": artist, "seconds": seconds}
+    return tracks.select(id_col, *(F.when(F.col("error").isNull(), c).alias(name) for name, c in song.items()), "error")
 
 
 def player_tags(media: DataFrame, id_col: str = "id", tags: str = "tags") -> DataFrame:

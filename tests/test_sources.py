@@ -129,3 +129,9 @@ def test_stream_promotes_what_the_batch_does(spark, tmp_path):
         now = F.lit(when)
         ever |= {r["item"] for r in funnel.promotions(df.where(F.col("ts") <= now), "item", "ts", now).collect()}
     assert streamed == ever == {"a"}
+
+
+def test_album_pages_are_read_once(spark):
+    pages = spark.createDataFrame([(1, "<html></html>")], "i long, html string")
+    plan = readers.album_records(pages, "i")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("__NEXT_DATA__") == 1 and plan.lower().count("parse_json") + plan.lower().count("parsejson") == 1
