@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import asdict, dataclass, field, fields
+from dataclasses import dataclass, field, fields
 
 import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -159,7 +159,7 @@ def reviewed(trial: Trial, events: list[tuple[float, str]], reviewed_to: float,
 
 
 class TrialFunnel(StatefulProcessor):
-    """The funnel of one item. Four variables: the file, the events that the watermark hasn't passed, the last day reviewed and the timer.
+    """The funnel of one item. Two variables: the file with the last day reviewed and its timer, and the events that the watermark hasn't passed; each is read and written once a call.
 
     Events wait until the watermark passes them, so their order of arrival doesn't matter;
     a timer is due on the first day on which a review can act. What went leaves no state.
@@ -170,48 +170,45 @@ class TrialFunnel(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.file = handle.getValueState("file", "downloaded double, last_listen double, promoted double, warned double, starred boolean, replaced boolean, gone boolean, recent array<double>")
+        self.file = handle.getValueState("file", "downloaded double, last_listen double, promoted double, warned double, starred boolean, replaced boolean, gone boolean, recent array<double>, day double, timer long, waits boolean")
         self.waiting = handle.getListState("waiting", "ts double, kind string")
-        self.day = handle.getValueState("day", "day double")
-        self.timer = handle.getValueState("timer", "at long")
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        self.waiting.appendList([(r["ts"], r["kind"]) for r in rows])
-        return self._advanced(key, timerValues)
+        return self._advanced(key, [(r["ts"], r["kind"]) for r in rows], timerValues)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        self.timer.clear()
-        return self._advanced(key, timerValues)
+        return self._advanced(key, [], timerValues, expired=True)
 
-    def _advanced(self, key: tuple, timerValues) -> Iterator[Row]:
+    def _advanced(self, key: tuple, new: list[tuple[float, str]], timerValues, expired: bool = False) -> Iterator[Row]:
         watermark = timerValues.getCurrentWatermarkInMs() / 1000
-        names = [f.name for f in fields(Trial)]
-        known = self.file.get() if self.file.exists() else None
-        trial = Trial(**dict(zip(names, known))) if known else Trial()
+        n = len(fields(Trial))
+        known = self.file.get()
+        trial = Trial(*known[:n]) if known else Trial()
         trial.recent = list(trial.recent)
-        events = sorted((r[0], KINDS.index(r[1])) for r in self.waiting.get())
+        reviewed_to, timer, waits = known[n:] if known else (float("-inf"), None, False)
+        events = sorted((t, KINDS.index(kind)) for t, kind in [*(self.waiting.get() if waits else ()), *new])
         events = [(t, KINDS[k]) for t, k in events]
-        reviewed_to = self.day.get()[0] if self.day.exists() else float("-inf")
         until = watermark // _DAY * _DAY
         for day, action, idle in reviewed(trial, events, reviewed_to, until, self.rules):
             yield Row(item=key[0], day=pd.Timestamp(day, unit="s").to_pydatetime(), action=action, idle_days=idle)
-        self._keep(trial, events, max(until, reviewed_to), watermark)
+        self._keep(trial, events, max(until, reviewed_to), None if expired else timer, waits)
 
-    def _keep(self, trial: Trial, events: list[tuple[float, str]], reviewed_to: float, watermark: float) -> None:
-        if self.timer.exists():
-            self.handle.deleteTimer(self.timer.get()[0])
-            self.timer.clear()
+    def _keep(self, trial: Trial, events: list[tuple[float, str]], reviewed_to: float, timer: int | None, waited: bool) -> None:
         if trial.gone and not events:
             # later events of a file that went tell nothing, unless it is added again: that it went has to be known
             trial = Trial(gone=True)
-        self.file.update(tuple(asdict(trial).values()))
-        self.waiting.put(events) if events else self.waiting.clear()
-        self.day.update((reviewed_to,))
         due = [t for t in (trial.due(self.rules), events[0][0] if events else None) if t is not None]
-        if due:
-            at = int(max(_next_day(min(due)), reviewed_to + _DAY) * 1000)
-            self.handle.registerTimer(at)
-            self.timer.update((at,))
+        at = int(max(_next_day(min(due)), reviewed_to + _DAY) * 1000) if due else None
+        if at != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if at is not None:
+                self.handle.registerTimer(at)
+        if events:
+            self.waiting.put(events)
+        elif waited:
+            self.waiting.clear()
+        self.file.update((*(getattr(trial, f.name) for f in fields(Trial)), reviewed_to, at, bool(events)))
 
     def close(self) -> None:
         pass

@@ -125,3 +125,28 @@ def test_late_rows_change_nothing(spark, tmp_path):
     run.run([("a", START + dt.timedelta(days=8), "unstarred"), (None, START, "listen"), ("b", None, "listen"), ("c", START + dt.timedelta(days=8), "other")])
     run.run([("z", START + dt.timedelta(days=30), "added")])
     assert run.rows() == [("a", START + dt.timedelta(days=4), "warn"), ("a", START + dt.timedelta(days=7), "delete")]
+
+
+def test_the_funnel_keeps_two_variables_and_reads_each_once():
+    from sieveworks.streaming import funnel as stream
+
+    calls = []
+
+    class State:
+        def __init__(self, name):
+            self.name = name
+
+        def __getattr__(self, call):
+            return lambda *a: calls.append((self.name, call))
+
+    class Handle:
+        getValueState = getListState = lambda self, name, schema: calls.append(("made", name)) or State(name)
+        registerTimer = deleteTimer = lambda self, at: None
+
+    class Times:
+        getCurrentWatermarkInMs = lambda self: 0
+
+    one = stream.TrialFunnel(stream.Rules())
+    one.init(Handle())
+    list(one.handleInputRows(("a",), iter([{"ts": 5.0, "kind": "listen"}]), Times()))
+    assert calls == [("made", "file"), ("made", "waiting"), ("file", "get"), ("waiting", "put"), ("file", "update")]
