@@ -5,11 +5,13 @@ follows the shingles whose hash, seeded by the path, falls below ``branching / s
 so that two texts with most shingles in common follow a common one with high
 probability. A path that few texts reach is a bucket and is compared by brute force; a
 path that many reach splits again. How much the texts of a path share is estimated by how
-many have the same smallest shingle under other seeds, counted by bins of their hashes. A share over 1 / ``branching``
-means that more than one of the paths that they split into would hold nearly all of them
-again, without end: their path becomes a bucket at once, and is compared in blocks. Texts
-that share less, such as a header, split on and come apart. As many runs are made as the
-target recall needs.
+many have the same smallest shingle under other seeds, counted by bins of their hashes. Where they
+share much, such as a header or nearly all, some of the paths that they split into would hold nearly all of them
+again, so such a path splits by the rest of its texts alone: shingles that most of a few of its
+texts hold are not followed by any, and the others by so much more that two texts over the
+threshold follow a common one as often as before. Texts that have nearly nothing else are
+a bucket at once, and are compared in blocks; they split too, to meet those that have more.
+As many runs are made as the target recall needs.
 """
 
 from __future__ import annotations
@@ -35,8 +37,10 @@ from sieveworks.sources.storage import forget, written
 BUCKET_TEXTS, BLOCK_SHINGLES, BLOCK_TEXTS = 256, 400_000, 2048
 #: Paths stop splitting at this depth; what is still large then is compared in blocks.
 MOST_DEPTH = 12
-#: Other seeds by which a large path is judged.
-PROBES = 16
+#: Other seeds by which a large path is judged, and the share from which it splits by the rest of its texts.
+PROBES, MUCH = 16, 0.25
+#: About as many texts of a path tell which shingles are common there; most bits of the map of them.
+TELLING, _MAP_BITS = 32, 15
 #: Smallest shingles are counted by bins; the paths that a task counts before it gives their counts away.
 _BINS, _COUNTED = 64, 2000
 
@@ -56,7 +60,7 @@ def runs_needed(target_recall: float, threshold: float, branching: float) -> int
 
 def _below(size: np.ndarray, branching: float) -> np.ndarray:
     """The hash value below which a shingle is followed."""
-    return np.minimum(branching / np.maximum(size, 1) * 2.0**64, 2.0**64 - 2048).astype(np.uint64)
+    return np.minimum(branching / np.maximum(size, 1e-3) * 2.0**64, 2.0**64 - 2048).astype(np.uint64)
 
 
 def _chosen(shingles: np.ndarray, below: np.ndarray, path: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -166,6 +170,58 @@ def _shares(table: pa.Table) -> pa.Table:
     return pa.table([table["parent"][:1], pa.array([float(bins.max(1).mean())])], ["path", "mean"])
 
 
+def _common(table: pa.Table) -> pa.Table:
+    """The shingles that over half of some texts of one path hold, as a map of bits; others may stand for a common one by chance, the same for all texts of the path."""
+    sets = lists(table, "shingles", np.arange(table.num_rows))
+    shingles, count = np.unique(np.concatenate(sets), return_counts=True)
+    shingles = shingles[2 * count > len(sets)].view(np.uint64)
+    bits = min(_MAP_BITS, max(6, (16 * len(shingles)).bit_length()))
+    held = np.zeros(1 << bits, bool)
+    held[mixed(shingles) >> np.uint64(64 - bits)] = True
+    return pa.table([table["path"][:1], pa.array([np.packbits(held).tobytes()])], ["path", "common"])
+
+
+def _is_common(hashes: np.ndarray, common: bytes) -> np.ndarray:
+    """Which shingles, given by their hashes, a map of bits holds; an empty map holds none."""
+    held = np.unpackbits(np.frombuffer(common or bytes(8), np.uint8)).view(bool)
+    return held[hashes >> np.uint64(65 - len(held).bit_length())]
+
+
+def _rests(threshold: float, branching: float):
+    """Rows (id, at, shingles), ``at`` of paths and the maps of what is common there, to the paths that each path splits into by other shingles: (id, parent, size, path); path is null for a text that may have links by what is common alone.
+
+    Two linked texts have at least ``threshold`` times the larger size in common, so of the
+    rest at least that less the common shingles of either: ``least``. Each text follows its
+    rest by branching * threshold / least, so that both expect to follow as many together
+    as without a common part. Of two texts with next to no rest the bucket takes both; one
+    such text still follows as much as any text that it is linked to and that has more.
+    """
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [[], [], [], []]
+            whole = [[], [], []]
+            for id_, at, shingles in zip(batch["id"].to_pylist(), batch["at"].to_pylist(), batch["shingles"]):
+                shingles = shingles.values.to_numpy(zero_copy_only=False).view(np.uint64)
+                size, hashes = len(shingles), mixed(shingles)
+                for path, common in ((x["path"], x["common"]) for x in at):
+                    rest = shingles[~_is_common(hashes, common)]
+                    least = threshold * size - (size - len(rest))
+                    if least < threshold * size / 4:
+                        for x, value in zip(whole, (id_, path, size)):
+                            x.append(value)
+                    below = _below(np.array([max(least, threshold**2 * size / 4)]), branching * threshold)[0]
+                    _, to = _chosen(rest, below, np.array([path], np.int64).view(np.uint64)[0])
+                    for x, value in zip(out, (id_, path, size)):
+                        x.append(np.full(len(to), value, np.int64))
+                    out[3].append(to.view(np.int64))
+            columns = [pa.array(np.concatenate([*x, np.array(y, np.int64)])) for x, y in zip(out, whole)]
+            to = pa.array(np.concatenate([*out[3], np.zeros(0, np.int64)]))
+            yield pa.RecordBatch.from_arrays([*columns, pa.concat_arrays([to, pa.nulls(len(whole[0]), pa.int64())])], ["id", "parent", "size", "path"])
+
+    return make
+
+
 def _compare(threshold: float):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, ["path", "one", "two"]):
@@ -243,23 +299,33 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if large.isEmpty():
             break
         if depth == MOST_DEPTH - 1:
-            whole.append(large)
+            whole.append(large.select("id", "size", "path"))
             break
-        at = large.groupBy("id").agg(F.collect_list("path").alias("paths"))
+        telling = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 20)) * F.col("texts") < TELLING << 20
+        at = large.groupBy("id").agg(F.collect_list("path").alias("paths"), F.collect_list(F.when(telling, F.col("path"))).alias("told"))
         # the next round only takes sets of this one
-        taken = written(at.join(left.select("id", "shingles"), "id").select("id", "paths", "shingles"))
+        taken = written(at.join(left.select("id", "shingles"), "id").select("id", "paths", "told", "shingles"))
         if left is not sets:
             forget(left)
         left = taken
-        split = written(left.mapInArrow(_children(branching), "id long, parent long, size long, path long, bins array<int>"))
+        split = written(left.select("id", "paths", "shingles").mapInArrow(_children(branching), "id long, parent long, size long, path long, bins array<int>"))
         means = split.where("bins is not null").select("parent", "bins").groupBy("parent").applyInArrow(_shares, "path long, mean double")
-        alike = written(large.select("path", "texts").distinct().join(means, "path").where(F.col("mean") * branching >= F.col("texts")).select("path"))
-        whole.append(large.join(alike, "path", "left_semi"))
+        alike = written(large.select("path", "texts").distinct().join(means, "path").where(F.col("mean") >= MUCH * F.col("texts")).select("path"))
         # a set may stand twice, see _sets
         apart = split.where("bins is null").join(alike.withColumnRenamed("path", "parent"), "parent", "left_anti").select("id", "size", "path").distinct()
+        done.append(alike)
+        if not alike.isEmpty():
+            told = left.select(F.explode("told").alias("path"), "shingles").join(alike, "path")
+            common = written(told.groupBy("path").applyInArrow(_common, "path long, common binary"))
+            # a path of which no text tells has no map
+            at = large.join(alike, "path").join(common, "path", "left").select("id", F.struct("path", "common").alias("at")).groupBy("id").agg(F.collect_list("at").alias("at"))
+            rests = written(at.join(left.select("id", "shingles"), "id").select("id", "at", "shingles").mapInArrow(_rests(threshold, branching), "id long, parent long, size long, path long"))
+            whole.append(rests.where("path is null").select("id", "size", F.col("parent").alias("path")).distinct())
+            apart = apart.unionByName(rests.where("path is not null").select("id", "size", "path").distinct())
+            done += [common, rests]
         children = written(apart.join(distinct_buckets(apart, BUCKET_TEXTS), "path"))
         forget(split)
-        done += [alike, children]
+        done.append(children)
         leaves.append(_near_sizes(children.where(F.col("texts") <= BUCKET_TEXTS), threshold))
         large = children.where(F.col("texts") > BUCKET_TEXTS)
 
@@ -267,7 +333,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         forget(left)
     if whole:
         # nothing splits any more, so of large paths with the same members one is enough
-        last = reduce(DataFrame.unionByName, whole).select("id", "size", "path")
+        last = reduce(DataFrame.unionByName, whole)
         leaves.append(last.join(distinct_buckets(last), "path"))
     found = reduce(DataFrame.unionByName, leaves)
     blocks = F.greatest(F.ceil(F.col("weight") / BLOCK_SHINGLES), F.ceil(F.col("texts") / BLOCK_TEXTS)).cast("int").alias("blocks")

@@ -238,3 +238,48 @@ def test_a_path_is_counted_in_one_row_a_task_and_sizes_rule_out_members(spark):
     assert sorted(told) == [(7, 300 * J.PROBES), (8, 300 * J.PROBES)]
     members = spark.createDataFrame([(1, 1, 10), (1, 2, 100), (1, 3, 80), (1, 4, 40), (2, 1, 10), (2, 5, 8), (3, 6, 79), (3, 2, 100)], "path long, id long, size long")
     assert sorted((r["path"], r["id"]) for r in J._near_sizes(members, 0.8).collect()) == [(1, 2), (1, 3), (2, 1), (2, 5)]
+
+
+def test_texts_that_share_half_come_apart_at_once(spark, monkeypatch):
+    """1,500 texts of 70 to 120 words with the same 40, and 400 pairs just over the threshold among them: such a path split into paths of the same texts over and over."""
+    rng = random.Random(5)
+    header = [f"licence{i}" for i in range(40)]
+    word = lambda: f"w{rng.randrange(10**6)}"
+    texts = [[*header, *(word() for _ in range(rng.randrange(30, 80)))] for _ in range(1500)]
+    for i in range(400):
+        # the last words differ, as many as the threshold allows
+        own = (len(texts[i]) - 4) // 9
+        texts.append([*texts[i][:-own], *(word() for _ in range(own))])
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    sets = {i: shingles(t) for i, t in rows}
+    pairs = [(i, 1500 + i) for i in range(400)]
+    assert all(0.8 <= len(sets[a] & sets[b]) / len(sets[a] | sets[b]) < 0.83 for a, b in pairs)
+    made = []
+
+    def counted(df, written=J.written):
+        out = written(df)
+        if "parent" in out.columns:
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(J, "written", counted)
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in J.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] in ((i, 0), (i - 1500 if i >= 1500 else i, 1)) for i in got)
+    assert sum(got[b] == (a, 1) for a, b in pairs) >= 398 and all(got[i] == (i, 0) for i in range(400, 1500))
+    # two steps a round
+    assert 1 <= len(made) <= 4
+
+
+def test_the_rest_of_a_path_is_followed_as_often_as_without_a_common_part(spark):
+    header = [*range(1, 101)]
+    texts = [(i, [7], [*header, *range(1000 * i, 1000 * i + 150)]) for i in range(1, 200)] + [(900, [7], [*header, 5_000_001, 5_000_002])]
+    df = spark.createDataFrame(texts, "id long, at array<long>, shingles array<long>")
+    common = df.select(F.lit(7).cast("long").alias("path"), "shingles").groupBy("path").applyInArrow(J._common, "path long, common binary")
+    rows = df.crossJoin(common).select("id", F.array(F.struct("path", "common")).alias("at"), "shingles")
+    out = rows.mapInArrow(J._rests(0.8, 2.0), "id long, parent long, size long, path long").collect()
+    assert {r["id"] for r in out if r["path"] is None} == {900}
+    # nothing common is followed, so no path is reached twice; each text expects 1.6 of the least shared rest of about 0.8 * 250 - 100 out of 150
+    to = [r["path"] for r in out if r["path"] is not None]
+    assert len(set(to)) == len(to) and 2.0 < len(to) / 199 < 3.2
+    plain = df.select("id", F.array(F.struct(F.lit(7).cast("long").alias("path"), F.lit(None).cast("binary").alias("common"))).alias("at"), "shingles").mapInArrow(J._rests(0.8, 2.0), "id long, parent long, size long, path long").collect()
+    assert all(r["path"] is not None for r in plain) and 1.5 < len(plain) / 200 < 2.5
