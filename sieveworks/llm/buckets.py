@@ -32,10 +32,15 @@ def placed(found: DataFrame, members: DataFrame) -> DataFrame:
 
     Adds ``leaves``, all paths of the member, ``block``, its own block, and the pair
     ``one`` <= ``two``. A bucket of b blocks sends each member to b of its block pairs.
+    Members may have their buckets in a column ``at`` (path, blocks); those without them there get them from ``found``.
     """
     per_member = found.groupBy("id").agg(F.collect_list(F.struct("path", "blocks")).alias("at"))
-    columns = [F.col(c) for c in members.columns]
-    out = members.join(per_member, "id").select(*columns, F.col("at.path").alias("leaves"), F.explode("at").alias("at"))
+    columns = [F.col(c) for c in members.columns if c != "at"]
+    if "at" in members.columns:
+        out = members.where("at is not null").unionByName(members.where("at is null").drop("at").join(per_member, "id"))
+    else:
+        out = members.join(per_member, "id")
+    out = out.select(*columns, F.col("at.path").alias("leaves"), F.explode("at").alias("at"))
     block = F.pmod(F.xxhash64("id"), F.col("at.blocks")).cast("int")
     out = out.select(*columns, "leaves", F.col("at.path").alias("path"), F.col("at.blocks").alias("blocks"), block.alias("block"))
     out = out.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))

@@ -97,7 +97,7 @@ def _sketches(n: int, seeds: np.ndarray, branching: float):
 
 
 def _sets(n: int):
-    """Rows (id, copies, print1, print2, text) to the shingles of those whose text has the prints: of rows that share an id, some may hold another text. Repeated rows of a task give one."""
+    """Rows (id, copies, at, paths, told, print1, print2, text) to the shingles of those whose text has the prints: of rows that share an id, some may hold another text. Repeated rows of a task give one."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -112,7 +112,8 @@ def _sets(n: int):
                     sets = shingle_sets(hashes, first, n)
                     sets = [sets[i] for i in rows]
                     at = pa.array([a + i for i in rows])
-                    yield pa.RecordBatch.from_arrays([*(batch[c].take(at) for c in ("id", "copies")), list_array(np.concatenate(sets).view(np.int64), [len(x) for x in sets], pa.int64())], ["id", "copies", "shingles"])
+                    kept = ["id", "copies", "at", "paths", "told"]
+                    yield pa.RecordBatch.from_arrays([*(batch[c].take(at) for c in kept), list_array(np.concatenate(sets).view(np.int64), [len(x) for x in sets], pa.int64())], [*kept, "shingles"])
 
     return make
 
@@ -246,6 +247,12 @@ def _near_sizes(members: DataFrame, threshold: float) -> DataFrame:
     return members.withColumn("near", near).where("near").drop("near")
 
 
+def _at(large: DataFrame) -> DataFrame:
+    """(id, paths, told) of members (path, id, texts) of large paths: all paths of a text, and those of which it tells what is common."""
+    telling = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 20)) * F.col("texts") < TELLING << 20
+    return large.groupBy("id").agg(F.collect_list("path").alias("paths"), F.collect_list(F.when(telling, F.col("path"))).alias("told"))
+
+
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, branching: float = 2.0, target_recall: float = 0.9995) -> DataFrame:
     """One row per row of ``docs``: (doc_id, class_id, n_links).
 
@@ -285,29 +292,31 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # large paths with the same members all stay: the recall rests on each splitting by its own seed
     members = written(members.join(distinct_buckets(members, BUCKET_TEXTS), "path"))
     small, large = written(_near_sizes(members.where(F.col("texts") <= BUCKET_TEXTS), threshold)), members.where(F.col("texts") > BUCKET_TEXTS)
-    wanted = small.select("id").unionByName(large.select("id")).distinct()
+    blocks = F.greatest(F.ceil(F.col("weight") / BLOCK_SHINGLES), F.ceil(F.col("texts") / BLOCK_TEXTS)).cast("int").alias("blocks")
+    # texts without large paths have all their buckets now
+    wanted = small.groupBy("id").agg(F.collect_list(F.struct("path", blocks)).alias("at")).join(_at(large), "id", "full").withColumn("at", F.expr("if(paths is null, at, null)"))
     texts = reps.select(F.col("low").alias("doc_id"), "id", "copies", *prints).join(wanted, "id")
-    rows = docs.join(texts, "doc_id").select("id", "copies", *prints, "text")
+    columns = ["id", "copies", "at", "paths", "told", *prints, "text"]
+    rows = docs.join(texts, "doc_id").select(columns)
     if not sketch.where("doc_id is null and print1 is not null").isEmpty():
         # texts of no id are found by their prints
         bare = docs.where("doc_id is null and text is not null").select("text").mapInArrow(_printed, "text string, print1 long, print2 long")
-        rows = rows.unionByName(bare.dropDuplicates(prints).join(texts.where("doc_id is null"), prints).select("id", "copies", *prints, "text"))
-    sets = written(rows.mapInArrow(_sets(n), "id long, copies long, shingles array<long>"))
+        rows = rows.unionByName(bare.dropDuplicates(prints).join(texts.where("doc_id is null"), prints).select(columns))
+    # a text comes with its large paths, or with its buckets, so that the first round needs no join, and the comparison none for most texts
+    sets = written(rows.mapInArrow(_sets(n), "id long, copies long, at array<struct<path: long, blocks: int>>, paths array<long>, told array<long>, shingles array<long>"))
 
-    leaves, whole, done, left = [small], [], [members, small, sets], sets
+    leaves, whole, done, left = [small], [], [members, small, sets], sets.where("paths is not null").select("id", "paths", "told", "shingles")
     for depth in range(MOST_DEPTH):
         if large.isEmpty():
             break
         if depth == MOST_DEPTH - 1:
             whole.append(large.select("id", "size", "path"))
             break
-        telling = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 20)) * F.col("texts") < TELLING << 20
-        at = large.groupBy("id").agg(F.collect_list("path").alias("paths"), F.collect_list(F.when(telling, F.col("path"))).alias("told"))
-        # the next round only takes sets of this one
-        taken = written(at.join(left.select("id", "shingles"), "id").select("id", "paths", "told", "shingles"))
-        if left is not sets:
+        if depth:
+            # the next round only takes sets of this one
+            taken = written(_at(large).join(left.select("id", "shingles"), "id").select("id", "paths", "told", "shingles"))
             forget(left)
-        left = taken
+            left = taken
         split = written(left.select("id", "paths", "shingles").mapInArrow(_children(branching), "id long, parent long, size long, path long, bins array<int>"))
         means = split.where("bins is not null").select("parent", "bins").groupBy("parent").applyInArrow(_shares, "path long, mean double")
         alike = written(large.select("path", "texts").distinct().join(means, "path").where(F.col("mean") >= MUCH * F.col("texts")).select("path"))
@@ -329,15 +338,13 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         leaves.append(_near_sizes(children.where(F.col("texts") <= BUCKET_TEXTS), threshold))
         large = children.where(F.col("texts") > BUCKET_TEXTS)
 
-    if left is not sets:
-        forget(left)
+    forget(left)
     if whole:
         # nothing splits any more, so of large paths with the same members one is enough
         last = reduce(DataFrame.unionByName, whole)
         leaves.append(last.join(distinct_buckets(last), "path"))
     found = reduce(DataFrame.unionByName, leaves)
-    blocks = F.greatest(F.ceil(F.col("weight") / BLOCK_SHINGLES), F.ceil(F.col("texts") / BLOCK_TEXTS)).cast("int").alias("blocks")
-    links = written(placed(found.select("id", "path", blocks), sets).mapInArrow(_compare(threshold), "id long, n_links long, root long"))
+    links = written(placed(found.select("id", "path", blocks), sets.select("id", "copies", "at", "shingles")).mapInArrow(_compare(threshold), "id long, n_links long, root long"))
     forget(*done)
 
     classes = smallest_labels(connected_components(links.select(F.col("id").alias("a"), F.col("root").alias("b"))), reps.select("id", F.col("low").alias("label")))
