@@ -5,16 +5,18 @@ Groups are compared through aggregates, and numbered by ranges, so that none has
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from sieveworks.functions import tolerance
 from sieveworks.operators import consensus, match
 from sieveworks.operators.numbering import numbered
-from sieveworks.sources.storage import written
+from sieveworks.sources.storage import forget, settled, written
 
 
 def choose_edition(songs: DataFrame, editions: DataFrame, folder: str, song: str, edition: str, place: str, order: Sequence[str] = ()) -> DataFrame:
@@ -90,28 +92,135 @@ def number_by_edition(songs: DataFrame, editions: DataFrame, tracks: DataFrame,
     """(folder, edition, fits, state) of every folder, and (folder, song, disc, pos) of those whose state is numbered.
 
     An edition fits if it is whole (``nb_tracks``, null: unknown) and every song of the
-    folder is one of its tracks (:func:`matched_tracks`). Where the editions that fit put
-    songs in different places, or differ in being on several discs, the state is ambiguous;
-    without one it is none. Else the edition with the most songs by ISRC is taken, then
-    one of the folder's date, of its year, the shortest, the smallest name. ``tracks`` has
-    disc and pos, ``editions`` date, ``songs`` date, of which the most frequent counts.
+    folder is one of its tracks (as in :func:`matched_tracks`). Where the editions that fit
+    put songs in different places, or differ in being on several discs, the state is
+    ambiguous; without one it is none. Else the edition with the most songs by ISRC is
+    taken, then one of the folder's date, of its year, the shortest, the smallest name.
+    ``tracks`` has disc and pos, ``editions`` date, ``songs`` date, of which the most
+    frequent counts. A folder's songs are one row, and one edition's tracks are kept by a
+    task at a time, through which its candidates pass.
     """
-    sizes = songs.groupBy(folder).agg(F.count_distinct("song").alias("_size"))
-    dates = consensus.majority(songs.withColumn("date", F.coalesce("date", F.lit(""))), [folder], "date").select(folder, F.col("winner").alias("_date"))
-    listed = tracks.groupBy(edition).agg(F.count("*").alias("_tracks"), F.max("disc").alias("_discs"))
-    whole = editions.join(listed, edition).where("nb_tracks is null or _tracks >= nb_tracks").select(edition, F.coalesce("date", F.lit("")).alias("date"), "_tracks", "_discs")
-    found = matched_tracks(songs, tracks, candidates.join(whole.select(edition), edition, "left_semi"), folder, edition)
-    counts = found.groupBy(folder, edition).agg(F.count("*").alias("_n"), F.count_if(F.col("by") == "isrc").alias("_by_isrc"))
-    full = written(counts.join(sizes, folder).where("_n = _size").select(folder, edition, "_by_isrc"))
-    placed = written(found.join(full.select(folder, edition), [folder, edition], "left_semi").join(tracks.select(edition, "track", "disc", "pos"), [edition, "track"]).select(folder, edition, "song", "disc", "pos"))
-    fits = placed.groupBy(folder, edition).agg(F.md5(F.to_json(F.array_sort(F.collect_list(F.struct("song", "disc", "pos"))))).alias("_places"))
-    fits = fits.join(full, [folder, edition]).join(whole, edition).join(dates, folder)
-    order = F.struct(-F.col("_by_isrc"), F.col("date") != F.col("_date"), F.left("date", F.lit(4)) != F.left("_date", F.lit(4)), F.col("_tracks"), F.col(edition))
-    signs = F.struct("_places", F.col("_discs") > 1)
-    best = fits.groupBy(folder).agg(F.min_by(edition, order).alias(edition), F.count("*").alias("fits"), F.count_distinct(signs).alias("_signs"))
-    state = F.when(F.col("_signs") == 1, "numbered").when(F.col("_signs") > 1, "ambiguous").otherwise("none")
-    choice = sizes.select(folder).join(best, folder, "left").select(folder, F.when(state == "numbered", F.col(edition)).alias(edition), F.coalesce("fits", F.lit(0)).alias("fits"), state.alias("state"))
-    return choice, placed.join(choice.where("state = 'numbered'").select(folder, edition), [folder, edition]).select(folder, "song", "disc", "pos")
+    isrcs = F.transform(F.filter("isrcs", lambda x: x != ""), _field)
+    row = F.struct("song", _seconds("seconds").alias("seconds"), F.concat(F.array(_field(F.col("title_key"))), F.coalesce(isrcs, F.array().cast("array<string>"))).alias("keys"))
+    held = songs.groupBy(folder).agg(F.mode(F.coalesce("date", F.lit("")), True).alias("_date"), F.sort_array(F.collect_list(F.when(F.col("song").isNotNull(), row))).alias("_rows"))
+    wanted = candidates.dropna(subset=[folder, edition]).groupBy(folder).agg(F.collect_set(edition).alias("_editions"))
+    # a row more of one song is marked by a sign
+    again = lambda x, i: (i > 0) & (F.get("_rows", i - 1)["song"] == x["song"])
+    line = lambda x, i: F.concat(F.when(again(x, i), "+").otherwise(""), F.array_join(F.concat(F.array(x["seconds"]), x["keys"]), "\t"))
+    text = F.array_join(F.transform("_rows", line), "\n").cast("binary")
+    folders = settled(held.join(wanted, folder, "left").select(folder, "_date", F.array_distinct(F.transform("_rows", lambda x: x["song"])).alias("_songs"), text.alias("_text"), "_editions"))
+
+    in_order = W.partitionBy(edition).orderBy("track")
+    about = editions.groupBy(edition).agg(F.collect_list(F.struct("date", F.col("nb_tracks").cast("double").alias("least"))).alias("_about"))
+    keys = F.concat_ws("\t", _seconds("seconds"), _field(F.col("title_key")), F.coalesce(_field(F.nullif("isrc", F.lit(""))), F.lit(NONE))).cast("binary")
+    listed = tracks.withColumns({"_rank": F.dense_rank().over(in_order), "_at": F.row_number().over(in_order)}).join(about, edition)
+    listed = listed.select(edition, F.when(F.col("track").isNotNull(), F.col("_rank")).alias("_rank"), "disc", "pos", keys.alias("_keys"), F.when(F.col("_at") == 1, F.col("_about")).alias("_about"))
+    asked = folders.where("size(_songs) > 0").select(F.explode("_editions").alias(edition), F.col(folder).alias("_folder"), "_text")
+    fits = settled(_fitting(listed, asked, edition))
+
+    date = F.coalesce("date", F.lit(""))
+    order = F.struct(-F.col("_by_isrc"), date != F.col("_date"), F.left(date, F.lit(4)) != F.left("_date", F.lit(4)), F.col("_tracks"), F.col(edition))
+    places = ["_at", "_disc", "_pos"]
+    signs = F.struct(*places, F.col("_discs") > 1)
+    facts = [F.count("_by_isrc").alias("fits"), F.min_by(F.struct(edition, *places), order).alias("_best"), F.min(F.when(F.col("_by_isrc").isNotNull(), signs)).alias("_least"), F.max(F.when(F.col("_by_isrc").isNotNull(), signs)).alias("_most")]
+    best = folders.select(folder, "_date").join(fits.withColumnRenamed("_folder", folder), folder, "left").groupBy(folder).agg(*facts)
+    state = F.when(F.col("fits") == 0, "none").when(F.col("_least").eqNullSafe(F.col("_most")), "numbered").otherwise("ambiguous")
+    chosen = settled(best.withColumn("state", state).select(folder, F.when(F.col("state") == "numbered", F.col("_best")).alias("_best"), "fits", "state"))
+    forget(fits)
+    choice = chosen.select(folder, F.col(f"_best.{edition}").alias(edition), "fits", "state")
+    numbers = chosen.where("state = 'numbered'").select(folder, F.arrays_zip(*(F.col(f"_best.{c}").alias(c) for c in places)).alias("_places")).join(folders.select(folder, "_songs"), folder)
+    return choice, numbers.select(folder, "_songs", F.explode("_places").alias("_place")).select(folder, F.get("_songs", F.col("_place._at")).alias("song"), F.col("_place._disc").alias("disc"), F.col("_place._pos").alias("pos"))
+
+
+#: What stands for a null in a line; no text has it, since a backslash in one is doubled.
+NONE = "\\0"
+
+
+def _seconds(name: str) -> Column:
+    """A duration in as few characters as give it again."""
+    return F.coalesce(F.regexp_replace(F.col(name).cast("double").cast("string"), r"\.0$", ""), F.lit(NONE))
+
+
+def _field(text: Column) -> Column:
+    """The text without the tabs and line ends that divide fields and lines."""
+    text = text.cast("string")
+    for a, b in (("\\", "\\\\"), ("\t", "\\t"), ("\n", "\\n")):
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return F.coalesce(text, F.lit(NONE))
+
+
+def _fitting(listed: DataFrame, asked: DataFrame, edition: str) -> DataFrame:
+    """(folder, edition, by_isrc, tracks, discs, date, places) of the candidates that fit: an edition's ranked tracks meet the folders that ask for it."""
+    types = {f.name: f.dataType.simpleString() for f in (*listed.schema, *asked.schema)}
+    kind = f"_folder {types['_folder']}, {edition} {types[edition]}, _by_isrc int, _tracks int, _discs {types['disc']}, date string, _at array<int>, _disc array<{types['disc']}>, _pos array<{types['pos']}>"
+    out = asked.sparkSession.createDataFrame([], kind).schema
+    schema = to_arrow_schema(out)
+
+    none = NONE.encode()
+
+    def all_songs(text: bytes, by_isrc: dict, by_title: dict) -> tuple[int, list[int]] | None:
+        """How many songs were matched by ISRC, and each song's track, if all have one. In each pass songs in order take the first free track within tolerance."""
+        songs: list[list[tuple]] = []
+        for line in text.split(b"\n"):
+            more = line.startswith(b"+")
+            seconds, title, *isrcs = line[more:].split(b"\t")
+            form = (None if seconds == none else float(seconds), title, isrcs)
+            if more:
+                songs[-1].append(form)
+            else:
+                songs.append([form])
+        used: set[int] = set()
+
+        def first(asked: Iterable[tuple]) -> int | None:
+            best = None
+            for seconds, tracks in asked:
+                for track, length, apart in tracks:
+                    if best is not None and track >= best:
+                        break
+                    if track not in used and (abs(seconds - length) <= apart or length != length):
+                        best = track
+                        break
+            if best is not None:
+                used.add(best)
+            return best
+
+        choice = [first((s, by_isrc[x]) for s, _, isrcs in song if s is not None for x in isrcs if x in by_isrc) for song in songs]
+        count = len(used)
+        for k, song in enumerate(songs):
+            if choice[k] is None:
+                choice[k] = first((s, by_title[title]) for s, title, _ in song if s is not None and title in by_title)
+                if choice[k] is None:
+                    return None
+        return count, choice
+
+    def fit(listed: pa.Table, asked: pa.Table) -> pa.Table:
+        n, by_isrc, by_title, places = len(listed), {}, {}, {}
+        discs = max((x for x in listed["disc"].to_pylist() if x is not None), default=None)
+        whole = [x for rows in listed["_about"].to_pylist() for x in rows or () if x["least"] is None or n >= x["least"]]
+        if not whole or not len(asked):
+            return schema.empty_table()
+        for rank, disc, pos, text in sorted(zip(*(listed[c].to_pylist() for c in ("_rank", "disc", "pos", "_keys"))), key=lambda x: (x[0] or 0, repr(x[1:3]))):
+            if rank is None:
+                continue
+            places.setdefault(rank, []).append((disc, pos))
+            seconds, title, isrc = text.split(b"\t")
+            if seconds != none and not (seconds := float(seconds)) <= 0:
+                if isrc != none:
+                    by_isrc.setdefault(isrc, []).append((rank, seconds, max(7.0, 0.03 * seconds)))
+                if title != none:
+                    by_title.setdefault(title, []).append((rank, seconds, max(3.0, 0.01 * seconds)))
+        found: list[tuple] = []
+        start = 0
+        for batch in asked.to_batches():
+            for i, text in enumerate(batch["_text"].to_pylist(), start):
+                if (took := all_songs(text, by_isrc, by_title)) is not None:
+                    spots = [(k, *spot) for k, x in enumerate(took[1]) for spot in places[x]]
+                    found += [(i, took[0], n, discs, x["date"], *([s[k] for s in spots] for k in range(3))) for x in whole]
+            start += len(batch)
+        here = asked.take(pa.array([x[0] for x in found], pa.int64()))
+        return pa.Table.from_arrays([here["_folder"], here[edition], *(pa.array([x[k - 1] for x in found], schema.field(k).type) for k in range(2, 9))], schema=schema)
+
+    return listed.groupBy(edition).cogroup(asked.groupBy(edition)).applyInArrow(fit, out)
 
 
 def merge_editions(base: DataFrame, other: DataFrame, on: Sequence[str], album: str, id_col: str, length: str, near: float = 3.0, first_number: int = 900, number: str | None = None) -> DataFrame:

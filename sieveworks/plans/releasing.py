@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveworks.operators import audit, prints, releases
+from sieveworks.sources.storage import settled
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,10 +23,10 @@ def edition_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _edition_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
     """Orders as folders of parts, suppliers as editions; durations of the two sides differ by up to ten seconds, a third of the parts has no ISRC, and parts share titles."""
     items = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.date_format("l_shipdate", "yyyy-MM").alias("month"))
-    items = items.join(_t(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_size"), "l_partkey")
+    items = settled(items.join(_t(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_size"), "l_partkey"))
     title, isrc = (F.col("l_partkey") % 50).cast("string"), F.when(F.col("l_partkey") % 3 != 0, F.col("l_partkey").cast("string"))
-    songs = items.groupBy(F.col("l_orderkey").alias("folder"), F.col("l_partkey").alias("song")).agg(F.array(F.coalesce(F.first(isrc), F.lit(""))).alias("isrcs"), F.first(title).alias("title_key"), F.first(100.0 + F.col("p_size") + F.col("l_orderkey") % 11).alias("seconds"), F.min("month").alias("date"))
-    tracks = items.groupBy(F.col("l_suppkey").alias("edition"), F.col("l_partkey").alias("track")).agg(F.coalesce(F.first(isrc), F.lit("")).alias("isrc"), F.first(title).alias("title_key"), F.first(100.0 + F.col("p_size") + F.col("l_suppkey") % 5).alias("seconds"), (1 + F.col("l_suppkey") % 2).alias("disc"), (F.min("l_linenumber").cast("long") + F.col("l_partkey") % 2).alias("pos"))
+    songs = items.repartition("l_orderkey").groupBy(F.col("l_orderkey").alias("folder"), F.col("l_partkey").alias("song")).agg(F.array(F.coalesce(F.first(isrc), F.lit(""))).alias("isrcs"), F.first(title).alias("title_key"), F.first(100.0 + F.col("p_size") + F.col("l_orderkey") % 11).alias("seconds"), F.min("month").alias("date"))
+    tracks = items.repartition("l_suppkey").groupBy(F.col("l_suppkey").alias("edition"), F.col("l_partkey").alias("track")).agg(F.coalesce(F.first(isrc), F.lit("")).alias("isrc"), F.first(title).alias("title_key"), F.first(100.0 + F.col("p_size") + F.col("l_suppkey") % 5).alias("seconds"), (1 + F.col("l_suppkey") % 2).alias("disc"), (F.min("l_linenumber").cast("long") + F.col("l_partkey") % 2).alias("pos"))
     editions = items.groupBy(F.col("l_suppkey").alias("edition")).agg(F.min("month").alias("date"), F.lit(None).cast("long").alias("nb_tracks"))
     candidates = items.select(F.col("l_orderkey").alias("folder"), F.col("l_suppkey").alias("edition")).distinct()
     return songs, editions, tracks, candidates

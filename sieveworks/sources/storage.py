@@ -11,6 +11,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The setting that deletes the shuffle files of a query at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names. Where it is unset, a temporary one is set for a local master; on a cluster, whose machines don't share one, that is an error."""
@@ -33,6 +36,17 @@ def written(df: DataFrame) -> DataFrame:
     return out
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """:func:`written`, and the shuffle files that it took are deleted at once and not when the driver collects garbage; another job on ``df`` itself makes them again."""
+    spark = df.sparkSession
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return written(df)
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete tables that :func:`written` made and nothing reads any more."""
     for df in tables:

@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from sieveworks.operators import changes, match, releases
+from sieveworks.sources import storage
 
 
 def moved(spark, job):
@@ -151,3 +152,18 @@ def test_records_that_lead_nowhere(spark):
     got, n = joined(spark, lambda: {r["seq"]: r["end"] for r in changes._followed(records, step).collect()})
     assert got == {i: 5100 if 5000 <= i < 5100 else i for i in range(6000)}
     assert n < 10_000  # 54,000 when all records went through the rounds
+
+
+def test_edition_numbers_move_a_folder_once_for_each_candidate(spark):
+    """A folder's songs are one row, which meets the tracks of a candidate: rows to shuffles for each row of the query's input."""
+    from sieveworks.plans import releasing
+
+    folder = "/root/testdata/sf0.001"
+    items = spark.read.parquet(f"{folder}/lineitem.parquet").count()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out, n = moved(spark, lambda: releasing.edition_numbers(spark, folder).count())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert out and n < 10 * items
+    assert spark.conf.get(storage.CLEANUP, "false") == "false"
