@@ -88,7 +88,11 @@ def matched_tracks(songs: DataFrame, tracks: DataFrame, candidates: DataFrame, f
     return chosen.select(folder, edition, "song", "track", F.when(F.col("_pass") == 1, "isrc").otherwise("title").alias("by"))
 
 
-def number_by_edition(songs: DataFrame, editions: DataFrame, tracks: DataFrame, candidates: DataFrame, folder: str = "folder", edition: str = "edition") -> tuple[DataFrame, DataFrame]:
+#: Bytes of the folders that meet an edition's tracks at once.
+TASK_BYTES = 64 << 20
+
+
+def number_by_edition(songs: DataFrame, editions: DataFrame, tracks: DataFrame, candidates: DataFrame, folder: str = "folder", edition: str = "edition", task_bytes: int = TASK_BYTES) -> tuple[DataFrame, DataFrame]:
     """(folder, edition, fits, state) of every folder, and (folder, song, disc, pos) of those whose state is numbered.
 
     An edition fits if it is whole (``nb_tracks``, null: unknown) and every song of the
@@ -97,8 +101,9 @@ def number_by_edition(songs: DataFrame, editions: DataFrame, tracks: DataFrame,
     ambiguous; without one it is none. Else the edition with the most songs by ISRC is
     taken, then one of the folder's date, of its year, the shortest, the smallest name.
     ``tracks`` has disc and pos, ``editions`` date, ``songs`` date, of which the most
-    frequent counts. A folder's songs are one row, and one edition's tracks are kept by a
-    task at a time, through which its candidates pass.
+    frequent counts. A folder's songs are one row. A task keeps one edition's tracks at a
+    time and the folders that ask for it; where these are more than ``task_bytes``, they
+    meet the tracks in parts.
     """
     isrcs = F.transform(F.filter("isrcs", lambda x: x != ""), _field)
     row = F.struct("song", _seconds("seconds").alias("seconds"), F.concat(F.array(_field(F.col("title_key"))), F.coalesce(isrcs, F.array().cast("array<string>"))).alias("keys"))
@@ -116,7 +121,15 @@ def number_by_edition(songs: DataFrame, editions: DataFrame, tracks: DataFrame,
     listed = tracks.withColumns({"_rank": F.dense_rank().over(in_order), "_at": F.row_number().over(in_order)}).join(about, edition)
     listed = listed.select(edition, F.when(F.col("track").isNotNull(), F.col("_rank")).alias("_rank"), "disc", "pos", keys.alias("_keys"), F.when(F.col("_at") == 1, F.col("_about")).alias("_about"))
     asked = folders.where("size(_songs) > 0").select(F.explode("_editions").alias(edition), F.col(folder).alias("_folder"), "_text")
-    fits = settled(_fitting(listed, asked, edition))
+    by = [edition]
+    many = settled(asked.groupBy(edition).agg(F.sum(F.octet_length("_text") + 32).alias("_bytes")).where(F.col("_bytes") > task_bytes).select(edition, F.ceil(F.col("_bytes") / task_bytes).alias("_parts")))
+    if not many.isEmpty():
+        by = [edition, "_part"]
+        parts = F.coalesce("_parts", F.lit(1).cast("long"))
+        asked = asked.join(many, edition, "left").withColumn("_part", F.pmod(F.xxhash64("_folder"), parts)).drop("_parts")
+        listed = listed.join(many, edition, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("_parts")
+    fits = settled(_fitting(listed, asked, edition, by))
+    forget(many)
 
     date = F.coalesce("date", F.lit(""))
     order = F.struct(-F.col("_by_isrc"), date != F.col("_date"), F.left(date, F.lit(4)) != F.left("_date", F.lit(4)), F.col("_tracks"), F.col(edition))
@@ -149,14 +162,12 @@ def _field(text: Column) -> Column:
     return F.coalesce(text, F.lit(NONE))
 
 
-def _fitting(listed: DataFrame, asked: DataFrame, edition: str) -> DataFrame:
+def _fitting(listed: DataFrame, asked: DataFrame, edition: str, by: Sequence[str]) -> DataFrame:
     """(folder, edition, by_isrc, tracks, discs, date, places) of the candidates that fit: an edition's ranked tracks meet the folders that ask for it."""
     types = {f.name: f.dataType.simpleString() for f in (*listed.schema, *asked.schema)}
     kind = f"_folder {types['_folder']}, {edition} {types[edition]}, _by_isrc int, _tracks int, _discs {types['disc']}, date string, _at array<int>, _disc array<{types['disc']}>, _pos array<{types['pos']}>"
     out = asked.sparkSession.createDataFrame([], kind).schema
-    schema = to_arrow_schema(out)
-
-    none = NONE.encode()
+    schema, none = to_arrow_schema(out), NONE.encode()
 
     def all_songs(text: bytes, by_isrc: dict, by_title: dict) -> tuple[int, list[int]] | None:
         """How many songs were matched by ISRC, and each song's track, if all have one. In each pass songs in order take the first free track within tolerance."""
@@ -220,7 +231,7 @@ def _fitting(listed: DataFrame, asked: DataFrame, edition: str) -> DataFrame:
         here = asked.take(pa.array([x[0] for x in found], pa.int64()))
         return pa.Table.from_arrays([here["_folder"], here[edition], *(pa.array([x[k - 1] for x in found], schema.field(k).type) for k in range(2, 9))], schema=schema)
 
-    return listed.groupBy(edition).cogroup(asked.groupBy(edition)).applyInArrow(fit, out)
+    return listed.groupBy(*by).cogroup(asked.groupBy(*by)).applyInArrow(fit, out)
 
 
 def merge_editions(base: DataFrame, other: DataFrame, on: Sequence[str], album: str, id_col: str, length: str, near: float = 3.0, first_number: int = 900, number: str | None = None) -> DataFrame:

@@ -1,7 +1,10 @@
 """How many rows move: hot keys and copies make no pairs, with the same results as counting."""
 
 import random
+import re
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from sieveworks.operators import changes, match, releases
@@ -154,7 +157,8 @@ def test_records_that_lead_nowhere(spark):
     assert n < 10_000  # 54,000 when all records went through the rounds
 
 
-def test_edition_numbers_move_a_folder_once_for_each_candidate(spark):
+@pytest.mark.parametrize("name", ["edition_numbers", "edition_by_tolerance"])
+def test_folder_moves_once_for_each_candidate(spark, name):
     """A folder's songs are one row, which meets the tracks of a candidate: rows to shuffles for each row of the query's input."""
     from sieveworks.plans import releasing
 
@@ -162,8 +166,22 @@ def test_edition_numbers_move_a_folder_once_for_each_candidate(spark):
     items = spark.read.parquet(f"{folder}/lineitem.parquet").count()
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     try:
-        out, n = moved(spark, lambda: releasing.edition_numbers(spark, folder).count())
+        out, n = moved(spark, lambda: releasing.QUERIES[name](spark, folder).count())
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert out and n < 10 * items
     assert spark.conf.get(storage.CLEANUP, "false") == "false"
+
+
+def test_settled_tables_leave_no_shuffle_files(spark):
+    """The files of a session's shuffles, before and after a step that shuffles is written."""
+    kept = lambda: set(re.findall(r"shuffle_\w+\.data", spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ")))
+    before = kept()
+    step = spark.range(10_000).repartition("id")
+    out = storage.settled(step.groupBy((F.col("id") % 7).alias("k")).count())
+    for _ in range(100):
+        if not kept() - before:
+            break
+        time.sleep(0.1)
+    assert not kept() - before and out.count() == 7
+    assert spark.conf.get(storage.CLEANUP, "false") == "false"
